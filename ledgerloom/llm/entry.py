@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import licenses, mixing, neardup, quality, sharding, toxicity, urls
+from ledgerloom.llm import ann, licenses, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +16,9 @@ def queries() -> dict[str, Query]:
     return {
         "op2_license_scan": lambda s, d: licenses.op2_license_scan(table(s, d, "documents")),
         "op3_mixing": lambda s, d: mixing.op3_mixing(table(s, d, "documents")),
+        "op4_secret_scan": lambda s, d: secrets.op4_secret_scan(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: toxicity.op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
+        "op6_nearest": lambda s, d: ann.op6_nearest(table(s, d, "embeddings")),
         "op7_sharding": lambda s, d: sharding.op7_sharding(table(s, d, "documents")),
         "op8_quality": lambda s, d: quality.op8_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op9_ngram_jaccard": lambda s, d: neardup.op9_ngram_jaccard(table(s, d, "documents")),
