@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, licenses, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from ledgerloom.llm import ann, decontaminate, licenses, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": lambda s, d: decontaminate.op1_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "op2_license_scan": lambda s, d: licenses.op2_license_scan(table(s, d, "documents")),
         "op3_mixing": lambda s, d: mixing.op3_mixing(table(s, d, "documents")),
         "op4_secret_scan": lambda s, d: secrets.op4_secret_scan(table(s, d, "documents")),
