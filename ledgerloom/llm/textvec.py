@@ -13,13 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     n = 1 << bits

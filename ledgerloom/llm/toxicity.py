@@ -42,28 +42,47 @@ def _ragged_mean(values: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> n
 
 def train(texts: list[str], labels: np.ndarray, *, epochs: int = 70, rate: float = 0.05, decay: float = 2e-4, fewest: int = 20, seed: int = 5) -> tuple[np.ndarray, float]:
     """Fit by full-batch Adam; returns the folded weight of every bucket and the bias."""
-    words = textvec.read(texts)
-    unique, first, word = np.unique(words.hash, return_index=True, return_inverse=True)
-    n_words, n_docs = len(unique), len(texts)
-    starts = np.zeros(len(words.data) + 1, np.int64)
-    starts[words.start] = 1
-    nth = np.cumsum(starts) - 1
-    # n-grams of the first occurrence of each different word; the blank before a word belongs to it
-    is_first = np.zeros(len(words.hash), bool)
-    is_first[first] = True
-    owners, buckets = [np.arange(n_words)], [_bucket(unique)]
-    for at, h in textvec.grams(words, SIZES):
-        of = np.where(words.word_byte[at], nth[at], nth[at + 1])
-        mine = is_first[of]
-        owners.append(word[of[mine]])
-        buckets.append(_bucket(h[mine]))
+    n_docs, parts = len(texts), []
+    for s in textvec.slices(texts):  # in slices, so that only words and their buckets are held for all texts
+        words = textvec.read(texts[s])
+        unique, first, word = np.unique(words.hash, return_index=True, return_inverse=True)
+        starts = np.zeros(len(words.data) + 1, np.int32)
+        starts[words.start] = 1
+        nth = np.cumsum(starts, dtype=np.int32) - 1
+        # n-grams of the first occurrence of each different word; the blank before a word belongs to it
+        is_first = np.zeros(len(words.hash), bool)
+        is_first[first] = True
+        owners, buckets = [np.arange(len(unique))], [_bucket(unique)]
+        for at, h in textvec.grams(words, SIZES):
+            of = np.where(words.word_byte[at], nth[at], nth[at + 1])
+            mine = is_first[of]
+            owners.append(word[of[mine]])
+            buckets.append(_bucket(h[mine]))
+        pair, times = np.unique(words.doc * len(unique) + word, return_counts=True)
+        parts.append((unique, np.concatenate(owners).astype(np.int32), np.concatenate(buckets).astype(np.int32),
+                      (pair // max(len(unique), 1) + s.start).astype(np.int32), (pair % max(len(unique), 1)).astype(np.int32), times.astype(np.int32)))
+    origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    every, seen_at, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    n_words, offset = len(every), np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
+    owners, buckets, docs_of, words_of = [], [], [], []
+    for k, (_, o, g, d, w, _t) in enumerate(parts):
+        to = back[offset[k]:offset[k + 1]]
+        new = origin[seen_at[to]] == k
+        owners.append(to[o[new[o]]])
+        buckets.append(g[new[o]])
+        docs_of.append(d)
+        words_of.append(to[w])
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    times = np.concatenate([p[5] for p in parts])
+    pd_, pw = np.concatenate(docs_of), np.concatenate(words_of)
+    del parts, owners, buckets
     size_w = np.bincount(owner, minlength=n_words)
-    pair, times = np.unique(words.doc * n_words + word, return_counts=True)
     # buckets of few texts could only be learnt by heart: they stay at zero
-    spread = np.bincount(bucket, weights=np.bincount(pair % n_words, minlength=n_words)[owner], minlength=BUCKETS)
+    spread = np.bincount(bucket, weights=np.bincount(pw, minlength=n_words)[owner], minlength=BUCKETS)
     common = spread[bucket] >= fewest
-    common[:n_words] |= ~np.bincount(owner[common], minlength=n_words).astype(bool)  # each word keeps one
+    bare = ~np.bincount(owner[common], minlength=n_words).astype(bool)
+    lone = np.flatnonzero(bare[owner])
+    common[lone[np.unique(owner[lone], return_index=True)[1]]] = True  # each word keeps one
     owner, bucket = owner[common], bucket[common]
     order = np.argsort(owner, kind="stable")
     owner, bucket = owner[order], bucket[order]
@@ -71,7 +90,6 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 70, rate: float
     bound_w = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_words))[:-1]])
     back_g = np.argsort(compact, kind="stable")
     bound_g = np.concatenate([[0], np.cumsum(np.bincount(compact))[:-1]])
-    pd_, pw = pair // n_words, pair % n_words
     docs_in, compact_doc = np.unique(pd_, return_inverse=True)
     y = labels[docs_in].astype(np.float32)
     size_d = np.bincount(compact_doc, weights=times)
@@ -158,7 +176,7 @@ def logits(texts: list[str | None], folded: np.ndarray, curve: dict) -> np.ndarr
     return curve["bias"] + curve["slope"] * np.log(means / curve["floor"] + 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", fold: int = 4, held: int = 2, sample: int = 1300, longest: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", fold: int = 4, held: int = 2, sample: int = 900, longest: int = 20_000) -> DataFrame:
     """Every column of ``docs`` and ``toxic_score``.  Only labels whose crc bucket is not ``held`` are learnt."""
     rows, share = labelled_sample(docs, labels, label, crc_bucket(F.col("doc_id"), fold) != held, sample, longest)
     y = np.array([r["label"] for r in rows], int)
