@@ -76,7 +76,11 @@ def _forward(n: int, doc: np.ndarray, bucket: np.ndarray, weight: np.ndarray, de
 
 
 def train(texts: list[str], recorded: np.ndarray, labels: np.ndarray, *, epochs: int = 60, rate: float = 0.03, decay: float = 1e-4, seed: int = 5) -> dict:
-    doc, bucket, weight, dense = features(texts, recorded)
+    parts = []
+    for s in textvec.slices(texts):  # in slices, so that only features are held for all texts
+        doc, bucket, weight, dense = features(texts[s], recorded[s])
+        parts.append(((doc + s.start).astype(np.int32), bucket.astype(np.int32), weight.astype(np.float32), dense))
+    doc, bucket, weight, dense = (np.concatenate(x) for x in zip(*parts, strict=True))
     mean, scale = dense.mean(0), dense.std(0) + 1e-6
     dense = np.clip((dense - mean) / scale, -5, 5)
     n, rng = len(texts), np.random.default_rng(seed)
@@ -108,7 +112,7 @@ def logits(texts: list[str | None], recorded: np.ndarray, model: dict) -> np.nda
     return _forward(len(texts), doc, bucket, weight, dense, model["w"], model["v"])[0] + model["w0"]
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fold: int = 3, held: int = 1, sample: int = 2500, longest: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fold: int = 3, held: int = 1, sample: int = 1200, longest: int = 20_000) -> DataFrame:
     """Every column of ``docs`` and ``quality_score``.  Only labels whose crc bucket is not ``held`` are learnt."""
     rows, share = labelled_sample(docs, labels, label, crc_bucket(F.col("doc_id"), fold) != held, sample, longest, ("n_chars",))
     y = np.array([r["label"] for r in rows], int)
