@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ"
 PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"
@@ -150,7 +151,7 @@ def _entity(found: re.Match) -> str:
     return found[0] if point > 0x10FFFF or 0xD800 <= point < 0xE000 else chr(point)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """Named and numeric character references, decoded once; what is no character stays as written."""
     return text.map(lambda t: _REFERENCE.sub(_entity, t) if t is not None and "&" in t else t)

@@ -5,6 +5,8 @@ The same text runs in Spark SQL and in DuckDB: names in braces are tables or oth
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, str] = {
@@ -106,7 +108,7 @@ def oracle(text: str) -> str:
                 needed.append(n)
 
     visit(text)
-    plain = lambda sql: sql.format(**{n: n for n in (*VIEWS, *TABLES)})
+    plain = lambda sql: re.sub(r"\{(" + "|".join((*VIEWS, *TABLES)) + r")\}", r"\1", sql)
     ctes = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in needed)
     body = plain(text)
     if not ctes:

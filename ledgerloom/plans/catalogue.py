@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import balances, ledger
+from ledgerloom.operators import balances, ledger, matching, rules
 from ledgerloom.plans.bridge import Ledger, oracle
 
-MODULES = (balances, ledger)
+MODULES = (balances, ledger, matching, rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
