@@ -106,7 +106,7 @@ _MOVES = "SELECT t.transaction_id, t.household_id, account_id, booked_on, t.curr
 _KIND = "CASE WHEN amount < 0 THEN 'withdrawal' ELSE 'deposit' END AS kind, cast(NULL AS varchar) AS problem"
 _FULL = f"SELECT account_id AS account, booked_on, cast(amount AS decimal(28,10)) AS amount, currency, cast(transaction_id AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m"
 ORACLES = {
-    "mt940_statements": f"SELECT account_id AS account, cast(CASE WHEN booked_on < DATE '2000-01-01' THEN booked_on + INTERVAL 100 YEAR ELSE booked_on END AS date) AS booked_on, cast(amount AS decimal(28,10)) AS amount, currency, cast(transaction_id AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m",
+    "mt940_statements": f"SELECT account_id AS account, cast(CASE WHEN booked_on < DATE '2000-01-01' THEN booked_on + INTERVAL 100 YEAR ELSE booked_on END AS date) AS booked_on, cast(amount AS decimal(28,10)) AS amount, currency, CASE WHEN transaction_id <> 0 THEN cast(transaction_id AS varchar) END AS external_id, {_KIND} FROM ({_MOVES}) m",
     "ofx_statements": _FULL,
     "qif_statements": f"SELECT account_id AS account, cast(date_trunc('month', booked_on) + INTERVAL 27 DAY AS date) AS booked_on, cast(amount AS decimal(28,10)) AS amount, 'EUR' AS currency, cast(NULL AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m",
     "camt_statements": _FULL + " WHERE transaction_id % 11 <> 0",

@@ -95,6 +95,7 @@ def duplicate_verdicts(ledger: Ledger) -> DataFrame:
         return pd.DataFrame(out, columns=["source_id", "verdict", "transaction_id"]).astype({"transaction_id": "Int64"})
 
     key = ["household_id", "shape"]
+    asks, rows = asks.toDF(*asks.columns), rows.toDF(*rows.columns)  # both stem from the same tables
     return asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(settle, "source_id long, verdict string, transaction_id long")
 
 

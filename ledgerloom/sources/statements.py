@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerloom.functions.text import date_order, from_debit_credit, parse_amount, read_currency, read_date, trimmed
 
@@ -22,10 +24,15 @@ EXTERNAL = "EXTERNAL"
 PLACEHOLDERS = ("NONREF", "NOTPROVIDED", "NA", "N/A", "NONE", "0")
 
 
+@F.pandas_udf(StringType())
+def _cp1252(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else bytes(b).decode("cp1252", "replace"))
+
+
 def decode(files: DataFrame) -> DataFrame:
     """(path, content) as (path, text, encoding): UTF-8 where the bytes are that, else Windows-1252; no byte-order mark."""
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "windows-1252"))
+    text = F.when(utf8, F.col("content").cast("string")).otherwise(_cp1252("content"))
     return files.select("path", F.regexp_replace(text, "^﻿", "").alias("text"), F.when(utf8, "utf-8").otherwise("cp1252").alias("encoding"))
 
 
