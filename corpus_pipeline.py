@@ -19,9 +19,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity scores under 0.5.  All labels may be learnt here but those of the held-out fold."""
+    """Documents that the classifier does not reject: a score under its threshold.  Labels of the held-out fold are not learnt."""
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("toxic_score") < 0.5).select(*docs.columns)
+    return scored.filter(F.col("toxic_score") < toxicity.REJECT).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

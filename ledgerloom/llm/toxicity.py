@@ -29,6 +29,8 @@ from ledgerloom.llm.samples import labelled_sample
 SIZES = (3, 4)
 BUCKETS = 1 << 17
 RANK = 4
+#: Texts of this score or more are toxic.
+REJECT = 0.3
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -202,7 +204,7 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", fold: int
     return keep.mapInPandas(run, schema).select("row.*", F.col("row_score").alias("toxic_score"))
 
 
-def op5_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def op5_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
     """Scores of all documents; ``predicted`` is 1 from ``threshold`` on."""
     scored = score(docs.select("doc_id", "text"), labels)
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= threshold).cast("int").alias("predicted"))
