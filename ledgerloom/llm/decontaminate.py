@@ -2,7 +2,7 @@
 
 1.  Texts and benchmark items become ids of the benchmark's words (others are -1); the ids are written down once.
 2.  Passages are windows of 32 words, one every 16.  Document frequencies are counted over the passages of all
-    documents, in the columns that the benchmark can match.
+    documents, in the columns that the benchmark can match; words of over 5 % of passages weigh nothing.
 3.  A randomised SVD of the TF-IDF passages of the whole corpus: tasks multiply their passages with a random
     test matrix and back, and Spark sums the products, of fixed size: words of the benchmark x rank.
 4.  Passages and items are projected; a passage whose cosine to an item, or to one of the item's own windows,
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textvec
-from ledgerloom.llm.common import durable
+from ledgerloom.llm.common import bounded_batches, durable
 
 HOP = 16
 RANK = 96
@@ -63,28 +63,61 @@ def read_benchmark(items: DataFrame) -> Benchmark:
     return Benchmark(np.array([i for i, _ in rows], np.int64), [np.searchsorted(vocabulary, h).astype(np.int32) for h in hashes], answer, vocabulary, max((len(h) for h in hashes), default=0))
 
 
-def word_ids(words: textvec.Words, vocabulary: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.full(len(words.hash), -1, np.int32)
-    place = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
-    return np.where(vocabulary[place] == words.hash, place, -1).astype(np.int32)
+def _slots(vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """A table from a hash's leading bits to a place in the vocabulary, with room for few collisions."""
+    bits = max(10, int(np.ceil(np.log2(len(vocabulary) + 1))) + 6)
+    table = np.full(1 << bits, len(vocabulary), np.int32)
+    slot = (vocabulary >> np.uint64(64 - bits)).astype(np.int64)
+    table[slot[::-1]] = np.arange(len(vocabulary))[::-1]  # the first of a run of equal slots
+    return table, bits
 
 
-def windows(ids: list[np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first hop, sums of the table's rows over the window) of all passages; the table's last row stands for other words."""
-    hops = np.array([max(1, -(-len(x) // HOP)) if len(x) else 0 for x in ids])
+def word_ids(words: textvec.Words, vocabulary: np.ndarray) -> np.ndarray:
+    """The place of each word in the sorted vocabulary, or -1."""
+    n = len(vocabulary)
+    if not n:
+        return np.full(len(words.hash), -1, np.int32)
+    table, bits = _slots(vocabulary)
+    padded = np.append(vocabulary, np.uint64(0))
+    place = table[(words.hash >> np.uint64(64 - bits)).astype(np.int64)]
+    hit = padded[place] == words.hash
+    open_ = np.flatnonzero(~hit & (place < n))
+    for _ in range(64):  # go on along the run of the slot
+        open_ = open_[(place[open_] + 1 < n)]
+        if not len(open_):
+            break
+        place[open_] += 1
+        same = (padded[place[open_]] >> np.uint64(64 - bits)) == (words.hash[open_] >> np.uint64(64 - bits))
+        open_ = open_[same]
+        done = padded[place[open_]] == words.hash[open_]
+        hit[open_[done]] = True
+        open_ = open_[~done]
+    return np.where(hit & (place < n), place, -1).astype(np.int32)
+
+
+def windows(ids: list[np.ndarray], table: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first hop, sums of the table's rows over the window) of all passages.
+
+    Only words that are ``live`` count; the last row of both tables stands for words outside the benchmark.
+    """
+    lengths = np.array([len(x) for x in ids], np.int64)
+    hops = -(-lengths // HOP)
     if not hops.sum():
         return np.empty(0, int), np.empty(0, int), np.empty((0, table.shape[1]), table.dtype)
     first = np.concatenate([[0], np.cumsum(hops)[:-1]])
     flat = np.concatenate(ids)
-    lengths = np.array([len(x) for x in ids])
+    at = np.flatnonzero(live[flat])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    of = np.searchsorted(starts + lengths, at, side="right")
+    hop = first[of] + (at - starts[of]) // HOP
+    both = np.zeros((hops.sum(), table.shape[1]), table.dtype)
+    if len(at):
+        bounds = np.flatnonzero(np.diff(hop, prepend=-1))
+        both[hop[bounds]] = np.add.reduceat(table[flat[at]], bounds, axis=0)
     doc = np.repeat(np.arange(len(ids)), hops)
     nth = np.arange(hops.sum()) - first[doc]
-    sums = np.add.reduceat(table[flat], starts[doc] + nth * HOP, axis=0)
-    both = sums.copy()
     more = np.flatnonzero(nth + 1 < hops[doc])
-    both[more] += sums[more + 1]
+    both[more] = both[more] + both[more + 1]
     whole = (nth + 1 < hops[doc]) | (hops[doc] == 1)  # the last hop alone is a part of the window before
     return doc[whole], nth[whole], both[whole]
 
@@ -103,7 +136,7 @@ def _passage_matrix(ids: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray,
     """Disjoint passages of 32 words as sparse TF-IDF rows of length 1: (passage, word, weight, passages)."""
     passage, word, base = [], [], 0
     for x in ids:
-        good = np.flatnonzero(x >= 0)
+        good = np.flatnonzero((x >= 0) & (idf[x] > 0))
         passage.append(good // (2 * HOP) + base)
         word.append(x[good])
         base += -(-len(x) // (2 * HOP))
@@ -142,7 +175,8 @@ def latent_basis(ids: DataFrame, idf: np.ndarray, seed: int = 23) -> np.ndarray:
                 cuts = np.flatnonzero(np.diff(w[order], prepend=-1))
                 total[w[order][cuts]] += np.add.reduceat(small[back[order]] * weight[order], cuts, axis=0)
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"row": used.astype(np.int32), "values": list(total[used].astype(float))})
+        if len(used):
+            yield pd.DataFrame({"row": used.astype(np.int32), "values": list(total[used].astype(float))})
 
     y = np.zeros((n, width))
     for k, v in _summed(ids, run).items():
@@ -150,6 +184,8 @@ def latent_basis(ids: DataFrame, idf: np.ndarray, seed: int = 23) -> np.ndarray:
     small = test.T @ y
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     good = values > max(values[-1], 1e-12) * 1e-9
+    if not good.any():  # no passage holds a word of the benchmark
+        return np.zeros((n, 1))
     factor = y @ (vectors[:, good] / np.sqrt(values[good]))
     left, singular, _ = np.linalg.svd(factor, full_matrices=False)
     keep = singular[:RANK] > singular[0] * 1e-6
@@ -168,8 +204,9 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.55, covered: float = 0.7, answered: float = 0.5, shortest: int = 5) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, covered: float = 0.7, answered: float = 0.5, shortest: int = 5, often: float = 0.05) -> DataFrame:
     """(doc_id, row_hash, item_id, score, answer_score, place) of every item found in a text; row_hash is that of the text."""
+    bounded_batches(docs.sparkSession)
     bench = read_benchmark(items)
     spark = docs.sparkSession
     schema = "doc_id long, row_hash long, item_id long, score double, answer_score double, place long"
@@ -203,6 +240,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.55, cover
     for r in ids.mapInPandas(frequencies, "word long, n double").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one row a word of the benchmark
         df[r["word"]] = r["n"]
     idf = np.log((df[n] + 1) / (df[:n] + 1)) + 0.1
+    frequent = df[:n] > often * df[n]
+    for x in bench.words:  # an item of frequent words alone keeps them
+        if len(x) and (~frequent[x]).sum() < shortest:
+            frequent[x] = False
+    idf[frequent] = 0
     basis = latent_basis(ids, idf)
     table = np.zeros((n + 1, basis.shape[1]), np.float32)
     table[:n] = basis * idf[:, None]
@@ -221,23 +263,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.55, cover
                     owners.append(k)
     probes = unit(np.stack(probes)) if probes else np.zeros((0, basis.shape[1]), np.float32)
     owners = np.array(owners, int)
-    model = spark.sparkContext.broadcast((table, probes.astype(np.float32), owners))
+    model = spark.sparkContext.broadcast((table, np.append(idf > 0, False), probes.astype(np.float32), owners))
 
     def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, probes, owners = model.value
+        table, live, probes, owners = model.value
         b = held.value
         for batch in batches:
             found = []
             for begin in range(0, len(batch), 400):
                 part = [np.asarray(x) for x in batch["ids"][begin:begin + 400]]
-                doc, hop, sums = windows(part, table)
+                doc, hop, sums = windows(part, table, live)
                 for lo in range(0, len(doc), 4096):
                     near = unit(sums[lo:lo + 4096]) @ probes.T if len(probes) else np.zeros((0, 0))
                     at, probe = np.nonzero(near >= cosine)
                     for key in np.unique((doc[at + lo] * len(b.item) + owners[probe])):
                         d, k = divmod(int(key), len(b.item))
                         hops = np.unique(hop[at[(doc[at + lo] == d) & (owners[probe] == k)] + lo])
-                        hit = _best(part[d], b.words[k], b.answer[k], hops)
+                        hit = _best(part[d], b.words[k], b.answer[k], hops, covered)
                         if hit and hit[0] >= covered and hit[1] >= answered:
                             found.append((begin + d, int(b.item[k]), *hit))
             if found:
@@ -247,7 +289,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.55, cover
     return ids.mapInPandas(retrieve, schema)
 
 
-def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray) -> tuple[float, float, int] | None:
+def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray, covered: float) -> tuple[float, float, int] | None:
     """The stretch around the passages that covers most of an item: (share covered, share of its answer, place)."""
     best = None
     a, tail = item.tolist(), item[answer:].tolist()
@@ -257,10 +299,11 @@ def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray) ->
         if begin < done and best and best[0] >= 0.999:
             continue
         stretch = text[begin:end]
-        if np.isin(item, stretch).sum() < 0.5 * len(a):  # the subsequence cannot be longer than the common words
+        s = stretch.tolist()
+        held = set(s)
+        if sum(x in held for x in a) < covered * len(a):  # the subsequence cannot be longer than the common words
             continue
         done = end
-        s = stretch.tolist()
         share = lcs(a, s) / len(a)
         # a subsequence scattered over a stretch much longer than the item is no copy: try stretches of its own length
         if share >= 0.5 and len(s) > 1.3 * len(a):
