@@ -20,8 +20,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject: a score under its threshold.  Labels of the held-out fold are not learnt."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("toxic_score") < toxicity.REJECT).select(*docs.columns)
+    toxic = toxicity.scorer(docs, table(spark, sf_dir, "labels"))
+    return docs.filter(toxic(F.col("text")) < toxicity.REJECT)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,15 +14,16 @@ share of class 1; an empty table gives an empty result; extra columns pass by.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerloom.llm import textvec
-from ledgerloom.llm.common import crc_bucket
+from ledgerloom.llm.common import bounded_batches, crc_bucket
 from ledgerloom.llm.samples import labelled_sample
 
 BITS = 15
@@ -112,8 +113,9 @@ def logits(texts: list[str | None], recorded: np.ndarray, model: dict) -> np.nda
     return _forward(len(texts), doc, bucket, weight, dense, model["w"], model["v"])[0] + model["w0"]
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fold: int = 3, held: int = 1, sample: int = 1200, longest: int = 20_000) -> DataFrame:
-    """Every column of ``docs`` and ``quality_score``.  Only labels whose crc bucket is not ``held`` are learnt."""
+def scorer(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fold: int = 3, held: int = 1, sample: int = 1200, longest: int = 20_000) -> Callable[[Column, Column], Column]:
+    """Train, and give the function from texts and recorded lengths to scores.  Only labels whose crc bucket is not ``held`` are learnt."""
+    bounded_batches(docs.sparkSession)
     rows, share = labelled_sample(docs, labels, label, crc_bucket(F.col("doc_id"), fold) != held, sample, longest, ("n_chars",))
     y = np.array([r["label"] for r in rows], int)
     model = None
@@ -124,22 +126,21 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "quality", fold: i
     prior = float(np.clip(share, 0, 1))
     held_model = docs.sparkSession.sparkContext.broadcast(model)  # 2.4 MB whatever the corpus
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            column, recorded = batch["row_text"].tolist(), batch["row_chars"].to_numpy(float)
+    @F.pandas_udf(DoubleType())
+    def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, chars in batches:
+            column, recorded = texts.tolist(), chars.to_numpy(float)
             if held_model.value is None:
-                batch["row_score"] = prior
+                yield pd.Series(np.full(len(column), prior))
             else:
                 z = np.concatenate([logits(column[s], recorded[s], held_model.value) for s in textvec.slices(column)]) if column else np.empty(0)
-                batch["row_score"] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield batch.drop(columns=["row_text", "row_chars"])
+                yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    keep = docs.select(F.struct("*").alias("row"), F.col("text").alias("row_text"), F.col("n_chars").cast("double").alias("row_chars"))
-    schema = keep.drop("row_text", "row_chars").schema.add("row_score", "double")
-    return keep.mapInPandas(run, schema).select("row.*", F.col("row_score").alias("quality_score"))
+    return scores
 
 
 def op8_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Scores of all documents; ``predicted`` is 1 from ``threshold`` on."""
-    scored = score(docs.select("doc_id", "text", "n_chars"), labels)
+    good = scorer(docs, labels)
+    scored = docs.select("doc_id", good(F.col("text"), F.col("n_chars").cast("double")).alias("quality_score"))
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))

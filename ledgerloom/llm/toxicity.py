@@ -15,15 +15,16 @@ empty text; repeated rows are scored each; without labels of both classes every
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerloom.llm import textvec
-from ledgerloom.llm.common import crc_bucket
+from ledgerloom.llm.common import bounded_batches, crc_bucket
 from ledgerloom.llm.samples import labelled_sample
 
 SIZES = (3, 4)
@@ -178,8 +179,12 @@ def logits(texts: list[str | None], folded: np.ndarray, curve: dict) -> np.ndarr
     return curve["bias"] + curve["slope"] * np.log(means / curve["floor"] + 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", fold: int = 4, held: int = 2, sample: int = 900, longest: int = 20_000) -> DataFrame:
-    """Every column of ``docs`` and ``toxic_score``.  Only labels whose crc bucket is not ``held`` are learnt."""
+def scorer(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", fold: int = 4, held: int = 2, sample: int = 900, longest: int = 20_000) -> Callable[[Column], Column]:
+    """Train, and give the function from a column of texts to one of scores.  Only labels whose crc bucket is not ``held`` are learnt.
+
+    Only texts pass through Python; all other columns stay with Spark.
+    """
+    bounded_batches(docs.sparkSession)
     rows, share = labelled_sample(docs, labels, label, crc_bucket(F.col("doc_id"), fold) != held, sample, longest)
     y = np.array([r["label"] for r in rows], int)
     texts = [r["text"] for r in rows]
@@ -192,19 +197,18 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", fold: int
         folded, curve = np.zeros(BUCKETS, np.float32), {"threshold": 0.0, "floor": 1.0, "bias": float(np.log(share / (1 - share))), "slope": 0.0}
     model = docs.sparkSession.sparkContext.broadcast(folded)  # 512 KB whatever the corpus
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(DoubleType())
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            column = batch["row_text"].tolist()
+            column = batch.tolist()
             z = np.concatenate([logits(column[s], model.value, curve) for s in textvec.slices(column)]) if column else np.empty(0)
-            batch["row_score"] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield batch.drop(columns=["row_text"])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    keep = docs.select(F.struct("*").alias("row"), F.col("text").alias("row_text"))
-    schema = keep.drop("row_text").schema.add("row_score", "double")
-    return keep.mapInPandas(run, schema).select("row.*", F.col("row_score").alias("toxic_score"))
+    return scores
 
 
 def op5_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
     """Scores of all documents; ``predicted`` is 1 from ``threshold`` on."""
-    scored = score(docs.select("doc_id", "text"), labels)
+    toxic = scorer(docs, labels)
+    scored = docs.select("doc_id", toxic(F.col("text")).alias("toxic_score"))
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= threshold).cast("int").alias("predicted"))

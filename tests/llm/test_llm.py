@@ -322,7 +322,6 @@ def test_classifiers_take_awkward_rows(docs, labels, empty):
         got = run(docs, labels).collect()
         assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
         assert run(docs, labels.limit(0)).count() == docs.count() and run(empty, labels).count() == 0
-    assert toxicity.score(docs, labels).columns == [*docs.columns, "toxic_score"]
 
 
 def test_machine_identity_equals_the_double_sum():
