@@ -22,12 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS = 128
-GROWTH = 1.12
+PROJECTIONS = 112
+GROWTH = 1.15
 HALF_WIDTH = 0.75  # of a window, in radii
-SHARD_ROWS = 8192
-BLOCK_ROWS = 512
-#: Share of arrays; the chance to collide is 0.547 at the radius and 0.497 at the next one.
+SHARD_ROWS = 32768
+BLOCK_ROWS = 256
+#: Share of arrays; the chance to collide is 0.547 at the radius and 0.486 at the next one.
 THRESHOLD = 0.5
 
 
@@ -44,7 +44,10 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     units = vectors / norms[:, None]
     projected, asked = units @ axes, (queries / query_norms[:, None]) @ axes
     order = np.argsort(projected, axis=0).T.astype(np.int32)
-    arrays = [projected[o, j] for j, o in enumerate(order)]
+    # one array of all sorted arrays, set apart by more than any projection, answers all of a query's searches at once
+    apart = (np.arange(PROJECTIONS) * 4 * (np.abs(projected).max() + np.abs(asked).max() + 10.0))
+    sorted_all = (np.take_along_axis(projected, order.T.astype(np.int64), axis=0).T + apart[:, None]).ravel()
+    begins = np.arange(PROJECTIONS) * n
     least = int(np.ceil(THRESHOLD * PROJECTIONS))
     probe = np.linspace(0, n - 1, min(n, 256)).astype(int)
     near = np.sqrt(np.maximum(2 - 2 * (units[probe] @ (queries / query_norms[:, None]).T), 0))
@@ -52,13 +55,13 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     for row, (qid, q, place) in enumerate(zip(query_ids, queries, asked, strict=True)):
         others = n - int((ids == qid).sum())
         radius = max(0.8 * float(near[:, row].min()), 0.05)
-        counts, checked = np.zeros(n, np.int16), np.zeros(n, bool)
+        counts, checked = np.zeros(n, np.uint8), np.zeros(n, bool)
         low = high = None
         found, scores = np.empty(0, int), np.empty(0)
         while others:
             half = HALF_WIDTH * radius
-            lows = [int(a.searchsorted(p - half, "left")) for a, p in zip(arrays, place, strict=True)]
-            highs = [int(a.searchsorted(p + half, "right")) for a, p in zip(arrays, place, strict=True)]
+            lows = (sorted_all.searchsorted(place + apart - half, "left") - begins).tolist()
+            highs = (sorted_all.searchsorted(place + apart + half, "right") - begins).tolist()
             for j in range(PROJECTIONS):
                 o = order[j]
                 if low is None:
@@ -77,6 +80,9 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             if within >= k or len(found) >= others or radius > 2.2:
                 break
             radius *= GROWTH
+        if len(scores) > k:  # all that tie with the k-th stay
+            top = scores >= np.partition(scores, -k)[-k]
+            found, scores = found[top], scores[top]
         best = np.lexsort((ids[found], -scores))[:k]
         out += [(int(qid), int(ids[found[b]]), float(scores[b])) for b in best]
     return out
