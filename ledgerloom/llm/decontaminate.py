@@ -7,13 +7,15 @@
     test matrix and back, and Spark sums the products, of fixed size: words of the benchmark x rank.
 4.  Passages and items are projected; a passage whose cosine to an item, or to one of the item's own windows,
     passes a threshold makes the two a candidate.
+    An exact rule finds the rest: of an item's rarest words so many must lie in a chunk of text that the
+    subsequence of 5. can be long enough at all; what cannot pass that bound cannot pass 5. either.
 5.  For candidates, the longest common subsequence of the item and the words around the passage must cover
     most of the item (a paraphrase may change, drop or add words), and most of the item's answer, its last
     sentence, in that stretch too.
 
 The benchmark is small beside the corpus; its items, whose number is checked against a stated bound, go to
 every task in blocks.  Defined results: null and empty texts or items match nothing; items of fewer than
-``shortest`` words are matched by exact place only; repeated items and rows are matched each; a null id stays
+``shortest`` words are matched where all their words follow each other; repeated items and rows are matched each; a null id stays
 in its row; empty tables give empty results; extra columns pass by.
 """
 
@@ -36,6 +38,8 @@ RANK = 96
 OVERSAMPLE = 16
 #: Broadcast bound: items and their words are at most this many bytes.
 MOST_BENCHMARK_BYTES = 64 << 20
+#: Words of the smallest chunks of the exact rule.
+CHUNK = 128
 
 
 @dataclass
@@ -204,6 +208,101 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def fewest(length: int, covered: float) -> int:
+    """The least number of words that covers the share ``covered`` of an item."""
+    n = int(covered * length)
+    return n if n / length >= covered else n + 1
+
+
+def reach(length: int) -> int:
+    """Words of the stretch in which an item's subsequence must lie."""
+    return int(1.3 * length) + 1
+
+
+@dataclass
+class Rarest:
+    """Items of one class of lengths by their rarest words; a stretch of any of them lies in one chunk of two blocks."""
+
+    block: int
+    first: np.ndarray  # by word, its first place in ``owner``
+    owner: np.ndarray  # item of each occurrence of a word among an item's rarest
+    need: np.ndarray  # by item, occurrences that a chunk must hold
+
+
+def rarest_words(words: list[np.ndarray], df: np.ndarray, covered: float, shortest: int) -> list[Rarest]:
+    """Of an item, all but ``most`` places must be matched, so of any more places than that, the excess."""
+    classes: dict[int, list[int]] = {}
+    for k, x in enumerate(words):
+        if len(x) >= shortest:
+            classes.setdefault(max(CHUNK, 1 << (reach(len(x)) - 1).bit_length()), []).append(k)
+    out = []
+    for block, members in sorted(classes.items()):
+        need, word, owner = np.zeros(len(words), np.int64), [], []
+        for k in members:
+            x = words[k]
+            least = fewest(len(x), covered)
+            most = len(x) - least
+            need[k] = -(-least // 2)
+            word.append(x[np.argsort(df[x], kind="stable")[: most + need[k]]])
+            owner.append(np.full(len(word[-1]), k))
+        w, o = np.concatenate(word), np.concatenate(owner)
+        order = np.argsort(w, kind="stable")
+        out.append(Rarest(block, np.searchsorted(w[order], np.arange(len(df) + 1)), o[order], need))
+    return out
+
+
+def holding_chunks(ids: list[np.ndarray], rarest: Rarest) -> np.ndarray:
+    """(text, item, first word) of every chunk that holds enough of an item's rarest words."""
+    block, n, items = rarest.block, len(rarest.first) - 1, len(rarest.need)
+    lengths = np.array([len(x) for x in ids], np.int64)
+    blocks = -(-lengths // block)
+    base = np.cumsum(blocks) - blocks
+    if not blocks.sum():
+        return np.empty((0, 3), np.int64)
+    flat = np.concatenate(ids)
+    # the last row stands for words outside the benchmark
+    used = np.append(np.diff(rarest.first) > 0, False)
+    at = np.flatnonzero(used[flat])
+    doc = np.repeat(np.arange(len(ids)), lengths)[at]
+    nth = (at - (np.cumsum(lengths) - lengths)[doc]) // block
+    held = np.unique((base[doc] + nth) * n + flat[at])
+    chunk, word = held // n, held % n
+    doc = np.repeat(np.arange(len(ids)), blocks)
+    # a block belongs to the chunk that begins with it, and to the one before; the last chunk of a text begins before its last block
+    before = np.where(chunk > base[doc[chunk]], chunk - 1, -1)
+    own = np.where((chunk + 1 < (base + blocks)[doc[chunk]]) | (blocks[doc[chunk]] == 1), chunk, -1)
+    both = np.concatenate([own * n + word, before * n + word])
+    both = np.unique(both[np.concatenate([own, before]) >= 0])
+    chunk, word = both // n, both % n
+    times = rarest.first[word + 1] - rarest.first[word]
+    place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(rarest.first[word], times)
+    key, count = np.unique(np.repeat(chunk, times) * items + rarest.owner[place], return_counts=True)
+    key = key[count >= rarest.need[key % items]]
+    chunk = key // items
+    return np.stack([doc[chunk], key % items, (chunk - base[doc[chunk]]) * block], axis=1)
+
+
+def likely_hops(text: np.ndarray, item: np.ndarray, begin: int, end: int, covered: float) -> np.ndarray:
+    """Hops of a chunk from which a stretch of the item's reach holds enough of its words."""
+    inside = np.concatenate([[0], np.cumsum(np.isin(text[begin:end], item))])
+    size = min(reach(len(item)), len(inside) - 1)
+    good = np.flatnonzero(inside[size:] - inside[: len(inside) - size] >= fewest(len(item), covered)) + begin
+    return np.unique(np.maximum(good + size - 1 - len(item), 0) // HOP)  # the words around these hops hold the whole stretch
+
+
+def followed(ids: list[np.ndarray], shorts: dict[int, dict[bytes, list[int]]]) -> list[tuple[int, int, int]]:
+    """(text, item, first place) of items, by length and words, all of whose words follow each other in a text."""
+    out = {}
+    for size, items in shorts.items():
+        begins = np.unique([np.frombuffer(b, np.int32)[0] for b in items])
+        for d, x in enumerate(ids):
+            x = np.ascontiguousarray(x, np.int32)
+            for p in np.flatnonzero(np.isin(x[: max(len(x) - size + 1, 0)], begins)):
+                for k in items.get(x[p:p + size].tobytes(), ()):
+                    out.setdefault((d, k), int(p))
+    return [(d, k, p) for (d, k), p in out.items()]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, covered: float = 0.7, answered: float = 0.5, shortest: int = 5, often: float = 0.05) -> DataFrame:
     """(doc_id, row_hash, item_id, score, answer_score, place) of every item found in a text; row_hash is that of the text."""
     bounded_batches(docs.sparkSession)
@@ -263,25 +362,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cover
                     owners.append(k)
     probes = unit(np.stack(probes)) if probes else np.zeros((0, basis.shape[1]), np.float32)
     owners = np.array(owners, int)
-    model = spark.sparkContext.broadcast((table, np.append(idf > 0, False), probes.astype(np.float32), owners))
+    shorts: dict[int, dict[bytes, list[int]]] = {}
+    for k, x in enumerate(bench.words):
+        if 0 < len(x) < shortest:
+            shorts.setdefault(len(x), {}).setdefault(x.tobytes(), []).append(k)
+    model = spark.sparkContext.broadcast((table, np.append(idf > 0, False), probes.astype(np.float32), owners, rarest_words(bench.words, df[:n], covered, shortest), shorts))
 
     def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, live, probes, owners = model.value
+        table, live, probes, owners, rarest, shorts = model.value
         b = held.value
         for batch in batches:
             found = []
             for begin in range(0, len(batch), 400):
                 part = [np.asarray(x) for x in batch["ids"][begin:begin + 400]]
                 doc, hop, sums = windows(part, table, live)
+                seen = set()
                 for lo in range(0, len(doc), 4096):
                     near = unit(sums[lo:lo + 4096]) @ probes.T if len(probes) else np.zeros((0, 0))
                     at, probe = np.nonzero(near >= cosine)
                     for key in np.unique((doc[at + lo] * len(b.item) + owners[probe])):
                         d, k = divmod(int(key), len(b.item))
                         hops = np.unique(hop[at[(doc[at + lo] == d) & (owners[probe] == k)] + lo])
-                        hit = _best(part[d], b.words[k], b.answer[k], hops, covered)
+                        hit = _best(part[d], b.words[k], b.answer[k], hops, covered, answered)
+                        if hit and hit[0] >= covered and hit[1] >= answered:
+                            found.append((begin + d, int(b.item[k]), *hit))
+                            seen.add((d, k))
+                for r in rarest:
+                    for d, k, at in holding_chunks(part, r).tolist():
+                        if (d, k) in seen:
+                            continue
+                        hops = likely_hops(part[d], b.words[k], at, at + 2 * r.block, covered)
+                        hit = _best(part[d], b.words[k], b.answer[k], hops, covered, answered) if len(hops) else None
                         if hit and hit[0] >= covered and hit[1] >= answered:
                             found.append((begin + d, int(b.item[k]), *hit))
+                found += [(begin + d, int(b.item[k]), 1.0, 1.0, place) for d, k, place in followed(part, shorts)]
             if found:
                 rows = pd.DataFrame(found, columns=["row", "item_id", "score", "answer_score", "place"]).sort_values("score").drop_duplicates(["row", "item_id"], keep="last")
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[rows["row"]].array, "row_hash": batch["row_hash"].iloc[rows["row"]].array, **{c: rows[c].array for c in ("item_id", "score", "answer_score", "place")}})
@@ -289,10 +403,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cover
     return ids.mapInPandas(retrieve, schema)
 
 
-def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray, covered: float) -> tuple[float, float, int] | None:
+def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray, covered: float, answered: float) -> tuple[float, float, int] | None:
     """The stretch around the passages that covers most of an item: (share covered, share of its answer, place)."""
     best = None
     a, tail = item.tolist(), item[answer:].tolist()
+    least, size = fewest(len(a), covered), reach(len(a))
+    step = min(4, size - len(a) + 1)  # stretches as far apart hold any verbatim item
     done = -1
     for h in hops:
         begin, end = max(0, int(h) * HOP - len(a)), int(h) * HOP + 2 * HOP + len(a)
@@ -301,16 +417,20 @@ def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray, cov
         stretch = text[begin:end]
         s = stretch.tolist()
         held = set(s)
-        if sum(x in held for x in a) < covered * len(a):  # the subsequence cannot be longer than the common words
+        if sum(x in held for x in a) < least:  # the subsequence cannot be longer than the common words
             continue
         done = end
-        share = lcs(a, s) / len(a)
+        common = lcs(a, s)
         # a subsequence scattered over a stretch much longer than the item is no copy: try stretches of its own length
-        if share >= 0.5 and len(s) > 1.3 * len(a):
-            size = int(1.3 * len(a)) + 1
-            share = max(lcs(a, s[k:k + size]) for k in range(0, max(len(s) - size, 0) + 4, 4)) / len(a)
-        if best is None or share > best[0]:
-            best = (share, lcs(tail, s) / max(len(tail), 1), begin)
+        if common >= least and len(s) > 1.3 * len(a):
+            common = max(lcs(a, s[k:k + size]) for k in range(0, max(len(s) - size, 0) + step, step))
+            if common < least <= common + step - 1:  # one of those between may still hold enough
+                common = max(lcs(a, s[k:k + size]) for k in range(max(len(s) - size, 0) + 1))
+        share = common / len(a)
+        # one that holds most of the answer too goes before one that only covers more of the item
+        now = (share, lcs(tail, s) / max(len(tail), 1), begin)
+        if best is None or (now[1] >= answered, share) > (best[1] >= answered, best[0]):
+            best = now
     return best
 
 

@@ -252,6 +252,35 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontaminate.op1_decontamination(docs, bench.limit(0)).count() == 0 and decontaminate.op1_decontamination(docs.limit(0), bench).count() == 0
 
 
+def test_items_of_any_length_are_found_in_benchmark_like_text(spark):
+    rng = random.Random(17)
+    words = [f"{rng.choice(WORDS)}{k}" for k in range(260)]
+    items = [(k, " ".join(rng.sample(words, n))) for k, n in enumerate([1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 12, 15, 20, 40, 60, 110])]
+    rows, planted = [], set()
+    for k in range(96):
+        item = items[k % 16]
+        body = [rng.choice(words) for _ in range(rng.choice([0, 3, 90, 700, 2000]))]
+        at = rng.randrange(len(body) + 1)
+        rows.append((k, " ".join(body[:at] + item[1].split() + body[at:])))
+        planted.add((k, item[0]))
+    rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(300))) for k in range(20)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op1_decontamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    number = {w: k for k, w in enumerate(words)}
+    want = set()
+    for d, text in rows:
+        t = np.array([number[w] for w in text.split()], np.int32)
+        for i, item in items:
+            x = np.array([number[w] for w in item.split()], np.int32)
+            if len(x) < 5:
+                if f" {item} " in f" {text} ":
+                    want.add((d, i))
+            else:
+                size = int(1.3 * len(x)) + 1
+                if any(decontaminate.lcs(x.tolist(), t[p:p + size].tolist()) / len(x) >= 0.7 for p in range(max(len(t) - size, 0) + 1)):
+                    want.add((d, i))
+    assert planted <= want and got == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(9)
     for _ in range(200):
