@@ -1,10 +1,10 @@
 """N-gram Jaccard join by a MinHash LSH forest, followed by exact verification.
 
 1.  Equal texts form a class; everything after works on classes.
-2.  A class's signature holds 128 minima of hashes of its shingles (five words).  Each tree of the forest
-    orders its own choice of them, and a prefix of that order is a path in the tree's sorted trie.  The
-    matched prefix is shortened, from the whole depth on, until pairs at the threshold are found with the
-    target recall: the expected recall of depth d over t trees is 1 - (1 - s^d)^t.
+2.  Each tree of the forest orders minima of its own of hashes of a class's shingles (five words), and a
+    prefix of that order is a path in the tree's sorted trie.  No two trees share a minimum, so that they miss a
+    pair independently.  The matched prefix is shortened, from the whole depth on, until pairs at the threshold
+    are found with the target recall (96 trees of depth 9 miss one pair of a million at 0.8): the expected recall of depth d over t trees is 1 - (1 - s^d)^t.
 3.  Classes that share a prefix of that depth in some tree are linked to the least of them, and connected
     components of these links are blocks: every candidate pair lies in one block, and is met once only.
 4.  Blocks are cut into chunks of a few hundred classes; each pair of chunks is one piece of work, so that a
@@ -33,8 +33,7 @@ from ledgerloom.llm.common import bounded_batches, durable
 from ledgerloom.llm.graph import components
 
 SHINGLE = 5
-SIGNATURE = 128
-TREES = 48
+TREES = 96
 DEPTH = 16
 CHUNK = 256
 SALTS = 16
@@ -48,25 +47,28 @@ def depth_for(threshold: float, recall: float, trees: int = TREES, deepest: int
     return 1
 
 
-def _trees(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.stack([rng.permutation(SIGNATURE)[:DEPTH] for _ in range(TREES)])
+def _trees(seed: int, depth: int) -> np.ndarray:
+    """[trees x depth] odd multipliers, one for each minimum."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, (TREES, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def prefixes(texts: list[str | None], depth: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(number of shingles, [texts x trees] hashes of the prefixes); texts without words have no shingles."""
     doc, h = textvec.shingle_sets(textvec.read(texts), SHINGLE)
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
-    multipliers, trees = _trees(seed)
     out = np.zeros((len(texts), TREES), np.uint64)
     have = np.flatnonzero(sizes)
     if len(have):
         bounds = np.concatenate([[0], np.cumsum(sizes[have])[:-1]])
-        signature = np.stack([np.minimum.reduceat((h * m) ^ ((h * m) >> np.uint64(29)), bounds) for m in multipliers], axis=1)
-        key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(have), TREES))
-        for level in range(depth):
-            key = textvec.mixed(key * textvec.BASE + signature[:, trees[:, level]])
-        out[have] = key
+        product, shifted = np.empty_like(h), np.empty_like(h)
+        for tree, multipliers in enumerate(_trees(seed, depth)):
+            key = np.full(len(have), tree + 1, np.uint64)
+            for m in multipliers:
+                np.multiply(h, m, out=product)
+                np.right_shift(product, np.uint64(29), out=shifted)
+                np.bitwise_xor(product, shifted, out=product)
+                key = textvec.mixed(key * textvec.BASE + np.minimum.reduceat(product, bounds))
+            out[have, tree] = key
     return sizes, out
 
 
@@ -128,7 +130,7 @@ def verify_piece(nodes: np.ndarray, chunks: np.ndarray, sets: list[np.ndarray],
     return links, nodes[[root(k) for k in range(n)]] if n else nodes
 
 
-def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
     """(doc_id, node, rep_id, rep_node, class_id, copies, n_links) for every document.
 
     node: its class of equal texts; copies: rows of that class; n_links: different texts of Jaccard similarity

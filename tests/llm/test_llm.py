@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with the awkward rows that a corpus has."""
 
+import inspect
 import math
 import random
 import re
@@ -228,6 +229,21 @@ def test_depth_reaches_the_target_recall():
     assert 1 - (1 - 0.8**d) ** neardup.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** neardup.TREES
 
 
+def test_isolated_pairs_are_candidates():
+    rng = random.Random(21)
+    texts = []
+    for k in range(4000):  # pairs of 180 shingles, of which the last 15 to 20 differ: J from 0.80 to 0.85
+        base = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(184)]
+        other = 20 - k % 6
+        texts += [" ".join(base), " ".join(base[:-other] + [f"other{rng.randrange(10**6)}" for _ in range(other)])]
+    depth = neardup.depth_for(0.8, inspect.signature(neardup.join).parameters["recall"].default)
+    missed = 0
+    for k in range(0, len(texts), 400):
+        _, keys = neardup.prefixes(texts[k:k + 400], depth)
+        missed += int((keys[::2] != keys[1::2]).all(axis=1).sum())
+    assert missed == 0
+
+
 # decontamination
 
 def test_leaks_are_found_and_clean_documents_stay(spark):
