@@ -88,10 +88,12 @@ NOTICES = [
     ("mit", "mit licen", r"(?:the )?mit licen[cs]ed?", 2, 0.95),
     ("mit", "licen", r"licen[cs]ed under (?:the )?(?:terms of the )?(?:mit|x11|expat)", 2, 0.9),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification", 2, 0.9),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd|freebsd) licen[cs]e", 1, 0.95),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd) licen[cs]e", 1, 0.95),
+    ("bsd-2-clause", "freebsd", r"freebsd licen[cs]e", 1, 0.95),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|new bsd|modified bsd|revised bsd) licen[cs]e", 1, 0.95),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|original bsd) licen[cs]e", 1, 0.95),
-    ("0bsd", "bsd", r"(?:0bsd|zero clause bsd licen[cs]e)", 1, 0.95),
+    ("0bsd", "bsd", r"zero clause bsd licen[cs]e", 1, 0.95),
+    ("0bsd", "0bsd", r"0bsd", 1, 0.95),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", 2, 0.8),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 2, 0.9),
     ("public-domain", "public domain", r"(?:released|dedicated|placed) (?:in|in ?to|to) the public domain", 2, 0.85),

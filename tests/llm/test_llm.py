@@ -4,6 +4,7 @@ import inspect
 import math
 import random
 import re
+import re._parser as parser
 import zlib
 from collections import Counter, defaultdict
 
@@ -147,6 +148,39 @@ def test_stronger_rules_suppress_what_they_contain(spark):
             assert not any(e["tier"] < d["tier"] and e["first"] <= d["first"] and e["last"] >= d["last"] for e in r["detections"])
 
 
+def readings(pattern):
+    """Texts that match a pattern: every alternative, with and without every optional part."""
+    def of(tokens):
+        out = [""]
+        for op, value in tokens:
+            if op is parser.LITERAL:
+                parts = [chr(value)]
+            elif op is parser.IN:
+                parts = [chr(v if o is parser.LITERAL else v[0]) for o, v in value]
+            elif op is parser.BRANCH:
+                parts = [t for branch in value[1] for t in of(branch)]
+            elif op is parser.SUBPATTERN:
+                parts = of(value[3])
+            else:
+                assert op is parser.MAX_REPEAT, op
+                low, high, inner = value
+                parts = [t * n for n in {low, min(high, low + 1)} for t in of(inner)]
+            out = [a + b for a in out for b in dict.fromkeys(parts)]
+        return out
+    return of(parser.parse(pattern))
+
+
+def test_every_alternative_passes_the_gate(spark):
+    for rule in licenses.RULES:
+        for text in readings(rule.pattern):
+            assert re.fullmatch(rule.pattern, text) and f" {rule.keyword}" in f" {text}", (rule, text)
+            assert re.search(licenses._gate(), f" {text} "), text
+    cells = {"under the FreeBSD License": "bsd-2-clause", "SPDX: 0BSD": "0bsd", "the Zero-Clause BSD License": "0bsd", "Simplified BSD licence": "bsd-2-clause"}
+    df = spark.createDataFrame(list(enumerate(cells)), "doc_id long, text string")
+    for r in licenses.op2_license_scan(df).collect():
+        assert list(cells.values())[r["doc_id"]] in r["labels"].split(","), r
+
+
 # urls
 
 def test_url_parts_and_rules(spark):
