@@ -2,7 +2,8 @@
 
 Fixed rules decide where one fits.  For all other urls each host has a tree of path templates: variable
 segments (numbers, hexadecimal strings, long names with digits) become wildcards by their shape, and a node
-with many different children becomes one wildcard child.  From the leaves up, siblings whose share of
+with many different children becomes one wildcard child, from the root down to the real depth of the paths.  On
+every level siblings whose share of
 unwanted labels does not differ from their parent's by a two-proportion test are merged into one branch.  A
 template is rejected where its share of unwanted labels, smoothed towards the corpus's, passes a limit.
 
@@ -23,7 +24,6 @@ from ledgerloom.llm.common import LOWER, UPPER, durable
 
 #: Fixed rules: (verdict, host, path).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DEPTH = 5
 SALTS = 16
 
 
@@ -46,50 +46,59 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] =
 
 
 def template(path: Column) -> Column:
-    """Segments of a path with the variable ones as wildcards; what lies deeper than ``DEPTH`` is one wildcard."""
+    """Segments of a path, of any depth, with the variable ones as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9]+\.[a-zA-Z]{1,5}$"), F.concat(F.lit("{n}."), F.regexp_extract(s, r"([a-zA-Z]+)$", 1)))
+    return F.transform(parts, lambda s: F.when(s.rlike(r"^[0-9]+$"), "{n}").when(s.rlike(r"^[0-9]+\.[a-zA-Z]{1,5}$"), F.concat(F.lit("{n}."), F.regexp_extract(s, r"([a-zA-Z]+)$", 1)))
                          .when(s.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "{h}").when((F.length(s) > 24) | s.rlike(r"[0-9].*[0-9].*[0-9]"), "{s}").otherwise(s))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
 
 
-def _generalised(nodes: DataFrame, level: int, most_children: int) -> DataFrame:
-    """Where a node has over ``most_children`` different children at ``level``, they become one wildcard."""
-    at = F.element_at("parts", level + 1)
-    here = nodes.filter(F.size("parts") > level)
-    head = [F.col("host"), F.slice("parts", 1, level).alias("head")]
-    many = (
-        here.select(*head, at.alias("child")).distinct()
-        .groupBy("host", "head").agg(F.count("*").alias("children")).filter(F.col("children") > most_children).withColumn("many", F.lit(True)).drop("children")
+def _steps(nodes: DataFrame, *columns: str) -> DataFrame:
+    """One row a segment of every leaf: its level, and its head, a digest of all segments before it."""
+    heads = F.aggregate(
+        F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), F.array(F.lit("")),
+        lambda a, s: F.concat(a, F.array(F.md5(F.concat(F.element_at(a, -1), F.lit("/"), s).cast("binary")))),
     )
-    out = nodes.withColumn("head", F.slice("parts", 1, level)).join(many, ["host", "head"], "left")
-    wild = F.col("many").isNotNull() & (F.size("parts") > level)
-    return out.withColumn("parts", F.when(wild, F.transform("parts", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))).otherwise(F.col("parts"))).drop("head", "many")
+    return nodes.select("host", "leaf", *columns, heads.alias("heads"), F.posexplode("parts").alias("level", "child")).withColumn("head", F.element_at("heads", F.col("level") + 1)).drop("heads")
 
 
-def _merged(nodes: DataFrame, level: int, z: float) -> DataFrame:
-    """Siblings at ``level`` whose share is not significantly off their parent's become one wildcard."""
-    head = F.slice("parts", 1, level)
-    here = nodes.filter(F.size("parts") > level).groupBy("host", head.alias("head"), F.element_at("parts", level + 1).alias("child")).agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
+def _wild(nodes: DataFrame, levels: DataFrame) -> DataFrame:
+    """Make wildcards of the segments at ``levels``, an array a leaf."""
+    at = F.coalesce("wild", F.array().cast("array<int>"))
+    return nodes.join(levels, ["host", "leaf"], "left").withColumn("parts", F.transform("parts", lambda s, i: F.when(F.array_contains(at, i), F.lit("*")).otherwise(s))).drop("wild")
+
+
+def _generalised(nodes: DataFrame, most_children: int) -> DataFrame:
+    """Where a node has over ``most_children`` different children, they become one wildcard.
+
+    That joins what lies below, so a round takes only nodes with no such node above them; rounds go on until none is left.
+    """
+    while True:
+        steps = _steps(nodes)
+        many = steps.groupBy("host", "head").agg(F.count_distinct("child").alias("children")).filter(F.col("children") > most_children).select("host", "head")
+        levels = durable(steps.join(many, ["host", "head"], "left_semi").groupBy("host", "leaf").agg(F.array(F.min("level")).alias("wild")), "url-many")
+        if levels.isEmpty():
+            return nodes
+        nodes = durable(_wild(nodes, levels), "url-tree")
+
+
+def _merged(nodes: DataFrame, z: float) -> DataFrame:
+    """Siblings whose share is not significantly off their parent's become one wildcard, on all levels at once."""
+    steps = durable(_steps(nodes, "labelled", "bad"), "url-steps")
+    here = steps.groupBy("host", "head", "child").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
     parents = here.groupBy("host", "head").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
     # the test statistic is null where nothing is labelled or the parent is pure: then all siblings are alike
     share, pooled = F.try_divide(F.col("b"), F.col("n")), F.try_divide(F.col("pb"), F.col("pn"))
     off = F.try_divide(F.abs(share - pooled) * F.sqrt(F.col("n")), F.sqrt(pooled * (1 - pooled)))
-    alike = here.join(parents, ["host", "head"]).filter(F.coalesce(off, F.lit(0.0)) < z).select("host", "head", "child", F.lit(True).alias("alike"))
-    out = nodes.withColumn("head", head).withColumn("child", F.when(F.size("parts") > level, F.element_at("parts", F.least(F.lit(level + 1), F.size("parts"))))).join(alike, ["host", "head", "child"], "left")
-    return out.withColumn("parts", F.when(F.col("alike").isNotNull(), F.transform("parts", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))).otherwise(F.col("parts"))).drop("head", "child", "alike")
+    alike = here.join(parents, ["host", "head"]).filter(F.coalesce(off, F.lit(0.0)) < z).select("host", "head", "child")
+    return _wild(nodes, steps.join(alike, ["host", "head", "child"], "left_semi").groupBy("host", "leaf").agg(F.collect_list("level").alias("wild")))
 
 
 def templates(pages: DataFrame, most_children: int = 24, z: float = 2.58, smoothing: float = 8.0) -> DataFrame:
     """From (host, path, labelled, bad): the final template and smoothed share of each (host, first template)."""
     leaves = pages.groupBy("host", template(F.col("path")).alias("first")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     leaves = durable(leaves, "url-leaves")
-    nodes = leaves.withColumn("parts", F.col("first"))
-    depth = leaves.agg(F.max(F.size("first"))).first()[0] or 0  # DEPTH + 1 at most
-    for level in range(depth):  # each level reads the one before twice, so it is written down
-        nodes = durable(_generalised(nodes, level, most_children), "url-tree")
-    for level in reversed(range(depth)):
-        nodes = durable(_merged(nodes, level, z), "url-tree")
+    leaf = F.md5(F.array_join("first", "/").cast("binary")).alias("leaf")
+    nodes = durable(_merged(_generalised(leaves.select("*", leaf, F.col("first").alias("parts")), most_children), z), "url-tree")
     corpus = leaves.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.5)).alias("prior"))
     summed = nodes.groupBy("host", "parts").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     scored = summed.crossJoin(F.broadcast(corpus)).withColumn("impurity", (F.col("bad") + F.col("prior") * smoothing) / (F.col("labelled") + smoothing))

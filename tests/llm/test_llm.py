@@ -203,6 +203,18 @@ def test_bad_templates_are_rejected_and_siblings_merge(spark):
     assert urls.op10_url_filter(spark.createDataFrame([], "page_id long, url string"), even).count() == 0
 
 
+def test_deep_paths_are_told_apart(spark):
+    deep = "/".join(f"level{chr(97 + k)}" for k in range(24))
+    pages = [(k, f"http://deep.io/{('a/b/c/d/e', deep)[k // 2 % 2]}/{'spam' if k % 2 else 'good'}/more/{k}.html") for k in range(800)]
+    labels = spark.createDataFrame([(k, 0 if k % 2 else 1, 0) for k in range(800)], "doc_id long, quality int, toxic int")
+    got = urls.op10_url_filter(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()
+    assert len(got) == 800 and {(r["page_id"] % 2, r["verdict"]) for r in got} == {(1, "block"), (0, "allow")}
+    assert {r["template"].count("/") for r in got} == {8, 27}
+    many = [(k, f"http://deep.io/a/b/c/d/e/f/g/kind{chr(97 + k % 26)}{chr(97 + k // 26)}/{'spam' if k % 2 else 'good'}") for k in range(200)]
+    got = urls.op10_url_filter(spark.createDataFrame(many, "page_id long, url string"), labels).collect()
+    assert {r["template"] for r in got} == {"/*/*/*/*/*/*/*/*/*"}  # no number in these urls is labelled
+
+
 # near duplicates
 
 def brute_near(rows):
