@@ -1,6 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes false positives; DataFrame operations alone.
 
-Candidates are unbroken runs of 16 or more key characters with a digit among them.  Each gets features of
+Candidates are unbroken runs of 16 or more key characters with a digit among them, however long; the stretches
+between signs inside such runs (a key at the end of a path) that are of that form too; and values assigned to
+credential names, whatever their length and characters.  Each gets features of
 five kinds: its length, the transitions between its character classes, its coverage by dictionary words, the
 path it was found in, and its neighbouring words.  A random forest (Spark's own, in the JVM) is trained from
 labelled findings, a bounded sample, and scores every finding.
@@ -24,27 +26,53 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import durable
 
-KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,512}={0,2}"
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+SHORTEST = 16
 BEFORE, AFTER = 40, 24
 #: Words whose letters count as covered; common words and the usual placeholders.
 DICTIONARY = ("the", "and", "for", "with", "that", "this", "from", "have", "not", "you", "are", "your", "test", "example", "sample", "dummy", "change", "user", "name", "file", "data", "value", "version", "image", "page", "index", "default", "string", "config", "server", "table", "order", "number", "report", "update", "release", "build", "http", "html", "www", "com")
 CREDENTIAL = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private)"
+#: A credential's name and the value assigned to it, which ends the match.
+ASSIGNED = CREDENTIAL + r"""[A-Za-z0-9_-]*+["'`]?[ \t]*+(?:=>|:=|[=:])[ \t]*+["'`]?((?<=")[^"\r\n]++|(?<=')[^'\r\n]++|(?<=`)[^`\r\n]++|(?<!["'`])[^\s"'`,;]++)"""
 HARMLESS = r"(?i)(?:example|sample|dummy|placeholder|test|sha-?[0-9]*|md5|commit|checksum|isbn|order|invoice|card|phone|tel|uuid|https?|www)"
 FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "transitions", "hex_only", "variety", "coverage", "vowels",
             "path_depth", "path_harmless", "assigned", "quoted", "credential_near", "harmless_near", "address")
 
 
+PLACES = "array<struct<start:int,finding:string>>"
+
+
+def _places(text: Column, pattern: str, group: int = 0) -> Column:
+    """(start, finding) of all matches of a pattern; a group must end its match."""
+    between, found, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    sizes = F.zip_with(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.length(b) + F.length(m)), values, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
+    return F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out")),
+        lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["n"] - F.length(x["v"])).alias("start"), x["v"].alias("finding")))).alias("out")),
+        lambda a: a["out"],
+    )
+
+
+def _segments(place: Column) -> Column:
+    """(start, finding) of the stretches between signs of a finding that are candidates themselves; none where it has no sign inside."""
+    whole = F.length(F.regexp_replace(place["finding"], "=+$", ""))
+    cut = F.aggregate(
+        F.split(place["finding"], "[^A-Za-z0-9]", -1),
+        F.struct(place["start"].alias("at"), F.array().cast(PLACES).alias("out")),
+        lambda a, s: F.struct((a["at"] + F.length(s) + 1).alias("at"), F.when((F.length(s) >= SHORTEST) & (F.length(s) < whole) & s.rlike("[0-9]"), F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), s.alias("finding"))))).otherwise(a["out"]).alias("out")),
+        lambda a: a["out"],
+    )
+    return F.when(place["finding"].rlike("[+/_-]"), cut).otherwise(F.array().cast(PLACES))
+
+
 def candidates(docs: DataFrame, *, path_col: str = "source") -> DataFrame:
     """(doc_id, path, start, finding, before, after) of every candidate in the whole texts; start counts characters from 0."""
     text = F.col("text")
-    between, found = F.split(text, KEY, -1), F.regexp_extract_all(text, F.lit(KEY), F.lit(0))
-    places = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,finding:string>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["m"].alias("finding")))).alias("out")),
-        lambda a: a["out"],
-    )
-    hits = docs.select("doc_id", F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), "text").filter(text.rlike(KEY)).withColumn("hit", F.explode(places))
+    named = docs.select("doc_id", F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), "text").filter(text.rlike(KEY) | text.rlike(ASSIGNED))
+    runs = named.select("*", _places(text, KEY).alias("runs"))
+    places = F.array_distinct(F.concat(F.col("runs"), F.flatten(F.transform("runs", _segments)), _places(text, ASSIGNED, 1)))
+    hits = runs.select("doc_id", "path", "text", F.explode(places).alias("hit"))
     begin, end = F.col("hit.start"), F.col("hit.start") + F.length("hit.finding")
     return hits.select(
         "doc_id", "path", F.col("hit.start").alias("start"), F.col("hit.finding").alias("finding"),
@@ -72,9 +100,9 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def narrow_labels(featured: DataFrame) -> DataFrame:
-    """Add ``label``: 1.0, 0.0 or null, by rules that speak only where they are sure."""
+    """Add ``label``: 1.0, 0.0 or null, by rules that speak only where they are sure: of assigned values, on those in a key's form."""
     c, before = F.col("finding"), F.col("before")
-    true = c.rlike("^AKIA[0-9A-Z]{16}$") | before.rlike(CREDENTIAL + r"[\"']?\s*[=:]\s*[\"']?$")
+    true = c.rlike("^AKIA[0-9A-Z]{16}$") | (before.rlike(CREDENTIAL + r"[\"']?\s*[=:]\s*[\"']?$") & c.rlike("^" + KEY + "$"))
     false = c.rlike("^[0-9]+$") | c.rlike(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$") | (F.col("address") == 1) | c.rlike(r"^[0-9/_-]+$")
     return featured.withColumn("label", F.when(false & ~true, 0.0).when(true & ~false, 1.0))
 

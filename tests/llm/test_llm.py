@@ -455,6 +455,23 @@ def test_secret_candidates_and_forest(spark):
     assert secrets.op4_secret_scan(df.limit(0)).count() == 0
 
 
+def test_long_runs_and_assigned_values_are_candidates(spark):
+    rng = random.Random(6)
+    key = "AKIA" + "ABCDEFGHIJ2345KL"
+    blob = "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(5000))
+    path = "/".join(rng.choice(WORDS) for _ in range(200)) + "/x1/" + key
+    cells = {
+        f"one {blob}== end": {blob + "=="}, f"see {path} there": {path, key}, "password=hunter": {"hunter"}, 'DB_PASSWORD: "correct horse battery"': {"correct horse battery"},
+        "secret = 'x9'": {"x9"}, "api_key => abc.def": {"abc.def"}, "secretKey:=p@ss!": {"p@ss!"}, "a token of thanks": set(), "no secrets here": set(), "é password: ü1, next": {"ü1"},
+    }
+    df = spark.createDataFrame([(k, t, "src") for k, t in enumerate(cells)], "doc_id long, text string, source string")
+    got = defaultdict(set)
+    for r in secrets.op4_secret_scan(df).collect():
+        assert list(cells)[r["doc_id"]][r["start"]:].startswith(r["finding"])
+        got[r["doc_id"]].add(r["finding"])
+    assert [got[k] for k in range(len(cells))] == list(cells.values())
+
+
 # words
 
 def test_words_and_shingles_match_a_plain_reading(docs):
