@@ -261,7 +261,7 @@ def test_one_of_each_group_stays(docs, empty):
 
 
 def test_chunks_of_a_large_group_give_all_links(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CHUNK", 8)
+    monkeypatch.setattr(neardup, "PIECE_ROWS", 8)
     rng = random.Random(4)
     base = prose(rng, 150).split()
     rows = [(k, " ".join(base[:k] + ["changed"] + base[k + 1:])) for k in range(60)]
@@ -270,9 +270,43 @@ def test_chunks_of_a_large_group_give_all_links(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_equal"]) for r in got) == brute_near([(d, t, None) for d, t in rows])
 
 
+def test_families_of_all_similarities_lose_no_link(spark):
+    """Families whose members differ in more and more places: J from 1 to 0.4, chained, of short and long texts."""
+    rng = random.Random(33)
+    rows = []
+    for family in range(40):
+        base = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(rng.choice([5, 6, 7, 8, 9, 10, 12, 16, 25, 30, 60, 150, 400]))]
+        for member in range(12):
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 20 + member % 2)):
+                words[rng.randrange(len(words))] = f"other{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words[member % 3:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.op9_ngram_jaccard(df).collect()
+    want = brute_near([(d, t, None) for d, t in rows])
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_equal"]) for r in got) == want
+    assert sum(links for _, _, links, _ in want.elements()) > 300
+
+
+def test_only_pairs_below_a_shared_path_are_candidates(spark):
+    """A chain in which neighbours share a path and ends do not: each pair is met once, in the first path that it shares."""
+    shared = spark.createDataFrame([(1, 100, [10, 30]), (2, 100, [10, 20, 30]), (3, 100, [20, 30, 40]), (4, 100, [40])], "node long, size long, shared array<long>")
+    met = defaultdict(set)
+    for r in neardup.candidates(shared, 0.8).collect():
+        met[r["key"]].add(r["node"])
+    assert met == {10: {1, 2}, 20: {2, 3}, 30: {1, 3}, 40: {3, 4}}
+
+
 def test_depth_reaches_the_target_recall():
     d = neardup.depth_for(0.8, 0.999)
     assert 1 - (1 - 0.8**d) ** neardup.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** neardup.TREES
+    assert neardup.depths(3, 0.8, 0.99999) == (neardup.DEEPEST,) and neardup.depths(500, 0.8, 0.99999) == (neardup.depth_for(0.8, 0.99999),)
+    for n in range(1, 40):  # any two sizes that can link meet at a level deep enough for their least similarity, and no deeper
+        for m in range(n, 40):
+            least = neardup.least_similarity(n, m, 0.8)
+            if least:
+                both = set(neardup.depths(n, 0.8, 0.99999)) & set(neardup.depths(m, 0.8, 0.99999))
+                assert min(both) <= neardup.depth_for(least, 0.99999)
 
 
 def test_isolated_pairs_are_candidates():
@@ -282,11 +316,11 @@ def test_isolated_pairs_are_candidates():
         base = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(184)]
         other = 20 - k % 6
         texts += [" ".join(base), " ".join(base[:-other] + [f"other{rng.randrange(10**6)}" for _ in range(other)])]
-    depth = neardup.depth_for(0.8, inspect.signature(neardup.join).parameters["recall"].default)
+    recall = inspect.signature(neardup.join).parameters["recall"].default
     missed = 0
     for k in range(0, len(texts), 400):
-        _, keys = neardup.prefixes(texts[k:k + 400], depth)
-        missed += int((keys[::2] != keys[1::2]).all(axis=1).sum())
+        _, keys = neardup.path_keys(texts[k:k + 400], 0.8, recall)
+        missed += sum(set(a.tolist()).isdisjoint(b.tolist()) for a, b in zip(keys[::2], keys[1::2], strict=True))
     assert missed == 0
 
 
