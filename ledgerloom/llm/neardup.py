@@ -74,19 +74,18 @@ def depths(n: int, threshold: float, recall: float) -> tuple[int, ...]:
 
 
 def _trees(seed: int) -> np.ndarray:
-    """[trees x levels] odd multipliers, one for each minimum."""
-    return np.random.default_rng(seed).integers(1, 1 << 63, (TREES, DEEPEST), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """[trees x levels] odd multipliers, one for each minimum: of shingles' hashes, themselves well mixed, each gives another order."""
+    return np.random.default_rng(seed).integers(0, 1 << 31, (TREES, DEEPEST), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _paths(h: np.ndarray, bounds: np.ndarray, levels: tuple[int, ...], seed: int) -> np.ndarray:
     """[texts x (trees * levels)] keys: 7 bits of the tree, 4 of the level, 52 of a hash of the minima down to it."""
-    out, product, shifted = [], np.empty_like(h), np.empty_like(h)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    out, product = [], np.empty_like(h)
     for tree, multipliers in enumerate(_trees(seed)):
         path = np.full(len(bounds), tree + 1, np.uint64)
         for level in range(1, max(levels) + 1):
             np.multiply(h, multipliers[level - 1], out=product)
-            np.right_shift(product, np.uint64(29), out=shifted)
-            np.bitwise_xor(product, shifted, out=product)
             path = textvec.mixed(path * textvec.BASE + np.minimum.reduceat(product, bounds))
             if level in levels:
                 out.append(np.uint64(tree << 56 | (level - 1) << 52) | path >> np.uint64(12))
