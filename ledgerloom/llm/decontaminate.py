@@ -2,7 +2,8 @@
 
 1.  Texts and benchmark items become ids of the benchmark's words (others are -1); the ids are written down once.
 2.  Passages are windows of 32 words, one every 16.  Document frequencies are counted over the passages of all
-    documents, in the columns that the benchmark can match; words of over 5 % of passages weigh nothing.
+    documents, in the columns that the benchmark can match; words of over 5 % of passages weigh nothing in the
+    cosine, which no result hangs on, as 4. finds the rest.
 3.  A randomised SVD of the TF-IDF passages of the whole corpus: tasks multiply their passages with a random
     test matrix and back, and Spark sums the products, of fixed size: words of the benchmark x rank.
 4.  Passages and items are projected; a passage whose cosine to an item, or to one of the item's own windows,
@@ -10,13 +11,14 @@
     An exact rule finds the rest: of an item's rarest words so many must lie in a chunk of text that the
     subsequence of 5. can be long enough at all; what cannot pass that bound cannot pass 5. either.
 5.  For candidates, the longest common subsequence of the item and the words around the passage must cover
-    most of the item (a paraphrase may change, drop or add words), and most of the item's answer, its last
-    sentence, in that stretch too.
-
-The benchmark is small beside the corpus; its items, whose number is checked against a stated bound, go to
-every task in blocks.  Defined results: null and empty texts or items match nothing; items of fewer than
-``shortest`` words are matched where all their words follow each other; repeated items and rows are matched each; a null id stays
-in its row; empty tables give empty results; extra columns pass by.
+    most of the item (a paraphrase may change, drop or add words) in a stretch of about the item's length, and
+    most of the item's answer, its last sentence, in that same stretch.
+
+The benchmark is cut into blocks of items of bounded bytes, and each block is broadcast and searched by itself,
+so that neither the driver nor a task ever holds more of it.  Defined results: null and empty texts or items
+match nothing; items of fewer than ``shortest`` words are matched where all their words follow each other;
+repeated items and rows are matched each; a null id of a document or an item stays in its row; empty tables give
+empty results; extra columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,35 +39,41 @@ from ledgerloom.llm.common import bounded_batches, durable
 HOP = 16
 RANK = 96
 OVERSAMPLE = 16
-#: Broadcast bound: items and their words are at most this many bytes.
-MOST_BENCHMARK_BYTES = 64 << 20
+#: Bytes of a block of items; its words x rank matrices stay under 200 MB on the driver.
+BLOCK_BYTES = 1 << 20
+#: Cosines of a slice of passages with all probes of a block.
+MOST_COSINES = 1 << 22
 #: Words of the smallest chunks of the exact rule.
 CHUNK = 128
 
 
 @dataclass
 class Benchmark:
-    item: np.ndarray  # ids of items, one a row
+    item: list[int | None]  # ids of items, one a row
     words: list[np.ndarray]  # their word ids
     answer: list[int]  # where each one's answer begins
     vocabulary: np.ndarray  # sorted word hashes
     longest: int
 
 
+def blocks(items: DataFrame, size: int | None = None) -> list[DataFrame]:
+    """The items with a text, in blocks of about ``size`` bytes."""
+    held = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    total = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = -(-total // (size or BLOCK_BYTES))
+    return [held.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) for k in range(n)]
+
+
 def read_benchmark(items: DataFrame) -> Benchmark:
-    """Bring the items to the driver, after a check of their size."""
-    held = items.filter("item_id is not null and text is not null")
-    size = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark holds {size} bytes, over {MOST_BENCHMARK_BYTES}: run it in parts")
-    rows = sorted((int(r["item_id"]), r["text"]) for r in held.select("item_id", "text").collect())
+    """Bring one block's items to the driver."""
+    rows = sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     hashes = [textvec.read([t]).hash for _, t in rows]
     vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
     answer = []
     for (_, t), h in zip(rows, hashes, strict=True):
         parts = [p for p in re.split(r"(?<=[.!?])\s+", t.strip()) if len(textvec.read([p]).hash)]
         answer.append(len(h) - len(textvec.read([parts[-1]]).hash) if len(parts) > 1 else 0)
-    return Benchmark(np.array([i for i, _ in rows], np.int64), [np.searchsorted(vocabulary, h).astype(np.int32) for h in hashes], answer, vocabulary, max((len(h) for h in hashes), default=0))
+    return Benchmark([i for i, _ in rows], [np.searchsorted(vocabulary, h).astype(np.int32) for h in hashes], answer, vocabulary, max((len(h) for h in hashes), default=0))
 
 
 def _slots(vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -86,10 +95,7 @@ def word_ids(words: textvec.Words, vocabulary: np.ndarray) -> np.ndarray:
     place = table[(words.hash >> np.uint64(64 - bits)).astype(np.int64)]
     hit = padded[place] == words.hash
     open_ = np.flatnonzero(~hit & (place < n))
-    for _ in range(64):  # go on along the run of the slot
-        open_ = open_[(place[open_] + 1 < n)]
-        if not len(open_):
-            break
+    while len(open_ := open_[place[open_] + 1 < n]):  # go on along the run of the slot
         place[open_] += 1
         same = (padded[place[open_]] >> np.uint64(64 - bits)) == (words.hash[open_] >> np.uint64(64 - bits))
         open_ = open_[same]
@@ -303,16 +309,22 @@ def followed(ids: list[np.ndarray], shorts: dict[int, dict[bytes, list[int]]]) -
     return [(d, k, p) for (d, k), p in out.items()]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, covered: float = 0.7, answered: float = 0.5, shortest: int = 5, often: float = 0.05) -> DataFrame:
+SCHEMA = "doc_id long, row_hash long, item_id long, score double, answer_score double, place long"
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, **limits: float) -> DataFrame:
     """(doc_id, row_hash, item_id, score, answer_score, place) of every item found in a text; row_hash is that of the text."""
     bounded_batches(docs.sparkSession)
+    found = [_find_block(docs, block, **limits) for block in blocks(items)]
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, covered: float = 0.7, answered: float = 0.5, shortest: int = 5, often: float = 0.05) -> DataFrame:
     bench = read_benchmark(items)
     spark = docs.sparkSession
-    schema = "doc_id long, row_hash long, item_id long, score double, answer_score double, place long"
-    if not len(bench.item):
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in schema.split(", ")[1:])])
     held = spark.sparkContext.broadcast(bench)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    # ids pass as text: pandas would make floats of ids with nulls among them
+    base = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -321,9 +333,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cover
                 words = textvec.read(column[s])
                 ids = word_ids(words, held.value.vocabulary)
                 out += np.split(ids, np.cumsum(words.counts)[:-1])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "row_hash": batch["row_hash"], "ids": out})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "row_hash": batch["row_hash"], "ids": out})
 
-    ids = durable(base.mapInPandas(tokenise, "doc_id long, row_hash long, ids array<int>"), "word-ids")
+    ids = durable(base.mapInPandas(tokenise, "doc_id string, row_hash long, ids array<int>"), "word-ids")
     n = len(bench.vocabulary)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,15 +389,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cover
                 part = [np.asarray(x) for x in batch["ids"][begin:begin + 400]]
                 doc, hop, sums = windows(part, table, live)
                 seen = set()
-                for lo in range(0, len(doc), 4096):
-                    near = unit(sums[lo:lo + 4096]) @ probes.T if len(probes) else np.zeros((0, 0))
+                step = max(64, MOST_COSINES // max(len(probes), 1))
+                for lo in range(0, len(doc), step):
+                    near = unit(sums[lo:lo + step]) @ probes.T if len(probes) else np.zeros((0, 0))
                     at, probe = np.nonzero(near >= cosine)
                     for key in np.unique((doc[at + lo] * len(b.item) + owners[probe])):
                         d, k = divmod(int(key), len(b.item))
                         hops = np.unique(hop[at[(doc[at + lo] == d) & (owners[probe] == k)] + lo])
                         hit = _best(part[d], b.words[k], b.answer[k], hops, covered, answered)
                         if hit and hit[0] >= covered and hit[1] >= answered:
-                            found.append((begin + d, int(b.item[k]), *hit))
+                            found.append((begin + d, k, *hit))
                             seen.add((d, k))
                 for r in rarest:
                     for d, k, at in holding_chunks(part, r).tolist():
@@ -394,43 +407,59 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cover
                         hops = likely_hops(part[d], b.words[k], at, at + 2 * r.block, covered)
                         hit = _best(part[d], b.words[k], b.answer[k], hops, covered, answered) if len(hops) else None
                         if hit and hit[0] >= covered and hit[1] >= answered:
-                            found.append((begin + d, int(b.item[k]), *hit))
-                found += [(begin + d, int(b.item[k]), 1.0, 1.0, place) for d, k, place in followed(part, shorts)]
+                            found.append((begin + d, k, *hit))
+                found += [(begin + d, k, 1.0, 1.0, place) for d, k, place in followed(part, shorts)]
             if found:
-                rows = pd.DataFrame(found, columns=["row", "item_id", "score", "answer_score", "place"]).sort_values("score").drop_duplicates(["row", "item_id"], keep="last")
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[rows["row"]].array, "row_hash": batch["row_hash"].iloc[rows["row"]].array, **{c: rows[c].array for c in ("item_id", "score", "answer_score", "place")}})
+                rows = pd.DataFrame(found, columns=["row", "item", "score", "answer_score", "place"]).sort_values("score").drop_duplicates(["row", "item"], keep="last")
+                item_id = pd.array([b.item[k] for k in rows["item"]], "Int64")
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[rows["row"]].array, "row_hash": batch["row_hash"].iloc[rows["row"]].array, "item_id": item_id, **{c: rows[c].array for c in ("score", "answer_score", "place")}})
 
-    return ids.mapInPandas(retrieve, schema)
+    return ids.mapInPandas(retrieve, SCHEMA.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray, covered: float, answered: float) -> tuple[float, float, int] | None:
-    """The stretch around the passages that covers most of an item: (share covered, share of its answer, place)."""
+    """The stretch around the passages that covers most of an item: (share covered, share of its answer there, place)."""
     best = None
     a, tail = item.tolist(), item[answer:].tolist()
     least, size = fewest(len(a), covered), reach(len(a))
     step = min(4, size - len(a) + 1)  # stretches as far apart hold any verbatim item
+
+    def consider(common: int, stretch: list[int], place: int) -> None:
+        nonlocal best
+        # one that holds most of the answer too goes before one that only covers more of the item
+        now = (common / len(a), lcs(tail, stretch) / max(len(tail), 1), place)
+        if best is None or (now[1] >= answered, now[0]) > (best[1] >= answered, best[0]):
+            best = now
+
     done = -1
     for h in hops:
         begin, end = max(0, int(h) * HOP - len(a)), int(h) * HOP + 2 * HOP + len(a)
-        if begin < done and best and best[0] >= 0.999:
+        if begin < done and best and best[0] >= 0.999 and best[1] >= answered:
             continue
-        stretch = text[begin:end]
-        s = stretch.tolist()
+        s = text[begin:end].tolist()
         held = set(s)
         if sum(x in held for x in a) < least:  # the subsequence cannot be longer than the common words
             continue
         done = end
-        common = lcs(a, s)
+        whole = lcs(a, s)
+        if whole < least:
+            continue
+        if len(s) <= size:
+            consider(whole, s, begin)
+            continue
         # a subsequence scattered over a stretch much longer than the item is no copy: try stretches of its own length
-        if common >= least and len(s) > 1.3 * len(a):
-            common = max(lcs(a, s[k:k + size]) for k in range(0, max(len(s) - size, 0) + step, step))
-            if common < least <= common + step - 1:  # one of those between may still hold enough
-                common = max(lcs(a, s[k:k + size]) for k in range(max(len(s) - size, 0) + 1))
-        share = common / len(a)
-        # one that holds most of the answer too goes before one that only covers more of the item
-        now = (share, lcs(tail, s) / max(len(tail), 1), begin)
-        if best is None or (now[1] >= answered, share) > (best[1] >= answered, best[0]):
-            best = now
+        starts = list(range(0, len(s) - size + step, step))
+        common = [lcs(a, s[k:k + size]) for k in starts]
+        top = max(common)
+        if top >= least:
+            for k, c in zip(starts, common, strict=True):
+                if c >= least and (c == top or best is None or best[1] < answered):
+                    consider(c, s[k:k + size], begin + k)
+        # one of those between may still hold enough, or the answer too
+        if top + step - 1 >= least and (best is None or best[1] < answered):
+            for k in range(len(s) - size + 1):
+                if k % step and (c := lcs(a, s[k:k + size])) >= least:
+                    consider(c, s[k:k + size], begin + k)
     return best
 
 
@@ -442,6 +471,6 @@ def op1_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, with all columns, in which no benchmark item was found."""
     leaks = durable(find_leaks(docs.select("doc_id", "text"), items).select("doc_id", "row_hash").distinct(), "leaks")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("row_hash"))
-    same = rows["row_id"].eqNullSafe(leaks["doc_id"]) & (rows["row_hash"] == leaks["row_hash"])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.xxhash64("text").alias("text_hash"))
+    same = rows["row_id"].eqNullSafe(leaks["doc_id"]) & (rows["text_hash"] == leaks["row_hash"])
     return rows.join(leaks, same, "left_anti").select("row.*")
