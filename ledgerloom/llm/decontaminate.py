@@ -24,6 +24,7 @@ empty results; extra columns, whatever their names, pass by.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -383,6 +384,7 @@ def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cove
     def retrieve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, live, probes, owners, rarest, shorts = model.value
         b = held.value
+        times = [Counter(x.tolist()) for x in b.words]
         for batch in batches:
             found = []
             for begin in range(0, len(batch), 400):
@@ -393,10 +395,13 @@ def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cove
                 for lo in range(0, len(doc), step):
                     near = unit(sums[lo:lo + step]) @ probes.T if len(probes) else np.zeros((0, 0))
                     at, probe = np.nonzero(near >= cosine)
-                    for key in np.unique((doc[at + lo] * len(b.item) + owners[probe])):
-                        d, k = divmod(int(key), len(b.item))
-                        hops = np.unique(hop[at[(doc[at + lo] == d) & (owners[probe] == k)] + lo])
-                        hit = _best(part[d], b.words[k], b.answer[k], hops, covered, answered)
+                    pair = doc[at + lo] * len(b.item) + owners[probe]
+                    order = np.argsort(pair, kind="stable")
+                    bounds = np.flatnonzero(np.diff(pair[order], prepend=-1))
+                    for key, places in zip(pair[order[bounds]].tolist(), np.split(hop[at[order] + lo], bounds[1:]), strict=True):
+                        d, k = divmod(key, len(b.item))
+                        hops = sorted(set(places.tolist()))
+                        hit = _best(part[d], b.words[k], times[k], b.answer[k], hops, covered, answered)
                         if hit and hit[0] >= covered and hit[1] >= answered:
                             found.append((begin + d, k, *hit))
                             seen.add((d, k))
@@ -405,7 +410,7 @@ def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cove
                         if (d, k) in seen:
                             continue
                         hops = likely_hops(part[d], b.words[k], at, at + 2 * r.block, covered)
-                        hit = _best(part[d], b.words[k], b.answer[k], hops, covered, answered) if len(hops) else None
+                        hit = _best(part[d], b.words[k], times[k], b.answer[k], hops, covered, answered) if len(hops) else None
                         if hit and hit[0] >= covered and hit[1] >= answered:
                             found.append((begin + d, k, *hit))
                 found += [(begin + d, k, 1.0, 1.0, place) for d, k, place in followed(part, shorts)]
@@ -417,8 +422,8 @@ def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cove
     return ids.mapInPandas(retrieve, SCHEMA.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray, covered: float, answered: float) -> tuple[float, float, int] | None:
-    """The stretch around the passages that covers most of an item: (share covered, share of its answer there, place)."""
+def _best(text: np.ndarray, item: np.ndarray, times: Counter, answer: int, hops: np.ndarray, covered: float, answered: float) -> tuple[float, float, int] | None:
+    """The stretch around the passages that covers most of an item: (share covered, share of its answer there, place); ``times``: of each of its words."""
     best = None
     a, tail = item.tolist(), item[answer:].tolist()
     least, size = fewest(len(a), covered), reach(len(a))
@@ -437,8 +442,7 @@ def _best(text: np.ndarray, item: np.ndarray, answer: int, hops: np.ndarray, cov
         if begin < done and best and best[0] >= 0.999 and best[1] >= answered:
             continue
         s = text[begin:end].tolist()
-        held = set(s)
-        if sum(x in held for x in a) < least:  # the subsequence cannot be longer than the common words
+        if sum(times[x] for x in times.keys() & set(s)) < least:  # the subsequence cannot be longer than the common words
             continue
         done = end
         whole = lcs(a, s)
