@@ -398,7 +398,7 @@ def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cove
                     pair = doc[at + lo] * len(b.item) + owners[probe]
                     order = np.argsort(pair, kind="stable")
                     bounds = np.flatnonzero(np.diff(pair[order], prepend=-1))
-                    for key, places in zip(pair[order[bounds]].tolist(), np.split(hop[at[order] + lo], bounds[1:]), strict=True):
+                    for key, places in zip(pair[order[bounds]].tolist(), np.split(hop[at[order] + lo], bounds)[1:], strict=True):
                         d, k = divmod(key, len(b.item))
                         hops = sorted(set(places.tolist()))
                         hit = _best(part[d], b.words[k], times[k], b.answer[k], hops, covered, answered)

@@ -348,6 +348,33 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontaminate.op1_decontamination(docs, bench.limit(0)).count() == 0 and decontaminate.op1_decontamination(docs.limit(0), bench).count() == 0
 
 
+def test_blocks_null_items_and_awkward_documents(spark, monkeypatch):
+    """A benchmark in many blocks gives what one block gives; null ids, clashing columns, a very long text, repeats and documents like nothing in it."""
+    rng = random.Random(41)
+    items = [(k if k % 7 else None, prose(rng, rng.randrange(2, 40)).capitalize() + ". " + prose(rng, 6).capitalize() + ".") for k in range(60)]
+    rows = [(k, f"{prose(rng, 20)} {items[k][1]} {prose(rng, 30)}") for k in range(60)]
+    rows += [(100, f"{prose(rng, 60_000)} {items[5][1]}"), (None, items[6][1]), (101, "zzz " * 500), (102, None), (103, ""), rows[8], rows[8]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "row_hash", "item_id", "score", "place", "ids", "text_hash", "row_id")})
+    bench = spark.createDataFrame([*items, (3, None)], "item_id long, text string")
+    key = lambda r: (r["doc_id"], r["item_id"], round(r["score"], 6), round(r["answer_score"], 6))
+    whole = Counter(key(r) for r in decontaminate.op1_decontamination(docs, bench).collect())
+    assert {(d, i) for d, i, *_ in whole} == {(k, items[k][0]) for k in range(60)} | {(100, 5), (None, 6)} and whole[(8, 8, 1.0, 1.0)] == 3
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    assert 2 < len(decontaminate.blocks(bench)) < 6
+    assert Counter(key(r) for r in decontaminate.op1_decontamination(docs, bench).collect()) == whole
+    left = decontaminate.clean_documents(docs, bench)
+    assert left.columns == docs.columns and Counter(r["doc_id"] for r in left.collect()) == Counter([101, 102, 103])
+
+
+def test_an_answer_counts_only_beside_its_question(spark):
+    rng = random.Random(43)
+    question, answer = prose(rng, 30), prose(rng, 10)
+    items = spark.createDataFrame([(1, f"{question}. {answer.capitalize()}.")], "item_id long, text string")
+    rows = [(1, f"{prose(rng, 40)} {question} {answer} {prose(rng, 40)}"), (2, f"{prose(rng, 40)} {question} {prose(rng, 40)}"), (3, f"{question} {prose(rng, 28)} {answer}"), (4, f"{question} {prose(rng, 300)} {answer}")]
+    got = {r["doc_id"] for r in decontaminate.op1_decontamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1}
+
+
 def test_items_of_any_length_are_found_in_benchmark_like_text(spark):
     rng = random.Random(17)
     words = [f"{rng.choice(WORDS)}{k}" for k in range(260)]
@@ -360,6 +387,12 @@ def test_items_of_any_length_are_found_in_benchmark_like_text(spark):
         rows.append((k, " ".join(body[:at] + item[1].split() + body[at:])))
         planted.add((k, item[0]))
     rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(300))) for k in range(20)]
+    for k in range(64):  # paraphrases: words changed, dropped and added, from a tenth to nearly a third
+        item = items[5 + k % 11][1].split()
+        kept = [w for w in item if rng.random() > 0.03 * (k % 10)]
+        body = [rng.choice(words) for _ in range(rng.choice([5, 60, 400]))]
+        at = rng.randrange(len(body) + 1)
+        rows.append((2000 + k, " ".join(body[:at] + [x for w in kept for x in ([w] if rng.random() > 0.1 else [w, rng.choice(words)])] + body[at:])))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op1_decontamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     number = {w: k for k, w in enumerate(words)}
     want = set()
