@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_blocks(array: Column, size: int = 256) -> Column:
+    """An array cut into arrays of ``size``; work inside them and over them takes no square of a long array's length."""
+    return bound(array, lambda z: F.transform(F.sequence(F.lit(0), F.floor(F.size(z) / size).cast("int")), lambda b: F.slice(z, b * size + 1, size)))
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each element of an array of ints, the sum of all before it."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    each = lambda blocks, sums: F.transform(blocks, lambda block, b: bound(total(F.slice(sums, 1, b)), lambda start: F.transform(block, lambda x, i: start + total(F.slice(block, 1, i)))))
+    return bound(in_blocks(sizes), lambda blocks: bound(F.transform(blocks, total), lambda sums: F.flatten(each(blocks, sums))))
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
