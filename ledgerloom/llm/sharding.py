@@ -8,7 +8,7 @@ cells only.
 
 Defined results: null sources form one source of their own; null texts and ids are ordinary values; rows
 that repeat are all kept, each in a slot of its own; an empty table gives an empty result; extra columns
-pass through whatever their names are.
+pass through, but columns named ``shard`` or ``slot`` (in any case) give way to the results of those names.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, *, payload: lis
         raise ValueError("shards must be positive")
     total = docs.count()
     bits = max(1, math.ceil(math.log2(max(total, 2)) / 2))
+    if payload is None:
+        payload = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
     rows = docs.select(
-        (F.struct(*payload) if payload else F.struct("*")).alias("row"),
+        F.struct(*payload).alias("row"),
         F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),

@@ -3,16 +3,17 @@
 Fixed rules decide where one fits.  For all other urls each host has a tree of path templates: variable
 segments (numbers, hexadecimal strings, long names with digits) become wildcards by their shape, and a node
 with many different children becomes one wildcard child, from the root down to the real depth of the paths.  On
-every level siblings whose share of
-unwanted labels does not differ from their parent's by a two-proportion test are merged into one branch.  A
+every level children whose share of unwanted labels does not differ from that of their siblings together, by
+the two-proportion z-test with a pooled variance, are merged into one branch.  A
 template is rejected where its share of unwanted labels, smoothed towards the corpus's, passes a limit.
 
 Pages are first summed up to counts by (host, template), so that the tree is built from distinct templates,
-however many pages one host has; the verdicts come back over salted keys.
+however many pages one host has; a node's rows and the verdicts meet over salted keys, and only pages with a
+number meet labels.
 
 Defined results: a null url or one without ``://`` has empty host and path and is judged as the template of
-the empty host; urls without any label take the corpus's share; repeated pages stay separate rows; an empty
-table gives an empty result; extra columns are ignored.
+the empty host; urls without any label take the corpus's share; repeated pages and null ids stay separate rows;
+an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -75,22 +76,32 @@ def _generalised(nodes: DataFrame, most_children: int) -> DataFrame:
     while True:
         steps = _steps(nodes)
         many = steps.groupBy("host", "head").agg(F.count_distinct("child").alias("children")).filter(F.col("children") > most_children).select("host", "head")
-        levels = durable(steps.join(many, ["host", "head"], "left_semi").groupBy("host", "leaf").agg(F.array(F.min("level")).alias("wild")), "url-many")
+        salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # all leaves of a host meet at its root
+        hit = steps.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)).cast("int")).join(salted, ["host", "head", "salt"], "left_semi")
+        levels = durable(hit.groupBy("host", "leaf").agg(F.array(F.min("level")).alias("wild")), "url-many")
         if levels.isEmpty():
             return nodes
         nodes = durable(_wild(nodes, levels), "url-tree")
 
 
+def differs(n: Column, bad: Column, others: Column, bad_others: Column) -> Column:
+    """The two-proportion z statistic of a child and its siblings; null where either has no label, or all labels are alike."""
+    pooled = F.try_divide(bad + bad_others, n + others)
+    spread = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), others))
+    return F.try_divide(F.abs(F.try_divide(bad, n) - F.try_divide(bad_others, others)), F.sqrt(spread))
+
+
 def _merged(nodes: DataFrame, z: float) -> DataFrame:
-    """Siblings whose share is not significantly off their parent's become one wildcard, on all levels at once."""
+    """Children whose share is not significantly off their siblings' become one wildcard, on all levels at once."""
     steps = durable(_steps(nodes, "labelled", "bad"), "url-steps")
+    # a node has ``most_children`` children at most by now, so these rows and their join are small
     here = steps.groupBy("host", "head", "child").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
     parents = here.groupBy("host", "head").agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
-    # the test statistic is null where nothing is labelled or the parent is pure: then all siblings are alike
-    share, pooled = F.try_divide(F.col("b"), F.col("n")), F.try_divide(F.col("pb"), F.col("pn"))
-    off = F.try_divide(F.abs(share - pooled) * F.sqrt(F.col("n")), F.sqrt(pooled * (1 - pooled)))
+    off = differs(F.col("n"), F.col("b"), F.col("pn") - F.col("n"), F.col("pb") - F.col("b"))
     alike = here.join(parents, ["host", "head"]).filter(F.coalesce(off, F.lit(0.0)) < z).select("host", "head", "child")
-    return _wild(nodes, steps.join(alike, ["host", "head", "child"], "left_semi").groupBy("host", "leaf").agg(F.collect_list("level").alias("wild")))
+    salted = alike.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = steps.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)).cast("int")).join(salted, ["host", "head", "child", "salt"], "left_semi")
+    return _wild(nodes, hit.groupBy("host", "leaf").agg(F.collect_list("level").alias("wild")))
 
 
 def templates(pages: DataFrame, most_children: int = 24, z: float = 2.58, smoothing: float = 8.0) -> DataFrame:
@@ -102,7 +113,9 @@ def templates(pages: DataFrame, most_children: int = 24, z: float = 2.58, smooth
     corpus = leaves.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.5)).alias("prior"))
     summed = nodes.groupBy("host", "parts").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     scored = summed.crossJoin(F.broadcast(corpus)).withColumn("impurity", (F.col("bad") + F.col("prior") * smoothing) / (F.col("labelled") + smoothing))
-    return nodes.select("host", "first", "parts").join(scored.select("host", "parts", "labelled", "impurity"), ["host", "parts"]).withColumn("template", F.concat(F.lit("/"), F.array_join("parts", "/"))).drop("parts")
+    salted = scored.select("host", "parts", "labelled", "impurity").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one template may hold most of a host's
+    own = nodes.select("host", "first", "parts", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)).cast("int").alias("salt"))
+    return own.join(salted, ["host", "parts", "salt"]).withColumn("template", F.concat(F.lit("/"), F.array_join("parts", "/"))).drop("parts", "salt")
 
 
 def judge(pages: DataFrame, labels: DataFrame, limit: float = 0.5, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -114,7 +127,8 @@ def judge(pages: DataFrame, labels: DataFrame, limit: float = 0.5, rules: list[t
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     keyed = split.withColumn("url_key", F.expr("try_cast(regexp_extract(path, '/([0-9]{1,18})[^/0-9]*/?$', 1) as bigint)"))
     known = labels.filter("url_key is not null").groupBy("url_key").agg(F.max("bad").alias("bad"))
-    counted = keyed.join(known, "url_key", "left").select("host", "path", F.when(F.col("bad").isNotNull(), 1).otherwise(0).alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
+    labelled = keyed.filter("url_key is not null").join(known, "url_key", "left").select("host", "path", F.when(F.col("bad").isNotNull(), 1).otherwise(0).alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
+    counted = labelled.union(keyed.filter("url_key is null").select("host", "path", F.lit(0), F.lit(0)))  # these would all meet at the null key
     learned = templates(counted).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     shaped = split.withColumn("first", template(F.col("path"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
     rule = fitting_rule(F.col("host"), F.col("path"), rules)

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import durable
 from ledgerloom.llm import ann, decontaminate, licenses, mixing, neardup, quality, secrets, sharding, textvec, toxicity, urls
 
 DATA = "/root/testdata/sf0.001"
@@ -68,7 +69,10 @@ def test_shards_are_even_and_hold_the_mixture(docs):
 
 
 def test_sharding_keeps_columns_and_takes_nothing(docs, empty):
-    assert sharding.interleave(docs.drop("shard")).columns == [*docs.drop("shard").columns, "shard", "slot"]
+    kept = [c for c in docs.columns if c != "shard"]
+    clashing = docs.withColumn("SLOT", F.lit("clash")).withColumn("fraction", F.lit(0)).withColumn("cell", F.lit(1))
+    got = durable(sharding.interleave(clashing), "test-shards")
+    assert got.columns == [*kept, "fraction", "cell", "shard", "slot"] and {r[0] for r in got.select("shard").distinct().collect()} == set(range(16))
     assert sharding.op7_sharding(empty).count() == 0
 
 
@@ -234,6 +238,83 @@ def test_deep_paths_are_told_apart(spark):
     assert {r["template"] for r in got} == {"/*/*/*/*/*/*/*/*/*"}  # no number in these urls is labelled
 
 
+def brute_templates(rows, bad, most_children=24, z=2.58, smoothing=8.0):
+    """The template tree by plain loops: (host, path) to (template, impurity)."""
+    def shape(s):
+        if re.fullmatch(r"[0-9]+", s):
+            return "{n}"
+        if m := re.fullmatch(r"[0-9]+\.([a-zA-Z]{1,5})", s):
+            return "{n}." + m[1]
+        if re.fullmatch(r"(?=.*[0-9])[0-9a-fA-F-]{8,}", s):
+            return "{h}"
+        return "{s}" if len(s) > 24 or re.search(r"[0-9].*[0-9].*[0-9]", s) else s
+
+    counts = defaultdict(lambda: [0, 0])
+    for host, path in rows:
+        first = (host, *[shape(s) for s in path.split("/") if s])
+        m = re.search(r"/([0-9]{1,18})[^/0-9]*/?$", path)
+        label = bad.get(int(m[1])) if m else None
+        counts[first][0] += label is not None
+        counts[first][1] += label or 0
+    now = {leaf: list(leaf) for leaf in counts}
+    while True:
+        children = defaultdict(set)
+        for parts in now.values():
+            for k in range(1, len(parts)):
+                children[tuple(parts[:k])].add(parts[k])
+        many = {h for h, c in children.items() if len(c) > most_children}
+        if not many:
+            break
+        for parts in now.values():
+            at = next((k for k in range(1, len(parts)) if tuple(parts[:k]) in many), None)
+            if at:
+                parts[at] = "*"
+    child = defaultdict(lambda: [0, 0])
+    for leaf, parts in now.items():
+        for k in range(1, len(parts)):
+            child[tuple(parts[:k + 1])][0] += counts[leaf][0]
+            child[tuple(parts[:k + 1])][1] += counts[leaf][1]
+    parent = defaultdict(lambda: [0, 0])
+    for c, (n, b) in child.items():
+        parent[c[:-1]][0] += n
+        parent[c[:-1]][1] += b
+
+    def alike(c):
+        n, b = child[c]
+        on, ob = parent[c[:-1]][0] - n, parent[c[:-1]][1] - b
+        if not n or not on:
+            return True
+        p = (b + ob) / (n + on)
+        spread = p * (1 - p) * (1 / n + 1 / on)
+        return spread == 0 or abs(b / n - ob / on) / math.sqrt(spread) < z
+
+    final = {leaf: (parts[0], *["*" if alike(tuple(parts[:k + 1])) else parts[k] for k in range(1, len(parts))]) for leaf, parts in now.items()}
+    summed = defaultdict(lambda: [0, 0])
+    for leaf, t in final.items():
+        summed[t][0] += counts[leaf][0]
+        summed[t][1] += counts[leaf][1]
+    total, unwanted = map(sum, zip(*counts.values(), strict=True))
+    prior = unwanted / total if total else 0.5
+    score = {t: (b + prior * smoothing) / (n + smoothing) for t, (n, b) in summed.items()}
+    return {(host, path): ("/" + "/".join(final[leaf][1:]), score[final[leaf]]) for host, path in rows for leaf in [(host, *[shape(s) for s in path.split("/") if s])]}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_url_filter_against_plain_loops(spark, folder):
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("page_id", "url")
+    extra = [(None, "http://deep.io/a/b/c/d/e/f/g/h/i"), (None, None), (7, "http://deep.io/a/b/c/d/e/f/g/h/1"), (7, "http://deep.io/a/b/c/d/e/f/g/h/1")]
+    pages = pages.union(spark.createDataFrame(extra, "page_id long, url string")).withColumns({c: F.lit("clash") for c in ("host", "path", "salt", "leaf", "parts", "template")})
+    labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet")
+    bad = {r["doc_id"]: int(r["quality"] == 0 or r["toxic"] == 1) for r in labels.collect()}
+    got = urls.op10_url_filter(pages, labels).collect()
+    assert Counter(r["page_id"] for r in got) == Counter(r["page_id"] for r in pages.select("page_id").collect())
+    want = brute_templates([(r["host"], r["path"]) for r in got], bad)
+    for r in got:
+        template, score = want[(r["host"], r["path"])]
+        assert (r["template"], round(r["score"], 9)) == (template, round(score, 9)), r
+        assert r["rule"] or r["verdict"] == ("block" if score > 0.5 else "allow")
+
+
 # near duplicates
 
 def brute_near(rows):
