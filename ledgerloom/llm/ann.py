@@ -6,27 +6,32 @@ step by step (virtual rehashing: the same arrays, wider windows, only their new
 whose collisions pass the threshold are verified by their exact cosine, until k verified ones lie within the
 radius.
 
-Spark deals vectors into shards and queries into blocks, both of bounded size; each pair of them is one task's
-work and returns k rows a query.  So memory does not grow with the tables, any vector is indexed, and a
-vector that a third of all rows share is spread evenly, as shards go by vec_id.
+Spark deals vectors into shards of bounded size, by vec_id, so that a vector that a third of all rows share is
+spread evenly.  A task sorts a shard's projections into its index once and then searches it for a stream of
+queries, batch after batch, holding no more of them than one batch; it returns k rows a query.  Queries are cut
+into blocks only where a shard's would take one task too long (``BLOCK_ROWS``), or where there are fewer shards
+than cores; an index is built once for each block, and is cheap beside that many searches.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as
-query or as candidate; vectors of different lengths are never compared; a query's own row, and any row of the
+query or as candidate; vectors of huge or tiny components count like others; vectors of different lengths are never compared; a query's own row, and any row of the
 same vec_id, is no candidate; ties go to the smaller vec_id; fewer candidates than k give fewer rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS = 112
-GROWTH = 1.15
+PROJECTIONS = 128
+GROWTH = 1.12
 HALF_WIDTH = 0.75  # of a window, in radii
 SHARD_ROWS = 32768
-BLOCK_ROWS = 256
+BLOCK_ROWS = 16384
+LEAST_BLOCK_ROWS = 256
 #: Share of arrays; the chance to collide is 0.547 at the radius and 0.486 at the next one.
 THRESHOLD = 0.5
 
@@ -36,73 +41,106 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, seed: int = 29) -> list[tuple[int, int, float]]:
-    """The k nearest found for each query in one shard, as (query, vector, cosine)."""
-    n, dim = vectors.shape
-    norms, query_norms = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
-    axes = np.random.default_rng(seed + dim).normal(size=(dim, PROJECTIONS))
-    units = vectors / norms[:, None]
-    projected, asked = units @ axes, (queries / query_norms[:, None]) @ axes
-    order = np.argsort(projected, axis=0).T.astype(np.int32)
-    # one array of all sorted arrays, set apart by more than any projection, answers all of a query's searches at once
-    apart = (np.arange(PROJECTIONS) * 4 * (np.abs(projected).max() + np.abs(asked).max() + 10.0))
-    sorted_all = (np.take_along_axis(projected, order.T.astype(np.int64), axis=0).T + apart[:, None]).ravel()
-    begins = np.arange(PROJECTIONS) * n
-    least = int(np.ceil(THRESHOLD * PROJECTIONS))
-    probe = np.linspace(0, n - 1, min(n, 256)).astype(int)
-    near = np.sqrt(np.maximum(2 - 2 * (units[probe] @ (queries / query_norms[:, None]).T), 0))
-    out = []
-    for row, (qid, q, place) in enumerate(zip(query_ids, queries, asked, strict=True)):
-        others = n - int((ids == qid).sum())
-        radius = max(0.8 * float(near[:, row].min()), 0.05)
-        counts, checked = np.zeros(n, np.uint8), np.zeros(n, bool)
-        low = high = None
-        found, scores = np.empty(0, int), np.empty(0)
-        while others:
-            half = HALF_WIDTH * radius
-            lows = (sorted_all.searchsorted(place + apart - half, "left") - begins).tolist()
-            highs = (sorted_all.searchsorted(place + apart + half, "right") - begins).tolist()
-            for j in range(PROJECTIONS):
-                o = order[j]
-                if low is None:
-                    counts[o[lows[j]:highs[j]]] += 1
-                else:
-                    counts[o[lows[j]:low[j]]] += 1
-                    counts[o[high[j]:highs[j]]] += 1
-            low, high = lows, highs
-            new = np.flatnonzero((counts >= least) & ~checked)
-            checked[new] = True
-            new = new[ids[new] != qid]
-            if len(new):
-                found = np.concatenate([found, new])
-                scores = np.concatenate([scores, (vectors[new] * q).sum(1) / (norms[new] * query_norms[row])])
-            within = int((2 - 2 * scores <= radius * radius + 1e-12).sum())
-            if within >= k or len(found) >= others or radius > 2.2:
-                break
-            radius *= GROWTH
-        if len(scores) > k:  # all that tie with the k-th stay
-            top = scores >= np.partition(scores, -k)[-k]
-            found, scores = found[top], scores[top]
-        best = np.lexsort((ids[found], -scores))[:k]
-        out += [(int(qid), int(ids[found[b]]), float(scores[b])) for b in best]
-    return out
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1: its cosines stay exactly the same, and no square overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0))[1][:, None])
+
+
+class Index:
+    """The sorted projections of one shard."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 29) -> None:
+        self.ids, self.vectors = ids, scaled(vectors)
+        n, dim = vectors.shape
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
+        self.axes = np.random.default_rng(seed + dim).normal(size=(dim, PROJECTIONS))
+        self.units = self.vectors / self.norms[:, None]
+        projected = self.units @ self.axes
+        self.order = np.argsort(projected, axis=0).T.astype(np.int32)
+        # one array of all sorted arrays, set apart by more than any two projections, answers all of a query's searches at once
+        furthest = np.sqrt((self.axes * self.axes).sum(0)).max() + 10.0
+        self.apart = np.arange(PROJECTIONS) * 4 * furthest
+        self.sorted_all = (np.take_along_axis(projected, self.order.T.astype(np.int64), axis=0).T + self.apart[:, None]).ravel()
+        self.begins = np.arange(PROJECTIONS) * n
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """The k nearest found for each query, as (query, vector, cosine)."""
+        ids, vectors, norms, order, apart, begins = self.ids, self.vectors, self.norms, self.order, self.apart, self.begins
+        n = len(ids)
+        queries = scaled(queries)
+        query_norms = np.sqrt((queries * queries).sum(1))
+        asked = (queries / query_norms[:, None]) @ self.axes
+        least = int(np.ceil(THRESHOLD * PROJECTIONS))
+        probe = np.linspace(0, n - 1, min(n, 256)).astype(int)
+        near = np.sqrt(np.maximum(2 - 2 * (self.units[probe] @ (queries / query_norms[:, None]).T), 0))
+        out = []
+        for row, (qid, q, place) in enumerate(zip(query_ids, queries, asked, strict=True)):
+            others = n - int((ids == qid).sum())
+            radius = max(0.8 * float(near[:, row].min()), 0.05)
+            counts, checked = np.zeros(n, np.uint8), np.zeros(n, bool)
+            low = high = None
+            found, scores = np.empty(0, int), np.empty(0)
+            while others:
+                half = HALF_WIDTH * radius
+                lows = (self.sorted_all.searchsorted(place + apart - half, "left") - begins).tolist()
+                highs = (self.sorted_all.searchsorted(place + apart + half, "right") - begins).tolist()
+                for j in range(PROJECTIONS):
+                    o = order[j]
+                    if low is None:
+                        counts[o[lows[j]:highs[j]]] += 1
+                    else:
+                        counts[o[lows[j]:low[j]]] += 1
+                        counts[o[high[j]:highs[j]]] += 1
+                low, high = lows, highs
+                new = np.flatnonzero((counts >= least) & ~checked)
+                checked[new] = True
+                new = new[ids[new] != qid]
+                if len(new):
+                    found = np.concatenate([found, new])
+                    scores = np.concatenate([scores, (vectors[new] * q).sum(1) / (norms[new] * query_norms[row])])
+                within = int((2 - 2 * scores <= radius * radius + 1e-12).sum())
+                if within >= k or len(found) >= others or radius > 2.2:
+                    break
+                radius *= GROWTH
+            if len(scores) > k:  # all that tie with the k-th stay
+                top = scores >= np.partition(scores, -k)[-k]
+                found, scores = found[top], scores[top]
+            best = np.lexsort((ids[found], -scores))[:k]
+            out += [(int(qid), int(ids[found[b]]), float(scores[b])) for b in best]
+        return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score).  ``vectors``: vec_id, embedding; ``queries``: query_id, embedding."""
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     asks = queries.filter(F.col("query_id").isNotNull() & usable(F.col("embedding"))).select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    shards, blocks = max(1, -(-rows.count() // SHARD_ROWS)), max(1, -(-asks.count() // BLOCK_ROWS))
+    shards, asked = max(1, -(-rows.count() // SHARD_ROWS)), asks.count()
+    # so many blocks that queries and cores suffice, but no block is small
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-asked // BLOCK_ROWS), min(-(-asked // LEAST_BLOCK_ROWS), -(-cores // shards)))
     dim = F.size("embedding").alias("dim")
-    left = rows.select(dim, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")
-    right = asks.select(dim, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "embedding")
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = search_shard(a["vec_id"].to_numpy(), np.stack(a["embedding"]), b["query_id"].to_numpy(), np.stack(b["embedding"]), k) if len(a) and len(b) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+    left = rows.select(dim, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "embedding")
+    right = asks.select(dim, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "embedding")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted: of each (dim, shard, block) first the vectors, then the queries, in as many batches as they take."""
+        now, held, index = None, [], None
+        for batch in batches:
+            found = []
+            for (key, asking), part in batch.assign(key=list(zip(batch["dim"], batch["shard"], batch["block"], strict=True))).groupby(["key", "asks"], sort=False):
+                if key != now:
+                    now, held, index = key, [], None
+                if not asking:
+                    held.append((part["id"].to_numpy(), np.stack(part["embedding"])))
+                elif held or index:
+                    if index is None:
+                        index, held = Index(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])), []
+                    found += index.search(part["id"].to_numpy(), np.stack(part["embedding"]), k)
+            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     key = ["dim", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
+    spread = left.union(right).repartition(shards * blocks, *key).sortWithinPartitions(*key, "asks")
+    found = spread.mapInPandas(run, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
