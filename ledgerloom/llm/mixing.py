@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import durable
+from ledgerloom.llm.common import discard, durable
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
@@ -39,7 +39,7 @@ def targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     """Add ``target``: the shares by weight, where what exceeds thrice a source is shared again by weight.
 
     With sources in the order of (3 * size / weight), the level of the first source that is not stopped holds
-    for all after it.
+    for all after it.  Sources are named groups, one row each: their few rows may meet in one task.
     """
     order = Window.orderBy(*KIND)
     everything = Window.partitionBy()
@@ -59,7 +59,7 @@ def targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return levels.select(*KIND, "source_size", "scale", "least", F.when(free, F.col("weight") * F.col("fits.level")).otherwise(F.col("cap")).alias("target"))
 
 
-def multipliers(histogram: DataFrame, sources: DataFrame, tolerance: float = 1e-7, steps: int = 40) -> DataFrame:
+def multipliers(histogram: DataFrame, sources: DataFrame, tolerance: float = 1e-7, steps: int = 200) -> DataFrame:
     """Solve the dual; one row a source with its ``tilt``."""
     open_ = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * MOST * (1 - 1e-12))
     top = F.lit(math.log(MOST) * 1.0001) * F.col("scale") / F.col("least")
@@ -88,10 +88,11 @@ def multipliers(histogram: DataFrame, sources: DataFrame, tolerance: float = 1e-
             .withColumn("newton", F.when((F.col("slope") > 0) & (F.col("got") > 0), newton))
             .withColumn("tilt", F.when(~more, F.col("tilt")).when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton")).otherwise((F.col("low") + F.col("high")) / 2))
         )
-        state = durable(stepped.select(*state.columns), "mix-state")
+        before, state = state, durable(stepped.select(*state.columns), "mix-state")
+        discard(before)
         if not state.filter(F.col("gap") > tolerance).limit(1).count():
-            break
-    return state
+            return state
+    raise RuntimeError(f"the dual of {state.filter(F.col('gap') > tolerance).count()} sources is not solved after {steps} steps")
 
 
 def mix(docs: DataFrame, *, payload: list[Column] | None = None, seed: int = 11, id_col: str = "doc_id",

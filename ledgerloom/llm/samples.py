@@ -17,7 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     shuffled = F.xxhash64(F.lit(17), "doc_id")
     rows = []
     for value in (0, 1):
-        # a margin, as not every label has a document, and long ones are left out
+        # labels without a document, or with a long one, leave the class that much smaller
         ids = known.filter(F.col("label") == value).orderBy(shuffled, "doc_id").limit(most).select("doc_id", "label")
         # ids has ``most`` rows at most, so it may be broadcast
         rows += docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(shuffled, "doc_id").limit(most).collect()

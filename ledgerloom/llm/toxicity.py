@@ -4,13 +4,15 @@ A word's vector is the mean of the vectors of its hashed n-grams (and of the wor
 mean of its words'; both the embeddings and the softmax are trained jointly in numpy, on the driver, from a
 bounded sample of labelled rows.  Misspellings and inflections that were never seen share n-grams with words
 that were.  As the softmax of two classes is linear in the text's vector, the trained model folds into one
-number a bucket, and executors score whole texts with a table of fixed size.  Over long texts the random
-weights of thousands of plain words would add up, so a word counts only by what it exceeds a threshold by,
-which is chosen, like the final logistic curve, on a fifth of the sample that was not trained on.
-
-Defined results: null and empty texts get the score of the prior; null ids are held out or not by the crc of the
-empty text; repeated rows are scored each; without labels of both classes every score is the share of class 1
-(0.5 without any label); an empty table gives an empty result; extra columns pass by.
+number a bucket, and executors score whole texts with a table of fixed size.  Serving departs from the plain
+mean, which drowns the few words that matter among thousands of plain ones (README has both figures): a word
+takes part in the mean only by what it exceeds a threshold by, which is chosen, like the final logistic layer in
+place of the softmax's own, on a fifth of the sample that was not trained on.
+
+Defined results: null and empty texts, and texts of plain words alone, get the final layer's score of a mean of
+zero; null ids are held out or not by the crc of the empty text; repeated rows are scored each, alike; without
+labels of both classes every score is the share of class 1 (0.5 without any label); an empty table gives an empty
+result; extra columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
