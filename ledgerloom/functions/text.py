@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñÝýÿ"
-PLAIN = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNnYyy"
+def _plain(letter: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
+
+
+#: Letters that canonical decomposition takes to one plain letter, of the Latin, Greek and Cyrillic blocks.
+_LETTERS = [c for c in map(chr, [*range(0xC0, 0x590), *range(0x1E00, 0x2000)]) if len(_plain(c)) == 1 and _plain(c) != c]
+ACCENTED, PLAIN = "".join(_LETTERS), "".join(map(_plain, _LETTERS))
+COMBINING = r"[\u0300-\u036f]"
 DATES = r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[/.-]\d{1,2}(?:[/.-]\d{2,4})?\b|\b\d{1,2}:\d{2}(?::\d{2})?\b"
 #: Blanks that trimming removes: plain ones, and the no-break, narrow no-break and thin space.
 BLANK = r"[\s   ]"
@@ -24,7 +31,8 @@ def trimmed(text: Column) -> Column:
 
 
 def unaccented(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Letters without their marks, whether these are part of the letter or follow it."""
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), COMBINING, "")
 
 
 def normalise_label(text: Column) -> Column:

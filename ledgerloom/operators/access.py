@@ -3,26 +3,46 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.plans.bridge import Ledger
 
-VARIABLE = "current_household"
 SECURED = ("accounts", "transactions", "entries")
 
 
 def bind(ledger: Ledger, household: int | None) -> SparkSession:
-    """A session of its own whose secured views hold the household's rows; without one they hold none."""
+    """A session of its own in which the secured views, and no other, are registered; they hold the household's rows, and none without one.
+
+    The household is part of each view's plan: no setting of the session widens it, and no view of all rows exists there.
+    """
     session = ledger.spark.newSession()
     inner = Ledger(session, ledger.sf_dir)
-    session.sql(f"DECLARE OR REPLACE VARIABLE {VARIABLE} BIGINT DEFAULT {'NULL' if household is None else int(household)}")
+    own = F.lit(False) if household is None else F.col("household_id") == int(household)
     for name in SECURED:
-        getattr(inner, name).createOrReplaceTempView(f"all_{name}")
-        session.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS SELECT * FROM all_{name} WHERE household_id = {VARIABLE}")
+        getattr(inner, name).filter(own).createOrReplaceTempView(name)
     return session
 
 
+def assert_scoped(session: SparkSession) -> None:
+    """Refuse a session that shows anything but the secured views."""
+    if extra := {t.name for t in session.catalog.listTables()} ^ set(SECURED):
+        raise PermissionError(f"not a tenant's session: {', '.join(sorted(extra))}")
+
+
+def tenant_isolation(ledger: Ledger) -> DataFrame:
+    """What the first household of each of the regions, a handful, sees in a session of its own: counts of its own rows only."""
+    firsts = ledger.households.groupBy(F.split("path", "[.]")[1].alias("region")).agg(F.min("household_id").alias("household_id"))
+    seen = []
+    for r in firsts.collect():
+        session = bind(ledger, r["household_id"])
+        assert_scoped(session)
+        seen.append(visible(session, "transactions").groupBy(F.lit(r["region"]).alias("region"), "household_id").agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionAll, seen)
+
+
 #: Roles from the strongest, and all actions.
 ROLES = ("owner", "admin", "contributor", "viewer", "child")
 ACTIONS = (
@@ -67,3 +87,9 @@ def visible(session: SparkSession, name: str) -> DataFrame:
     if name not in SECURED:
         raise PermissionError(f"{name} is not a secured view")
     return session.table(name)
+
+
+ORACLES = {
+    "tenant_isolation": "SELECT region, t.household_id, count(*) AS n FROM {transactions} t JOIN (SELECT split_part(path, '.', 2) AS region, min(household_id) AS household_id FROM {households} GROUP BY 1) s ON s.household_id = t.household_id GROUP BY 1, 2",
+}
+QUERIES = {n: globals()[n] for n in ORACLES}

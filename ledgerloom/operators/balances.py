@@ -20,7 +20,7 @@ def account_balances(ledger: Ledger) -> DataFrame:
 
 def net_worth(ledger: Ledger) -> DataFrame:
     """Per household: balances in its base currency, equity left out."""
-    own = account_balances(ledger).filter("classification <> 'equity'").join(F.broadcast(ledger.households.select("household_id", "base_currency")), "household_id")
+    own = account_balances(ledger).filter("classification <> 'equity'").join(ledger.households.select("household_id", "base_currency"), "household_id")
     return own.filter("currency = base_currency").groupBy("household_id", "base_currency").agg(F.sum("balance").cast(MONEY).alias("net_worth"))
 
 

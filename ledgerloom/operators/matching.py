@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import ACCENTED, DATES, PLAIN, dedupe_hash, normalise_label, plain_decimal, trigram_similarity
+from ledgerloom.functions.text import DATES, dedupe_hash, normalise_label, plain_decimal, trigram_similarity
 from ledgerloom.plans.bridge import Ledger
 
 WINDOW_DAYS = 3
@@ -41,7 +41,9 @@ def _open_rows(ledger: Ledger) -> DataFrame:
 
 
 def external_id_match(ledger: Ledger) -> DataFrame:
-    own = ledger.transactions.filter("external_id is not null").groupBy("household_id", "external_id").agg(F.min("transaction_id").alias("transaction_id"))
+    """Candidates whose identifier a standing row of the household bears."""
+    gone = ledger.transactions.filter("reverses_id is not null").select(F.col("reverses_id").alias("transaction_id"))
+    own = ledger.transactions.filter("external_id is not null").join(gone, "transaction_id", "left_anti").groupBy("household_id", "external_id").agg(F.min("transaction_id").alias("transaction_id"))
     return ledger.statement_lines.filter("external_id is not null").join(own, ["household_id", "external_id"]).select("source_id", "transaction_id")
 
 
@@ -54,49 +56,85 @@ def exact_match_ranked(ledger: Ledger) -> DataFrame:
     return asks.join(rows, ["household_id", "hash", "nth"]).select("source_id", "transaction_id")
 
 
-def fuzzy_pairs(ledger: Ledger) -> DataFrame:
-    """All pairs of equal shape, at most three days apart, whose labels are alike; on the same day labels need not be."""
-    rows = _open_rows(ledger).select("household_id", "shape", "transaction_id", F.col("booked_on").alias("row_on"), F.col("label").alias("row_label"))
-    near = candidates(ledger).join(rows, ["household_id", "shape"]).withColumn("days", F.abs(F.datediff("booked_on", "row_on"))).filter(F.col("days") <= WINDOW_DAYS)
+def near_pairs(asks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_id, transaction_id, days, score) of all pairs of equal shape, at most three days apart, whose labels are alike; on the same day labels need not be.
+
+    ``asks``: household_id, shape, source_id, booked_on, label; ``rows``: the same with transaction_id.  They
+    meet by spans of days, so that many payments of one shape are only paired with those around them.
+    """
+    span = lambda day: F.floor(F.unix_date(day) / (WINDOW_DAYS + 1))
+    around = F.explode(F.sequence(span(F.col("booked_on")) - 1, span(F.col("booked_on")) + 1))
+    held = rows.select("household_id", "shape", span(F.col("booked_on")).alias("span"), "transaction_id", F.col("booked_on").alias("row_on"), F.col("label").alias("row_label"))
+    near = asks.select("household_id", "shape", around.alias("span"), "source_id", "booked_on", "label").join(held, ["household_id", "shape", "span"])
+    near = near.withColumn("days", F.abs(F.datediff("booked_on", "row_on"))).filter(F.col("days") <= WINDOW_DAYS)
     scored = near.withColumn("score", F.round(trigram_similarity(F.col("label"), F.col("row_label")), 6))
     return scored.filter((F.col("days") == 0) | (F.col("score") >= ALIKE)).select("source_id", "transaction_id", "days", "score")
 
 
-def duplicate_verdicts(ledger: Ledger) -> DataFrame:
-    """One-to-one verdicts: in candidate order, external id, else hash, else nearest fuzzy row not yet taken.
+def fuzzy_pairs(ledger: Ledger) -> DataFrame:
+    return near_pairs(candidates(ledger), _open_rows(ledger))
 
-    Only rows of one shape compete, so each (household, shape) is settled by itself; a group's size is the
-    number of movements of one amount on the same accounts, not the ledger's.
-    """
-    digest = dedupe_hash(F.col("booked_on"), F.col("shape"), F.col("label"))
-    matched = external_id_match(ledger)
-    rows = _open_rows(ledger).withColumn("hash", digest).select("household_id", "shape", "transaction_id", "booked_on", "label", "hash")
-    asks = candidates(ledger).join(matched.withColumnRenamed("transaction_id", "external_hit"), "source_id", "left").withColumn("hash", digest)
-    pairs = fuzzy_pairs(ledger).groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct((F.col("days") > 0).alias("off"), "days", "transaction_id"))).alias("near"))
-    asks = asks.join(pairs, "source_id", "left").select("household_id", "shape", "source_id", "external_hit", "hash", F.transform("near", lambda x: x["transaction_id"]).alias("near"))
 
-    def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def verdicts(asks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_id, verdict, transaction_id): one-to-one verdicts of candidates in order of source_id, against rows in order of (booked_on, transaction_id).
+
+    A candidate with an external id is certain where a row of the household bears it, and new where none does.
+    Any other takes the first row not yet taken that holds its hash, else the first of its day, else the nearest
+    of those alike.  A row is taken from the first candidate on that claims it, in whatever group.
+
+    ``asks``: household_id, source_id, booked_on, external_id, shape, label, hash; ``rows``: household_id,
+    transaction_id, booked_on, external_id, shape, label, and keys, their hashes.  Keys are of their row's
+    shape and day.  Only rows of one shape compete, and none across more than three days without any, so each
+    such stretch of days is settled by itself; its size is the number of movements of one amount on the same
+    accounts in it, not the ledger's.
+    """
+    own = rows.filter("external_id is not null").groupBy("household_id", "external_id").agg(F.min("transaction_id").alias("transaction_id"))
+    named = asks.filter("external_id is not null").select("household_id", "external_id", "source_id").join(own, ["household_id", "external_id"], "left")
+    by_id = named.select("source_id", F.when(F.col("transaction_id").isNull(), "new").otherwise("certain").alias("verdict"), "transaction_id")
+    claims = named.filter("transaction_id is not null").groupBy("transaction_id").agg(F.min("source_id").alias("claimed"))
+    none = lambda kind: F.lit(None).cast(kind)
+    left = asks.filter("external_id is null").select("household_id", "shape", "booked_on", "label", "source_id", none("bigint").alias("transaction_id"), none("bigint").alias("claimed"), F.array("hash").alias("keys"))
+    right = rows.join(claims, "transaction_id", "left").select("household_id", "shape", "booked_on", "label", none("bigint").alias("source_id"), "transaction_id", "claimed", "keys")
+    key = ["household_id", "shape"]
+    order = Window.partitionBy(*key).orderBy("booked_on")
+    turn = F.coalesce((F.datediff("booked_on", F.lag("booked_on").over(order)) > WINDOW_DAYS).cast("int"), F.lit(0))
+    stretches = left.unionByName(right).withColumn("turn", turn).withColumn("stretch", F.sum("turn").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    stretches = stretches.withColumn("day", F.unix_date("booked_on"))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        held = group[group["source_id"].isna()].sort_values(["day", "transaction_id"])
+        held = [(int(t), d, label, set(keys), None if c != c else int(c)) for t, d, label, keys, c in zip(held["transaction_id"], held["day"], held["label"], held["keys"], held["claimed"], strict=True)]
         taken: set[int] = set()
-        by_hash: dict[str, list[int]] = {}
-        for r in right.sort_values(["booked_on", "transaction_id"]).itertuples():
-            by_hash.setdefault(r.hash, []).append(r.transaction_id)
         out = []
-        for c in left.sort_values("source_id").itertuples():
-            verdict, hit = "new", None
-            if c.external_hit == c.external_hit and c.external_hit is not None:
-                verdict, hit = "certain", int(c.external_hit)
-            elif (free := [t for t in by_hash.get(c.hash, []) if t not in taken]):
-                verdict, hit = "certain", free[0]
-            elif (free := [t for t in ([] if c.near is None else c.near) if t not in taken]):
-                verdict, hit = "probable", int(free[0])
-            if hit is not None:
-                taken.add(hit)
-            out.append((c.source_id, verdict, hit))
+        for source, day, label, keys in group[group["source_id"].notna()].sort_values("source_id")[["source_id", "day", "label", "keys"]].itertuples(index=False):
+            free = [r for r in held if r[0] not in taken and (r[4] is None or r[4] > source)]
+            exact = next((r for r in free if keys[0] in r[3]), None)
+            best, verdict = exact, "certain"
+            if exact is None:
+                verdict = "probable"
+                best = next((r for r in free if r[1] == day), None)
+                if best is None and label:
+                    alike = [r for r in free if abs(r[1] - day) <= WINDOW_DAYS and r[2] and similar(label, r[2]) >= ALIKE]
+                    best = min(alike, key=lambda r: abs(r[1] - day), default=None)
+            if best is not None:
+                taken.add(best[0])
+            out.append((int(source), "new" if best is None else verdict, None if best is None else best[0]))
         return pd.DataFrame(out, columns=["source_id", "verdict", "transaction_id"]).astype({"transaction_id": "Int64"})
 
-    key = ["household_id", "shape"]
-    asks, rows = asks.toDF(*asks.columns), rows.toDF(*rows.columns)  # both stem from the same tables
-    return asks.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(settle, "source_id long, verdict string, transaction_id long")
+    settled = stretches.groupBy(*key, "stretch").applyInPandas(settle, "source_id long, verdict string, transaction_id long")
+    return by_id.unionByName(settled)
+
+
+def similar(left: str, right: str) -> float:
+    """Trigram similarity of two normalised labels, as ``trigram_similarity`` gives it."""
+    a, b = ({f"  {w} "[k:k + 3] for w in text.split(" ") if w for k in range(len(w) + 1)} for text in (left, right))
+    return round(len(a & b) / len(a | b), 6) if a and b else 0.0
+
+
+def duplicate_verdicts(ledger: Ledger) -> DataFrame:
+    """The verdicts of all statement lines against the standing rows."""
+    digest = dedupe_hash(F.col("booked_on"), F.col("shape"), F.col("label"))
+    return verdicts(candidates(ledger).withColumn("hash", digest), _open_rows(ledger).withColumn("keys", F.array(digest)))
 
 
 def transfer_pairing(ledger: Ledger) -> DataFrame:
@@ -134,7 +172,7 @@ def merge_keys(keys: DataFrame, new: DataFrame) -> DataFrame:
     return keys.select("transaction_id", "hash").unionByName(new.select("transaction_id", "hash")).dropDuplicates(["transaction_id", "hash"])
 
 
-_LABEL = f"trim(regexp_replace(regexp_replace(regexp_replace(upper(replace(translate(description, '{ACCENTED}', '{PLAIN}'), 'ß', 'SS')), '{DATES}', ' ', 'g'), '\\d{{4,}}', '#', 'g'), '[^A-Z0-9#]+', ' ', 'g'))"
+_LABEL = f"trim(regexp_replace(regexp_replace(regexp_replace(upper(replace(strip_accents(description), 'ß', 'SS')), '{DATES}', ' ', 'g'), '\\d{{4,}}', '#', 'g'), '[^A-Z0-9#]+', ' ', 'g'))"
 _SHAPE = "SELECT transaction_id, string_agg(concat(account_id, ':', regexp_replace(cast(amount AS varchar), '\\.?0+$', '')), '|' ORDER BY concat(account_id, ':', regexp_replace(cast(amount AS varchar), '\\.?0+$', ''))) AS shape FROM {entries} GROUP BY 1"
 _HASH = "sha256(concat_ws(chr(31), cast(booked_on AS varchar), shape, label))"
 _KEYED = f"SELECT t.transaction_id, household_id, booked_on, reverses_id, shape, {_LABEL} AS label FROM {{transactions}} t JOIN ({_SHAPE}) s ON s.transaction_id = t.transaction_id"
@@ -150,7 +188,7 @@ def _gram(column: str) -> str:
 ORACLES = {
     "entry_shape": _SHAPE,
     "dedupe_hashes": f"SELECT transaction_id, {_HASH} AS hash FROM ({_KEYED}) k",
-    "external_id_match": "SELECT source_id, min(transaction_id) AS transaction_id FROM {statement_lines} l JOIN {transactions} t ON t.household_id = l.household_id AND t.external_id = l.external_id GROUP BY 1",
+    "external_id_match": "SELECT source_id, min(transaction_id) AS transaction_id FROM {statement_lines} l JOIN {transactions} t ON t.household_id = l.household_id AND t.external_id = l.external_id WHERE NOT EXISTS (SELECT 1 FROM {transactions} r WHERE r.reverses_id = t.transaction_id) GROUP BY 1",
     "exact_match_ranked": f"""SELECT source_id, transaction_id FROM (SELECT *, row_number() OVER (PARTITION BY household_id, hash ORDER BY source_id) AS nth FROM (SELECT *, {_HASH} AS hash FROM ({_ASKS}) a) a) a
         JOIN (SELECT *, row_number() OVER (PARTITION BY household_id, hash ORDER BY transaction_id) AS nth FROM (SELECT *, {_HASH} AS hash FROM ({_OPEN}) o) o) o USING (household_id, hash, nth)""",
     "fuzzy_pairs": f"""SELECT source_id, transaction_id, days, score FROM (SELECT source_id, transaction_id, days, CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0 ELSE round(length(list_intersect(a, b)) / length(list_distinct(list_concat(a, b))), 6) END AS score FROM

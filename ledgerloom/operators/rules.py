@@ -7,10 +7,12 @@ rule that stops ends the pass.  Lines of equity accounts are never decided.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import suggest_pattern as suggest
@@ -47,15 +49,31 @@ def ordered(rules: list[Rule]) -> list[Rule]:
     return sorted(rules, key=lambda r: (r.shipped, r.priority, r.id))
 
 
-def _fits(rule: Rule) -> Column:
+def runnable(pattern: str | None) -> str | None:
+    """A pattern as the JVM will run it, its accents gone like the text's; None for one that is too long or that it cannot compile, which matches nothing."""
+    if pattern is None:
+        return None
+    text = "".join(c for c in unicodedata.normalize("NFD", pattern.removeprefix("(?i)")) if not unicodedata.combining(c))
+    if len(pattern) > LONGEST_PATTERN:
+        return None
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(f"(?iu){text}")
+    except (Py4JJavaError, IllegalArgumentException):
+        return None
+    return f"(?iu){text}"
+
+
+def with_matches(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add ``matches``: of the ordered rules with a pattern, whether it is in the description.  Done on transactions, once each, before they meet their entries."""
+    folded = rows.withColumn("folded", unaccented(F.col("description")))
+    tests = [F.coalesce(F.col("folded").rlike(p), F.lit(False)) if (p := runnable(r.pattern)) else F.lit(False) for r in ordered(rules)]
+    return folded.withColumn("matches", F.array(*tests)).drop("folded")
+
+
+def _fits(rule: Rule, place: int) -> Column:
     out = F.lit(True)
     if rule.pattern is not None:
-        text = rule.pattern.removeprefix("(?i)")
-        try:
-            valid = len(text) <= LONGEST_PATTERN and re.compile(text) is not None
-        except re.error:
-            valid = False
-        out = out & (unaccented(F.col("description")).rlike(f"(?iu){text}") if valid else F.lit(False))
+        out = out & F.col("matches")[place]
     if rule.at_least is not None:
         out = out & (F.col("amount") >= F.lit(rule.at_least).cast("decimal(28,10)"))
     if rule.at_most is not None:
@@ -69,11 +87,13 @@ def _fits(rule: Rule) -> Column:
 
 def decide(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``decision``: struct (category, rule_id, counterparty, tags), or null where no rule fits."""
+    if "matches" not in lines.columns:
+        lines = with_matches(lines, rules)
     text = lambda v: F.lit(v).cast("string")
     hits = F.array_compact(F.array(*[
-        F.when(_fits(r), F.struct(F.lit(r.id).alias("id"), text(r.category).alias("category"), text(r.counterparty).alias("counterparty"),
+        F.when(_fits(r, k), F.struct(F.lit(r.id).alias("id"), text(r.category).alias("category"), text(r.counterparty).alias("counterparty"),
                                   F.array(*[F.lit(t) for t in r.tags]).cast("array<string>").alias("tags"), F.lit(r.stop).alias("stop"), F.lit(r.shipped).alias("shipped")))
-        for r in ordered(rules)
+        for k, r in enumerate(ordered(rules))
     ]))
 
     def step(a: Column, r: Column) -> Column:
@@ -88,12 +108,12 @@ def decide(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     start = F.struct(none.alias("category"), none.alias("rule_id"), none.alias("counterparty"), F.array().cast("array<string>").alias("tags"), F.lit(False).alias("done"))
     held = lines.withColumn("hits", hits)
     decision = F.when((F.size("hits") > 0) & (F.col("classification") != "equity"), F.aggregate("hits", start, step))
-    return held.withColumn("decision", decision).drop("hits")
+    return held.withColumn("decision", decision).drop("hits", "matches")
 
 
 #: A household's rules and a shipped set, over the bridge's labels.
 RULES = [
-    Rule("h1", 1, "marche", category="groceries", tags=("food",)),
+    Rule("h1", 1, "marché", category="groceries", tags=("food",)),
     Rule("h2", 2, "gare|station", category="transport"),
     Rule("h3", 3, at_least="100000", category="large", tags=("check", "large")),
     Rule("h4", 4, "cantine", category="restaurant", counterparty="Cantine Bleue", tags=("food",), stop=True),
@@ -108,7 +128,8 @@ RULES = [
 
 
 def lines_of(ledger: Ledger) -> DataFrame:
-    return ledger.entries.join(ledger.transactions.select("transaction_id", "description", "kind", "counterparty", "booked_on"), "transaction_id").join(ledger.accounts.select("account_id", "classification"), "account_id")
+    heads = with_matches(ledger.transactions.select("transaction_id", "description", "kind", "counterparty", "booked_on"), RULES)
+    return ledger.entries.join(heads, "transaction_id").join(ledger.accounts.select("account_id", "classification"), "account_id")
 
 
 def rule_decisions(ledger: Ledger) -> DataFrame:
@@ -137,12 +158,12 @@ def suggested_patterns(ledger: Ledger) -> DataFrame:
 
 def _fold_sql() -> str:
     """The same fold as nested selects, one a rule."""
-    sql = """SELECT e.transaction_id, e.account_id, e.amount, t.kind, t.counterparty, lower(translate(t.description, 'ÀÂÉÈÊËÎÏÔÙÛÜÇàâéèêëîïôùûüç', 'AAEEEEIIOUUUCaaeeeeiiouuuc')) AS d, cast(NULL AS varchar) AS category,
+    sql = """SELECT e.transaction_id, e.account_id, e.amount, t.kind, t.counterparty, lower(strip_accents(t.description)) AS d, cast(NULL AS varchar) AS category,
         cast(NULL AS varchar) AS rule_id, cast(NULL AS varchar) AS cp, '' AS tags, false AS done, false AS hit FROM {entries} e JOIN {transactions} t ON t.transaction_id = e.transaction_id JOIN {accounts} a ON a.account_id = e.account_id WHERE classification <> 'equity'"""
     for r in ordered(RULES):
         parts = ["NOT done"]
         if r.pattern is not None:
-            parts.append(f"regexp_matches(d, '{r.pattern}')" if r.pattern != "(unclosed" else "false")
+            parts.append(f"regexp_matches(d, strip_accents('{r.pattern}'))" if r.pattern != "(unclosed" else "false")
         if r.at_least is not None:
             parts.append(f"amount >= {r.at_least}")
         if r.kind is not None:

@@ -1,6 +1,7 @@
 """The ledger as views over the given star-schema tables.
 
-The same text runs in Spark SQL and in DuckDB: names in braces are tables or other views.
+The same text runs in Spark SQL and in DuckDB: names in braces are tables or other views.  Entries are the
+exception: Spark builds them from one read of the lines, where the text would read these four times.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VIEWS: dict[str, str] = {
     "households": """
@@ -70,9 +72,13 @@ VIEWS: dict[str, str] = {
     "statement_lines": """
         SELECT transaction_id AS source_id, household_id, transaction_id % 10 AS variant, currency,
                CASE WHEN transaction_id % 10 = 2 THEN cast(booked_on + INTERVAL 2 DAY AS date) ELSE booked_on END AS booked_on,
-               CASE WHEN transaction_id % 10 = 3 THEN 'Inconnu' ELSE description END AS description, external_id
-        FROM {base_transactions} WHERE transaction_id % 10 IN (1, 2, 3)""",
+               CASE WHEN transaction_id % 10 = 3 THEN 'Inconnu' ELSE description END AS description,
+               CASE WHEN transaction_id % 28 = 0 THEN concat('gone-', cast(transaction_id AS varchar(20))) ELSE external_id END AS external_id
+        FROM {base_transactions}""",
 }
+#: Every 97th transaction is reversed by one whose id is so much larger.
+REVERSED_EVERY, REVERSAL = 97, 1_000_000_000
+MONEY, QUANTITY = "decimal(28,10)", "decimal(38,18)"
 TABLES = ("nation", "customer", "supplier", "orders", "lineitem")
 
 
@@ -89,9 +95,36 @@ class Ledger:
         if name.startswith("_") or name not in VIEWS and name not in TABLES:
             raise AttributeError(name)
         if name not in self._built:
-            self._built[name] = self.sql(VIEWS[name]) if name in VIEWS else self.table(name)
+            if name in ("base_entries", "entries"):
+                self._built[name] = self._entries(reversals=name == "entries")
+            else:
+                self._built[name] = self.sql(VIEWS[name]) if name in VIEWS else self.table(name)
         return self._built[name]
 
+    def _entries(self, reversals: bool) -> DataFrame:
+        """One row a leg: each line's equity account, then the household's own with the sum of them; each again for a reversal.
+
+        An order has a few lines, so its legs meet in one row, by the shuffle that joins lines and orders.
+        """
+        heads = self.base_transactions.select("transaction_id", "household_id", "custkey", "kind", "currency")
+        amount = F.when(F.col("kind") == "deposit", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).cast(MONEY)
+        leg = lambda account, sum_, part, size: F.struct(account.alias("account_id"), sum_.cast(MONEY).alias("amount"), part.cast("long").alias("instrument_id"), size.cast(QUANTITY).alias("quantity"))
+        outside = F.concat(F.lit("X"), F.col("household_id").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string"))
+        lines = self.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice").join(heads, F.col("l_orderkey") == F.col("transaction_id"))
+        orders = lines.groupBy("transaction_id", "household_id", "custkey", "currency").agg(
+            F.collect_list(leg(outside, amount, F.col("l_partkey"), F.col("l_quantity"))).alias("legs"), F.sum(amount).alias("total"))
+        own = leg(F.concat(F.lit("C"), F.col("custkey").cast("string")), -F.col("total"), F.lit(None), F.lit(None))
+        legs = orders.select("transaction_id", "household_id", "currency", F.explode(F.concat("legs", F.array(own))).alias("leg"))
+        if not reversals:
+            return legs.select("transaction_id", "household_id", "leg.account_id", "leg.amount", "currency", "leg.instrument_id", "leg.quantity")
+        signs = F.when(F.col("transaction_id") % REVERSED_EVERY == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+        signed = legs.select("*", F.explode(signs).alias("sign"))
+        back = F.col("sign") < 0
+        return signed.select(
+            F.when(back, F.col("transaction_id") + REVERSAL).otherwise(F.col("transaction_id")).alias("transaction_id"), "household_id", "leg.account_id",
+            F.when(back, -F.col("leg.amount")).otherwise(F.col("leg.amount")).cast(MONEY).alias("amount"), "currency", "leg.instrument_id",
+            F.when(back, -F.col("leg.quantity")).otherwise(F.col("leg.quantity")).cast(QUANTITY).alias("quantity"))
+
     def sql(self, text: str) -> DataFrame:
         names = {n for n in (*VIEWS, *TABLES) if "{" + n + "}" in text}
         return self.spark.sql(text, **{n: getattr(self, n) for n in names})

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import balances, ingestion, ledger, matching, rules
+from ledgerloom.operators import access, balances, ingestion, ledger, matching, rules
 from ledgerloom.plans.bridge import Ledger, oracle
 
-MODULES = (balances, ledger, matching, rules, ingestion)
+MODULES = (balances, ledger, matching, rules, ingestion, access)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

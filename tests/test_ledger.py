@@ -1,7 +1,10 @@
+import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import trigram_similarity
 from ledgerloom.operators import ledger as ops
 from ledgerloom.operators import matching, rules
 from ledgerloom.plans.bridge import Ledger
@@ -39,28 +42,83 @@ def test_pages_are_clamped(spark):
     assert ops.page_of(book, ops.Filters(kind="none")).pages == 1
 
 
+def sequential_verdicts(asks, rows):
+    """Each candidate in turn against all rows, as plainly as it can be told."""
+    rows = sorted(rows, key=lambda r: (r["booked_on"], r["transaction_id"]))
+    by_id = {}
+    for r in rows:
+        if r["external_id"] is not None:
+            k = (r["household_id"], r["external_id"])
+            if k not in by_id or r["transaction_id"] < by_id[k]["transaction_id"]:
+                by_id[k] = r
+    taken, out = set(), {}
+    for c in sorted(asks, key=lambda c: c["source_id"]):
+        if c["external_id"] is not None:
+            hit = by_id.get((c["household_id"], c["external_id"]))
+            out[c["source_id"]] = ("certain", hit["transaction_id"]) if hit else ("new", None)
+        else:
+            free = [r for r in rows if r["household_id"] == c["household_id"] and r["transaction_id"] not in taken]
+            hit, verdict = next((r for r in free if c["hash"] in r["keys"]), None), "certain"
+            if hit is None:
+                verdict, shaped = "probable", [r for r in free if r["shape"] == c["shape"]]
+                gap = lambda r: abs((r["booked_on"] - c["booked_on"]).days)  # noqa: B023, E731
+                hit = next((r for r in shaped if gap(r) == 0), None)
+                if hit is None:
+                    near = [r for r in shaped if gap(r) <= 3 and c["label"] and r["label"] and matching.similar(c["label"], r["label"]) >= 0.7]
+                    hit = min(near, key=gap, default=None)
+            out[c["source_id"]] = (verdict, hit["transaction_id"]) if hit else ("new", None)
+        if hit:
+            taken.add(hit["transaction_id"])
+    return out
+
+
 def test_verdicts_against_a_sequential_model(spark):
-    """Each candidate in turn, one-to-one, over the pairs that the exact and fuzzy joins find."""
+    """On the given tables, and on random worlds where identifiers clash across shapes, rows are few and claims cross."""
     book = Ledger(spark, DATA)
+    digest = matching.dedupe_hash(F.col("booked_on"), F.col("shape"), F.col("label"))
+    asks = [r.asDict() for r in matching.candidates(book).withColumn("hash", digest).collect()]
+    rows = [r.asDict() for r in matching._open_rows(book).withColumn("keys", F.array(digest)).collect()]
     got = {r["source_id"]: (r["verdict"], r["transaction_id"]) for r in matching.duplicate_verdicts(book).collect()}
-    external = {r["source_id"]: r["transaction_id"] for r in matching.external_id_match(book).collect()}
-    near = {}
-    for r in matching.fuzzy_pairs(book).collect():
-        near.setdefault(r["source_id"], []).append((r["days"] > 0, r["days"], r["transaction_id"]))
-    hashes = {r["transaction_id"]: r["hash"] for r in matching.dedupe_hashes(book).collect()}
-    assert set(got) == {r["source_id"] for r in matching.candidates(book).collect()}
-    taken = set()
-    for source in sorted(got):
-        verdict, hit = got[source]
-        if source in external:
-            assert (verdict, hit) == ("certain", external[source])
-        elif verdict == "new":
-            assert all(t in taken for _, _, t in near.get(source, []))
-        elif verdict == "certain":
-            assert hit in hashes and hit not in taken
-        else:
-            assert hit == min(x for x in near[source] if x[2] not in taken)[2]
-        taken.add(hit)
+    by_household = {}
+    for kind, items in (("asks", asks), ("rows", rows)):
+        for x in items:
+            by_household.setdefault(x["household_id"], {"asks": [], "rows": []})[kind].append(x)
+    want = {}
+    for h in by_household.values():
+        want |= sequential_verdicts(h["asks"], h["rows"])
+    assert got == want and {"new", "certain", "probable"} == {v for v, _ in got.values()}
+
+    rng = random.Random(8)
+    day = lambda: datetime.date(2026, 1, 1) + datetime.timedelta(rng.randrange(14))
+    labels = ["", "MARCHE NORD", "MARCHE NORT", "GARE CENTRALE", "GARE CENTRAL", "OTHER"]
+    asks, rows = [], []
+    for household in range(60):
+        name = lambda: f"id{rng.randrange(6)}" if rng.random() < 0.4 else None
+        for _ in range(10):
+            asks.append((household, len(asks), day(), name(), f"s{rng.randrange(3)}", rng.choice(labels)))
+        ids = [f"id{k}" for k in range(6)]
+        rng.shuffle(ids)
+        for k in range(9):
+            rows.append((household, 1000 + len(rows), day(), ids[k] if k < 4 else None, f"s{rng.randrange(3)}", rng.choice(labels)))
+    schema = "household_id long, {} long, booked_on date, external_id string, shape string, label string"
+    left = spark.createDataFrame(asks, schema.format("source_id")).withColumn("hash", digest)
+    right = spark.createDataFrame(rows, schema.format("transaction_id")).withColumn("keys", F.array(digest))
+    got = {r["source_id"]: (r["verdict"], r["transaction_id"]) for r in matching.verdicts(left, right).collect()}
+    assert got == sequential_verdicts([r.asDict() for r in left.collect()], [r.asDict() for r in right.collect()])
+
+
+def test_similarity_in_python_is_that_of_columns(spark):
+    pairs = [("MARCHE NORD", "MARCHE NORT"), ("A", "A B"), ("", "X"), ("GARE", "GARE CENTRALE"), ("AA AA", "AA")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(F.round(trigram_similarity(F.col("a"), F.col("b")), 6)).collect()]
+    assert got == [matching.similar(a, b) for a, b in pairs]
+
+
+def test_patterns_lose_accents_and_what_the_jvm_cannot_run_matches_nothing(spark):
+    lines = spark.createDataFrame([("Marche\u0301 du Port", "asset"), ("MARCHÉ", "asset"), ("Ñandú", "asset"), (None, "asset")], "description string, classification string").selectExpr("*", "cast(1 as decimal(28,10)) as amount", "'k' as kind", "'a' as account_id")
+    hit = lambda pattern: [r["decision"] is not None for r in rules.decide(lines, [rules.Rule("r", 1, pattern, category="c")]).collect()]
+    assert hit("marché") == [True, True, False, False] and hit("(?i)ÑANDU") == [False, False, True, False]
+    assert hit("(?P<n>marche)") == [False] * 4 and hit("(unclosed") == [False] * 4 and hit("m" * 201) == [False] * 4
 
 
 def test_rules_refuse_no_effect_and_no_condition():

@@ -1,6 +1,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from ledgerloom.operators import access, store
 from ledgerloom.plans.bridge import Ledger
@@ -38,6 +39,16 @@ def test_a_session_sees_its_household_only(spark):
     assert access.visible(access.bind(book, None), "transactions").count() == 0
     with pytest.raises(PermissionError):
         access.visible(session, "all_transactions")
+    assert {t.name for t in session.catalog.listTables()} == set(access.SECURED)
+    with pytest.raises(AnalysisException):
+        session.table("all_transactions")
+    for name in access.SECURED:
+        assert {r[0] for r in session.sql(f"select distinct household_id from {name}").collect()} == {3}
+    access.assert_scoped(session)
+    spark.range(1).createOrReplaceTempView("everything")
+    with pytest.raises(PermissionError):
+        access.assert_scoped(spark)
+    spark.catalog.dropTempView("everything")
 
 
 def test_roles(spark):
