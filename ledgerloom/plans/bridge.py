@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VIEWS: dict[str, str] = {
@@ -102,19 +102,22 @@ class Ledger:
         return self._built[name]
 
     def _entries(self, reversals: bool) -> DataFrame:
-        """One row a leg: each line's equity account, then the household's own with the sum of them; each again for a reversal.
+        """One row a leg: each line's equity account, and with an order's first line the household's own, with the sum of all; each again for a reversal.
 
-        An order has a few lines, so its legs meet in one row, by the shuffle that joins lines and orders.
+        The sum is a window over the order's few lines, by the shuffle that joins lines and orders.
         """
         heads = self.base_transactions.select("transaction_id", "household_id", "custkey", "kind", "currency")
         amount = F.when(F.col("kind") == "deposit", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).cast(MONEY)
         leg = lambda account, sum_, part, size: F.struct(account.alias("account_id"), sum_.cast(MONEY).alias("amount"), part.cast("long").alias("instrument_id"), size.cast(QUANTITY).alias("quantity"))
         outside = F.concat(F.lit("X"), F.col("household_id").cast("string"), F.lit(":"), F.col("l_suppkey").cast("string"))
-        lines = self.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice").join(heads, F.col("l_orderkey") == F.col("transaction_id"))
-        orders = lines.groupBy("transaction_id", "household_id", "custkey", "currency").agg(
-            F.collect_list(leg(outside, amount, F.col("l_partkey"), F.col("l_quantity"))).alias("legs"), F.sum(amount).alias("total"))
-        own = leg(F.concat(F.lit("C"), F.col("custkey").cast("string")), -F.col("total"), F.lit(None), F.lit(None))
-        legs = orders.select("transaction_id", "household_id", "currency", F.explode(F.concat("legs", F.array(own))).alias("leg"))
+        own = F.concat(F.lit("C"), F.col("custkey").cast("string"))
+        lines = self.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice").join(heads, F.col("l_orderkey") == F.col("transaction_id"))
+        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+        every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        told = lines.withColumn("amount", amount).withColumn("nth", F.row_number().over(order)).withColumn("total", F.sum("amount").over(every))
+        outer = leg(outside, F.col("amount"), F.col("l_partkey"), F.col("l_quantity"))
+        both = F.when(F.col("nth") == 1, F.array(outer, leg(own, -F.col("total"), F.lit(None), F.lit(None)))).otherwise(F.array(outer))
+        legs = told.select("transaction_id", "household_id", "currency", F.explode(both).alias("leg"))
         if not reversals:
             return legs.select("transaction_id", "household_id", "leg.account_id", "leg.amount", "currency", "leg.instrument_id", "leg.quantity")
         signs = F.when(F.col("transaction_id") % REVERSED_EVERY == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
