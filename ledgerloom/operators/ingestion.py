@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as fx
 from ledgerloom.operators.matching import _LABEL as LABEL_SQL
 from ledgerloom.plans.bridge import Ledger
+from ledgerloom.sources import delimited as dl
 from ledgerloom.sources import statements as st
 
 
@@ -18,10 +19,16 @@ def _moves(ledger: Ledger) -> DataFrame:
 
 
 def _files(moves: DataFrame, head: Column, record: Column, tail: str) -> DataFrame:
-    """One file an account: its records in order."""
+    """One file an account and month, as banks send them: its records in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("booked_on", "transaction_id", record.alias("r")))), lambda x: x["r"])
-    return moves.groupBy("account_id").agg(F.first("currency").alias("currency"), ordered.alias("rs")).select(
-        F.col("account_id").alias("path"), F.concat(head, F.array_join("rs", "\n"), F.lit(tail)).alias("text"))
+    return moves.groupBy("account_id", F.date_format("booked_on", "yyyy-MM").alias("month")).agg(F.first("currency").alias("currency"), ordered.alias("rs")).select(
+        F.concat_ws("/", "account_id", "month").alias("path"), F.concat(head, F.array_join("rs", "\n"), F.lit(tail)).alias("text"))
+
+
+def _bundled(files: DataFrame) -> DataFrame:
+    """Two files in one for each account's odd and even months: files of several statements."""
+    key = F.concat(F.substring_index("path", "-", 1), F.lit("/"), (F.substring_index("path", "-", -1).cast("int") / 2).cast("int").cast("string"))
+    return files.groupBy(key.alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), "\n").alias("text")).select(F.col("key").alias("path"), "text")
 
 
 def _out(read: DataFrame) -> DataFrame:
@@ -32,26 +39,51 @@ def mt940_statements(ledger: Ledger) -> DataFrame:
     size = F.regexp_replace(F.abs(F.col("amount")).cast("string"), "[.]", ",")
     record = F.concat(F.lit(":61:"), F.date_format("booked_on", "yyMMddMMdd"), F.when(F.col("amount") < 0, "D").otherwise("C"), size, F.lit("NTRFNONE//"), F.col("transaction_id").cast("string"), F.lit("\n:86:MOVE"))
     head = F.concat(F.lit(":20:X\n:25:"), F.col("account_id"), F.lit("\n:60F:C260101"), F.col("currency"), F.lit("0,00\n"))
-    return _out(st.read_mt940(_files(_moves(ledger), head, record, "\n:62F:C260101EUR0,00")))
+    return _out(st.read_mt940(_bundled(_files(_moves(ledger), head, record, "\n:62F:C260101EUR0,00"))))
 
 
 def qif_statements(ledger: Ledger) -> DataFrame:
-    record = F.concat(F.lit("D"), F.date_format("booked_on", "dd/MM/yyyy"), F.lit("\nT"), F.format_number(F.col("amount"), 2), F.lit("\nPSomeone\n^"))
-    read = st.read_qif(_files(_moves(ledger).withColumn("booked_on", F.date_add(F.trunc("booked_on", "month"), 27)), F.concat(F.lit("!Account\nN"), F.col("account_id"), F.lit("\n^\n!Type:Bank\n")), record, ""), "EUR")
-    return _out(read)
+    """Half of the files that hold a day over 12 write the month first; the order is the file's to tell."""
+    moves = _moves(ledger)
+    latest = F.max(F.dayofmonth("booked_on")).over(Window.partitionBy("account_id", F.date_format("booked_on", "yyyy-MM")))
+    turned = (latest > 12) & (F.month("booked_on") % 2 == 0)
+    moves = moves.withColumn("day", F.when(turned, F.date_format("booked_on", "MM/dd/yyyy")).otherwise(F.date_format("booked_on", "dd/MM/yyyy")))
+    record = F.concat(F.lit("D"), F.col("day"), F.lit("\nT"), F.format_number(F.col("amount"), 2), F.lit("\nPSomeone\n^"))
+    return _out(st.read_qif(_files(moves, F.concat(F.lit("!Account\nN"), F.col("account_id"), F.lit("\n^\n!Type:Bank\n")), record, ""), "EUR"))
 
 
 def ofx_statements(ledger: Ledger) -> DataFrame:
     record = F.concat(F.lit("<STMTTRN>\n<TRNTYPE>OTHER\n<DTPOSTED>"), F.date_format("booked_on", "yyyyMMdd"), F.lit("\n<TRNAMT>"), F.col("amount").cast("string"), F.lit("\n<FITID>"), F.col("transaction_id").cast("string"), F.lit("\n<NAME>Someone\n</STMTTRN>"))
-    head = F.concat(F.lit("OFXHEADER:100\n<OFX><CURDEF>"), F.col("currency"), F.lit("\n<ACCTID>"), F.col("account_id"), F.lit("\n<BANKTRANLIST>\n"))
-    return _out(st.read_ofx(_files(_moves(ledger), head, record, "\n</BANKTRANLIST></OFX>")))
+    head = F.concat(F.lit("<STMTRS><CURDEF>"), F.col("currency"), F.lit("\n<BANKACCTFROM><ACCTID>"), F.col("account_id"), F.lit("\n</BANKACCTFROM><BANKTRANLIST>\n"))
+    return _out(st.read_ofx(_bundled(_files(_moves(ledger), head, record, "\n</BANKTRANLIST></STMTRS>"))))
 
 
 def camt_statements(ledger: Ledger) -> DataFrame:
     record = F.concat(F.lit('<n:Ntry><n:Amt Ccy="'), F.col("currency"), F.lit('">'), F.abs(F.col("amount")).cast("string"), F.lit("</n:Amt><n:CdtDbtInd>"), F.when(F.col("amount") < 0, "DBIT").otherwise("CRDT"),
                       F.lit("</n:CdtDbtInd><n:Sts>"), F.when(F.col("transaction_id") % 11 == 0, "PDNG").otherwise("BOOK"), F.lit("</n:Sts><n:BookgDt><n:Dt>"), F.col("booked_on").cast("string"), F.lit("</n:Dt></n:BookgDt><n:AcctSvcrRef>"), F.col("transaction_id").cast("string"), F.lit("</n:AcctSvcrRef></n:Ntry>"))
     head = F.concat(F.lit("<n:Document xmlns:n='camt.053'><n:Stmt><n:IBAN>"), F.col("account_id"), F.lit("</n:IBAN>"))
-    return _out(st.read_camt(_files(_moves(ledger), head, record, "</n:Stmt></n:Document>")))
+    return _out(st.read_camt(_bundled(_files(_moves(ledger), head, record, "</n:Stmt></n:Document>"))).filter("problem is null"))
+
+
+def closing_balances_read(ledger: Ledger) -> DataFrame:
+    """What each month's file of one statement says its closing balance is: here the sum of its movements."""
+    sums = _moves(ledger).groupBy("account_id", F.date_format("booked_on", "yyyy-MM").alias("month")).agg(F.sum("amount").cast("decimal(20,2)").alias("total"), F.first("currency").alias("currency"))
+    size = F.abs("total").cast("string")
+    text = F.concat(F.lit("<Document><Stmt><Acct><Id><IBAN>"), F.col("account_id"), F.lit("</IBAN></Id></Acct><Bal><Tp><CdOrPrtry><Cd>OPBD</Cd></CdOrPrtry></Tp><Amt>1</Amt><CdtDbtInd>CRDT</CdtDbtInd></Bal><Bal><Tp><CdOrPrtry><Cd>CLBD</Cd></CdOrPrtry></Tp><Amt>"), size,
+                    F.lit("</Amt><CdtDbtInd>"), F.when(F.col("total") < 0, "DBIT").otherwise("CRDT"), F.lit("</CdtDbtInd></Bal></Stmt></Document>"))
+    return st.closing_balances(sums.select(F.concat_ws("/", "account_id", "month").alias("path"), text.alias("text")), "camt")
+
+
+def delimited_statements(ledger: Ledger) -> DataFrame:
+    """Month files of a bank with lines above the header, quoted labels, debit and credit columns, pending and unreadable rows."""
+    size = F.regexp_replace(F.abs("amount").cast("string"), "[.]", ",")
+    debit, credit = F.when(F.col("transaction_id") % 17 == 0, F.lit("none")).when(F.col("amount") < 0, size).otherwise(F.lit("")), F.when(F.col("amount") < 0, F.lit("")).otherwise(size)
+    state = F.when(F.col("transaction_id") % 13 == 0, F.lit("Renvoyé")).otherwise(F.lit("ok"))
+    record = F.concat(F.date_format("booked_on", "yyyy-MM-dd"), F.lit(';"a ""label""; with'), F.lit("\n"), F.lit('a turn";'), debit, F.lit(";"), credit, F.lit(";"), F.col("transaction_id").cast("string"), F.lit(";"), state)
+    head = F.concat(F.lit("Statement of\n"), F.col("account_id"), F.lit("\nDay;Label;Debit;Credit;Number;State\n"))
+    mapping = dl.Mapping(booked_on="Day", debit="Debit", credit="Credit", fixed_currency="EUR", description="Label", external_id="Number", status="State", skipped=("RENVOYE",), delimiter=";")
+    read = dl.read(_files(_moves(ledger), head, record, "\n"), mapping)
+    return read.select(F.substring_index("path", "/", 1).alias("account"), "booked_on", "amount", "external_id", F.regexp_replace("description", "\n", " ").alias("description"), F.coalesce("skipped", "problem").alias("outcome"))
 
 
 def amounts_read(ledger: Ledger) -> DataFrame:
@@ -108,8 +140,11 @@ _FULL = f"SELECT account_id AS account, booked_on, cast(amount AS decimal(28,10)
 ORACLES = {
     "mt940_statements": f"SELECT account_id AS account, cast(CASE WHEN booked_on < DATE '2000-01-01' THEN booked_on + INTERVAL 100 YEAR ELSE booked_on END AS date) AS booked_on, cast(amount AS decimal(28,10)) AS amount, currency, CASE WHEN transaction_id <> 0 THEN cast(transaction_id AS varchar) END AS external_id, {_KIND} FROM ({_MOVES}) m",
     "ofx_statements": _FULL,
-    "qif_statements": f"SELECT account_id AS account, cast(date_trunc('month', booked_on) + INTERVAL 27 DAY AS date) AS booked_on, cast(amount AS decimal(28,10)) AS amount, 'EUR' AS currency, cast(NULL AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m",
+    "qif_statements": f"SELECT account_id AS account, booked_on, cast(amount AS decimal(28,10)) AS amount, 'EUR' AS currency, cast(NULL AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m",
     "camt_statements": _FULL + " WHERE transaction_id % 11 <> 0",
+    "closing_balances_read": f"SELECT concat(account_id, '/', strftime(booked_on, '%Y-%m')) AS path, account_id AS account, cast(sum(amount) AS decimal(28,10)) AS closing FROM ({_MOVES}) m GROUP BY 1, 2",
+    "delimited_statements": f"""SELECT account_id AS account, booked_on, CASE WHEN transaction_id % 17 <> 0 THEN cast(amount AS decimal(28,10)) WHEN amount >= 0 THEN cast(amount AS decimal(28,10)) END AS amount, cast(transaction_id AS varchar) AS external_id, 'a "label"; with a turn' AS description,
+        CASE WHEN transaction_id % 13 = 0 THEN 'Renvoyé' WHEN transaction_id % 17 = 0 AND amount < 0 THEN 'unreadable amount' END AS outcome FROM ({_MOVES}) m""",
     "amounts_read": "SELECT l_orderkey, l_linenumber, cast(CASE WHEN l_linenumber % 5 IN (2, 3) THEN -1 ELSE 1 END * cast(l_extendedprice AS decimal(20,2)) AS decimal(28,10)) AS amount FROM {lineitem}",
     "dates_read": "SELECT o_orderkey, cast(o_orderdate AS date) AS day, CASE o_orderkey % 3 WHEN 0 THEN 'dmy' WHEN 1 THEN 'mdy' ELSE 'ymd' END AS date_order, false AS ambiguous FROM {orders}",
     "running_balance_check": f"""SELECT account_id, transaction_id, balance, expected FROM (SELECT *, cast(lag(balance) OVER (PARTITION BY account_id ORDER BY booked_on, transaction_id) + amount AS decimal(38,10)) AS expected FROM

@@ -7,14 +7,12 @@ over a file's lines; a file is bounded by the upload limit below, so its lines m
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ledgerloom.functions.text import date_order, from_debit_credit, parse_amount, read_currency, read_date, trimmed
+from ledgerloom.functions.text import date_order, parse_amount, read_currency, read_date, trimmed
 
 MOST_BYTES = 5 * 1024 * 1024
 MOST_LINES = 50_000
@@ -72,6 +70,22 @@ def _shaped(rows: DataFrame) -> DataFrame:
         blank("description").alias("description"), blank("counterparty").alias("counterparty"), blank("account").alias("account"), F.col("amount").cast("decimal(28,10)").alias("amount"), "currency", found.alias("problem"))
 
 
+def _subfields(narrative: Column) -> tuple[Column, Column]:
+    """(description, counterparty) of a narrative: of numbered sub-fields ?20 to ?29 and ?60 to ?63, else ?00, and of ?32 with ?33; one without any is the description."""
+    flat = F.regexp_replace(narrative, r"\n", "")
+    joined = lambda codes: trimmed(F.regexp_replace(F.array_join(F.transform(F.regexp_extract_all(flat, F.lit(rf"\?(?:{codes})([^?]*)"), F.lit(1)), lambda x: x), ""), r"\s+", " "))
+    told = joined("2[0-9]|6[0-3]")
+    numbered = F.contains(flat, F.lit("?"))
+    return F.when(~numbered, flat).when(told != "", told).otherwise(joined("00")), F.when(numbered, joined("3[23]"))
+
+
+def without_records(files: DataFrame, read: DataFrame, reason: Column) -> DataFrame:
+    """Add one problem for each file of which no record came."""
+    silent = files.select("path", reason.alias("problem")).join(read.select("path").distinct(), "path", "left_anti")
+    blanks = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("path", "line", "problem") else F.lit(1).alias("line") if f.name == "line" else F.col(f.name) for f in read.schema.fields]
+    return read.unionByName(silent.select(*blanks))
+
+
 def read_mt940(files: DataFrame) -> DataFrame:
     """SWIFT statements: tags with continuation lines, several statements a file, years borrowed across December."""
     order = Window.partitionBy("path").orderBy("pos")
@@ -98,8 +112,8 @@ def read_mt940(files: DataFrame) -> DataFrame:
     moves = known.filter("tag = '61'").select(
         "path", (F.col("pos") + 1).alias("line"), F.when(~F.upper(reference).isin(*PLACEHOLDERS), reference).alias("external_id"), booked.alias("booked_on"),
         F.when(g(6) == "NINT", "interest").when(g(6) == "NDIV", "dividend").when(g(6).isin("NCHG", "NCOM"), "fee").alias("kind"),
-        F.regexp_replace("narrative", r"\n", "").alias("description"), "account", F.when(g(3).isin("D", "RC"), -size).otherwise(size).alias("amount"), F.when(F.col("currency") != "", F.col("currency")).alias("currency"))
-    return _shaped(moves)
+        _subfields(F.col("narrative"))[0].alias("description"), _subfields(F.col("narrative"))[1].alias("counterparty"), "account", F.when(g(3).isin("D", "RC"), -size).otherwise(size).alias("amount"), F.when(F.col("currency") != "", F.col("currency")).alias("currency"))
+    return without_records(files, _shaped(moves), F.lit("no movement in this statement"))
 
 
 def read_qif(files: DataFrame, currency: str) -> DataFrame:
@@ -124,78 +138,89 @@ def _value(block: Column, tag: str) -> Column:
     return F.trim(F.regexp_extract(block, f"(?is)<{tag}>([^<\\r\\n]*)", 1))
 
 
+def _statements(files: DataFrame, tag: str) -> DataFrame:
+    """(path, statement, body) of a file's statements between ``tag`` and its end, or the next one's start where tags are not closed."""
+    whole = f"(?is)<{tag}>.*?(?=</{tag}>|<{tag}>|\\z)"
+    return files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(whole), F.lit(0))).alias("statement", "body"))
+
+
+def _records(statements: DataFrame, block: str) -> DataFrame:
+    """Add (nth, block) of each record; records are numbered through a file, in order of its statements."""
+    each = statements.select("*", F.posexplode(F.regexp_extract_all("body", F.lit(block), F.lit(0))).alias("within", "block"))
+    return each.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("statement", "within"))).drop("within")
+
+
+def _ofx_statements(files: DataFrame) -> DataFrame:
+    """Bank and card statements, each with the account and currency that it names itself; a file with neither tag but with records is one statement."""
+    tagged = files.withColumn("text", F.regexp_replace("text", r"(?i)<(/?)CCSTMTRS>", "<$1STMTRS>"))
+    bare = tagged.filter(~F.col("text").rlike("(?i)<STMTRS>") & ~F.col("text").rlike("(?i)<INVSTMTRS>")).select("path", F.lit(0).alias("statement"), F.col("text").alias("body"))
+    return _statements(tagged, "STMTRS").unionByName(bare)
+
+
 def read_ofx(files: DataFrame) -> DataFrame:
-    """OFX 1 (tags not closed) and 2; statements of investments are refused."""
-    block = r"(?is)<STMTTRN>.*?(?=<STMTTRN>|</STMTTRN>|</BANKTRANLIST>|\z)"
-    each = files.select("path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(block), F.lit(0))).alias("nth", "block"))
+    """OFX 1 (tags not closed) and 2: all bank and card statements of a file; files of investments alone are refused with a problem."""
+    each = _records(_ofx_statements(files), r"(?is)<STMTTRN>.*?(?=<STMTTRN>|</STMTTRN>|</BANKTRANLIST>|\z)")
     stamp = F.substring(_value(F.col("block"), "DTPOSTED"), 1, 8)
     kind = F.upper(_value(F.col("block"), "TRNTYPE"))
-    currency = _value(F.col("text"), "CURDEF")
-    return _shaped(each.select(
-        "path", (F.col("nth") + 1).alias("line"), _value(F.col("block"), "FITID").alias("external_id"), F.try_to_date(stamp, "yyyyMMdd").alias("booked_on"), parse_amount(_value(F.col("block"), "TRNAMT")).alias("amount"),
+    currency = _value(F.col("body"), "CURDEF")
+    read = _shaped(each.select(
+        "path", F.col("nth").alias("line"), _value(F.col("block"), "FITID").alias("external_id"), F.try_to_date(stamp, "yyyyMMdd").alias("booked_on"), parse_amount(_value(F.col("block"), "TRNAMT")).alias("amount"),
         F.when(currency != "", F.upper(currency)).alias("currency"), F.when(kind == "INT", "interest").when(kind == "DIV", "dividend").when(kind.isin("FEE", "SRVCHG"), "fee").alias("kind"),
-        F.coalesce(F.nullif(_value(F.col("block"), "MEMO"), F.lit("")), _value(F.col("block"), "NAME")).alias("description"), _value(F.col("block"), "NAME").alias("counterparty"), _value(F.col("text"), "ACCTID").alias("account"),
-        F.when(F.col("text").rlike("(?i)<INVSTMTRS>"), "investment statements are not read").alias("problem")))
+        F.coalesce(F.nullif(_value(F.col("block"), "MEMO"), F.lit("")), _value(F.col("block"), "NAME")).alias("description"), _value(F.col("block"), "NAME").alias("counterparty"), _value(F.col("body"), "ACCTID").alias("account")))
+    reason = F.when(F.col("text").rlike("(?i)<INVSTMTRS>"), "investment statements are not read").otherwise("no bank or card statement in this file")
+    return without_records(files, read, reason)
+
+
+def _camt_statements(files: DataFrame) -> DataFrame:
+    return _statements(files.select("path", F.regexp_replace("text", r"<(/?)[A-Za-z0-9]+:", "<$1").alias("text")), "Stmt")
+
+
+def _iban(body: Column) -> Column:
+    """The statement's own account: the first one that it names, before any entry."""
+    head = F.split(body, "<Ntry>")[0]
+    return F.coalesce(F.nullif(_value(head, "IBAN"), F.lit("")), F.nullif(_value(F.regexp_extract(head, r"(?s)<Acct>(.*?)</Acct>", 1), "Id"), F.lit("")))
 
 
 def read_camt(files: DataFrame) -> DataFrame:
-    """ISO 20022 camt.053: unsigned amounts with a mark of their side; pending and informative entries are left out."""
-    plain = files.select("path", F.regexp_replace("text", r"<(/?)[A-Za-z0-9]+:", "<$1").alias("text"))
-    each = plain.select("path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)<Ntry>.*?</Ntry>"), F.lit(0))).alias("nth", "block"))
+    """ISO 20022 camt.053, each statement on its own account: unsigned amounts with a mark of their side; pending and informative entries are left out."""
+    each = _records(_camt_statements(files), r"(?s)<Ntry>.*?</Ntry>")
     b = F.col("block")
     inner = lambda outer, tag: _value(F.regexp_extract(b, f"(?s)<{outer}>(.*?)</{outer}>", 1), tag)
     status = F.trim(F.regexp_extract(b, r"(?s)<Sts>\s*(?:<Cd>)?\s*([A-Z]+)", 1))
-    out = _value(b, "CdtDbtInd") == "DBIT"
+    side = F.upper(_value(b, "CdtDbtInd"))
+    out = side == "DBIT"
     size = F.abs(parse_amount(F.regexp_extract(b, r"<Amt[^>]*>([^<]*)", 1)))
     party = F.when(out, inner("Cdtr", "Nm")).otherwise(inner("Dbtr", "Nm"))
     memo = F.coalesce(F.nullif(inner("RmtInf", "Ustrd"), F.lit("")), _value(b, "AddtlNtryInf"))
     booked = F.coalesce(F.nullif(F.regexp_extract(b, r"(?s)<BookgDt>\s*<D(?:t|tTm)>(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.regexp_extract(b, r"(?s)<ValDt>\s*<D(?:t|tTm)>(\d{4}-\d{2}-\d{2})", 1))
-    return _shaped(each.filter(~status.isin("PDNG", "INFO")).select(
-        "path", (F.col("nth") + 1).alias("line"), F.coalesce(F.nullif(_value(b, "AcctSvcrRef"), F.lit("")), _value(b, "NtryRef")).alias("external_id"), F.try_to_date(booked, "yyyy-MM-dd").alias("booked_on"),
-        F.when(out, -size).otherwise(size).alias("amount"), read_currency(F.regexp_extract(b, r'<Amt[^>]*Ccy="([^"]*)"', 1)).alias("currency"), memo.alias("description"), party.alias("counterparty"), _value(F.col("text"), "IBAN").alias("account")))
-
-
-@dataclass(frozen=True)
-class Mapping:
-    """What the columns of a delimited file mean; names are those of its header."""
-
-    booked_on: str
-    amount: str | None = None
-    debit: str | None = None
-    credit: str | None = None
-    currency: str | None = None  # a column, or with ``fixed_currency`` none
-    fixed_currency: str | None = None
-    description: str | None = None
-    external_id: str | None = None
-    balance: str | None = None
-    status: str | None = None
-    skipped: tuple[str, ...] = ()
-    account: str = "account"
-
-    def __post_init__(self) -> None:
-        if (self.amount is None) == (self.debit is None or self.credit is None):
-            raise ValueError("state one amount column, or both a debit and a credit column")
-        if self.currency is None and self.fixed_currency is None:
-            raise ValueError("state the currency or its column")
-
-    @property
-    def required(self) -> list[str]:
-        return [c for c in (self.booked_on, self.amount, self.debit, self.credit, self.currency) if c]
-
-
-def read_delimited(rows: DataFrame, mapping: Mapping) -> DataFrame:
-    """Movements of ``spark.read.csv(..., header=True)`` rows with ``path`` and ``line``, as ``mapping`` says."""
-    if missing := [c for c in mapping.required if c not in rows.columns]:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    col = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
-    orders = rows.groupBy("path").agg(date_order(col(mapping.booked_on)).alias("o"))
-    amount = parse_amount(col(mapping.amount)) if mapping.amount else from_debit_credit(col(mapping.debit), col(mapping.credit))
-    if mapping.status:
-        rows = rows.filter(~F.lower(trimmed(col(mapping.status))).isin(*[s.lower() for s in mapping.skipped]))
-    text = lambda c: col(c) if c else F.lit(None).cast("string")
-    return _shaped(rows.join(orders, "path").select(
-        "path", "line", text(mapping.external_id).alias("external_id"), read_date(col(mapping.booked_on), F.col("o.order")).alias("booked_on"), amount.alias("amount"),
-        (read_currency(col(mapping.currency)) if mapping.currency else F.lit(mapping.fixed_currency)).alias("currency"), text(mapping.description).alias("description"), F.lit(mapping.account).alias("account")))
+    named = lambda tag: F.when(~F.upper(_value(b, tag)).isin("", *PLACEHOLDERS), _value(b, tag))
+    currency = F.coalesce(F.nullif(F.regexp_extract(b, r'<Amt[^>]*Ccy="([^"]*)"', 1), F.lit("")), _value(F.regexp_extract(F.split("body", "<Ntry>")[0], r"(?s)<Acct>(.*?)</Acct>", 1), "Ccy"))
+    read = _shaped(each.filter(~status.isin("PDNG", "INFO")).select(
+        "path", F.col("nth").alias("line"), F.coalesce(named("AcctSvcrRef"), named("NtryRef")).alias("external_id"), F.try_to_date(booked, "yyyy-MM-dd").alias("booked_on"),
+        F.when(side.isin("DBIT", "CRDT"), F.when(out, -size).otherwise(size)).alias("amount"), read_currency(currency).alias("currency"), memo.alias("description"), party.alias("counterparty"), _iban(F.col("body")).alias("account")))
+    # a file whose entries are all pending has been read, only nothing in it counts yet
+    silent = files.filter(~F.col("text").rlike("<(?:[A-Za-z0-9]+:)?Ntry>"))
+    return without_records(silent, read, F.when(F.col("text").rlike("<(?:[A-Za-z0-9]+:)?Stmt>"), "no entry in this statement").otherwise("no CAMT.053 statement in this file"))
+
+
+def closing_balances(files: DataFrame, format_: str) -> DataFrame:
+    """(path, account, closing) that a file states; only files of exactly one statement state one."""
+    if format_ == "camt":
+        balances = F.regexp_extract_all("body", F.lit(r"(?s)<Bal>.*?</Bal>"), F.lit(0))
+        last = F.element_at(F.filter(balances, lambda b: b.rlike(r"(?s)<Tp>.*?<(?:Cd|Prtry)>\s*CLBD\s*<")), -1)
+        size = F.abs(parse_amount(F.regexp_extract(last, r"<Amt[^>]*>([^<]*)", 1)))
+        told = _camt_statements(files).select("path", _iban(F.col("body")).alias("account"), F.when(_value(last, "CdtDbtInd") == "DBIT", -size).otherwise(size).alias("closing"))
+    elif format_ == "ofx":
+        told = _ofx_statements(files).select("path", _value(F.col("body"), "ACCTID").alias("account"), parse_amount(_value(F.regexp_extract("body", r"(?is)<LEDGERBAL>(.*?)(?:</LEDGERBAL>|\z)", 1), "BALAMT")).alias("closing"))
+    elif format_ == "mt940":
+        each = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^:20:.*?(?=^:20:|\z)"), F.lit(0))).alias("body"))
+        final = lambda k: F.regexp_extract("body", r"(?m)^:62F:([CD])\d{6}[A-Z]{3}([\d.,]+)", k)
+        size = parse_amount(final(2))
+        told = each.select("path", F.trim(F.regexp_extract("body", r"(?m)^:25:(.*)$", 1)).alias("account"), F.when(final(1) == "D", -size).otherwise(size).alias("closing"))
+    else:
+        raise ValueError(f"{format_} states no closing balance")
+    single = told.groupBy("path").agg(F.count("*").alias("n"), F.first("account").alias("account"), F.first("closing").alias("closing"))
+    return single.filter("n = 1 and closing is not null").select("path", "account", "closing")
 
 
 def balance_breaks(rows: DataFrame, partition: list[str], order: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
+import random
 from datetime import date
 from decimal import Decimal
 
 import pytest
 
+from ledgerloom.sources import delimited as dl
 from ledgerloom.sources import statements as st
 
 
@@ -47,15 +49,106 @@ def test_camt_leaves_pending_out(spark):
 
 
 def test_delimited_states_problems_and_skips(spark):
-    cells = spark.createDataFrame([("f", 2, "31/01/2026", "1,50", "ok"), ("f", 3, "99/99/2026", "1", "ok"), ("f", 4, "01/02/2026", "x", "ok"), ("f", 5, "01/02/2026", "1", "Reverted")], "path string, line int, day string, sum string, state string")
-    mapping = st.Mapping(booked_on="day", amount="sum", fixed_currency="EUR", status="state", skipped=("reverted",))
-    got = rows(st.read_delimited(cells, mapping))
-    assert [r["problem"] for r in got] == [None, "unreadable date", "unreadable amount"]
-    assert st.entries_of(st.read_delimited(cells, mapping)).groupBy("path", "line").sum("amount").first()[2] == 0
-    with pytest.raises(ValueError):
-        st.read_delimited(cells, st.Mapping(booked_on="date", amount="sum", fixed_currency="EUR"))
-    with pytest.raises(ValueError):
-        st.Mapping(booked_on="day", fixed_currency="EUR")
+    text = "day;sum;state\n31/01/2026;1,50;ok\n99/99/2026;1;ok\n;;\n01/02/2026;x;ok\n01/02/2026;1;Renvoyé\n02/02/2026;2;ok"
+    mapping = dl.Mapping(booked_on="day", amount="sum", fixed_currency="EUR", status="state", skipped=("RENVOYE",))
+    got = rows(dl.read(files(spark, text), mapping))
+    assert [(r["line"], r["problem"], r["skipped"]) for r in got] == [(2, None, None), (3, "unreadable date", None), (4, "unreadable amount", None), (5, None, "Renvoyé"), (6, None, None)]
+    assert st.entries_of(dl.read(files(spark, text), mapping).filter("skipped is null")).groupBy("path", "line").sum("amount").first()[2] == 0
+    (r,) = rows(dl.read(files(spark, text), dl.Mapping(booked_on="date", amount="sum", fixed_currency="EUR")))
+    assert (r["line"], r["problem"]) == (1, "no column date")
+    for broken in ({"booked_on": "day"}, {"booked_on": "day", "amount": "a", "debit": "b"}, {"booked_on": "d", "amount": "a", "year": 1}, {"booked_on": "d", "amount": "a", "date_order": "x"}):
+        with pytest.raises(ValueError):
+            dl.Mapping(**broken)
+
+
+def brute_rows(text, d):
+    out, row, field, quoted, k = [], [], "", False, 0
+    while k < len(text):
+        c = text[k]
+        if quoted:
+            if c == '"' and text[k + 1:k + 2] == '"':
+                field, k = field + '"', k + 1
+            elif c == '"':
+                quoted = False
+            else:
+                field += c
+        elif c == '"' and field == "":
+            quoted = True
+        elif c == d or c in "\r\n":
+            row.append(field)
+            field = ""
+            if c != d:
+                out.append(row)
+                row = []
+                k += text[k:k + 2] == "\r\n"
+        else:
+            field += c
+        k += 1
+    return out + ([row + [field]] if field or row else [])
+
+
+def test_parsing_and_sniffing_against_a_plain_reading(spark):
+    rng = random.Random(2)
+    texts = ["a,b\n1,2", "a;b;c\n1;2;3\n", 'x,"y ""q"" z",\r\n"line\nturn",2,3', "\ufeffa|b\rc|d", "one", 'q"uote,in"side\n', "a\tb\n\n\nc\td", 'open "quote,"never closed\n1,2']
+    texts += ["".join(rng.choice(["a", "b", ",", ";", "\n", "\r\n", '"', '""', "|", " "]) for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    # a quote right after an empty quoted field is read either way, and so is a last row of nothing but a quote
+    texts = [t for t in texts if '"""' not in t and not t.endswith('"')]
+    df = spark.createDataFrame([(f"f{k}", t) for k, t in enumerate(texts)], "path string, text string")
+    sniffed = {r[0]: r[1] for r in df.select("path", dl.sniff_delimiter(df["text"])).collect()}
+    for k, t in enumerate(texts):
+        t = t.removeprefix("\ufeff")
+        width = {d: len(next(iter(brute_rows(t, d)), [])) for d in dl.DELIMITERS}
+        assert sniffed[f"f{k}"] == max(dl.DELIMITERS, key=lambda d: width[d]), t
+    got = {}
+    for r in dl.parse(df, ",").collect():
+        got.setdefault(r["path"], {})[r["pos"]] = r["cells"]
+    for k, t in enumerate(texts):
+        mine = [got.get(f"f{k}", {})[p] for p in sorted(got.get(f"f{k}", {}))]
+        assert mine == brute_rows(t.removeprefix("\ufeff"), ","), t
+
+
+def test_records_fingerprints_and_presets(spark):
+    text = "Bank,,\nJo,,\n Day ,Sum,Sum\n31/12,1,2\n01/01,3\n05/02,4,5\n"
+    rows_ = dl.parse(files(spark, text))
+    assert dl.fingerprint(dl.parse(files(spark, " Day ;Sum;State\n1;2;3\n4;5;6\n"))).first()["fingerprint"] == dl.UNIT.join([";", "Day", "Sum", "State"])
+    got = [(r["line"], r["record"]["Sum"]) for r in dl.records(rows_, 2).orderBy("line").collect()]
+    assert got == [(4, "2"), (5, ""), (6, "5")]
+    described = dl.custom_preset(dl.Mapping(booked_on=" Day ", amount="Sum", fixed_currency="EUR", header_row=2, date_order="dmy")).ending_in(2026)
+    read = rows(described.read(files(spark, text)))
+    assert [r["booked_on"] for r in read] == [date(2025, 12, 31), date(2026, 1, 1), date(2026, 2, 5)] and described.matches(files(spark, text)).count() == 1
+    preset = dl.Presets.definition('{"id": "b", "label": "B", "mapping": {"booked_on": "d", "amount": "a", "skipped": ["x"]}}')
+    assert dl.Presets(preset, dl.format_preset("ofx"))["b"].mapping.skipped == ("x",)
+    for broken in ("[]", "{", '{"id": "b"}', '{"id": "b", "label": "B", "format": "pdf"}', '{"id": "b", "label": "B", "format": "ofx", "mapping": {"booked_on": "d", "amount": "a"}}', '{"id": "b", "label": "B", "format": "ofx", "colour": "red"}'):
+        assert dl.Presets.definition(broken) is None
+    assert dl.parse_mapping('{"booked_on": "d", "amount": "a", "year": true}') is None and dl.parse_mapping('{"booked_on": "d", "amount": "a", "other": "x"}') is None
+
+
+def test_statements_keep_their_own_accounts_and_closings(spark):
+    entry = '<Ntry><Amt Ccy="EUR">{}</Amt><CdtDbtInd>CRDT</CdtDbtInd><BookgDt><Dt>2026-01-31</Dt></BookgDt><AcctSvcrRef>{}</AcctSvcrRef></Ntry>'
+    stmt = "<Stmt><Acct><Id><IBAN>{}</IBAN></Id><Ccy>EUR</Ccy></Acct><Bal><Tp><CdOrPrtry><Cd>CLBD</Cd></CdOrPrtry></Tp><Amt>{}</Amt><CdtDbtInd>DBIT</CdtDbtInd></Bal>{}</Stmt>"
+    two = "<Document>" + stmt.format("A", 1, entry.format("7.00", "NOTPROVIDED")) + stmt.format("B", 2, entry.format("8.00", "r1")) + "</Document>"
+    a, b = rows(st.read_camt(files(spark, two)))
+    assert (a["account"], a["external_id"], b["account"], b["external_id"]) == ("A", None, "B", "r1")
+    assert st.closing_balances(files(spark, two), "camt").count() == 0
+    one = "<Document>" + stmt.format("A", 12, entry.format("7.00", "x")) + "</Document>"
+    assert tuple(st.closing_balances(files(spark, one), "camt").first()) == ("f", "A", Decimal(-12))
+    assert rows(st.read_camt(files(spark, "<Document><Rpt></Rpt></Document>")))[0]["problem"] == "no CAMT.053 statement in this file"
+
+    ofx = "<OFX>" + "".join(f"<STMTRS><CURDEF>EUR\n<BANKACCTFROM><ACCTID>{k}\n</BANKACCTFROM><BANKTRANLIST><STMTTRN><DTPOSTED>20260131\n<TRNAMT>{k}\n</STMTTRN></BANKTRANLIST><LEDGERBAL><BALAMT>-3.5\n</LEDGERBAL></STMTRS>" for k in (1, 2)) + "</OFX>"
+    assert [(r["account"], r["amount"]) for r in rows(st.read_ofx(files(spark, ofx)))] == [("1", 1), ("2", 2)]
+    assert st.closing_balances(files(spark, ofx), "ofx").count() == 0
+    assert tuple(st.closing_balances(files(spark, ofx.replace("<STMTRS><CURDEF>EUR\n<BANKACCTFROM><ACCTID>2", "<X><CURDEF>EUR\n<BANKACCTFROM><ACCTID>2")), "ofx").first()) == ("f", "1", Decimal("-3.5"))
+    (r,) = rows(st.read_ofx(files(spark, "<OFX><INVSTMTRS><INVBAL></INVBAL></INVSTMTRS></OFX>")))
+    assert r["problem"] == "investment statements are not read" and r["amount"] is None
+    assert tuple(st.closing_balances(files(spark, ":20:A\n:25:ACC\n:60F:C260101EUR10,00\n:62F:D260105EUR4,50\n"), "mt940").first()) == ("f", "ACC", Decimal("-4.5"))
+
+
+def test_mt940_reads_numbered_subfields(spark):
+    text = ":20:A\n:25:ACC\n:60F:C260101EUR10,00\n:61:2601050105D12,50NTRF//REF1\n:86:166?00TRANSFER?20Invoice 12\n?21 of May?32Jane?33 Doe\n:61:2601060106D1,00NTRFX\n:86:005?00BOOKED?32Shop"
+    a, b = rows(st.read_mt940(files(spark, text)))
+    assert (a["description"], a["counterparty"]) == ("Invoice 12 of May", "Jane Doe") and (b["description"], b["counterparty"]) == ("BOOKED", "Shop")
+    (r,) = rows(st.read_mt940(files(spark, ":20:A\n:25:ACC\n")))
+    assert r["problem"] == "no movement in this statement"
 
 
 def test_sniffing_and_decoding(spark):
