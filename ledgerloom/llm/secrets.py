@@ -14,7 +14,7 @@ addresses are false; all others stay unlabelled, and the forest decides on them.
 stands around a finding, the forest also learns from each labelled one without that, so that it cannot just
 repeat the rules.  (A test plants secrets and
 lookalikes that no rule labels, and holds the forest to precision and recall on them.)  Findings themselves are
-never written to the shared folder: only the features and labels of the sample are, until the forest has grown.
+never written to the shared folder: only the features and labels of labelled ones are, until the forest has grown.
 
 Defined results: null and empty texts have no findings; a null path counts as empty; a null id stays; repeated
 rows give their findings each; without findings of both labels a finding keeps the share of true labels (0.5 if
@@ -121,20 +121,23 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, *, path_col: str =
     The forest learns from ``sample`` findings of each label at most, in the order of a hash.
     """
     found = narrow_labels(with_features(candidates(docs, path_col=path_col)))
-    known = (found if labelled is None else labelled).filter(F.col("label").isin(0.0, 1.0))
-    shuffled = F.xxhash64(F.lit(seed), *([] if labelled is not None else ["finding", "before"]), *FEATURES)
-    chosen = [known.filter(F.col("label") == v).orderBy(shuffled, *FEATURES).limit(sample).select(*FEATURES, "label") for v in (0.0, 1.0)]
-    both = chosen[0].union(chosen[1])
+    known = found if labelled is None else labelled
+    order = F.xxhash64(F.lit(seed), *([] if labelled is not None else ["finding", "before"]), *FEATURES)
+    # one pass over the texts: the features alone of all labelled findings
+    known = durable(known.filter(F.col("label").isin(0.0, 1.0)).select(order.alias("order"), *FEATURES, "label"), "labelled-features")
+    chosen = [known.filter(F.col("label") == v).orderBy("order", *FEATURES).limit(sample).select(*FEATURES, "label") for v in (0.0, 1.0)]
+    learnt = durable(chosen[0].union(chosen[1]), "learnt-features")
+    discard(known)
     if labelled is None:
-        both = both.union(both.select(*[F.lit(0.0).alias(c) if c in CONTEXT else F.col(c) for c in FEATURES], "label"))
-    learnt = durable(both, "labelled-features")
+        bare = learnt.select(*[F.lit(0.0).alias(c) if c in CONTEXT else F.col(c) for c in FEATURES], "label")
+    both = learnt if labelled is not None else learnt.union(bare)
     seen = {r["label"]: r["count"] for r in learnt.groupBy("label").count().collect()}
     if len(seen) < 2:
         discard(learnt)
         return found.withColumn("score", F.lit(float(next(iter(seen), 0.5)))).withColumn("kept", F.col("score") >= limit)
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="forest_features")
     forest = RandomForestClassifier(featuresCol="forest_features", labelCol="label", predictionCol="forest_prediction", rawPredictionCol="forest_raw", probabilityCol="forest_probability", numTrees=trees, maxDepth=depth, seed=seed)
-    model = forest.fit(assembler.transform(learnt))
+    model = forest.fit(assembler.transform(both))
     discard(learnt)
     scored = model.transform(assembler.transform(found))
     return scored.withColumn("score", vector_to_array("forest_probability")[1]).withColumn("kept", F.col("score") >= limit)
