@@ -107,7 +107,7 @@ def word_ids(words: textvec.Words, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def windows(ids: list[np.ndarray], table: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first hop, sums of the table's rows over the window) of all passages.
+    """(text, first hop, sums of the table's rows over the window) of all passages that hold a word at all.
 
     Only words that are ``live`` count; the last row of both tables stands for words outside the benchmark.
     """
@@ -130,6 +130,10 @@ def windows(ids: list[np.ndarray], table: np.ndarray, live: np.ndarray) -> tuple
     more = np.flatnonzero(nth + 1 < hops[doc])
     both[more] = both[more] + both[more + 1]
     whole = (nth + 1 < hops[doc]) | (hops[doc] == 1)  # the last hop alone is a part of the window before
+    alive = np.zeros(len(doc), bool)
+    alive[hop] = True
+    alive[more] |= alive[more + 1]
+    whole &= alive  # the cosine of others is 0 with all
     return doc[whole], nth[whole], both[whole]
 
 
