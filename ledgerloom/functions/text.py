@@ -138,6 +138,11 @@ def plain_decimal(amount: Column) -> Column:
     return F.regexp_replace(amount.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
 
 
+def rounded(amount: Column, places: int) -> Column:
+    """Money to so many places, halves to the even digit."""
+    return F.bround(amount, places)
+
+
 def dedupe_hash(day: Column, shape: Column, label: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", day.cast("string"), shape, label), 256)
 

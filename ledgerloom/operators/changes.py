@@ -59,3 +59,27 @@ def rolled_back(transactions: DataFrame, entries: DataFrame, import_id: int, new
     heads = standing.withColumn("reverses_id", F.col("transaction_id")).withColumn("transaction_id", fresh).withColumn("external_id", F.lit(None).cast("string"))
     negated = {"amount": (-F.col("amount")).cast("decimal(28,10)"), "quantity": (-F.col("quantity")).cast("decimal(38,18)")}
     return heads, entries.join(standing.select("transaction_id"), "transaction_id", "left_semi").withColumns(negated).withColumn("transaction_id", fresh)
+
+
+def renamed_accounts(accounts: DataFrame, asks: DataFrame) -> DataFrame:
+    """Changed rows of ``asks`` (account_id, name): names are cleaned and refused as those of new accounts, and unknown accounts are refused."""
+    named = asks.select("account_id", trimmed(F.regexp_replace("name", r"\s+", " ")).alias("name"))
+    if not named.filter((F.col("name") == "") | (F.length("name") > LONGEST_NAME)).isEmpty() or not named.join(accounts, "account_id", "left_anti").isEmpty():
+        raise LedgerError("an account needs a name, and must be known")
+    return accounts.drop("name").join(named, "account_id").select(accounts.columns)
+
+
+def reopened_accounts(accounts: DataFrame, asks: DataFrame) -> DataFrame:
+    """Changed rows of the accounts of ``asks`` (account_id) that are closed: open again."""
+    return accounts.filter("closed_on is not null").join(asks.select("account_id"), "account_id", "left_semi").withColumn("closed_on", F.lit(None).cast("date"))
+
+
+def without_category(categories: DataFrame, lines: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Categories without those of ``gone`` (id), and the lines that bore them, now without category and rule."""
+    bare = lines.join(gone.select(F.col("id").alias("category_id")), "category_id", "left_semi").withColumns({"category_id": F.lit(None).cast("string"), "rule_id": F.lit(None).cast("string")})
+    return categories.join(gone.select("id"), "id", "left_anti"), bare.select(lines.columns)
+
+
+def memberships(members: DataFrame, households: DataFrame, user: str) -> DataFrame:
+    """(household_id, name, role) of the households that a user belongs to, by name."""
+    return members.filter(F.col("user_id") == user).join(households.select("household_id", "name"), "household_id").select("household_id", "name", "role").orderBy("name", "household_id")

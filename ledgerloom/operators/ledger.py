@@ -31,6 +31,10 @@ class CurrencyMismatch(LedgerError):
     pass
 
 
+class DateRange(LedgerError):
+    pass
+
+
 @dataclass(frozen=True)
 class Filters:
     """What to list; all that is stated must hold.  Built once and used by both count and page."""
@@ -42,6 +46,8 @@ class Filters:
     counterparty: str | None = None
     status: str = "all"  # all, reversal, reversed
     household: int | None = None
+    category: str | None = None  # of any of its lines
+    tag: str | None = None
 
     def column(self) -> Column:
         parts = [F.lit(True)]
@@ -63,8 +69,16 @@ class Filters:
         return out
 
 
-def filtered(ledger: Ledger, filters: Filters) -> DataFrame:
+def filtered(ledger: Ledger, filters: Filters, decided: DataFrame | None = None) -> DataFrame:
+    """Transactions that pass; ``decided`` (transaction_id, category, tags) says the categories and tags of lines."""
     rows = ledger.transactions.filter(filters.column())
+    if filters.category is not None or filters.tag is not None:
+        if decided is None:
+            raise ValueError("categories and tags are filtered by the lines' decisions")
+        if filters.category is not None:
+            rows = rows.join(decided.filter(F.col("category") == filters.category).select("transaction_id"), "transaction_id", "left_semi")
+        if filters.tag is not None:
+            rows = rows.join(decided.filter(F.array_contains("tags", filters.tag)).select("transaction_id"), "transaction_id", "left_semi")
     if filters.account is not None:
         rows = rows.join(ledger.entries.filter(F.col("account_id") == filters.account).select("transaction_id"), "transaction_id", "left_semi")
     if filters.status == "reversed":
@@ -141,6 +155,18 @@ def ledger_lines(ledger: Ledger) -> DataFrame:
         "transaction_id", F.array_join("ls", "|").alias("lines"), F.size("ls").cast("long").alias("n"))
 
 
+def first_seen_counterparties(ledger: Ledger) -> DataFrame:
+    """Each household's counterparties in the order in which they first came up."""
+    first = ledger.transactions.filter("counterparty is not null").groupBy("household_id", "counterparty").agg(F.min("transaction_id").alias("first_id"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("household_id").orderBy("first_id")).cast("long"))
+
+
+def account_suggestions(ledger: Ledger) -> DataFrame:
+    """For each name that a file may give, in whatever case: the first open account of the household of that name."""
+    open_ = ledger.accounts.filter("closed_on is null")
+    return open_.groupBy("household_id", F.lower("name").alias("folded")).agg(F.min("account_id").alias("account_id"))
+
+
 def two_line_movements(ledger: Ledger) -> DataFrame:
     """Transactions of two lines of one currency and opposite signs, as from, to and amount."""
     sides = ledger.entries.groupBy("transaction_id").agg(
@@ -207,7 +233,11 @@ def import_runs(ledger: Ledger) -> DataFrame:
 
 
 def validate(transactions: DataFrame, entries: DataFrame, accounts: DataFrame) -> None:
-    """Refuse a batch that breaks an invariant, naming the first one broken."""
+    """Refuse a batch that breaks an invariant, naming the first one broken; ``value_on`` and ``unit_price`` are checked where stated."""
+    if "value_on" in transactions.columns and not transactions.filter("value_on < booked_on").isEmpty():
+        raise DateRange("a transaction's value date is before its booking")
+    if "unit_price" in entries.columns and not entries.filter("unit_price is not null and quantity is null").isEmpty():
+        raise InconsistentHolding("a unit price needs a quantity")
     if not unbalanced(entries).isEmpty():
         raise Unbalanced("entries of a transaction do not sum to 0 in each currency")
     n = entries.groupBy("transaction_id").agg(F.count("*").alias("n"))
@@ -221,6 +251,8 @@ def validate(transactions: DataFrame, entries: DataFrame, accounts: DataFrame) -
 
 
 ORACLES = {
+    "first_seen_counterparties": "SELECT household_id, counterparty, first_id, row_number() OVER (PARTITION BY household_id ORDER BY first_id) AS place FROM (SELECT household_id, counterparty, min(transaction_id) AS first_id FROM {transactions} WHERE counterparty IS NOT NULL GROUP BY 1, 2) x",
+    "account_suggestions": "SELECT household_id, lower(name) AS folded, min(account_id) AS account_id FROM {accounts} WHERE closed_on IS NULL GROUP BY 1, 2",
     "ledger_page": "SELECT transaction_id, household_id, booked_on, kind, description FROM {transactions} ORDER BY booked_on DESC NULLS LAST, transaction_id DESC NULLS LAST LIMIT 25 OFFSET 50",
     "ledger_count": "SELECT household_id, count(*) AS n FROM {transactions} WHERE kind = 'deposit' GROUP BY 1",
     "filter_by_account": "SELECT transaction_id, household_id, booked_on FROM {transactions} t WHERE EXISTS (SELECT 1 FROM {entries} e JOIN {accounts} a ON a.account_id = e.account_id WHERE a.kind = 'savings' AND e.transaction_id = t.transaction_id)",

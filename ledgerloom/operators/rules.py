@@ -111,6 +111,25 @@ def decide(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     return held.withColumn("decision", decision).drop("hits", "matches")
 
 
+def eligible(lines: DataFrame) -> DataFrame:
+    """Lines that rules may decide: those without a category, or whose category a rule gave; a choice by hand stays."""
+    return lines.filter("category_id is null or rule_id is not null")
+
+
+def provenance(decided: DataFrame, own: DataFrame) -> DataFrame:
+    """Add ``source`` (household or shipped), ``country`` and ``rule_name`` to lines with ``rule_id``; a shipped rule's id is country/name, ``own`` names the household's (id, name)."""
+    shipped = F.contains("rule_id", F.lit("/"))
+    named = decided.join(own.select(F.col("id").alias("rule_id"), F.col("name").alias("own_name")), "rule_id", "left")
+    return named.select(
+        *decided.columns, F.when(shipped, "shipped").when(F.col("rule_id").isNotNull(), "household").alias("source"), F.when(shipped, F.split_part("rule_id", F.lit("/"), F.lit(1))).alias("country"),
+        F.when(shipped, F.split_part("rule_id", F.lit("/"), F.lit(2))).otherwise(F.col("own_name")).alias("rule_name"))
+
+
+def shipped_categories(rules: DataFrame, categories: DataFrame) -> DataFrame:
+    """Shipped rules (id, key) with the household's category of that key; a rule whose key it lacks has none."""
+    return rules.join(categories.filter("key is not null").select("key", F.col("id").alias("category_id")), "key", "left")
+
+
 #: A household's rules and a shipped set, over the bridge's labels.
 RULES = [
     Rule("h1", 1, "marché", category="groceries", tags=("food",)),

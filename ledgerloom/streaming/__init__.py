@@ -1 +1 @@
-
+"""Statements as a stream of files."""

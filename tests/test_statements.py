@@ -4,8 +4,10 @@ from decimal import Decimal
 
 import pytest
 
+from ledgerloom.operators.store import Store
 from ledgerloom.sources import delimited as dl
 from ledgerloom.sources import statements as st
+from ledgerloom.streaming import statements
 
 
 def files(spark, text):
@@ -157,3 +159,19 @@ def test_sniffing_and_decoding(spark):
     assert df.filter(st.sniff_format(df["text"]) != df["want"]).count() == 0
     raw = spark.createDataFrame([("a", bytearray("é".encode())), ("b", bytearray("é".encode("cp1252")))], "path string, content binary")
     assert {(r["path"], r["text"], r["encoding"]) for r in st.decode(raw).collect()} == {("a", "é", "utf-8"), ("b", "é", "cp1252")}
+
+
+def test_a_stream_reads_each_file_once(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    held = Store(spark, str(tmp_path / "store"))
+    preset = dl.custom_preset(dl.Mapping(booked_on="day", amount="sum", fixed_currency="EUR"))
+
+    def run():
+        statements.ingest(spark, str(inbox), preset, held, str(tmp_path / "seen")).awaitTermination()
+        return sorted(r["amount"] for r in held.read("candidates").collect())
+
+    (inbox / "a.csv").write_text("day,sum,label\n2026-01-01,1,é\n2026-01-02,2,x\n", encoding="cp1252")
+    assert run() == [1, 2]
+    (inbox / "b.csv").write_text("day,sum,label\n2026-01-03,3,x\n")
+    assert run() == [1, 2, 3]
