@@ -44,6 +44,8 @@ OVERSAMPLE = 16
 BLOCK_BYTES = 1 << 20
 #: Cosines of a slice of passages with all probes of a block.
 MOST_COSINES = 1 << 22
+#: Texts whose passages are worked on at once, so that their vectors stay in a core's cache.
+SLICE = 100
 #: Words of the smallest chunks of the exact rule.
 CHUNK = 128
 
@@ -127,14 +129,15 @@ def windows(ids: list[np.ndarray], table: np.ndarray, live: np.ndarray) -> tuple
         both[hop[bounds]] = np.add.reduceat(table[flat[at]], bounds, axis=0)
     doc = np.repeat(np.arange(len(ids)), hops)
     nth = np.arange(hops.sum()) - first[doc]
-    more = np.flatnonzero(nth + 1 < hops[doc])
-    both[more] = both[more] + both[more + 1]
-    whole = (nth + 1 < hops[doc]) | (hops[doc] == 1)  # the last hop alone is a part of the window before
+    more = nth + 1 < hops[doc]
     alive = np.zeros(len(doc), bool)
     alive[hop] = True
-    alive[more] |= alive[more + 1]
-    whole &= alive  # the cosine of others is 0 with all
-    return doc[whole], nth[whole], both[whole]
+    alive[:-1] |= more[:-1] & alive[1:]
+    # the last hop alone is a part of the window before, and the cosine of windows that are not alive is 0 with all
+    whole = np.flatnonzero((more | (hops[doc] == 1)) & alive)
+    sums = both[whole]
+    sums[more[whole]] += both[whole[more[whole]] + 1]
+    return doc[whole], nth[whole], sums
 
 
 def _summed(frame: DataFrame, run: Callable) -> dict[int, np.ndarray]:
@@ -147,6 +150,11 @@ def _summed(frame: DataFrame, run: Callable) -> dict[int, np.ndarray]:
     return {r["row"]: np.array(r["values"]) for r in frame.mapInPandas(run, schema).groupBy("row").applyInPandas(add, schema).collect()}
 
 
+def unpacked(column: pd.Series) -> list[np.ndarray]:
+    """Ids of words as the written table holds them: bytes of 32-bit numbers, which no reader takes apart."""
+    return [np.frombuffer(x, np.int32) for x in column]
+
+
 def _passage_matrix(ids: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Disjoint passages of 32 words as sparse TF-IDF rows of length 1: (passage, word, weight, passages)."""
     passage, word, base = [], [], 0
@@ -178,8 +186,8 @@ def latent_basis(ids: DataFrame, idf: np.ndarray, seed: int = 23) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n, width), np.float32)
         for batch in batches:
-            for begin in range(0, len(batch), 400):
-                p, w, weight, _ = _passage_matrix([np.asarray(x) for x in batch["ids"][begin:begin + 400]], idf)
+            for begin in range(0, len(batch), SLICE):
+                p, w, weight, _ = _passage_matrix(unpacked(batch["ids"][begin:begin + SLICE]), idf)
                 if not len(p):
                     continue
                 weight = weight.astype(np.float32)[:, None]
@@ -337,17 +345,17 @@ def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cove
             for s in textvec.slices(column):
                 words = textvec.read(column[s])
                 ids = word_ids(words, held.value.vocabulary)
-                out += np.split(ids, np.cumsum(words.counts)[:-1])
+                out += [x.tobytes() for x in np.split(ids, np.cumsum(words.counts)[:-1])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "row_hash": batch["row_hash"], "ids": out})
 
-    ids = durable(base.mapInPandas(tokenise, "doc_id string, row_hash long, ids array<int>"), "word-ids")
+    ids = durable(base.mapInPandas(tokenise, "doc_id string, row_hash long, ids binary"), "word-ids")
     n = len(bench.vocabulary)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, passages = np.zeros(n), 0
         for batch in batches:
             for begin in range(0, len(batch), 500):
-                _, w, _, count = _passage_matrix([np.asarray(x) for x in batch["ids"][begin:begin + 500]], np.ones(n))
+                _, w, _, count = _passage_matrix(unpacked(batch["ids"][begin:begin + 500]), np.ones(n))
                 total += np.bincount(w, minlength=n)
                 passages += count
         yield pd.DataFrame({"word": np.append(np.arange(n), n), "n": np.append(total, passages)})
@@ -391,14 +399,16 @@ def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, cove
         times = [Counter(x.tolist()) for x in b.words]
         for batch in batches:
             found = []
-            for begin in range(0, len(batch), 400):
-                part = [np.asarray(x) for x in batch["ids"][begin:begin + 400]]
+            for begin in range(0, len(batch), SLICE):
+                part = unpacked(batch["ids"][begin:begin + SLICE])
                 doc, hop, sums = windows(part, table, live)
                 seen = set()
                 step = max(64, MOST_COSINES // max(len(probes), 1))
                 for lo in range(0, len(doc), step):
                     near = unit(sums[lo:lo + step]) @ probes.T if len(probes) else np.zeros((0, 0))
-                    at, probe = np.nonzero(near >= cosine)
+                    passed = np.flatnonzero(near.max(axis=1, initial=-1) >= cosine)  # few passages are near anything
+                    at, probe = np.nonzero(near[passed] >= cosine)
+                    at = passed[at]
                     pair = doc[at + lo] * len(b.item) + owners[probe]
                     order = np.argsort(pair, kind="stable")
                     bounds = np.flatnonzero(np.diff(pair[order], prepend=-1))
