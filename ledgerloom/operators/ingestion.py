@@ -9,6 +9,7 @@ from ledgerloom.functions import text as fx
 from ledgerloom.operators.matching import _LABEL as LABEL_SQL
 from ledgerloom.plans.bridge import Ledger
 from ledgerloom.sources import delimited as dl
+from ledgerloom.sources import layout
 from ledgerloom.sources import statements as st
 
 
@@ -86,6 +87,21 @@ def delimited_statements(ledger: Ledger) -> DataFrame:
     return read.select(F.substring_index("path", "/", 1).alias("account"), "booked_on", "amount", "external_id", F.regexp_replace("description", "\n", " ").alias("description"), F.coalesce("skipped", "problem").alias("outcome"))
 
 
+def layout_statements(ledger: Ledger) -> DataFrame:
+    """Statements of an account and year, 40 movements a page, as text placed on pages: a heading on each, labels in two runs, sums that end at one edge."""
+    file = F.concat_ws("/", "account_id", F.date_format("booked_on", "yyyy"))
+    moves = _moves(ledger).withColumn("path", file).withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("booked_on", "transaction_id")) - 1)
+    at = lambda v: F.lit(v).cast("double")
+    run = lambda x, width, text, y: F.struct(at(y).alias("y"), at(x).alias("x"), at(width).alias("width"), text.alias("text"))
+    y, size = F.col("nth") % 40 * 14 + 100, F.length(F.col("amount").cast("string")) * 5
+    placed = F.array(run(40, 50, F.col("booked_on").cast("string"), y), run(120, 20, F.lit("MO"), y), run(140, 20, F.lit("VE"), y), run(163, 40, F.col("transaction_id").cast("string"), y), run(F.lit(500) - size, size, F.col("amount").cast("string"), y))
+    heading = F.array(run(40, 20, F.lit("Day"), 86), run(120, 25, F.lit("Label"), 86), run(470, 30, F.lit("Sum"), 86))
+    each = moves.select("path", F.floor(F.col("nth") / 40).cast("int").alias("page"), F.explode(F.when(F.col("nth") % 40 == 0, F.concat(heading, placed)).otherwise(placed)).alias("r"))
+    rows = layout.read_layout(each.select("path", "page", F.lit(800.0).alias("page_height"), "r.x", "r.y", "r.width", F.lit(10.0).alias("height"), "r.text"))
+    read = dl.records(rows, 0)
+    return read.select(F.substring_index("path", "/", 1).alias("account"), F.try_to_date(F.col("record")["Day"], "yyyy-MM-dd").alias("booked_on"), F.col("record")["Label"].alias("label"), fx.parse_amount(F.col("record")["Sum"]).alias("amount"))
+
+
 def amounts_read(ledger: Ledger) -> DataFrame:
     """Prices written in five ways, read back."""
     style, plain = F.col("l_linenumber") % 5, F.format_number(F.col("l_extendedprice").cast("decimal(20,2)"), 2)
@@ -145,6 +161,7 @@ ORACLES = {
     "closing_balances_read": f"SELECT concat(account_id, '/', strftime(booked_on, '%Y-%m')) AS path, account_id AS account, cast(sum(amount) AS decimal(28,10)) AS closing FROM ({_MOVES}) m GROUP BY 1, 2",
     "delimited_statements": f"""SELECT account_id AS account, booked_on, CASE WHEN transaction_id % 17 <> 0 THEN cast(amount AS decimal(28,10)) WHEN amount >= 0 THEN cast(amount AS decimal(28,10)) END AS amount, cast(transaction_id AS varchar) AS external_id, 'a "label"; with a turn' AS description,
         CASE WHEN transaction_id % 13 = 0 THEN 'Renvoyé' WHEN transaction_id % 17 = 0 AND amount < 0 THEN 'unreadable amount' END AS outcome FROM ({_MOVES}) m""",
+    "layout_statements": f"SELECT account_id AS account, booked_on, concat('MOVE ', transaction_id) AS label, cast(amount AS decimal(28,10)) AS amount FROM ({_MOVES}) m",
     "amounts_read": "SELECT l_orderkey, l_linenumber, cast(CASE WHEN l_linenumber % 5 IN (2, 3) THEN -1 ELSE 1 END * cast(l_extendedprice AS decimal(20,2)) AS decimal(28,10)) AS amount FROM {lineitem}",
     "dates_read": "SELECT o_orderkey, cast(o_orderdate AS date) AS day, CASE o_orderkey % 3 WHEN 0 THEN 'dmy' WHEN 1 THEN 'mdy' ELSE 'ymd' END AS date_order, false AS ambiguous FROM {orders}",
     "running_balance_check": f"""SELECT account_id, transaction_id, balance, expected FROM (SELECT *, cast(lag(balance) OVER (PARTITION BY account_id ORDER BY booked_on, transaction_id) + amount AS decimal(38,10)) AS expected FROM
