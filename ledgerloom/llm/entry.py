@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, decontaminate, licenses, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from ledgerloom.llm import ann, decontaminate, dedup, licenses, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_quality": lambda s, d: quality.op8_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op9_ngram_jaccard": lambda s, d: neardup.op9_ngram_jaccard(table(s, d, "documents")),
         "op10_url_filter": lambda s, d: urls.op10_url_filter(table(s, d, "pages"), table(s, d, "labels")),
+        "op11_exact_dedup": lambda s, d: dedup.op11_exact_dedup(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_exact_dedup": dedup.ORACLE_SQL}
