@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import ann, decontaminate, dedup, licenses, mixing, neardup, negatives, quality, secrets, sharding, toxicity, urls
+from ledgerloom.llm import ann, decontaminate, dedup, licenses, mixing, neardup, negatives, phrases, quality, secrets, sharding, toxicity, urls
 from ledgerloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +26,9 @@ def queries() -> dict[str, Query]:
         "op10_url_filter": lambda s, d: urls.op10_url_filter(table(s, d, "pages"), table(s, d, "labels")),
         "op11_exact_dedup": lambda s, d: dedup.op11_exact_dedup(table(s, d, "documents")),
         "op12_hard_negatives": lambda s, d: negatives.op12_hard_negatives(table(s, d, "embeddings")),
+        "op13_collocations": lambda s, d: phrases.op13_collocations(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_exact_dedup": dedup.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL}
+    return {"op11_exact_dedup": dedup.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL, "op13_collocations": phrases.ORACLE_SQL}
