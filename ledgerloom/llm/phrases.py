@@ -23,13 +23,13 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from ledgerloom.llm.common import bounded_batches, durable
+from ledgerloom.llm.common import bounded_batches, discard, durable
 
 #: Words that a task holds before it closes the largest of its shards.
 SHARD_WORDS = 2_000_000
@@ -57,20 +57,26 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _in_order(keys: np.ndarray) -> np.ndarray:
+    """The places of the keys (under 2**31) in their order, equal ones in the order of their places."""
+    return np.sort(keys.astype(np.int64) << 32 | np.arange(len(keys))) & 0xFFFFFFFF
+
+
 def transform(symbols: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each suffix, suffixes in the order of their first ``depth`` symbols; the text is taken as a ring."""
-    rank, length = symbols.astype(np.int64), 1
+    key, length = symbols.astype(np.int64), 1
     while length < depth:
         step = min(length, depth - length)
-        rank = _ranks(rank * (int(rank.max()) + 1) + np.roll(rank, -step)).astype(np.int64)
+        rank = key if length == 1 else _ranks(key).astype(np.int64)
+        key = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
         length += step
-    return np.roll(symbols, 1)[np.argsort(rank, kind="stable")]
+    return np.roll(symbols, 1)[np.argsort(key)]
 
 
 def steps(bwt: np.ndarray) -> np.ndarray:
     """For each row, the row of the suffix one symbol longer."""
     out = np.empty(len(bwt), np.int32)
-    out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    out[_in_order(bwt)] = np.arange(len(bwt), dtype=np.int32)
     return out
 
 
@@ -87,7 +93,7 @@ def extended(bwt: np.ndarray, step: np.ndarray, low: np.ndarray, other: np.ndarr
     width = np.diff(np.append(edge, len(bwt)))
     of = parent_of[edge]
     edge, width, of = edge[of >= 0], width[of >= 0], of[of >= 0]
-    order = np.argsort(of, kind="stable")  # of one parent, extensions by symbol
+    order = _in_order(of)  # of one parent, extensions by symbol
     edge, width, of = edge[order], width[order], of[order]
     inside = np.cumsum(width) - width - (np.cumsum(size) - size)[of]
     whole = symbol_of[edge] > 0  # gaps are symbol 0
@@ -106,8 +112,10 @@ class Shard:
         tail, tail_low, tail_back, sizes = extended(self.forward, self.forward_step, low, back, size)
         head, head_back, head_low, _ = extended(self.backward, self.backward_step, back, low, size)
         # one phrase has one interval, whichever side it was reached from
-        _, a, b = np.intersect1d(tail_low, head_low, assume_unique=True, return_indices=True)
-        return tail_low[a], tail_back[a], sizes[a], head[b], tail[a]
+        at = np.full(len(self.forward), -1, np.int64)
+        at[head_low] = head
+        both = at[tail_low] >= 0
+        return tail_low[both], tail_back[both], sizes[both], at[tail_low[both]], tail[both]
 
 
 def stored(symbols: np.ndarray) -> bytes:
@@ -119,111 +127,126 @@ def loaded(data: bytes, symbols: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * symbols else "<u4").astype(np.int32)
 
 
-#: A shard with its words in order, and each of its words with its number and count.
-SHARDS = "shard long, lang string, words binary, size int, word binary, number int"
+#: A shard with its words in order, and each of its words with its number, its count and a number no other row has.
+SHARDS = "shard long, lang string, words binary, size int, word binary, number int, row long"
 
 
-def _shards(most_words: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, total = TaskContext.get().partitionId() << 32, 0
+def _shards(most_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        shard, row, total = part << 32, part << 40, 0
         held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
 
-        def closed(lang: str) -> pd.DataFrame:
+        def closed(lang: str) -> Iterator[pa.RecordBatch]:
+            nonlocal shard, row, total
             ids, parts = held.pop(lang)
             symbols = np.concatenate([*parts, np.zeros(1, np.int32)])
-            own = pd.DataFrame({"shard": [shard], "lang": [lang], "words": [stored(symbols)], "size": [len(symbols)], "word": [None], "number": [0]})
-            each = pd.DataFrame({"shard": shard, "lang": lang, "words": None, "size": np.bincount(symbols, minlength=len(ids))[1:], "word": list(ids)[1:], "number": range(1, len(ids))})
-            return pd.concat([own, each])
+            total -= len(symbols) - 1
+            n, each = len(ids) - 1, pa.array(list(ids)[1:], pa.binary())
+            yield _batch(SHARDS, 1, shard=[shard], lang=[lang], words=[stored(symbols)], size=[len(symbols)])
+            yield _batch(SHARDS, n, shard=np.full(n, shard), lang=pa.repeat(lang, n), size=np.bincount(symbols, minlength=n + 1)[1:], word=each, number=np.arange(1, n + 1), row=np.arange(row, row + n))
+            shard, row = shard + 1, row + n
 
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids, parts = held.setdefault(lang, ({GAP: 0}, []))
                 found = words(text)
                 parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in [GAP, *found]), np.int32, len(found) + 1))
                 total += len(found) + 1
                 if total >= most_words:
-                    largest = max(held, key=lambda k: sum(map(len, held[k][1])))
-                    total -= sum(map(len, held[largest][1]))
-                    yield closed(largest)
-                    shard += 1
+                    yield from closed(max(held, key=lambda k: sum(map(len, held[k][1]))))
         for lang in list(held):
-            yield closed(lang)
-            shard += 1
+            yield from closed(lang)
 
     return run
 
 
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _batch(schema: str, n: int, **columns) -> pa.RecordBatch:
+    """A batch of ``n`` rows; columns that are not given are null."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    arrays = [pa.array(columns[c]).cast(KINDS[k]) if c in columns else pa.nulls(n, KINDS[k]) for c, k in zip(names, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, list(names))
+
+
 #: A shard with its transforms, and phrases with their intervals, named by the phrases that they extend.
 LEVEL = "shard long, forward binary, backward binary, low int, back int, size int, head long, tail long"
+Grouped = Callable[[pa.Table, pa.Table], pa.Table]
 
 
-def _phrases(shard: Shard, number: int, low: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+def _phrases(shard: Shard, number: int, low: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     low, back, size, head, tail = shard.extensions(low, back, size)
-    return pd.DataFrame({"shard": number, "forward": None, "backward": None, "low": low, "back": back, "size": size, "head": pd.array(ids[head], "Int64"), "tail": pd.array(ids[tail], "Int64")})
-
-
-NOTHING = pd.DataFrame({c.split()[0]: [] for c in LEVEL.split(", ")})
+    return _batch(LEVEL, len(low), shard=np.full(len(low), number), low=low, back=back, size=size, head=ids[head], tail=ids[tail])
 
 
-def _indexed(depth: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _indexed(depth: int) -> Grouped:
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
         """The index of a shard over its frequent words, and its phrases of two."""
-        if own.empty or known.empty:
-            return NOTHING
-        symbols = loaded(own["words"].iat[0], own["size"].iat[0])
+        if not own.num_rows or not known.num_rows:
+            return pa.Table.from_batches([_batch(LEVEL, 0)])
+        shard, n, data = (own.column(c)[0].as_py() for c in ("shard", "size", "words"))
+        symbols = loaded(data, n)
         number = np.zeros(int(symbols.max()) + 1, np.int32)
-        number[known["number"].to_numpy()] = np.arange(1, len(known) + 1)
+        number[known.column("number").to_numpy()] = np.arange(1, known.num_rows + 1)
         symbols = number[symbols]
         symbols = symbols[np.concatenate([[True], (symbols[1:] > 0) | (symbols[:-1] > 0)])]  # one gap for many
-        shard = Shard(transform(symbols, depth), transform(symbols[::-1], depth))
+        index = Shard(transform(symbols, depth), transform(symbols[::-1], depth))
         sizes = np.bincount(symbols)
         low = (np.cumsum(sizes) - sizes)[1:]
-        whole = pd.DataFrame({"shard": own["shard"], "forward": [stored(shard.forward)], "backward": [stored(shard.backward)], "low": 0, "back": 0, "size": len(symbols), "head": pd.array([None], "Int64"), "tail": pd.array([None], "Int64")})
-        return pd.concat([whole, _phrases(shard, own["shard"].iat[0], low, low, sizes[1:], known["id"].to_numpy())])
+        whole = _batch(LEVEL, 1, shard=[shard], forward=[stored(index.forward)], backward=[stored(index.backward)], size=[len(symbols)])
+        return pa.Table.from_batches([whole, _phrases(index, shard, low, low, sizes[1:], known.column("id").to_numpy())])
 
     return run
 
 
-def _longer(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _longer(own: pa.Table, known: pa.Table) -> pa.Table:
     """Phrases of a shard one word longer than the frequent ones."""
-    if own.empty or known.empty:
-        return NOTHING
-    shard = Shard(*(loaded(own[c].iat[0], own["size"].iat[0]) for c in ("forward", "backward")))
-    known = known.sort_values("low")
-    return _phrases(shard, own["shard"].iat[0], *(known[c].to_numpy().astype(np.int64) for c in ("low", "back", "size")), known["id"].to_numpy())
+    if not own.num_rows or not known.num_rows:
+        return pa.Table.from_batches([_batch(LEVEL, 0)])
+    shard, n, *data = (own.column(c)[0].as_py() for c in ("shard", "size", "forward", "backward"))
+    known = known.sort_by("low")
+    found = _phrases(Shard(*(loaded(d, n) for d in data)), shard, *(known.column(c).to_numpy().astype(np.int64) for c in ("low", "back", "size")), known.column("id").to_numpy())
+    return pa.Table.from_batches([found])
 
 
-def _known(met: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
+def _known(met: DataFrame, frequent: DataFrame) -> DataFrame:
     """Shards' own phrases that are frequent in all: frequent ones are broadcast up to a number, and beyond it both sides are shuffled."""
-    names = frequent.select(*on, "id")
-    return met.join(F.broadcast(names) if frequent.count() <= SENT_PHRASES else names, on)
+    names = frequent.select("head", "tail", "id")
+    return met.join(F.broadcast(names) if frequent.count() <= SENT_PHRASES else names, ["head", "tail"]).select("shard", "low", "back", "size", "id")
 
 
 def frequent_phrases(docs: DataFrame, most_words: int, least: int, shard_words: int) -> tuple[list[DataFrame], DataFrame]:
     """Of each length: id, lang, phrase, f, and counts of its first and last 1, 2, ... words (prefixes, suffixes), and from two words on the ids of head and tail; and (lang, n)."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = durable(texts.mapInPandas(_shards(shard_words), SHARDS), "phrase-shards", "zstd")
-    held = shards.filter("word is not null").select("shard", "lang", "word", "number", "size")
-    counted = held.groupBy("lang", "word").agg(F.sum("size").alias("f"))
-    named = F.monotonically_increasing_id().alias("id")
-    levels = [durable(counted.filter(F.col("f") >= least).select(named, "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes")), "phrases")]
+    shards = durable(texts.mapInArrow(_shards(shard_words), SHARDS), "phrase-shards", "zstd")
+    held = shards.filter("word is not null").select("shard", "lang", "word", "number", "size", "row")
+    totals = durable(held.groupBy("lang").agg(F.sum("size").alias("n")), "phrase-totals")
+    # a word's rows, one of each shard that holds it, meet once; the least of their numbers names it
+    same = Window.partitionBy("lang", "word")
+    known = durable(held.withColumns({"f": F.sum("size").over(same), "id": F.min("row").over(same)}).filter(F.col("f") >= least), "phrase-words", "zstd")
+    levels = [known.filter("row = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
     own, work = shards.filter("word is null").select("shard", "words", "size").toDF("shard", "words", "size"), _indexed(most_words)
-    known = _known(held, levels[0].withColumnRenamed("phrase", "word"), ["lang", "word"]).select("shard", "number", "id")
+    known, read = known.select("shard", "number", "id"), shards
     for length in range(2, most_words + 1):
-        found = durable(own.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(work, LEVEL), "phrase-level", "zstd")
+        found = durable(own.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(work, LEVEL), "phrase-level", "zstd")
+        discard(read)
+        read = found
         met = found.filter("head is not null").select("shard", "low", "back", "size", "head", "tail")
         pairs = met.groupBy("head", "tail").agg(F.sum("size").alias("f")).filter(F.col("f") >= least)
         heads = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"), "prefixes")
         tails = levels[-1].select(F.col("id").alias("tail"), "last", "suffixes")
         longer = pairs.join(heads, "head").join(tails, "tail").select(
-            named, "lang", F.concat("first", F.lit(bytearray(b" ")), "last").alias("phrase"), "last", "f",
+            F.monotonically_increasing_id().alias("id"), "lang", F.concat("first", F.lit(bytearray(b" ")), "last").alias("phrase"), "last", "f",
             F.concat("prefixes", F.array("f")).alias("prefixes"), F.concat("suffixes", F.array("f")).alias("suffixes"), "head", "tail")
         levels.append(durable(longer, "phrases"))
         if length == 2:
-            own, work = found.filter("forward is not null").select("shard", "forward", "backward", "size").toDF("shard", "forward", "backward", "size"), _longer
-        known = _known(met, levels[-1], ["head", "tail"]).select("shard", "low", "back", "size", "id")
-    return levels, counted.groupBy("lang").agg(F.sum("f").alias("n"))
+            own, work = durable(found.filter("forward is not null").select("shard", "forward", "backward", "size"), "fm-index", "zstd"), _longer
+        known = _known(met, levels[-1])
+    discard(read)
+    return levels, totals
 
 
 def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, shard_words: int = SHARD_WORDS) -> DataFrame:
