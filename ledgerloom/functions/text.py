@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,26 +61,37 @@ def suggest_pattern(text: Column) -> Column:
     return F.array_join(F.slice(words, 1, 2), " ")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, where an expression that named it many times would repeat it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_amount(raw: Column) -> Column:
     """An amount in any of the ways statements write one, as decimal(28,10); null if it is none.
 
     The last separator is the decimal one, but a lone separator before exactly three digits marks thousands.
     Brackets negate, and so does a sign before or after.
     """
+    def unsigned(body: Column) -> Column:
+        whole = F.regexp_extract(body, r"^(.*?)[.,]?([0-9]*)$", 1)
+        cents = F.regexp_extract(body, r"[.,]([0-9]*)$", 1)
+        thousands = (F.regexp_count(body, F.lit("[.,]")) == 1) & body.rlike(r"[.,][0-9]{3}$")
+        number = F.when(~body.rlike("[.,]") | thousands, F.regexp_replace(body, "[.,]", "")).otherwise(F.concat(F.regexp_replace(whole, "[.,]", ""), F.lit("."), cents))
+        return F.when(body.rlike(r"^[0-9.,]+$") & body.rlike("[0-9]"), F.concat(F.lit("0"), number).try_cast("decimal(28,10)"))
+
+    def signed(inner: Column) -> Column:
+        leading = inner.rlike("^[+-]")
+        minus = F.when(leading, F.startswith(inner, F.lit("-"))).otherwise(F.endswith(inner, F.lit("-")))
+        body = F.when(leading, F.substr(inner, F.lit(2))).otherwise(F.regexp_replace(inner, "[+-]$", ""))
+        return F.struct(minus.alias("minus"), bound(body, unsigned).alias("size"))
+
+    def read(text: Column) -> Column:
+        bracketed = text.rlike(r"^\(.*\)$")
+        inner = F.when(bracketed, F.regexp_extract(text, r"^\((.*)\)$", 1)).otherwise(text)
+        return bound(bound(inner, signed), lambda n: F.when(n["minus"] != bracketed, -n["size"]).otherwise(n["size"]))
+
     text = F.regexp_replace(F.regexp_replace(raw, BLANK, ""), "(?i)[€$£¥]|EUR|USD|GBP|CHF", "")
-    bracketed = text.rlike(r"^\(.*\)$")
-    inner = F.when(bracketed, F.regexp_extract(text, r"^\((.*)\)$", 1)).otherwise(text)
-    leading = inner.rlike("^[+-]")
-    minus = F.when(leading, F.startswith(inner, F.lit("-"))).otherwise(F.endswith(inner, F.lit("-")))
-    body = F.when(leading, F.substr(inner, F.lit(2))).otherwise(F.regexp_replace(inner, "[+-]$", ""))
-    whole = F.regexp_extract(body, r"^(.*?)[.,]?([0-9]*)$", 1)
-    cents = F.regexp_extract(body, r"[.,]([0-9]*)$", 1)
-    thousands = (F.regexp_count(body, F.lit("[.,]")) == 1) & body.rlike(r"[.,][0-9]{3}$")
-    has_cut = body.rlike("[.,]")
-    number = F.when(~has_cut | thousands, F.regexp_replace(body, "[.,]", "")).otherwise(F.concat(F.regexp_replace(whole, "[.,]", ""), F.lit("."), cents))
-    valid = body.rlike(r"^[0-9.,]+$") & body.rlike("[0-9]")
-    value = F.when(valid, F.concat(F.lit("0"), number).try_cast("decimal(28,10)"))
-    return F.when(minus != bracketed, -value).otherwise(value).cast("decimal(28,10)")
+    return bound(text, read).cast("decimal(28,10)")
 
 
 def from_debit_credit(debit: Column, credit: Column) -> Column:
@@ -91,9 +103,8 @@ def from_debit_credit(debit: Column, credit: Column) -> Column:
 
 def read_currency(raw: Column) -> Column:
     """A currency code of 3 to 10 letters, or the sign of one that is not ambiguous."""
-    text = F.upper(trimmed(raw))
-    named = F.when(text == "€", "EUR").when(text == "£", "GBP").when(text == "¥", "JPY").otherwise(text)
-    return F.when(named.rlike("^[A-Z]{3,10}$"), named)
+    signs = F.create_map(*(F.lit(x) for x in ("€", "EUR", "£", "GBP", "¥", "JPY")))
+    return bound(F.upper(trimmed(raw)), lambda t: bound(F.coalesce(F.element_at(signs, t), t), lambda named: F.when(named.rlike("^[A-Z]{3,10}$"), named)))
 
 
 def day_part(raw: Column) -> Column:
@@ -164,7 +175,11 @@ def _entity(found: re.Match) -> str:
     return found[0] if point > 0x10FFFF or 0xD800 <= point < 0xE000 else chr(point)
 
 
+def decode_references(text: str) -> str:
+    """Named and numeric character references, decoded once; what is no character stays as written."""
+    return _REFERENCE.sub(_entity, text) if "&" in text else text
+
+
 @F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
-    """Named and numeric character references, decoded once; what is no character stays as written."""
-    return text.map(lambda t: _REFERENCE.sub(_entity, t) if t is not None and "&" in t else t)
+    return text.map(lambda t: None if t is None else decode_references(t))

@@ -11,6 +11,7 @@ from ledgerloom.plans.bridge import Ledger
 from ledgerloom.sources import delimited as dl
 from ledgerloom.sources import layout
 from ledgerloom.sources import statements as st
+from ledgerloom.sources.markup import tree
 
 
 def _moves(ledger: Ledger) -> DataFrame:
@@ -53,6 +54,25 @@ def qif_statements(ledger: Ledger) -> DataFrame:
     return _out(st.read_qif(_files(moves, F.concat(F.lit("!Account\nN"), F.col("account_id"), F.lit("\n^\n!Type:Bank\n")), record, ""), "EUR"))
 
 
+def qif_sections(ledger: Ledger) -> DataFrame:
+    """Files that name two accounts, hold a section of investments after their movements, and write amounts under T or U, labels under P or M, indented or in small letters."""
+    size, nth = F.format_number(F.col("amount"), 2), F.col("transaction_id")
+    day = F.concat(F.lit("D"), F.date_format("booked_on", "yyyy-MM-dd"))
+    written = F.concat(F.when(nth % 2 == 0, "T").otherwise("U"), size, F.lit("\n"), F.when(nth % 3 == 0, F.lit("PShop\nMbread")).when(nth % 3 == 1, F.lit("  mbread")).otherwise(F.lit("P\nMbread")), F.lit("\nPsecond\n^"))
+    record = F.concat(day, F.lit("\n"), written)
+    head = F.concat(F.lit("!Option:MDY\n!Account\nN"), F.col("account_id"), F.lit("\n^\nNanother\n^\n!type: BANK\n"))
+    read = st.read_qif(_files(_moves(ledger), head, record, "\n!Type:Invst\nD2026-01-01\nNBuy\nT5\n^\n"), "EUR")
+    return read.select("path", "account", "booked_on", "amount", "description", "counterparty", "problem")
+
+
+def tag_tree_leaves(ledger: Ledger) -> DataFrame:
+    """The leaves of all movements in files whose leaves are not closed, with their routes, as a tree of tags gives them."""
+    record = F.concat(F.lit("<n:stmttrn a='1'>\n<DtPosted>"), F.date_format("booked_on", "yyyyMMdd"), F.lit("\n<TRNAMT>"), F.col("amount").cast("string"), F.lit("</TRNAMT>\n<BANKACCTTO><ACCTID>R&amp;D "), F.col("transaction_id").cast("string"), F.lit("\n</BANKACCTTO><EMPTY/></n:stmttrn>"))
+    files = _files(_moves(ledger), F.concat(F.lit("<?OFX?><!DOCTYPE x><OFX><STMTRS>"), F.lit("\n")), record, "\n</STMTRS></OFX>")
+    leaves = tree(files).filter("value <> ''")
+    return leaves.select("path", F.substring_index("route", "/", -2).alias("route"), "value", F.size("ids").cast("long").alias("depth"))
+
+
 def ofx_statements(ledger: Ledger) -> DataFrame:
     record = F.concat(F.lit("<STMTTRN>\n<TRNTYPE>OTHER\n<DTPOSTED>"), F.date_format("booked_on", "yyyyMMdd"), F.lit("\n<TRNAMT>"), F.col("amount").cast("string"), F.lit("\n<FITID>"), F.col("transaction_id").cast("string"), F.lit("\n<NAME>Someone\n</STMTTRN>"))
     head = F.concat(F.lit("<STMTRS><CURDEF>"), F.col("currency"), F.lit("\n<BANKACCTFROM><ACCTID>"), F.col("account_id"), F.lit("\n</BANKACCTFROM><BANKTRANLIST>\n"))
@@ -157,6 +177,11 @@ ORACLES = {
     "mt940_statements": f"SELECT account_id AS account, cast(CASE WHEN booked_on < DATE '2000-01-01' THEN booked_on + INTERVAL 100 YEAR ELSE booked_on END AS date) AS booked_on, cast(amount AS decimal(28,10)) AS amount, currency, CASE WHEN transaction_id <> 0 THEN cast(transaction_id AS varchar) END AS external_id, {_KIND} FROM ({_MOVES}) m",
     "ofx_statements": _FULL,
     "qif_statements": f"SELECT account_id AS account, booked_on, cast(amount AS decimal(28,10)) AS amount, 'EUR' AS currency, cast(NULL AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m",
+    "qif_sections": f"""SELECT concat(account_id, '/', strftime(booked_on, '%Y-%m')) AS path, account_id AS account, booked_on, cast(amount AS decimal(28,10)) AS amount,
+            CASE transaction_id % 3 WHEN 0 THEN 'Shop' WHEN 1 THEN 'second' ELSE 'bread' END AS description, cast(NULL AS varchar) AS counterparty, cast(NULL AS varchar) AS problem FROM ({_MOVES}) m
+        UNION ALL SELECT DISTINCT concat(account_id, '/', strftime(booked_on, '%Y-%m')), NULL, cast(NULL AS date), cast(NULL AS decimal(28,10)), NULL, NULL, 'only bank and card records are read, and this section is invst' FROM ({_MOVES}) m""",
+    "tag_tree_leaves": f"""SELECT concat(account_id, '/', strftime(booked_on, '%Y-%m')) AS path, unnest(['STMTTRN/DTPOSTED', 'STMTTRN/TRNAMT', 'BANKACCTTO/ACCTID']) AS route,
+        unnest([strftime(booked_on, '%Y%m%d'), cast(amount AS varchar), concat('R&D ', transaction_id)]) AS value, unnest([5, 5, 6])::bigint AS depth FROM ({_MOVES}) m""",
     "camt_statements": _FULL + " WHERE transaction_id % 11 <> 0",
     "closing_balances_read": f"SELECT concat(account_id, '/', strftime(booked_on, '%Y-%m')) AS path, account_id AS account, cast(sum(amount) AS decimal(28,10)) AS closing FROM ({_MOVES}) m GROUP BY 1, 2",
     "delimited_statements": f"""SELECT account_id AS account, booked_on, CASE WHEN transaction_id % 17 <> 0 THEN cast(amount AS decimal(28,10)) WHEN amount >= 0 THEN cast(amount AS decimal(28,10)) END AS amount, cast(transaction_id AS varchar) AS external_id, 'a "label"; with a turn' AS description,

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerloom.functions.text import date_order, parse_amount, read_currency, read_date, trimmed
+from ledgerloom.sources.markup import leaf, records
 
 MOST_BYTES = 5 * 1024 * 1024
 MOST_LINES = 50_000
 COLUMNS = ("path", "line", "external_id", "booked_on", "kind", "description", "counterparty", "account", "amount", "currency", "problem")
 EXTERNAL = "EXTERNAL"
-#: References that stand for none.
-PLACEHOLDERS = ("NONREF", "NOTPROVIDED", "NA", "N/A", "NONE", "0")
+#: The label of an account that a file does not name.
+STATEMENT = "ACCOUNT"
+#: References that stand for none, and the sections of QIF that hold a movement a record.
+PLACEHOLDERS = ("NONREF", "NOTPROVIDED", "NOTPROVIDED.", "NA", "N/A", "NONE", "UNKNOWN", "0")
+QIF_TYPES = ("bank", "cash", "ccard", "oth a", "oth l", "card", "credit card")
 
 
 @F.pandas_udf(StringType())
@@ -117,101 +121,127 @@ def read_mt940(files: DataFrame) -> DataFrame:
 
 
 def read_qif(files: DataFrame, currency: str) -> DataFrame:
-    """Letter-per-line records that ``^`` ends; the order of dates is the whole file's."""
-    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("path").orderBy("pos")
-    lines = _lines(files).filter(trimmed(F.col("value")) != "").withColumn("record", F.coalesce(F.sum(F.when(F.startswith("value", F.lit("^")), 1).otherwise(0)).over(before), F.lit(0)))
-    lines = lines.withColumn("section", F.last(F.when(F.startswith("value", F.lit("!")), F.upper(trimmed(F.col("value")))), ignorenulls=True).over(upto))
-    letter = lambda c: F.max(F.when(F.substring("value", 1, 1) == c, F.substr("value", F.lit(2))))
-    part = lines.filter(~F.col("value").rlike(r"^[!^]"))
-    account = part.filter(F.startswith("section", F.lit("!ACCOUNT"))).groupBy("path").agg(letter("N").alias("account"))
-    records = part.filter(~F.startswith(F.coalesce("section", F.lit("")), F.lit("!ACCOUNT"))).groupBy("path", "record").agg(
-        F.min("pos").alias("pos"), letter("D").alias("d"), letter("T").alias("t"), letter("P").alias("p"), letter("M").alias("m"), letter("N").alias("number"))
-    orders = records.groupBy("path").agg(date_order(F.regexp_replace("d", "['’]", "/")).alias("o"))
-    rows = records.join(orders, "path").join(account, "path", "left")
-    return _shaped(rows.select(
-        "path", (F.col("pos") + 1).alias("line"), read_date(F.regexp_replace("d", "['’]", "/"), F.col("o.order")).alias("booked_on"), parse_amount(F.col("t")).alias("amount"), F.lit(currency).alias("currency"),
-        F.coalesce("m", "p").alias("description"), F.col("p").alias("counterparty"), F.coalesce("account", F.lit("QIF")).alias("account")))
-
-
-def _value(block: Column, tag: str) -> Column:
-    return F.trim(F.regexp_extract(block, f"(?is)<{tag}>([^<\\r\\n]*)", 1))
-
-
-def _statements(files: DataFrame, tag: str) -> DataFrame:
-    """(path, statement, body) of a file's statements between ``tag`` and its end, or the next one's start where tags are not closed."""
-    whole = f"(?is)<{tag}>.*?(?=</{tag}>|<{tag}>|\\z)"
-    return files.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(whole), F.lit(0))).alias("statement", "body"))
-
-
-def _records(statements: DataFrame, block: str) -> DataFrame:
-    """Add (nth, block) of each record; records are numbered through a file, in order of its statements."""
-    each = statements.select("*", F.posexplode(F.regexp_extract_all("body", F.lit(block), F.lit(0))).alias("within", "block"))
-    return each.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("statement", "within"))).drop("within")
-
-
-def _ofx_statements(files: DataFrame) -> DataFrame:
-    """Bank and card statements, each with the account and currency that it names itself; a file with neither tag but with records is one statement."""
-    tagged = files.withColumn("text", F.regexp_replace("text", r"(?i)<(/?)CCSTMTRS>", "<$1STMTRS>"))
-    bare = tagged.filter(~F.col("text").rlike("(?i)<STMTRS>") & ~F.col("text").rlike("(?i)<INVSTMTRS>")).select("path", F.lit(0).alias("statement"), F.col("text").alias("body"))
-    return _statements(tagged, "STMTRS").unionByName(bare)
+    """Letter-per-line records that ``^`` or a directive ends; the order of dates is the whole file's, the account the first that it names.
+
+    Letters may be indented or small, and the first line of a letter counts.  The payee is the description, else the memo; ``U`` stands in for ``T``.
+    A section of another type, as of investments, is one problem.
+    """
+    upto, before = Window.partitionBy("path").orderBy("pos"), Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = _lines(files).withColumn("value", trimmed(F.col("value"))).filter("value <> ''")
+    directive = F.when(F.startswith("value", F.lit("!")), F.lower(trimmed(F.substr("value", F.lit(2)))))
+    lines = lines.withColumn("directive", directive).withColumn("section", F.last(F.struct("directive"), ignorenulls=True).over(upto)["directive"])
+    known = F.when(F.col("directive").isNotNull(), F.struct("directive"))
+    lines = lines.withColumns({
+        "section": F.coalesce(F.last(known, ignorenulls=True).over(upto)["directive"], F.lit("")),
+        "type": F.coalesce(F.last(F.when(F.startswith("directive", F.lit("type:")), trimmed(F.substr("directive", F.lit(6)))), ignorenulls=True).over(upto), F.lit("bank")),
+        "record": F.coalesce(F.sum(F.when(F.startswith("value", F.lit("!")) | (F.col("value") == "^"), 1).otherwise(0)).over(before), F.lit(0))})
+    naming, readable = F.startswith("section", F.lit("account")), F.col("type").isin(*QIF_TYPES)
+    part = lines.filter(F.col("directive").isNull() & (F.col("value") != "^")).select(
+        "path", "pos", "record", naming.alias("naming"), readable.alias("readable"), F.upper(F.substring("value", 1, 1)).alias("letter"), trimmed(F.substr("value", F.lit(2))).alias("told"))
+    letter = lambda c: F.min(F.when(F.col("letter") == c, F.struct("pos", "told")))["told"]
+    account = part.filter("naming and letter = 'N' and told <> ''").groupBy("path").agg(F.min_by("told", "pos").alias("account"))
+    records = part.filter("not naming and readable").groupBy("path", "record").agg(F.min("pos").alias("pos"), *(letter(c).alias(c.lower()) for c in "DTUPM"))
+    records = records.withColumn("day", F.regexp_replace("d", "['’]", "/"))
+    orders = records.groupBy("path").agg(date_order(F.col("day")).alias("o"))
+    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")))
+    rows = records.join(orders, "path").join(account, "path", "left").select(
+        "path", (F.col("pos") + 1).alias("line"), read_date(F.col("day"), F.col("o.order")).alias("booked_on"), F.coalesce(text("t"), text("u")).alias("size"), F.coalesce(text("p"), text("m")).alias("description"), "account")
+    refused = lines.filter(F.startswith("directive", F.lit("type:")) & ~readable).select("path", (F.col("pos") + 1).alias("line"), F.concat(F.lit("only bank and card records are read, and this section is "), F.col("type")).alias("problem"))
+    read = rows.select("path", "line", "booked_on", parse_amount(F.col("size")).alias("amount"), F.lit(currency).alias("currency"), "description", F.coalesce("account", F.lit(STATEMENT)).alias("account"))
+    return _shaped(read).unionByName(_shaped(refused.select("*", F.lit(None).cast("date").alias("booked_on"), F.lit(None).cast("string").alias("amount"), F.lit(None).cast("string").alias("currency"))))
+
+
+def _told(value: Column) -> Column:
+    return F.nullif(trimmed(value), F.lit(""))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add what a file's and a statement's rows know together: how many records and statements there are, and a record's number in document order.
+
+    A file's records are bounded by the upload limit.
+    """
+    file = Window.partitionBy("path")
+    return rows.withColumns({
+        "records": F.count("record").over(file), "statements": F.count(F.when((F.col("statement") > 0) & F.col("record").isNull(), 1)).over(file),
+        "nth": F.sum(F.col("record").isNotNull().cast("int")).over(file.orderBy("first"))})
+
+
+def _ofx(files: DataFrame) -> DataFrame:
+    """Rows of bank and card statements, each with the account and currency that it names itself; a file with neither tag but with records is one statement."""
+    rows = _numbered(records(files, ("STMTRS", "CCSTMTRS"), "STMTTRN", parts="INVSTMTRS"))
+    rows = rows.withColumn("investments", F.max("parts").over(Window.partitionBy("path")) > 0)
+    whole = (F.col("statements") == 0) & ~F.col("investments")
+    outer = F.when(F.col("record").isNull(), F.struct(
+        _told(F.coalesce(F.nullif(leaf("BANKACCTFROM/ACCTID", "CCACCTFROM/ACCTID"), F.lit("")), F.get(F.filter("leaves", lambda x: F.element_at(F.split(x["at"], "/"), -1) == "ACCTID"), F.lit(0))["value"])).alias("account"),
+        _told(F.coalesce(F.nullif(leaf("CURDEF"), F.lit("")), F.get(F.filter("leaves", lambda x: F.element_at(F.split(x["at"], "/"), -1) == "CURDEF"), F.lit(0))["value"])).alias("currency")))
+    # what stands in no statement counts as one where the file has none
+    return rows.withColumn("counts", (F.col("statement") > 0) | whole).withColumn("own", F.max(outer).over(Window.partitionBy("path", "statement")))
 
 
 def read_ofx(files: DataFrame) -> DataFrame:
-    """OFX 1 (tags not closed) and 2: all bank and card statements of a file; files of investments alone are refused with a problem."""
-    each = _records(_ofx_statements(files), r"(?is)<STMTTRN>.*?(?=<STMTTRN>|</STMTTRN>|</BANKTRANLIST>|\z)")
-    stamp = F.substring(_value(F.col("block"), "DTPOSTED"), 1, 8)
-    kind = F.upper(_value(F.col("block"), "TRNTYPE"))
-    currency = _value(F.col("body"), "CURDEF")
-    read = _shaped(each.select(
-        "path", F.col("nth").alias("line"), _value(F.col("block"), "FITID").alias("external_id"), F.try_to_date(stamp, "yyyyMMdd").alias("booked_on"), parse_amount(_value(F.col("block"), "TRNAMT")).alias("amount"),
-        F.when(currency != "", F.upper(currency)).alias("currency"), F.when(kind == "INT", "interest").when(kind == "DIV", "dividend").when(kind.isin("FEE", "SRVCHG"), "fee").alias("kind"),
-        F.coalesce(F.nullif(_value(F.col("block"), "MEMO"), F.lit("")), _value(F.col("block"), "NAME")).alias("description"), _value(F.col("block"), "NAME").alias("counterparty"), _value(F.col("body"), "ACCTID").alias("account")))
-    reason = F.when(F.col("text").rlike("(?i)<INVSTMTRS>"), "investment statements are not read").otherwise("no bank or card statement in this file")
-    return without_records(files, read, reason)
-
-
-def _camt_statements(files: DataFrame) -> DataFrame:
-    return _statements(files.select("path", F.regexp_replace("text", r"<(/?)[A-Za-z0-9]+:", "<$1").alias("text")), "Stmt")
-
-
-def _iban(body: Column) -> Column:
-    """The statement's own account: the first one that it names, before any entry."""
-    head = F.split(body, "<Ntry>")[0]
-    return F.coalesce(F.nullif(_value(head, "IBAN"), F.lit("")), F.nullif(_value(F.regexp_extract(head, r"(?s)<Acct>(.*?)</Acct>", 1), "Id"), F.lit("")))
+    """OFX 1 (tags not closed) and 2: all bank and card statements of a file; files of investments alone are refused with a problem.
+
+    The name is the description, else the memo; only a structured payee is a counterparty.
+    """
+    kind = F.upper(leaf("TRNTYPE"))
+    told = F.col("record").isNotNull() & F.col("counts")
+    # the outermost row tells of a file without records
+    silent = F.col("record").isNull() & (F.col("statement") == 0) & (F.sum(told.cast("int")).over(Window.partitionBy("path")) == 0)
+    raw = _ofx(files).withColumn("silent", silent).filter(told | F.col("silent")).select(
+        "path", F.when(F.col("silent"), 1).otherwise(F.col("nth")).alias("line"), leaf("FITID").alias("external_id"), F.substring(leaf("DTPOSTED"), 1, 8).alias("stamp"), leaf("TRNAMT").alias("size"),
+        F.coalesce(_told(leaf("CURRENCY/CURSYM", "CURSYM")), F.col("own.currency")).alias("code"),
+        F.when(kind == "INT", "interest").when(kind == "DIV", "dividend").when(kind.isin("FEE", "SRVCHG"), "fee").when(kind == "XFER", "transfer").alias("kind"),
+        F.coalesce(_told(leaf("NAME")), _told(leaf("MEMO"))).alias("description"), _told(leaf("PAYEE/NAME")).alias("counterparty"), F.coalesce("own.account", F.lit(STATEMENT)).alias("account"),
+        F.when(F.col("silent"), F.when(F.col("investments") & (F.col("statements") == 0), "investment statements are not read").when(F.col("statements") > 0, "no movement in this statement").otherwise("no bank or card statement in this file")).alias("problem"))
+    return _shaped(raw.select("path", "line", "external_id", F.try_to_date("stamp", "yyyyMMdd").alias("booked_on"), parse_amount(F.col("size")).alias("amount"), read_currency(F.col("code")).alias("currency"), "kind", "description", "counterparty", "account", "problem"))
+
+
+def _camt(files: DataFrame) -> DataFrame:
+    """Rows of statements, each with its own account (its first identifier outside its entries) and currency."""
+    rows = _numbered(records(files, ("STMT",), "NTRY", parts="TXDTLS"))
+    outer = F.when(F.col("record").isNull(), F.struct(_told(leaf("ACCT/ID/IBAN", "ACCT/ID/OTHR/ID", "ACCT/ID", "IBAN")).alias("account"), _told(leaf("ACCT/CCY", "CCY")).alias("currency")))
+    return rows.withColumn("own", F.max(outer).over(Window.partitionBy("path", "statement")))
 
 
 def read_camt(files: DataFrame) -> DataFrame:
-    """ISO 20022 camt.053, each statement on its own account: unsigned amounts with a mark of their side; pending and informative entries are left out."""
-    each = _records(_camt_statements(files), r"(?s)<Ntry>.*?</Ntry>")
-    b = F.col("block")
-    inner = lambda outer, tag: _value(F.regexp_extract(b, f"(?s)<{outer}>(.*?)</{outer}>", 1), tag)
-    status = F.trim(F.regexp_extract(b, r"(?s)<Sts>\s*(?:<Cd>)?\s*([A-Z]+)", 1))
-    side = F.upper(_value(b, "CdtDbtInd"))
-    out = side == "DBIT"
-    size = F.abs(parse_amount(F.regexp_extract(b, r"<Amt[^>]*>([^<]*)", 1)))
-    party = F.when(out, inner("Cdtr", "Nm")).otherwise(inner("Dbtr", "Nm"))
-    memo = F.coalesce(F.nullif(inner("RmtInf", "Ustrd"), F.lit("")), _value(b, "AddtlNtryInf"))
-    booked = F.coalesce(F.nullif(F.regexp_extract(b, r"(?s)<BookgDt>\s*<D(?:t|tTm)>(\d{4}-\d{2}-\d{2})", 1), F.lit("")), F.regexp_extract(b, r"(?s)<ValDt>\s*<D(?:t|tTm)>(\d{4}-\d{2}-\d{2})", 1))
-    named = lambda tag: F.when(~F.upper(_value(b, tag)).isin("", *PLACEHOLDERS), _value(b, tag))
-    currency = F.coalesce(F.nullif(F.regexp_extract(b, r'<Amt[^>]*Ccy="([^"]*)"', 1), F.lit("")), _value(F.regexp_extract(F.split("body", "<Ntry>")[0], r"(?s)<Acct>(.*?)</Acct>", 1), "Ccy"))
-    read = _shaped(each.filter(~status.isin("PDNG", "INFO")).select(
-        "path", F.col("nth").alias("line"), F.coalesce(named("AcctSvcrRef"), named("NtryRef")).alias("external_id"), F.try_to_date(booked, "yyyy-MM-dd").alias("booked_on"),
-        F.when(side.isin("DBIT", "CRDT"), F.when(out, -size).otherwise(size)).alias("amount"), read_currency(currency).alias("currency"), memo.alias("description"), party.alias("counterparty"), _iban(F.col("body")).alias("account")))
-    # a file whose entries are all pending has been read, only nothing in it counts yet
-    silent = files.filter(~F.col("text").rlike("<(?:[A-Za-z0-9]+:)?Ntry>"))
-    return without_records(silent, read, F.when(F.col("text").rlike("<(?:[A-Za-z0-9]+:)?Stmt>"), "no entry in this statement").otherwise("no CAMT.053 statement in this file"))
+    """ISO 20022 camt.053, each statement on its own account: unsigned amounts with a mark of their side; entries that are not booked are left out.
+
+    Remittance and party are read where an entry holds details of exactly one transaction.  A file whose entries are all pending has
+    been read, only nothing in it counts yet; one without entries is a problem.
+    """
+    below = lambda route: F.filter("leaves", lambda x: F.regexp_replace(x["at"], "^(.*/)?TXDTLS/", "") == route)
+    single, out = F.col("parts") == 1, F.upper(trimmed(leaf("CDTDBTIND"))) == "DBIT"
+    party = lambda side: F.coalesce(_told(F.get(below(f"RLTDPTIES/{side}/PTY/NM"), F.lit(0))["value"]), _told(F.get(below(f"RLTDPTIES/{side}/NM"), F.lit(0))["value"]))
+    remitted = _told(F.array_join(F.transform(below("RMTINF/USTRD"), lambda x: x["value"]), " "))
+    named = lambda tag: F.when(~F.upper(trimmed(leaf(tag))).isin("", *PLACEHOLDERS), leaf(tag))
+    day = lambda tag: F.try_to_date(F.nullif(F.regexp_extract(leaf(f"{tag}/DT", f"{tag}/DTTM", tag), r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd")
+    amount = F.get(F.filter("leaves", lambda x: x["at"] == "AMT"), F.lit(0))
+    family = F.upper(leaf("BKTXCD/DOMN/FMLY/SUBFMLYCD"))
+    booked = F.upper(trimmed(leaf("STS", "STS/CD"))).isin("", "BOOK")
+    silent = F.col("record").isNull() & (F.col("statement") == 0) & (F.col("records") == 0)
+    raw = _camt(files).filter(F.when(F.col("record").isNotNull(), booked).otherwise(silent)).select(
+        "path", F.when(silent, 1).otherwise(F.col("nth")).alias("line"), F.coalesce(named("ACCTSVCRREF"), named("NTRYREF")).alias("external_id"), F.coalesce(day("BOOKGDT"), day("VALDT")).alias("booked_on"),
+        F.when(family == "INTR", "interest").when(family == "DIVD", "dividend").when(family.isin("FEES", "CHRG"), "fee").when(family == "TAXE", "tax").alias("kind"),
+        amount["value"].alias("size"), F.coalesce(amount["ccy"], F.col("own.currency")).alias("code"), F.upper(trimmed(leaf("CDTDBTIND"))).alias("side"),
+        F.coalesce(F.when(single, remitted), _told(leaf("ADDTLNTRYINF"))).alias("description"), F.when(single, F.when(out, party("CDTR")).otherwise(party("DBTR"))).alias("counterparty"), F.coalesce("own.account", F.lit(STATEMENT)).alias("account"),
+        F.when(silent, F.when(F.col("statements") > 0, "no entry in this statement").otherwise("no CAMT.053 statement in this file")).alias("problem"))
+    sized = raw.withColumn("amount", F.abs(parse_amount(F.col("size"))))
+    return _shaped(sized.select(
+        "path", "line", "external_id", "booked_on", F.when(F.col("side") == "DBIT", -F.col("amount")).when(F.col("side") == "CRDT", F.col("amount")).alias("amount"), read_currency(F.col("code")).alias("currency"), "kind", "description", "counterparty", "account", "problem"))
 
 
 def closing_balances(files: DataFrame, format_: str) -> DataFrame:
     """(path, account, closing) that a file states; only files of exactly one statement state one."""
     if format_ == "camt":
-        balances = F.regexp_extract_all("body", F.lit(r"(?s)<Bal>.*?</Bal>"), F.lit(0))
-        last = F.element_at(F.filter(balances, lambda b: b.rlike(r"(?s)<Tp>.*?<(?:Cd|Prtry)>\s*CLBD\s*<")), -1)
-        size = F.abs(parse_amount(F.regexp_extract(last, r"<Amt[^>]*>([^<]*)", 1)))
-        told = _camt_statements(files).select("path", _iban(F.col("body")).alias("account"), F.when(_value(last, "CdtDbtInd") == "DBIT", -size).otherwise(size).alias("closing"))
+        codes = ("BAL/TP/CDORPRTRY/CD", "BAL/TP/CDORPRTRY/PRTRY", "BAL/TP/CD", "BAL/TP/PRTRY")
+        last = F.element_at(F.filter("leaves", lambda x: x["at"].isin(*codes) & (F.upper(x["value"]) == "CLBD")), -1)["branch"]
+        rows = _camt(files).filter("statement > 0 and record is null").withColumn("branch", last)
+        of = lambda tag: F.get(F.filter("leaves", lambda x: (x["branch"] == F.col("branch")) & (x["at"] == f"BAL/{tag}")), F.lit(0))["value"]
+        stated = rows.select("path", F.coalesce("own.account", F.lit(STATEMENT)).alias("account"), of("AMT").alias("size"), of("CDTDBTIND").alias("side")).withColumn("size", F.abs(parse_amount(F.col("size"))))
+        told = stated.select("path", "account", F.when(F.upper("side") == "DBIT", -F.col("size")).otherwise(F.col("size")).alias("closing"))
     elif format_ == "ofx":
-        told = _ofx_statements(files).select("path", _value(F.col("body"), "ACCTID").alias("account"), parse_amount(_value(F.regexp_extract("body", r"(?is)<LEDGERBAL>(.*?)(?:</LEDGERBAL>|\z)", 1), "BALAMT")).alias("closing"))
+        rows = _ofx(files).filter("counts and record is null").select("path", F.coalesce("own.account", F.lit(STATEMENT)).alias("account"), leaf("LEDGERBAL/BALAMT").alias("size"))
+        told = rows.select("path", "account", parse_amount(F.col("size")).alias("closing"))
     elif format_ == "mt940":
         each = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?ms)^:20:.*?(?=^:20:|\z)"), F.lit(0))).alias("body"))
         final = lambda k: F.regexp_extract("body", r"(?m)^:62F:([CD])\d{6}[A-Z]{3}([\d.,]+)", k)

@@ -32,8 +32,8 @@ def test_mt940_without_currency_is_a_problem(spark):
 def test_qif_takes_the_order_of_the_file(spark):
     text = "!Account\nNMine\n^\n!Type:Bank\nD31/01/2026\nT-1,5\nPShop\nMfood\n^\nD01/02/2026\nT2.00\nPWork\n"
     a, b = rows(st.read_qif(files(spark, text), "EUR"))
-    assert (a["booked_on"], a["amount"], a["account"], a["description"]) == (date(2026, 1, 31), Decimal("-1.5"), "Mine", "food")
-    assert (b["booked_on"], b["description"], b["counterparty"]) == (date(2026, 2, 1), "Work", "Work")
+    assert (a["booked_on"], a["amount"], a["account"], a["description"]) == (date(2026, 1, 31), Decimal("-1.5"), "Mine", "Shop")
+    assert (b["booked_on"], b["description"], b["counterparty"]) == (date(2026, 2, 1), "Work", None)
 
 
 def test_ofx_of_both_kinds(spark):
