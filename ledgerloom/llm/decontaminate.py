@@ -335,6 +335,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, **limits: float) -> DataFrame:
 def _find_block(docs: DataFrame, items: DataFrame, *, cosine: float = 0.52, covered: float = 0.7, answered: float = 0.5, shortest: int = 5, often: float = 0.05) -> DataFrame:
     bench = read_benchmark(items)
     spark = docs.sparkSession
+    if not len(bench.vocabulary):  # items without words match nothing
+        return spark.createDataFrame([], SCHEMA)
     held = spark.sparkContext.broadcast(bench)
     # ids pass as text: pandas would make floats of ids with nulls among them
     base = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")

@@ -18,7 +18,7 @@ an empty table gives an empty result; extra columns, whatever their names, are i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import LOWER, UPPER, durable
@@ -54,12 +54,14 @@ def template(path: Column) -> Column:
 
 
 def _steps(nodes: DataFrame, *columns: str) -> DataFrame:
-    """One row a segment of every leaf: its level, and its head, a digest of all segments before it."""
-    heads = F.aggregate(
-        F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), F.array(F.lit("")),
-        lambda a, s: F.concat(a, F.array(F.md5(F.concat(F.element_at(a, -1), F.lit("/"), s).cast("binary")))),
-    )
-    return nodes.select("host", "leaf", *columns, heads.alias("heads"), F.posexplode("parts").alias("level", "child")).withColumn("head", F.element_at("heads", F.col("level") + 1)).drop("heads")
+    """One row a segment of every leaf: its level, and its head, a digest of all segments before it and their places.
+
+    The digest is two running sums of hashes over a leaf's segments, so that a path takes time and room linear in its depth.
+    """
+    before = Window.partitionBy("host", "leaf").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), "level", "child").cast("decimal(38,0)")).over(before), F.lit(0))
+    steps = nodes.select("host", "leaf", *columns, F.posexplode("parts").alias("level", "child"))
+    return steps.withColumn("head", F.concat_ws(":", "level", total(1), total(2)))
 
 
 def _wild(nodes: DataFrame, levels: DataFrame) -> DataFrame:
