@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as fx
 from ledgerloom.operators.matching import _LABEL as LABEL_SQL
 from ledgerloom.plans.bridge import Ledger
+from ledgerloom.plans.folders import shared_folder
 from ledgerloom.sources import delimited as dl
-from ledgerloom.sources import layout
+from ledgerloom.sources import layout, readers
 from ledgerloom.sources import statements as st
 from ledgerloom.sources.markup import tree
 
@@ -44,6 +45,16 @@ def mt940_statements(ledger: Ledger) -> DataFrame:
     return _out(st.read_mt940(_bundled(_files(_moves(ledger), head, record, "\n:62F:C260101EUR0,00"))))
 
 
+def mt940_source(ledger: Ledger) -> DataFrame:
+    """The same statements written down as files of many accounts, and read by the data source in ranges that cut them anywhere."""
+    size = F.regexp_replace(F.abs(F.col("amount")).cast("string"), "[.]", ",")
+    record = F.concat(F.lit(":61:"), F.date_format("booked_on", "yyMMddMMdd"), F.when(F.col("amount") < 0, "D").otherwise("C"), size, F.lit("NTRFNONE//"), F.col("transaction_id").cast("string"), F.lit("\n:86:MOVE"))
+    head = F.concat(F.lit(":20:X\n:25:"), F.col("account_id"), F.lit("\n:60F:C260101"), F.col("currency"), F.lit("0,00\n"))
+    folder = shared_folder(ledger.spark, "statements")
+    _files(_moves(ledger), head, record, "\n:62F:C260101EUR0,00").select("text").write.text(folder)
+    return _out(readers.read_folder(ledger.spark, folder, splitBytes="65536"))
+
+
 def qif_statements(ledger: Ledger) -> DataFrame:
     """Half of the files that hold a day over 12 write the month first; the order is the file's to tell."""
     moves = _moves(ledger)
@@ -175,6 +186,7 @@ _KIND = "CASE WHEN amount < 0 THEN 'withdrawal' ELSE 'deposit' END AS kind, cast
 _FULL = f"SELECT account_id AS account, booked_on, cast(amount AS decimal(28,10)) AS amount, currency, cast(transaction_id AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m"
 ORACLES = {
     "mt940_statements": f"SELECT account_id AS account, cast(CASE WHEN booked_on < DATE '2000-01-01' THEN booked_on + INTERVAL 100 YEAR ELSE booked_on END AS date) AS booked_on, cast(amount AS decimal(28,10)) AS amount, currency, CASE WHEN transaction_id <> 0 THEN cast(transaction_id AS varchar) END AS external_id, {_KIND} FROM ({_MOVES}) m",
+    "mt940_source": "",
     "ofx_statements": _FULL,
     "qif_statements": f"SELECT account_id AS account, booked_on, cast(amount AS decimal(28,10)) AS amount, 'EUR' AS currency, cast(NULL AS varchar) AS external_id, {_KIND} FROM ({_MOVES}) m",
     "qif_sections": f"""SELECT concat(account_id, '/', strftime(booked_on, '%Y-%m')) AS path, account_id AS account, booked_on, cast(amount AS decimal(28,10)) AS amount,
@@ -196,4 +208,5 @@ ORACLES = {
     "file_fingerprints": r"SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes, length(string_split(regexp_replace(text, '\n+$', ''), chr(10))) AS lines FROM documents",
     "normalised_labels": "SELECT doc_id, md5(" + LABEL_SQL.replace("description", "text") + ") AS label_md5 FROM documents",
 }
+ORACLES["mt940_source"] = ORACLES["mt940_statements"]
 QUERIES = {n: globals()[n] for n in ORACLES} | {"entities_decoded": entities_decoded}

@@ -7,8 +7,11 @@ rule that stops ends the pass.  Lines of equity accounts are never decided.
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from dataclasses import dataclass
+from decimal import Decimal
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
@@ -130,6 +133,107 @@ def shipped_categories(rules: DataFrame, categories: DataFrame) -> DataFrame:
     return rules.join(categories.filter("key is not null").select("key", F.col("id").alias("category_id")), "key", "left")
 
 
+class RuleSetError(ValueError):
+    """What is wrong with a rule set, and where."""
+
+
+#: The fields of a rule set's file and of what it holds.
+SET_FIELDS = {"$comment", "country", "rules"}
+RULE_FIELDS = {"$comment", "id", "name", "priority", "when", "then", "stopOnMatch"}
+WHEN_FIELDS, THEN_FIELDS = {"descriptionMatches", "amountBetween"}, {"category", "counterparty"}
+CONDITION_FIELDS = {"descriptionMatches", "amountBetween", "accountId"}
+_DECIMAL = re.compile(r"-?\d+(?:\.\d+)?")
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    country: str
+    rules: tuple[Rule, ...]  # in the order in which they run
+    names: dict[str, str]
+
+    @property
+    def categories(self) -> list[str]:
+        """Keys that the rules point at, in the order of the rules."""
+        return list(dict.fromkeys(r.category for r in self.rules if r.category is not None))
+
+
+def _known(value: object, fields: set[str], where: str) -> dict:
+    if not isinstance(value, dict):
+        raise RuleSetError(f"{where}: not an object")
+    for name in value:
+        if name not in fields:
+            raise RuleSetError(f"{where}: unknown field {name}")
+    return value
+
+
+def _conditions(raw: dict, where: str) -> dict[str, str]:
+    """The conditions of a rule as arguments of ``Rule``; each has to be one that can be tested, and the bounds of an amount in order."""
+    out = {}
+    if (pattern := raw.get("descriptionMatches")) is not None:
+        if not isinstance(pattern, str) or not pattern.strip() or runnable(pattern) is None:
+            raise RuleSetError(f"{where}: descriptionMatches is no expression")
+        out["pattern"] = pattern
+    if (bounds := raw.get("amountBetween")) is not None:
+        if not isinstance(bounds, list) or len(bounds) != 2 or not all(isinstance(b, str) and _DECIMAL.fullmatch(b) for b in bounds) or Decimal(bounds[0]) > Decimal(bounds[1]):
+            raise RuleSetError(f"{where}: amountBetween is no pair of amounts in order")
+        out["at_least"], out["at_most"] = bounds
+    if (account := raw.get("accountId")) is not None:
+        if not isinstance(account, str) or not account:
+            raise RuleSetError(f"{where}: accountId is no account")
+        out["account"] = account
+    if not out:
+        raise RuleSetError(f"{where}: no condition, so it would match everything")
+    return out
+
+
+def parse_conditions(raw: object) -> dict[str, str] | None:
+    """A household rule's stored conditions, or None where this version cannot use them; fields that it does not know are passed over."""
+    if not isinstance(raw, dict) or any(raw.get(k, "") is None for k in CONDITION_FIELDS):
+        return None
+    try:
+        return _conditions({k: v for k, v in raw.items() if k in CONDITION_FIELDS}, "rule")
+    except RuleSetError:
+        return None
+
+
+def parse_rule_set(text: str, categories: set[str]) -> RuleSet:
+    """A shipped rule set from JSON, checked whole: no field may be unknown, no two rules may share an id, and every rule needs a condition and an effect."""
+    try:
+        raw = json.loads(text)
+    except ValueError as e:
+        raise RuleSetError(f"set: not JSON, {e}") from None
+    raw = _known(raw, SET_FIELDS, "set")
+    country, listed = raw.get("country"), raw.get("rules")
+    if not isinstance(country, str) or not re.fullmatch("[A-Z]{2}", country):
+        raise RuleSetError("set: country is no code of two letters")
+    if not isinstance(listed, list) or not listed:
+        raise RuleSetError("set: rules is no array of rules")
+    rules, names = {}, {}
+    for place, one in enumerate(listed):
+        where = f"rule {place}"
+        one = _known(one, RULE_FIELDS, where)
+        key, name, priority = one.get("id"), one.get("name"), one.get("priority")
+        if not isinstance(key, str) or not re.fullmatch("[a-z0-9]+(?:-[a-z0-9]+)*", key):
+            raise RuleSetError(f"{where}: id is not in kebab case")
+        if key in rules:
+            raise RuleSetError(f"{where}: two rules share the id {key}")
+        if not isinstance(name, str) or not name.strip():
+            raise RuleSetError(f"{where}: name is missing")
+        if not isinstance(priority, int) or isinstance(priority, bool):
+            raise RuleSetError(f"{where}: priority is no whole number")
+        when, then = _known(one.get("when"), WHEN_FIELDS, f"{where}, when"), _known(one.get("then"), THEN_FIELDS, f"{where}, then")
+        category, counterparty = then.get("category"), then.get("counterparty")
+        if category is not None and category not in categories:
+            raise RuleSetError(f"{where}: no category {category}")
+        if counterparty is not None and (not isinstance(counterparty, str) or not counterparty):
+            raise RuleSetError(f"{where}: counterparty is no name")
+        if category is None and counterparty is None:
+            raise RuleSetError(f"{where}: no effect")
+        rules[key] = Rule(f"{country.lower()}/{key}", priority, category=category, counterparty=counterparty, stop=one.get("stopOnMatch") is True, shipped=True, **_conditions(when, where))
+        names[f"{country.lower()}/{key}"] = name.strip()
+    return RuleSet(country, tuple(ordered(list(rules.values()))), names)
+
+
 #: A household's rules and a shipped set, over the bridge's labels.
 RULES = [
     Rule("h1", 1, "marché", category="groceries", tags=("food",)),

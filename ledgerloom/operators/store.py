@@ -1,54 +1,100 @@
 """An append-only store: each commit writes new Parquet folders and then one manifest that names them.
 
-Readers see the newest manifest's folders only, so a commit is whole or not there.  Nothing is rewritten: a
-reversal, a rolled-back import or a new category is a further delta, and the current state a view.
+Readers see whole manifests only, so a commit is whole or not there.  A version's manifest is made under another name and
+then takes its own, which fails where a writer was faster: that commit takes the next version, or is refused if it was to
+follow a certain one.  Nothing is rewritten: a reversal, a rolled-back import or a new category is a further delta, and the
+current state a view.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class Conflict(Exception):
+    """Another commit came between the version that a commit was to follow and itself."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._jvm = spark._jvm
+        self._manifest = self._path(f"{self.root}/manifest")
+        self._files = self._manifest.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
 
     def _manifests(self) -> DataFrame | None:
-        """All manifests, newest version first; None in a store without a commit."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        """All manifests; None in a store without a commit."""
+        if not self.version():
             return None
         return self.spark.read.schema("version long, table string, folder string").json(f"{self.root}/manifest")
 
     def version(self) -> int:
-        held = self._manifests()
-        return 0 if held is None else held.agg(F.max("version")).first()[0] or 0
+        if not self._files.exists(self._manifest):
+            return 0
+        names = (f.getPath().getName() for f in self._files.listStatus(self._manifest))
+        return max((int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.json", n))), default=0)
+
+    def _claimed(self, version: int, lines: str) -> bool:
+        """Whether the manifest of ``version`` could be made; false where there is one."""
+        draft, final = self._path(f"{self.root}/manifest/.draft-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest/v{version:012d}.json")
+        out = self._files.create(draft, True)
+        out.write(lines.encode())
+        out.close()
+        try:
+            if self._files.getScheme() == "file":  # a link is made or not, and never over another; renames of local files do replace
+                local = lambda p: self._jvm.java.nio.file.Paths.get(self._files.makeQualified(p).toUri())
+                self._jvm.java.nio.file.Files.createLink(local(final), local(draft))
+                self._files.delete(draft, False)
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._manifest.toUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(draft, final, self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+            return True
+        except Py4JJavaError as e:
+            self._files.delete(draft, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+
+    def commit(self, deltas: dict[str, DataFrame], follows: int | None = None) -> int:
+        """Append rows to tables; all of them become visible at once, as the new version.
 
-    def commit(self, deltas: dict[str, DataFrame]) -> int:
-        """Append rows to tables; all of them become visible at once, as the new version."""
-        version = self.version() + 1
-        rows = []
+        With ``follows`` the commit stands only if that version is still the newest, as where its rows were checked against it.
+        """
+        folders = {}
         for name, df in deltas.items():
-            folder = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(folder)
-            rows.append((version, name, folder))
-        self.spark.createDataFrame(rows, "version long, table string, folder string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
-        return version
+            folders[name] = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+            df.write.parquet(folders[name])
+        while True:
+            version = self.version() + 1
+            lines = "".join(json.dumps({"version": version, "table": n, "folder": f}) + "\n" for n, f in folders.items())
+            if follows is None and self._claimed(version, lines):
+                return version
+            if follows is not None:
+                if version == follows + 1 and self._claimed(version, lines):
+                    return version
+                for folder in folders.values():
+                    self._files.delete(self._path(folder), True)
+                raise Conflict(f"version {follows} is not the newest any more")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        """All rows of a table up to a version, each with the version that brought it."""
+        """All rows of a table up to a version, each with the version that brought it; one scan, however many commits there are."""
         held = self._manifests()
-        folders = [] if held is None else [(r["folder"], r["version"]) for r in held.filter(F.col("table") == name).collect() if version is None or r["version"] <= version]
-        if not folders:
+        known = [] if held is None else [(r["folder"], r["version"]) for r in held.filter(F.col("table") == name).collect() if version is None or r["version"] <= version]
+        if not known:
             raise KeyError(f"no table {name}")
-        parts = [self.spark.read.parquet(f).withColumn("version", F.lit(v)) for f, v in sorted(folders, key=lambda x: x[1])]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        rows = self.spark.read.option("mergeSchema", True).parquet(*(f for f, _ in known))
+        commits = self.spark.createDataFrame([(f.rpartition("/")[2], v) for f, v in known], "folder string, version long")
+        named = rows.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]*$", 1))
+        return named.join(commits, "folder").drop("folder").select(*rows.columns, F.col("version").cast("int").alias("version"))
 
     def latest(self, name: str, key: list[str]) -> DataFrame:
         """Upserts: of the rows of one key, those of the newest version; a row with ``deleted`` true removes its key."""
