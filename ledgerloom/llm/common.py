@@ -39,10 +39,27 @@ def durable(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str, compression: str = "snappy") -> DataFrame:
+    """``durable``, in as many buckets of ``key`` as a shuffle has partitions: plans that group by the key alone read it without a shuffle.
+
+    The rows are in the shared folder; the session's catalog knows them by a name of their own until they are discarded.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", compression).option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    out.durable_path, out.durable_name = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``durable`` that no later plan reads."""
+    """Delete tables of ``durable`` and ``bucketed`` that no later plan reads."""
     for df in tables:
         spark = df.sparkSession
+        if name := getattr(df, "durable_name", None):
+            spark.sql(f"drop table if exists {name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

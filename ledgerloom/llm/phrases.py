@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from ledgerloom.llm.common import bounded_batches, discard, durable
+from ledgerloom.llm.common import bounded_batches, bucketed, discard, durable
 
 #: Words that a task holds before it closes the largest of its shards.
 SHARD_WORDS = 2_000_000
@@ -243,9 +243,10 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int, shard_words:
             F.concat("prefixes", F.array("f")).alias("prefixes"), F.concat("suffixes", F.array("f")).alias("suffixes"), "head", "tail")
         levels.append(durable(longer, "phrases"))
         if length == 2:
-            own, work = durable(found.filter("forward is not null").select("shard", "forward", "backward", "size"), "fm-index", "zstd"), _longer
+            # in buckets, so that the levels above shuffle their phrases alone and no index again
+            own, work = bucketed(found.filter("forward is not null").select("shard", "forward", "backward", "size"), "fm_index", "shard", "zstd"), _longer
         known = _known(met, levels[-1])
-    discard(read)
+    discard(read, *([own] if work is _longer else []))
     return levels, totals
 
 
