@@ -6,7 +6,8 @@ expressions.  Each match is an interval of words with the rule's tier and its pl
 suppressed where one of a stronger tier, or of its own, contains its interval, and of equal intervals of one
 tier the first rule's stays.  So "gnu lesser general public license version 2 1 or later" is that alone: neither
 2.1 without later versions, nor the GPL, whose name it holds.  A version is never the beginning of a longer one.
-The base phrases always count.
+Short identifiers count with their suffixes, after "spdx" or, where no program has that name, alone.  A plus sign is no
+word, so "GPL-2.0+" is read as "GPL-2.0".  The base phrases always count.
 
 Everything is one narrow projection: no shuffle, and rows need no key.  Defined results: null and empty texts
 have no words, no labels and score 0; null or repeated ids stay separate rows; an empty table gives an empty
@@ -38,6 +39,9 @@ class Rule(NamedTuple):
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 TIERS = 4
 VERSION = "(?:version |v ?)?"
+LATER = "(?:or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?|only or later)"
+SPDX = "spdx(?: licen[cs]e identifier)?"
+UNDER = "licen[cs]ed under (?:the )?(?:terms of (?:the )?)?"
 
 GNU = {
     "gpl": (r"(?:gnu )?general public licen[cs]e", "general public", ("1 0", "2 0", "3 0")),
@@ -86,6 +90,10 @@ VERSIONED = {
     "openrail": (r"openrail(?: m)?(?: licen[cs]e)?", "openrail", ()),
     "llama": (r"llama [0-9](?: [0-9])? community licen[cs]e", "community licen", ()),
 }
+#: Families with names of programs: with a version, these are licenses after "spdx" alone.
+PROGRAMS = ("apache", "php")
+#: Short identifiers without versions that are no family's.
+PLAIN_IDS = ("mit", "mit-0", "x11", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd", "json", "openssl")
 #: Sentences and names, by hand: (label, keyword, pattern, tier, trust).
 NOTICES = [
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1, 0.97),
@@ -101,13 +109,17 @@ NOTICES = [
     ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice", 2, 0.9),
     ("bsd-3-clause", "neither the name", r"neither the name of (?:the )?(?:[a-z0-9]+ ){1,8}nor the names of its contributors may be used to endorse or promote products", 1, 0.95),
     ("bsd-4-clause", "all advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1, 0.95),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd) licen[cs]e", 1, 0.95),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd)(?: licen[cs]e)?|simplified bsd licen[cs]e", 1, 0.95),
     ("bsd-2-clause", "freebsd", r"freebsd licen[cs]e", 1, 0.95),
-    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|new bsd|modified bsd|revised bsd) licen[cs]e", 1, 0.95),
-    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|original bsd) licen[cs]e", 1, 0.95),
+    ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd)(?: licen[cs]e)?|(?:new bsd|modified bsd|revised bsd) licen[cs]e", 1, 0.95),
+    ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd)(?: licen[cs]e)?|original bsd licen[cs]e", 1, 0.95),
     ("0bsd", "bsd", r"zero clause bsd licen[cs]e", 1, 0.95),
     ("0bsd", "0bsd", r"0bsd", 1, 0.95),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", 2, 0.8),
+    ("bsd", "bsd", UNDER + r"bsd(?! [234] clause)", 2, 0.8),
+    ("apache", "apache", UNDER + r"apache(?! (?:software |licen|(?:v ?|version )?[0-9]))", 2, 0.8),
+    ("apache-2.0", "apache", UNDER + r"apache (?:v ?|version )?2(?: 0)?(?! [0-9](?: |$))", 2, 0.9),
+    ("apache-2.0", "apache 2 0", r"apache 2 0(?! (?:[0-9]|http|web|server))", 2, 0.75),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1, 0.95),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 2, 0.9),
     ("isc", "the author disclaims", r"the author disclaims all warranties with regard to this software", 3, 0.7),
@@ -118,13 +130,12 @@ NOTICES = [
     ("apache-1.1", "this product includes", r"this product includes software developed by the apache software foundation", 1, 0.9),
     ("openssl", "this product includes", r"this product includes software developed by the openssl project", 1, 0.95),
     ("gpl", "this program is free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 2, 0.95),
-    ("gpl-3.0", "this program is free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version", 1, 0.99),
-    ("gpl-2.0", "this program is free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e or at your option any later version", 1, 0.99),
+    ("gpl-3.0-or-later", "this program is free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e or at your option any later version", 1, 0.99),
+    ("gpl-2.0-or-later", "this program is free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e or at your option any later version", 1, 0.99),
     ("lgpl", "this library is free", r"this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", 2, 0.95),
     ("gpl", "you should have received", r"you should have received a copy of the gnu general public licen[cs]e", 2, 0.9),
     ("lgpl", "you should have received", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", 2, 0.9),
     ("agpl", "you should have received", r"you should have received a copy of the gnu affero general public licen[cs]e", 2, 0.9),
-    ("gpl", "the gnu gpl", r"the gnu gpl", 2, 0.8),
     ("gpl-classpath", "classpath exception", r"(?:gpl )?(?:with )?(?:the )?classpath exception", 1, 0.85),
     ("gfdl", "permission is granted", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", 1, 0.97),
     ("mpl-2.0", "this source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", 1, 0.99),
@@ -178,17 +189,27 @@ ENDS = r"(?! [0-9](?: |$))"
 
 def _rules() -> Iterator[Rule]:
     for family, (name, keyword, versions) in (GNU | VERSIONED).items():
+        ident = family.replace("-", " ")
         yield Rule(family, keyword, name, 2, 0.8)
+        yield Rule(family, "spdx", f"{SPDX} {ident}", 1, 0.9)
+        if family in GNU:
+            unversioned = "(?! (?:v ?|version )?[0-9])"
+            yield Rule(family, family, f"(?:gnu {family}|{UNDER}(?:gnu )?{family}){unversioned}", 2, 0.8)
+            yield Rule(family, family, f"{family} licen[cs]ed?{unversioned}", 2, 0.75)
         for version in versions:
             label = f"{family}-{version.replace(' ', '.')}"
             short = version.removesuffix(" 0")
             number = f"{short}(?: 0)?{ENDS}" if short != version else version + ENDS
             published = "(?: as published by the free software foundation(?: either)?)?"
-            yield Rule(f"{label}-or-later", keyword, f"{name}{published} {VERSION}{number}(?: of the licen[cs]e)? (?:or (?:at your option )?(?:any )?later(?: version)?|only or later)", 1, 0.97)
+            yield Rule(f"{label}-or-later", keyword, f"{name}{published} {VERSION}{number}(?: of the licen[cs]e)? {LATER}", 1, 0.97)
             yield Rule(label, keyword, f"{name}{published} {VERSION}{number}", 1, 0.95)
-            yield Rule(label, "spdx", f"spdx licen[cs]e identifier {family.replace('-', ' ')} {version}{ENDS}", 1, 0.99)
+            yield Rule(f"{label}-or-later", "spdx", f"{SPDX} {ident} {VERSION}{number} {LATER}", 1, 0.99)
+            yield Rule(label, "spdx", f"{SPDX} {ident} {VERSION}{number}(?: only)?", 1, 0.99)
             if family in GNU:
-                yield Rule(label, family, f"{family} ?(?:v|version )?{number}", 2, 0.85)
+                yield Rule(f"{label}-or-later", family, f"(?:gnu )?{family} ?(?:v ?|version )?{number} {LATER}", 2, 0.9)
+                yield Rule(label, family, f"(?:gnu )?{family} ?(?:v ?|version )?{number}", 2, 0.85)
+            elif family not in PROGRAMS:
+                yield Rule(label, f"{ident} {version}", f"{ident} {version}{ENDS}", 2, 0.8)
     for parts, words in CC_PARTS.items():
         kind = "cc-" + parts.replace(" ", "-")
         yield Rule(kind, "cc by", f"cc {parts}", 2 if len(parts) > 2 else 3, 0.8)
@@ -198,6 +219,8 @@ def _rules() -> Iterator[Rule]:
             yield Rule(label, "cc by", f"cc {parts} {version}{ENDS}", 1, 0.97)
             yield Rule(label, "creative commons", f"creative commons {words} {version}{ENDS}", 1, 0.95)
             yield Rule(label, "creativecommons", f"creativecommons org licenses {parts} {version}{ENDS}", 1, 0.97)
+    for label in PLAIN_IDS:
+        yield Rule(label, "spdx", f"{SPDX} {label.replace('-', ' ')}", 1, 0.99)
     for label, keyword, pattern, tier, trust in NOTICES:
         yield Rule(label, keyword, pattern, tier, trust)
 

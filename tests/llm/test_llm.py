@@ -160,6 +160,21 @@ def test_what_contains_a_detection_suppresses_it(spark):
                 assert d == e or not (inside and e["tier"] <= d["tier"])
 
 
+def test_short_identifiers_keep_their_suffixes(spark):
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cells = {
+        "SPDX: MIT": "mit", "SPDX-License-Identifier: MIT-0": "mit-0", "BSD-3-Clause": "bsd-3-clause", "3-clause BSD": "bsd-3-clause", "SPDX-License-Identifier: BSD-2-Clause": "bsd-2-clause",
+        "GPL-2.0-or-later": "gpl-2.0-or-later", "GPL-3.0-or-later": "gpl-3.0-or-later", "GNU GPL v3 or later": "gpl-3.0-or-later", "GPL version 2 or any later version": "gpl-2.0-or-later",
+        "LGPLv2.1 or newer": "lgpl-2.1-or-later", "SPDX-License-Identifier: AGPL-3.0-or-later": "agpl-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0", "GPL-2.0-only": "gpl-2.0", "GNU GPL v2": "gpl-2.0",
+        "licensed under the GPL": "gpl", "licensed under the GPL v3": "gpl-3.0", "LGPL licensed": "lgpl", "the GNU GPL": "gpl", "SPDX: ISC": "isc", "SPDX-License-Identifier: Unlicense": "unlicense", "MPL-2.0": "mpl-2.0", "SPDX: MPL-2.0": "mpl-2.0",
+        "Apache-2.0": "apache-2.0", "licensed under Apache 2": "apache-2.0", "SPDX: Apache-2.0": "apache-2.0", "licensed under the BSD": "bsd", "licensed under Apache": "apache", "the Apache 2.0 web server": "", "PHP 3.0": "", "the GPL 2.1.4 of": "",
+        notice.format(2): "gpl,gpl-2.0-or-later", notice.format(3): "gpl,gpl-3.0-or-later",
+    }
+    df = spark.createDataFrame(list(enumerate(cells)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.op2_license_scan(df).collect()}
+    assert {t: got[k] for k, t in enumerate(cells)} == cells
+
+
 def test_license_scan_takes_awkward_rows(docs, empty, spark):
     assert licenses.op2_license_scan(empty).count() == 0
     got = licenses.op2_license_scan(docs.withColumns({c: F.lit("clash") for c in ("norm", "held", "words", "found", "base", "n_words", "labels")})).collect()
