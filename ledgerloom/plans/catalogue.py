@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.operators import access, balances, cascades, ingestion, ledger, matching, posting, rules, valuation
+from ledgerloom.operators import access, balances, cascades, ingestion, instruments, ledger, matching, posting, rules, valuation
 from ledgerloom.plans.bridge import Ledger, oracle
 
-MODULES = (balances, ledger, matching, rules, ingestion, access, cascades, posting, valuation)
+MODULES = (balances, ledger, matching, rules, ingestion, access, cascades, posting, valuation, instruments)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
