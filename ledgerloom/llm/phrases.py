@@ -7,9 +7,11 @@
 2.  A phrase is a pair of intervals of one width, its count, in both transforms.  From the intervals of one level those
     of the next are reached by extending all of them at once: to the left in one transform, to the right in the other,
     each time with the other interval kept in step.  So an extension knows both phrases that it extends.
-3.  Counts are summed across shards.  Only phrases frequent in all shards together are extended further: what is inside a
-    frequent phrase is at least as frequent, so nothing is lost.  Shards learn of those they hold by a join; a phrase is
-    named by the numbers of the two phrases that it extends, so no text is shuffled after the first level.
+3.  Counts are summed across shards: a shard deals its phrases into groups by a hash and sends each group one packed
+    block, and a group tells each shard which of its own are frequent in all together.  Only those are extended further:
+    what is inside a frequent phrase is at least as frequent, so nothing is lost.  A phrase is named by the ids of the two
+    phrases that it extends and known to its shard by its low, from which the index finds the other interval again; so
+    no text is shuffled after the first level.
 4.  Counts of first and last parts come down the same two lines, so every cut of a candidate is scored without a search.
 
 Rows out: the first phrases of each language.  Defined results: a null text has no words; a null language is ``und``;
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from ledgerloom.llm.common import bounded_batches, bucketed, discard, durable
 
 #: Words that a task holds before it closes the largest of its shards.
 SHARD_WORDS = 2_000_000
-#: Phrases of one level that are sent to every task; more than these meet the shards in a shuffle.
-SENT_PHRASES = 1 << 18
+#: Words of the corpus for each group that sums counts across shards: as many groups as it takes for each to stay bounded.
+GROUP_WORDS = 2_000_000
 #: Stands between pieces; no text in UTF-8 holds this byte.
 GAP = b"\xff"
 _TABLE = bytearray(range(256))
@@ -118,34 +121,69 @@ class Shard:
         return tail_low[both], tail_back[both], sizes[both], at[tail_low[both]], tail[both]
 
 
+    def backs(self, low: np.ndarray, length: int) -> np.ndarray:
+        """The lows in the backward transform of phrases of ``length`` words, given by their lows in the forward one."""
+        after = np.empty(len(self.forward), np.int32)
+        after[self.forward_step] = np.arange(len(self.forward), dtype=np.int32)  # the row of the suffix one symbol shorter
+        ends = np.cumsum(np.bincount(self.forward))
+        ranked = self.backward.astype(np.int64) << 32 | np.arange(len(self.backward))
+        ranked.sort()
+        row, back = low, np.zeros(len(low), np.int64)
+        for _ in range(length):
+            # rows of the backward transform that begin with the symbol, behind those of lesser symbols, in the order of what follows
+            back = np.searchsorted(ranked, np.searchsorted(ends, row, "right") << 32 | back)
+            row = after[row]
+        return back
+
+
+def pressed(data: bytes) -> bytes:
+    return ZstdCompressor(level=1).compress(data)
+
+
+def unpressed(data: bytes) -> bytes:
+    return ZstdDecompressor().decompress(data)
+
+
 def stored(symbols: np.ndarray) -> bytes:
-    return ZstdCompressor(level=1).compress(symbols.astype("<u2" if symbols.max(initial=0) < 1 << 16 else "<u4").tobytes())
+    return pressed(symbols.astype("<u2" if symbols.max(initial=0) < 1 << 16 else "<u4").tobytes())
 
 
 def loaded(data: bytes, symbols: int) -> np.ndarray:
-    raw = ZstdDecompressor().decompress(data)
+    raw = unpressed(data)
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * symbols else "<u4").astype(np.int32)
 
 
-#: A shard with its words in order, and each of its words with its number, its count and a number no other row has.
-SHARDS = "shard long, lang string, words binary, size int, word binary, number int, row long"
+def packed(low: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> bytes:
+    """Phrases in the order of their lows: steps of low and head, tail and size, each byte of all rows beside its like."""
+    columns = np.stack([np.diff(low, prepend=0), np.diff(head, prepend=0), tail, size]).astype("<i8")
+    return pressed(columns.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """(low, head, tail, size) as rows of one array."""
+    raw = np.frombuffer(unpressed(data), np.uint8).reshape(4, 8, -1)
+    columns = raw.transpose(0, 2, 1).copy().view("<i8")[..., 0]
+    columns[:2] = np.cumsum(columns[:2], axis=1)
+    return columns
+
+
+#: A shard: its words in order as numbers, its different words in the order of their numbers (from 1), and their counts.
+SHARDS = "shard long, lang string, symbols binary, size int, words binary, counts binary, different int"
 
 
 def _shards(most_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        shard, row, total = part << 32, part << 40, 0
+        shard, total = TaskContext.get().partitionId() << 32, 0
         held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
 
-        def closed(lang: str) -> Iterator[pa.RecordBatch]:
-            nonlocal shard, row, total
+        def closed(lang: str) -> pa.RecordBatch:
+            nonlocal shard, total
             ids, parts = held.pop(lang)
             symbols = np.concatenate([*parts, np.zeros(1, np.int32)])
             total -= len(symbols) - 1
-            n, each = len(ids) - 1, pa.array(list(ids)[1:], pa.binary())
-            yield _batch(SHARDS, 1, shard=[shard], lang=[lang], words=[stored(symbols)], size=[len(symbols)])
-            yield _batch(SHARDS, n, shard=np.full(n, shard), lang=pa.repeat(lang, n), size=np.bincount(symbols, minlength=n + 1)[1:], word=each, number=np.arange(1, n + 1), row=np.arange(row, row + n))
-            shard, row = shard + 1, row + n
+            shard += 1
+            counts = np.bincount(symbols, minlength=len(ids))[1:]
+            return _batch(SHARDS, 1, shard=[shard], lang=[lang], symbols=[stored(symbols)], size=[len(symbols)], words=[pressed(b" ".join(list(ids)[1:]))], counts=[stored(counts)], different=[len(counts)])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -154,9 +192,9 @@ def _shards(most_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in [GAP, *found]), np.int32, len(found) + 1))
                 total += len(found) + 1
                 if total >= most_words:
-                    yield from closed(max(held, key=lambda k: sum(map(len, held[k][1]))))
+                    yield closed(max(held, key=lambda k: sum(map(len, held[k][1]))))
         for lang in list(held):
-            yield from closed(lang)
+            yield closed(lang)
 
     return run
 
@@ -171,90 +209,183 @@ def _batch(schema: str, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(names))
 
 
-#: A shard with its transforms, and phrases with their intervals, named by the phrases that they extend.
-LEVEL = "shard long, forward binary, backward binary, low int, back int, size int, head long, tail long"
-Grouped = Callable[[pa.Table, pa.Table], pa.Table]
+#: A shard's phrases that one group sums; of single words, the words themselves and their numbers as lows.
+BLOCK = "group long, shard long, lang string, words binary, data binary"
+#: What a group found frequent: a phrase with its count, or, with a shard, where the shard holds it.
+MET = "id long, lang string, word binary, head long, tail long, f long, shard long, low long, size long"
+#: Both transforms of a shard, and the ids of its symbols from 1.
+INDEX = "shard long, forward binary, backward binary, size int, ids binary"
+Grouped = Callable[[pa.Table], pa.Table]
+Together = Callable[[pa.Table, pa.Table], pa.Table]
+
+
+def _counted(own: pa.Table) -> pa.Table:
+    """How many words a shard holds."""
+    lang, counts, n = (own.column(c)[0].as_py() for c in ("lang", "counts", "different"))
+    return pa.table({"lang": pa.array([lang], pa.string()), "n": pa.array([int(loaded(counts, n).sum())], pa.int64())})
+
+
+def _word_blocks(groups: int) -> Grouped:
+    def run(own: pa.Table) -> pa.Table:
+        shard, lang, listed, counts, n = (own.column(c)[0].as_py() for c in ("shard", "lang", "words", "counts", "different"))
+        if not n:
+            return pa.Table.from_batches([_batch(BLOCK, 0)])
+        each, size, start = unpressed(listed).split(b" "), loaded(counts, n), crc32(lang.encode())
+        of = np.fromiter((crc32(w, start) % groups for w in each), np.int64, n)
+        out = []
+        for group, at in _parted(of):
+            none = np.zeros(len(at), np.int64)
+            out.append((group, pressed(b" ".join([each[k] for k in at])), packed(at + 1, none, none, size[at])))
+        group, texts, data = zip(*out, strict=True)
+        return pa.Table.from_batches([_batch(BLOCK, len(out), group=group, shard=np.full(len(out), shard), lang=[lang] * len(out), words=texts, data=data)])
+
+    return run
+
+
+def _parted(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group with the places that belong to it, ascending."""
+    order = np.argsort(of, kind="stable")
+    edge = np.flatnonzero(np.diff(of[order], prepend=-1))
+    yield from zip(of[order][edge].tolist(), np.split(order, edge[1:]), strict=True)
+
+
+def _met_words(least: int) -> Grouped:
+    def run(blocks: pa.Table) -> pa.Table:
+        """Words of one group, summed across shards."""
+        ids: dict[tuple[str, bytes], int] = {}
+        codes, shards, numbers, sizes = [], [], [], []
+        for shard, lang, listed, data in zip(*(blocks.column(c).to_pylist() for c in ("shard", "lang", "words", "data")), strict=True):
+            number, _, _, size = unpacked(data)
+            codes.append(np.fromiter((ids.setdefault((lang, w), len(ids)) for w in unpressed(listed).split(b" ")), np.int64, len(number)))
+            shards.append(np.full(len(number), shard))
+            numbers.append(number)
+            sizes.append(size)
+        code, shard, number, size = (np.concatenate(x) for x in (codes, shards, numbers, sizes))
+        f = np.zeros(len(ids), np.int64)
+        np.add.at(f, code, size)
+        base, own, far = blocks.column("group")[0].as_py() << 32, f[code] >= least, np.flatnonzero(f >= least)
+        names = list(ids)
+        frequent = _batch(MET, len(far), id=base + far, lang=pa.array([names[k][0] for k in far], pa.string()), word=pa.array([names[k][1] for k in far], pa.binary()), f=f[far])
+        return pa.Table.from_batches([frequent, _batch(MET, int(own.sum()), id=base + code[own], shard=shard[own], low=number[own], size=size[own])])
+
+    return run
+
+
+def _met(least: int) -> Grouped:
+    def run(blocks: pa.Table) -> pa.Table:
+        """Phrases of one group, named by the ids of head and tail, summed across shards."""
+        parts = [unpacked(d) for d in blocks.column("data").to_pylist()]
+        low, head, tail, size = np.concatenate(parts, axis=1)
+        shard = np.repeat(blocks.column("shard").to_numpy(), [p.shape[1] for p in parts])
+        del parts
+        order = np.lexsort((tail, head))
+        edge = np.flatnonzero((np.diff(head[order], prepend=-1) != 0) | (np.diff(tail[order], prepend=-1) != 0))
+        f = np.add.reduceat(size[order], edge)
+        far = np.flatnonzero(f >= least)
+        base, first = blocks.column("group")[0].as_py() << 32, order[edge[far]]
+        frequent = _batch(MET, len(far), id=base + far, head=head[first], tail=tail[first], f=f[far])
+        code = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(order))))
+        own = f[code] >= least
+        at = order[own]
+        return pa.Table.from_batches([frequent, _batch(MET, len(at), id=base + code[own], shard=shard[at], low=low[at], size=size[at])])
+
+    return run
 
 
-def _phrases(shard: Shard, number: int, low: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    low, back, size, head, tail = shard.extensions(low, back, size)
-    return _batch(LEVEL, len(low), shard=np.full(len(low), number), low=low, back=back, size=size, head=ids[head], tail=ids[tail])
+def _blocks(shard: Shard, number: int, low: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray, groups: int) -> pa.Table:
+    """The phrases of a shard one word longer than those given, in a block for each group that sums them."""
+    low, _, size, head, tail = shard.extensions(low, back, size)
+    order = np.argsort(low)
+    low, size, head, tail = low[order], size[order], ids[head[order]], ids[tail[order]]
+    mixed = (head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tail.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    of = (mixed >> np.uint64(32)).astype(np.int64) % groups
+    out = [(group, packed(low[at], head[at], tail[at], size[at])) for group, at in _parted(of)] if len(of) else []
+    return pa.Table.from_batches([_batch(BLOCK, len(out), group=[g for g, _ in out], shard=np.full(len(out), number), data=pa.array([d for _, d in out], pa.binary()))])
 
 
-def _indexed(depth: int) -> Grouped:
+def _indexed(depth: int) -> Together:
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
-        """The index of a shard over its frequent words, and its phrases of two."""
+        """The index of a shard over its frequent words."""
         if not own.num_rows or not known.num_rows:
-            return pa.Table.from_batches([_batch(LEVEL, 0)])
-        shard, n, data = (own.column(c)[0].as_py() for c in ("shard", "size", "words"))
-        symbols = loaded(data, n)
+            return pa.Table.from_batches([_batch(INDEX, 0)])
+        shard, n, data = (own.column(c)[0].as_py() for c in ("shard", "size", "symbols"))
+        symbols, known = loaded(data, n), known.sort_by("low")
         number = np.zeros(int(symbols.max()) + 1, np.int32)
-        number[known.column("number").to_numpy()] = np.arange(1, known.num_rows + 1)
+        number[known.column("low").to_numpy()] = np.arange(1, known.num_rows + 1)
         symbols = number[symbols]
         symbols = symbols[np.concatenate([[True], (symbols[1:] > 0) | (symbols[:-1] > 0)])]  # one gap for many
-        index = Shard(transform(symbols, depth), transform(symbols[::-1], depth))
-        sizes = np.bincount(symbols)
-        low = (np.cumsum(sizes) - sizes)[1:]
-        whole = _batch(LEVEL, 1, shard=[shard], forward=[stored(index.forward)], backward=[stored(index.backward)], size=[len(symbols)])
-        return pa.Table.from_batches([whole, _phrases(index, shard, low, low, sizes[1:], known.column("id").to_numpy())])
+        both = [stored(transform(s, depth)) for s in (symbols, symbols[::-1])]
+        return pa.Table.from_batches([_batch(INDEX, 1, shard=[shard], forward=both[:1], backward=both[1:], size=[len(symbols)], ids=[pressed(known.column("id").to_numpy().astype("<i8").tobytes())])])
 
     return run
 
 
-def _longer(own: pa.Table, known: pa.Table) -> pa.Table:
-    """Phrases of a shard one word longer than the frequent ones."""
-    if not own.num_rows or not known.num_rows:
-        return pa.Table.from_batches([_batch(LEVEL, 0)])
+def _read(own: pa.Table) -> tuple[int, Shard]:
     shard, n, *data = (own.column(c)[0].as_py() for c in ("shard", "size", "forward", "backward"))
-    known = known.sort_by("low")
-    found = _phrases(Shard(*(loaded(d, n) for d in data)), shard, *(known.column(c).to_numpy().astype(np.int64) for c in ("low", "back", "size")), known.column("id").to_numpy())
-    return pa.Table.from_batches([found])
+    return shard, Shard(*(loaded(d, n) for d in data))
 
 
-def _known(met: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Shards' own phrases that are frequent in all: frequent ones are broadcast up to a number, and beyond it both sides are shuffled."""
-    names = frequent.select("head", "tail", "id")
-    return met.join(F.broadcast(names) if frequent.count() <= SENT_PHRASES else names, ["head", "tail"]).select("shard", "low", "back", "size", "id")
+def _pairs(groups: int) -> Grouped:
+    def run(own: pa.Table) -> pa.Table:
+        """Phrases of two words of a shard."""
+        number, shard = _read(own)
+        sizes = np.bincount(shard.forward)
+        low = (np.cumsum(sizes) - sizes)[1:]
+        return _blocks(shard, number, low, low, sizes[1:], np.frombuffer(unpressed(own.column("ids")[0].as_py()), "<i8"), groups)
+
+    return run
+
+
+def _longer(groups: int, length: int) -> Together:
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        """Phrases of a shard one word longer than its frequent ones of ``length``."""
+        if not own.num_rows or not known.num_rows:
+            return pa.Table.from_batches([_batch(BLOCK, 0)])
+        number, shard = _read(own)
+        low, size, ids = (known.sort_by("low").column(c).to_numpy() for c in ("low", "size", "id"))
+        return _blocks(shard, number, low, shard.backs(low, length), size, ids, groups)
+
+    return run
 
 
 def frequent_phrases(docs: DataFrame, most_words: int, least: int, shard_words: int) -> tuple[list[DataFrame], DataFrame]:
     """Of each length: id, lang, phrase, f, and counts of its first and last 1, 2, ... words (prefixes, suffixes), and from two words on the ids of head and tail; and (lang, n)."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = durable(texts.mapInArrow(_shards(shard_words), SHARDS), "phrase-shards", "zstd")
-    held = shards.filter("word is not null").select("shard", "lang", "word", "number", "size", "row")
-    totals = durable(held.groupBy("lang").agg(F.sum("size").alias("n")), "phrase-totals")
-    # a word's rows, one of each shard that holds it, meet once; the least of their numbers names it
-    same = Window.partitionBy("lang", "word")
-    known = durable(held.withColumns({"f": F.sum("size").over(same), "id": F.min("row").over(same)}).filter(F.col("f") >= least), "phrase-words", "zstd")
-    levels = [known.filter("row = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
-    own, work = shards.filter("word is null").select("shard", "words", "size").toDF("shard", "words", "size"), _indexed(most_words)
-    known, read = known.select("shard", "number", "id"), shards
+    # in buckets, as the index is, so that neither is shuffled when what is known of a shard meets it
+    shards = bucketed(texts.mapInArrow(_shards(shard_words), SHARDS), "phrase_shards", "shard", "zstd")
+    counted = shards.select("shard", "lang", "words", "counts", "different")
+    totals = durable(counted.groupBy("shard").applyInArrow(_counted, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    groups = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS
+    met = durable(counted.groupBy("shard").applyInArrow(_word_blocks(groups), BLOCK).groupBy("group").applyInArrow(_met_words(least), MET), "phrase-words", "zstd")
+    levels = [met.filter("shard is null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
+    known = lambda: met.filter("shard is not null").select("shard", "low", "size", "id").groupBy("shard")
+    own = shards.select("shard", "symbols", "size")
+    index = bucketed(own.groupBy("shard").cogroup(known()).applyInArrow(_indexed(most_words), INDEX), "fm_index", "shard", "zstd")
+    discard(shards)
     for length in range(2, most_words + 1):
-        found = durable(own.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(work, LEVEL), "phrase-level", "zstd")
-        discard(read)
-        read = found
-        met = found.filter("head is not null").select("shard", "low", "back", "size", "head", "tail")
-        pairs = met.groupBy("head", "tail").agg(F.sum("size").alias("f")).filter(F.col("f") >= least)
+        if length == 2:
+            blocks = index.groupBy("shard").applyInArrow(_pairs(groups), BLOCK)
+        else:
+            blocks = index.drop("ids").groupBy("shard").cogroup(known()).applyInArrow(_longer(groups, length - 1), BLOCK)
+        read, met = met, durable(blocks.groupBy("group").applyInArrow(_met(least), MET), "phrase-level", "zstd")
+        pairs = met.filter("shard is null").select("id", "head", "tail", "f")
         heads = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"), "prefixes")
         tails = levels[-1].select(F.col("id").alias("tail"), "last", "suffixes")
         longer = pairs.join(heads, "head").join(tails, "tail").select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.concat("first", F.lit(bytearray(b" ")), "last").alias("phrase"), "last", "f",
+            "id", "lang", F.concat("first", F.lit(bytearray(b" ")), "last").alias("phrase"), "last", "f",
             F.concat("prefixes", F.array("f")).alias("prefixes"), F.concat("suffixes", F.array("f")).alias("suffixes"), "head", "tail")
         levels.append(durable(longer, "phrases"))
-        if length == 2:
-            # in buckets, so that the levels above shuffle their phrases alone and no index again
-            own, work = bucketed(found.filter("forward is not null").select("shard", "forward", "backward", "size"), "fm_index", "shard", "zstd"), _longer
-        known = _known(met, levels[-1])
-    discard(read, *([own] if work is _longer else []))
-    return levels, totals
+        discard(read)
+    discard(met, index)
+    return levels[1:], totals
 
 
 def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all phrases of 2 to ``most_words`` words that are inside no longer candidate of the same count."""
     levels, totals = frequent_phrases(docs, most_words, least, shard_words)
     kept = []
-    for level, above in zip(levels[1:], [*levels[2:], None], strict=True):
+    for level, above in zip(levels, [*levels[1:], None], strict=True):
         if above is not None:
             # inside a longer phrase just as frequent, a phrase is so by way of a left or right extension
             reach = above.select(F.col("tail").alias("id"), "f").union(above.select(F.col("head").alias("id"), "f")).groupBy("id").agg(F.max("f").alias("reach"))

@@ -49,9 +49,9 @@ def brute(docs, most_words, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("most_words", "least", "shard_words", "sent"), [(5, 20, phrases.SHARD_WORDS, 1 << 18), (5, 3, 300, 0), (3, 1, 2000, 1 << 18)])
-def test_same_phrases_as_brute_force(docs, monkeypatch, most_words, least, shard_words, sent):
-    monkeypatch.setattr(phrases, "SENT_PHRASES", sent)
+@pytest.mark.parametrize(("most_words", "least", "shard_words", "group_words"), [(5, 20, phrases.SHARD_WORDS, phrases.GROUP_WORDS), (5, 3, 300, 5000), (3, 1, 2000, 20_000)])
+def test_same_phrases_as_brute_force(docs, monkeypatch, most_words, least, shard_words, group_words):
+    monkeypatch.setattr(phrases, "GROUP_WORDS", group_words)
     want = brute(docs, most_words, least)
     assert len(want) > 20
     assert sorted(map(tuple, phrases.collocations(docs, most_words, least, shard_words).collect())) == want
@@ -84,3 +84,11 @@ def test_extensions_both_ways_are_those_of_the_text():
         grams = [(*grams[h], grams[t][-1]) for h, t in zip(head, tail, strict=True)]
         windows = Counter(tuple(w) for w in np.lib.stride_tricks.sliding_window_view(symbols, m).tolist() if 0 not in w)
         assert dict(zip(grams, size.tolist(), strict=True)) == windows
+        assert (shard.backs(low, m) == back).all()
+
+
+def test_blocks_hold_what_was_packed():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 5000):
+        columns = np.stack([np.sort(rng.integers(0, 1 << 31, n)), *rng.integers(0, 1 << 62, (2, n)), rng.integers(1, 1 << 31, n)])
+        assert (phrases.unpacked(phrases.packed(*columns)) == columns).all()
