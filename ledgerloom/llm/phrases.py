@@ -10,8 +10,8 @@
 3.  Counts are summed across shards: a shard deals its phrases into groups by a hash and sends each group one packed
     block, and a group tells each shard which of its own are frequent in all together.  Only those are extended further:
     what is inside a frequent phrase is at least as frequent, so nothing is lost.  A phrase is named by the ids of the two
-    phrases that it extends and known to its shard by its low, from which the index finds the other interval again; so
-    no text is shuffled after the first level.
+    phrases that it extends, from whose intervals the index finds its own again; so no interval is ever sent, and no text
+    after the first level.
 4.  Counts of first and last parts come down the same two lines, so every cut of a candidate is scored without a search.
 
 Rows out: the first phrases of each language.  Defined results: a null text has no words; a null language is ``und``;
@@ -22,13 +22,14 @@ whole; an empty table gives an empty result; extra columns, whatever their names
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
@@ -121,17 +122,27 @@ class Shard:
         return tail_low[both], tail_back[both], sizes[both], at[tail_low[both]], tail[both]
 
 
+    def ranked(self, bwt: np.ndarray) -> np.ndarray:
+        """The rows of a transform by symbol: how many stand below (symbol, row) is the row of the suffix one symbol longer."""
+        return np.sort(bwt.astype(np.int64) << 32 | np.arange(len(bwt)))
+
+    def first(self, low: np.ndarray) -> np.ndarray:
+        """The symbols that rows of the forward transform begin with."""
+        return np.searchsorted(np.cumsum(np.bincount(self.forward)), low, "right")
+
+    def prepended(self, symbol: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low, size) of intervals extended to the left by one symbol each."""
+        ranked = self.ranked(self.forward)
+        start = np.searchsorted(ranked, symbol << 32 | low)
+        return start, np.searchsorted(ranked, symbol << 32 | low + size) - start
+
     def backs(self, low: np.ndarray, length: int) -> np.ndarray:
         """The lows in the backward transform of phrases of ``length`` words, given by their lows in the forward one."""
         after = np.empty(len(self.forward), np.int32)
         after[self.forward_step] = np.arange(len(self.forward), dtype=np.int32)  # the row of the suffix one symbol shorter
-        ends = np.cumsum(np.bincount(self.forward))
-        ranked = self.backward.astype(np.int64) << 32 | np.arange(len(self.backward))
-        ranked.sort()
-        row, back = low, np.zeros(len(low), np.int64)
+        ranked, row, back = self.ranked(self.backward), low, np.zeros(len(low), np.int64)
         for _ in range(length):
-            # rows of the backward transform that begin with the symbol, behind those of lesser symbols, in the order of what follows
-            back = np.searchsorted(ranked, np.searchsorted(ends, row, "right") << 32 | back)
+            back = np.searchsorted(ranked, self.first(row) << 32 | back)
             row = after[row]
         return back
 
@@ -153,18 +164,18 @@ def loaded(data: bytes, symbols: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * symbols else "<u4").astype(np.int32)
 
 
-def packed(low: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray) -> bytes:
-    """Phrases in the order of their lows: steps of low and head, tail and size, each byte of all rows beside its like."""
-    columns = np.stack([np.diff(low, prepend=0), np.diff(head, prepend=0), tail, size]).astype("<i8")
-    return pressed(columns.view(np.uint8).reshape(4, -1, 8).transpose(0, 2, 1).tobytes())
+def packed(ascending: int, *columns: np.ndarray) -> bytes:
+    """Columns of numbers, the first ``ascending`` of them as steps; each byte of all rows stands beside its like."""
+    table = np.stack([np.diff(c, prepend=0) if k < ascending else c for k, c in enumerate(columns)]).astype("<i8")
+    return pressed(table.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes())
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    """(low, head, tail, size) as rows of one array."""
-    raw = np.frombuffer(unpressed(data), np.uint8).reshape(4, 8, -1)
-    columns = raw.transpose(0, 2, 1).copy().view("<i8")[..., 0]
-    columns[:2] = np.cumsum(columns[:2], axis=1)
-    return columns
+def unpacked(data: bytes, ascending: int, columns: int) -> np.ndarray:
+    """The columns as rows of one array."""
+    raw = np.frombuffer(unpressed(data), np.uint8).reshape(columns, 8, -1)
+    table = raw.transpose(0, 2, 1).copy().view("<i8")[..., 0]
+    table[:ascending] = np.cumsum(table[:ascending], axis=1)
+    return table
 
 
 #: A shard: its words in order as numbers, its different words in the order of their numbers (from 1), and their counts.
@@ -209,10 +220,10 @@ def _batch(schema: str, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, list(names))
 
 
-#: A shard's phrases that one group sums; of single words, the words themselves and their numbers as lows.
+#: What one group sums of a shard: phrases as (head, tail, size); of single words, the words themselves, with (number, size).
 BLOCK = "group long, shard long, lang string, words binary, data binary"
-#: What a group found frequent: a phrase with its count, or, with a shard, where the shard holds it.
-MET = "id long, lang string, word binary, head long, tail long, f long, shard long, low long, size long"
+#: What a group found frequent: a phrase with its count, or, for a shard, all that it holds: (id, head, tail), of words (number, id).
+MET = "id long, lang string, word binary, head long, tail long, f long, shard long, data binary"
 #: Both transforms of a shard, and the ids of its symbols from 1.
 INDEX = "shard long, forward binary, backward binary, size int, ids binary"
 Grouped = Callable[[pa.Table], pa.Table]
@@ -234,8 +245,7 @@ def _word_blocks(groups: int) -> Grouped:
         of = np.fromiter((crc32(w, start) % groups for w in each), np.int64, n)
         out = []
         for group, at in _parted(of):
-            none = np.zeros(len(at), np.int64)
-            out.append((group, pressed(b" ".join([each[k] for k in at])), packed(at + 1, none, none, size[at])))
+            out.append((group, pressed(b" ".join([each[k] for k in at])), packed(1, at + 1, size[at])))
         group, texts, data = zip(*out, strict=True)
         return pa.Table.from_batches([_batch(BLOCK, len(out), group=group, shard=np.full(len(out), shard), lang=[lang] * len(out), words=texts, data=data)])
 
@@ -249,24 +259,28 @@ def _parted(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(of[order][edge].tolist(), np.split(order, edge[1:]), strict=True)
 
 
+def _answers(blocks: pa.Table, parts: list[np.ndarray], held: np.ndarray, answer: Callable[[np.ndarray, np.ndarray], bytes]) -> pa.RecordBatch:
+    """To each shard its own frequent phrases, from the columns of its block and their ids (-1: not frequent)."""
+    out = []
+    for shard, part, ids in zip(blocks.column("shard").to_pylist(), parts, np.split(held, np.cumsum([p.shape[1] for p in parts])[:-1]), strict=True):
+        if (ids >= 0).any():
+            out.append((shard, answer(part[:, ids >= 0], ids[ids >= 0])))
+    return _batch(MET, len(out), shard=pa.array([n for n, _ in out], pa.int64()), data=pa.array([d for _, d in out], pa.binary()))
+
+
 def _met_words(least: int) -> Grouped:
     def run(blocks: pa.Table) -> pa.Table:
         """Words of one group, summed across shards."""
-        ids: dict[tuple[str, bytes], int] = {}
-        codes, shards, numbers, sizes = [], [], [], []
-        for shard, lang, listed, data in zip(*(blocks.column(c).to_pylist() for c in ("shard", "lang", "words", "data")), strict=True):
-            number, _, _, size = unpacked(data)
-            codes.append(np.fromiter((ids.setdefault((lang, w), len(ids)) for w in unpressed(listed).split(b" ")), np.int64, len(number)))
-            shards.append(np.full(len(number), shard))
-            numbers.append(number)
-            sizes.append(size)
-        code, shard, number, size = (np.concatenate(x) for x in (codes, shards, numbers, sizes))
-        f = np.zeros(len(ids), np.int64)
-        np.add.at(f, code, size)
-        base, own, far = blocks.column("group")[0].as_py() << 32, f[code] >= least, np.flatnonzero(f >= least)
-        names = list(ids)
+        codes: dict[tuple[str, bytes], int] = {}
+        parts, code = [], []
+        for lang, listed, data in zip(*(blocks.column(c).to_pylist() for c in ("lang", "words", "data")), strict=True):
+            parts.append(unpacked(data, 1, 2))
+            code.append(np.fromiter((codes.setdefault((lang, w), len(codes)) for w in unpressed(listed).split(b" ")), np.int64, parts[-1].shape[1]))
+        code, f = np.concatenate(code), np.zeros(len(codes), np.int64)
+        np.add.at(f, code, np.concatenate([p[1] for p in parts]))
+        base, far, names = blocks.column("group")[0].as_py() << 32, np.flatnonzero(f >= least), list(codes)
         frequent = _batch(MET, len(far), id=base + far, lang=pa.array([names[k][0] for k in far], pa.string()), word=pa.array([names[k][1] for k in far], pa.binary()), f=f[far])
-        return pa.Table.from_batches([frequent, _batch(MET, int(own.sum()), id=base + code[own], shard=shard[own], low=number[own], size=size[own])])
+        return pa.Table.from_batches([frequent, _answers(blocks, parts, np.where(f >= least, base + np.arange(len(f)), -1)[code], lambda part, ids: packed(1, part[0], ids))])
 
     return run
 
@@ -274,32 +288,29 @@ def _met_words(least: int) -> Grouped:
 def _met(least: int) -> Grouped:
     def run(blocks: pa.Table) -> pa.Table:
         """Phrases of one group, named by the ids of head and tail, summed across shards."""
-        parts = [unpacked(d) for d in blocks.column("data").to_pylist()]
-        low, head, tail, size = np.concatenate(parts, axis=1)
-        shard = np.repeat(blocks.column("shard").to_numpy(), [p.shape[1] for p in parts])
-        del parts
+        parts = [unpacked(d, 1, 3) for d in blocks.column("data").to_pylist()]
+        head, tail, size = np.concatenate(parts, axis=1)
         order = np.lexsort((tail, head))
         edge = np.flatnonzero((np.diff(head[order], prepend=-1) != 0) | (np.diff(tail[order], prepend=-1) != 0))
         f = np.add.reduceat(size[order], edge)
-        far = np.flatnonzero(f >= least)
-        base, first = blocks.column("group")[0].as_py() << 32, order[edge[far]]
+        base, far = blocks.column("group")[0].as_py() << 32, np.flatnonzero(f >= least)
+        first, held = order[edge[far]], np.empty(len(order), np.int64)
         frequent = _batch(MET, len(far), id=base + far, head=head[first], tail=tail[first], f=f[far])
-        code = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(order))))
-        own = f[code] >= least
-        at = order[own]
-        return pa.Table.from_batches([frequent, _batch(MET, len(at), id=base + code[own], shard=shard[at], low=low[at], size=size[at])])
+        held[order] = np.repeat(np.where(f >= least, base + np.arange(len(f)), -1), np.diff(np.append(edge, len(order))))
+        return pa.Table.from_batches([frequent, _answers(blocks, parts, held, lambda part, ids: packed(2, ids, part[0], part[1]))])
 
     return run
 
 
 def _blocks(shard: Shard, number: int, low: np.ndarray, back: np.ndarray, size: np.ndarray, ids: np.ndarray, groups: int) -> pa.Table:
     """The phrases of a shard one word longer than those given, in a block for each group that sums them."""
-    low, _, size, head, tail = shard.extensions(low, back, size)
-    order = np.argsort(low)
-    low, size, head, tail = low[order], size[order], ids[head[order]], ids[tail[order]]
+    _, _, size, head, tail = shard.extensions(low, back, size)
+    head, tail = ids[head], ids[tail]
+    order = np.lexsort((tail, head))
+    head, tail, size = head[order], tail[order], size[order]
     mixed = (head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tail.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
     of = (mixed >> np.uint64(32)).astype(np.int64) % groups
-    out = [(group, packed(low[at], head[at], tail[at], size[at])) for group, at in _parted(of)] if len(of) else []
+    out = [(group, packed(1, head[at], tail[at], size[at])) for group, at in _parted(of)] if len(of) else []
     return pa.Table.from_batches([_batch(BLOCK, len(out), group=[g for g, _ in out], shard=np.full(len(out), number), data=pa.array([d for _, d in out], pa.binary()))])
 
 
@@ -309,45 +320,66 @@ def _indexed(depth: int) -> Together:
         if not own.num_rows or not known.num_rows:
             return pa.Table.from_batches([_batch(INDEX, 0)])
         shard, n, data = (own.column(c)[0].as_py() for c in ("shard", "size", "symbols"))
-        symbols, known = loaded(data, n), known.sort_by("low")
+        symbols, (old, ids) = loaded(data, n), np.concatenate([unpacked(d, 1, 2) for d in known.column("data").to_pylist()], axis=1)
         number = np.zeros(int(symbols.max()) + 1, np.int32)
-        number[known.column("low").to_numpy()] = np.arange(1, known.num_rows + 1)
+        number[old] = np.arange(1, len(old) + 1)
         symbols = number[symbols]
         symbols = symbols[np.concatenate([[True], (symbols[1:] > 0) | (symbols[:-1] > 0)])]  # one gap for many
         both = [stored(transform(s, depth)) for s in (symbols, symbols[::-1])]
-        return pa.Table.from_batches([_batch(INDEX, 1, shard=[shard], forward=both[:1], backward=both[1:], size=[len(symbols)], ids=[pressed(known.column("id").to_numpy().astype("<i8").tobytes())])])
+        return pa.Table.from_batches([_batch(INDEX, 1, shard=[shard], forward=both[:1], backward=both[1:], size=[len(symbols)], ids=[packed(0, ids)])])
 
     return run
 
 
-def _read(own: pa.Table) -> tuple[int, Shard]:
-    shard, n, *data = (own.column(c)[0].as_py() for c in ("shard", "size", "forward", "backward"))
-    return shard, Shard(*(loaded(d, n) for d in data))
+def _read(own: pa.Table) -> tuple[int, Shard, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard with the lows, sizes and ids of its words."""
+    shard, n, ids, *data = (own.column(c)[0].as_py() for c in ("shard", "size", "ids", "forward", "backward"))
+    index = Shard(*(loaded(d, n) for d in data))
+    sizes = np.bincount(index.forward)
+    return shard, index, (np.cumsum(sizes) - sizes)[1:], sizes[1:], unpacked(ids, 0, 1)[0]
 
 
 def _pairs(groups: int) -> Grouped:
     def run(own: pa.Table) -> pa.Table:
         """Phrases of two words of a shard."""
-        number, shard = _read(own)
-        sizes = np.bincount(shard.forward)
-        low = (np.cumsum(sizes) - sizes)[1:]
-        return _blocks(shard, number, low, low, sizes[1:], np.frombuffer(unpressed(own.column("ids")[0].as_py()), "<i8"), groups)
+        number, shard, low, size, ids = _read(own)
+        return _blocks(shard, number, low, low, size, ids, groups)
 
     return run
 
 
 def _longer(groups: int, length: int) -> Together:
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
-        """Phrases of a shard one word longer than its frequent ones of ``length``."""
-        if not own.num_rows or not known.num_rows:
+        """Phrases of a shard one word longer than its frequent ones of ``length``, which are found again from its words up."""
+        levels = known.column("length").to_numpy()
+        if not own.num_rows or not (levels == length).any():
             return pa.Table.from_batches([_batch(BLOCK, 0)])
-        number, shard = _read(own)
-        low, size, ids = (known.sort_by("low").column(c).to_numpy() for c in ("low", "size", "id"))
+        number, shard, low, size, ids = _read(own)
+        for k in range(2, length + 1):
+            new, head, tail = np.concatenate([unpacked(d, 2, 3) for d in known.filter(pa.array(levels == k)).column("data").to_pylist()], axis=1)
+            order = np.argsort(ids)
+            head, tail = (order[np.searchsorted(ids, x, sorter=order)] for x in (head, tail))
+            low, size = shard.prepended(shard.first(low[head]), low[tail], size[tail])
+            ids = new
+        order = np.argsort(low)
+        low, size, ids = low[order], size[order], ids[order]
         return _blocks(shard, number, low, shard.backs(low, length), size, ids, groups)
 
     return run
 
 
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a statement when it ends: each of ours writes a table, which alone is read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, most_words: int, least: int, shard_words: int) -> tuple[list[DataFrame], DataFrame]:
     """Of each length: id, lang, phrase, f, and counts of its first and last 1, 2, ... words (prefixes, suffixes), and from two words on the ids of head and tail; and (lang, n)."""
     bounded_batches(docs.sparkSession)
@@ -359,16 +391,18 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int, shard_words:
     groups = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS
     met = durable(counted.groupBy("shard").applyInArrow(_word_blocks(groups), BLOCK).groupBy("group").applyInArrow(_met_words(least), MET), "phrase-words", "zstd")
     levels = [met.filter("shard is null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
-    known = lambda: met.filter("shard is not null").select("shard", "low", "size", "id").groupBy("shard")
+    answers = lambda met, length: met.filter("shard is not null").select("shard", F.lit(length).alias("length"), "data")
     own = shards.select("shard", "symbols", "size")
-    index = bucketed(own.groupBy("shard").cogroup(known()).applyInArrow(_indexed(most_words), INDEX), "fm_index", "shard", "zstd")
+    index = bucketed(own.groupBy("shard").cogroup(answers(met, 1).groupBy("shard")).applyInArrow(_indexed(most_words), INDEX), "fm_index", "shard", "zstd")
     discard(shards)
+    known, read = [], [met]
     for length in range(2, most_words + 1):
         if length == 2:
             blocks = index.groupBy("shard").applyInArrow(_pairs(groups), BLOCK)
         else:
-            blocks = index.drop("ids").groupBy("shard").cogroup(known()).applyInArrow(_longer(groups, length - 1), BLOCK)
-        read, met = met, durable(blocks.groupBy("group").applyInArrow(_met(least), MET), "phrase-level", "zstd")
+            blocks = index.groupBy("shard").cogroup(reduce(DataFrame.union, known).groupBy("shard")).applyInArrow(_longer(groups, length - 1), BLOCK)
+        read.append(met := durable(blocks.groupBy("group").applyInArrow(_met(least), MET), "phrase-level", "zstd"))
+        known.append(answers(met, length))
         pairs = met.filter("shard is null").select("id", "head", "tail", "f")
         heads = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"), "prefixes")
         tails = levels[-1].select(F.col("id").alias("tail"), "last", "suffixes")
@@ -376,14 +410,14 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int, shard_words:
             "id", "lang", F.concat("first", F.lit(bytearray(b" ")), "last").alias("phrase"), "last", "f",
             F.concat("prefixes", F.array("f")).alias("prefixes"), F.concat("suffixes", F.array("f")).alias("suffixes"), "head", "tail")
         levels.append(durable(longer, "phrases"))
-        discard(read)
-    discard(met, index)
+    discard(index, *read)
     return levels[1:], totals
 
 
 def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all phrases of 2 to ``most_words`` words that are inside no longer candidate of the same count."""
-    levels, totals = frequent_phrases(docs, most_words, least, shard_words)
+    with _own_shuffles(docs.sparkSession):
+        levels, totals = frequent_phrases(docs, most_words, least, shard_words)
     kept = []
     for level, above in zip(levels, [*levels[1:], None], strict=True):
         if above is not None:

@@ -80,15 +80,19 @@ def test_extensions_both_ways_are_those_of_the_text():
     low = (np.cumsum(sizes) - sizes)[1:]
     back, size, grams = low, sizes[1:], [(k,) for k in range(1, 5)]
     for m in range(2, 6):
+        before = low, size
         low, back, size, head, tail = shard.extensions(low, back, size)
         grams = [(*grams[h], grams[t][-1]) for h, t in zip(head, tail, strict=True)]
         windows = Counter(tuple(w) for w in np.lib.stride_tricks.sliding_window_view(symbols, m).tolist() if 0 not in w)
         assert dict(zip(grams, size.tolist(), strict=True)) == windows
         assert (shard.backs(low, m) == back).all()
+        first = np.array([g[0] for g in grams])
+        again = shard.prepended(first, *(before[k][tail] for k in (0, 1)))
+        assert (shard.first(low) == first).all() and (again[0] == low).all() and (again[1] == size).all()
 
 
 def test_blocks_hold_what_was_packed():
     rng = np.random.default_rng(3)
     for n in (1, 7, 5000):
         columns = np.stack([np.sort(rng.integers(0, 1 << 31, n)), *rng.integers(0, 1 << 62, (2, n)), rng.integers(1, 1 << 31, n)])
-        assert (phrases.unpacked(phrases.packed(*columns)) == columns).all()
+        assert (phrases.unpacked(phrases.packed(1, *columns), 1, 4) == columns).all()
