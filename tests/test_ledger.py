@@ -1,5 +1,6 @@
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,18 @@ def test_verdicts_against_a_sequential_model(spark):
     assert got == sequential_verdicts([r.asDict() for r in left.collect()], [r.asDict() for r in right.collect()])
 
 
+def test_verdicts_of_one_amount_paid_for_years_and_of_many_amounts(spark):
+    """One stretch of 12,000 candidates, and 30,000 stretches of one: neither takes time by pairs or by groups."""
+    digest = matching.dedupe_hash(F.col("booked_on"), F.col("shape"), F.col("label"))
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), n.cast("int"))
+    ids = spark.range(42_000)
+    shape = F.when(F.col("id") < 12_000, "daily").otherwise(F.concat(F.lit("s"), F.col("id").cast("string")))
+    one = ids.select(F.lit(1).cast("long").alias("household_id"), day(F.floor(F.col("id") / 4)).alias("booked_on"), shape.alias("shape"), F.lit(None).cast("string").alias("external_id"), F.concat(F.lit("LABEL "), (F.col("id") % 4).cast("string")).alias("label"), "id").withColumn("hash", digest)
+    begin = time.time()
+    got = matching.verdicts(one.withColumnRenamed("id", "source_id"), one.withColumn("keys", F.array("hash")).withColumnRenamed("id", "transaction_id"))
+    assert got.filter("verdict = 'certain' and transaction_id = source_id").count() == 42_000 and time.time() - begin < 30
+
+
 def test_similarity_in_python_is_that_of_columns(spark):
     pairs = [("MARCHE NORD", "MARCHE NORT"), ("A", "A B"), ("", "X"), ("GARE", "GARE CENTRALE"), ("AA AA", "AA")]
     df = spark.createDataFrame(pairs, "a string, b string")
