@@ -35,7 +35,12 @@ def refusals(heads: DataFrame, entries: DataFrame, accounts: DataFrame, standing
     taken = standing.filter("external_id is not null").select("external_id", F.lit(True).alias("taken")).distinct()
     turn = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy(c, F.when(F.col(c).isNull(), F.col("transaction_id"))).orderBy("transaction_id")))  # noqa: E731  nulls do not meet
     asked = heads.select("transaction_id", "reverses_id", "external_id").withColumns({"nth_reversal": turn("reverses_id"), "nth_external": turn("external_id")})
-    met = asked.join(each, "transaction_id", "left").join(targets, "reverses_id", "left").join(gone, "reverses_id", "left").join(taken, "external_id", "left")
+    # most heads reverse nothing and bring no id: they are spread by their own, and meet nothing, or all of them went to one task
+    spread = asked.join(each, "transaction_id", "left").withColumns({"target": F.coalesce("reverses_id", "transaction_id"), "name": F.coalesce("external_id", F.col("transaction_id").cast("string"))})
+    met = spread
+    for right, key, own in ((targets, "target", "reverses_id"), (gone, "target", "reverses_id"), (taken, "name", "external_id")):
+        right = right.withColumnRenamed(own, "right_key")
+        met = met.join(right, (F.col(key) == F.col("right_key")) & F.col(own).isNotNull(), "left").drop("right_key")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     reverses = F.col("reverses_id").isNotNull()
     tests: list[Column] = [F.coalesce("n", F.lit(0)) < 2, yes("unknown"), yes("foreign"), yes("unbalanced"), reverses & ~yes("there"), reverses & yes("is_reversal"),

@@ -172,3 +172,17 @@ def test_the_source_reads_folders_and_streams(spark, tmp_path):
     assert run() == 5
     (inbox / "c.sta").write_text(one.format(a="c", n=1) * 2)
     assert run() == 7
+
+
+def test_heads_that_reverse_nothing_are_spread(spark):
+    """Nulls meet nothing, so no task may hold all of them."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        [spark.conf.set(n, v) for n, v in zip(names, ("false", "-1"), strict=True)]
+        heads = spark.range(4000).selectExpr("id as transaction_id", "cast(if(id = 7, 1, null) as long) as reverses_id", "cast(null as string) as external_id")
+        standing = spark.range(3).selectExpr("id as transaction_id", "cast(null as long) as reverses_id", "cast(id as string) as external_id")
+        got = posting.refusals(heads, spark.createDataFrame([], ENTRIES), spark.createDataFrame([], "account_id string, currency string"), standing)
+        assert got.selectExpr("spark_partition_id() as p").distinct().count() > 1 and got.count() == 4000
+    finally:
+        [spark.conf.set(n, v) for n, v in zip(names, before, strict=True)]
