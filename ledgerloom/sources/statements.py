@@ -1,18 +1,23 @@
 """Bank statements as DataFrames.
 
 Every reader takes whole files as rows (path, text) and gives movements in one candidate schema, with a
-``problem`` for each row that cannot be read.  Files are cut into records by Spark's own functions and windows
-over a file's lines; a file is bounded by the upload limit below, so its lines may meet in one task.
+``problem`` for each row that cannot be read.  Files are cut into records in the task that holds them, one after the
+other and without a shuffle; what a record's fields mean is told by Spark's own functions.  A file is bounded by the
+upload limit below.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ledgerloom.functions.text import date_order, parse_amount, read_currency, read_date, trimmed
+from ledgerloom.functions.text import date_order_of, parse_amount, read_currency, read_date, trimmed
 from ledgerloom.sources.markup import leaf, records
 
 MOST_BYTES = 5 * 1024 * 1024
@@ -24,6 +29,14 @@ STATEMENT = "ACCOUNT"
 #: References that stand for none, and the sections of QIF that hold a movement a record.
 PLACEHOLDERS = ("NONREF", "NOTPROVIDED", "NOTPROVIDED.", "NA", "N/A", "NONE", "UNKNOWN", "0")
 QIF_TYPES = ("bank", "cash", "ccard", "oth a", "oth l", "card", "credit card")
+SILENT = "no movement in this statement"
+RECORDS = "array<struct<pos:int,d:string,t:string,u:string,p:string,m:string,refused:string>>"
+_RECORDS = pa.list_(pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("d", "t", "u", "p", "m", "refused"))]))
+CHUNK = 10_000
+_END = re.compile("\r\n|\r|\n")
+_TAG, _OPENING = re.compile(r":([0-9]{2}[A-Z]?):"), re.compile(r"[CD][0-9]{6}([A-Z]{3})")
+#: As ``functions.text.BLANK``.
+_BLANKS = " \t\n\v\f\r\u00a0\u202f\u2009"
 
 
 @F.pandas_udf(StringType())
@@ -58,8 +71,24 @@ def refused(files: DataFrame) -> DataFrame:
     return files.select("path", reason.alias("reason")).filter("reason is not null")
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    return files.select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "value"))
+def _cut(files: DataFrame, cut: Callable[[str], Iterator[dict]], fields: str) -> DataFrame:
+    """Rows (path, and ``fields``) that ``cut`` gives for each file's text, in chunks."""
+    names, kinds = zip(*((n, pa.int32() if k == "int" else _RECORDS if k.startswith("array") else pa.string()) for n, k in (f.split(" ", 1) for f in f"path string, {fields}".split(", "))), strict=True)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], k) for n, k in zip(names, kinds, strict=True)], list(names))
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text"), strict=True):
+                for row in cut(text.as_py() or ""):
+                    held.append(row | {"path": path})
+                    if len(held) == CHUNK:
+                        yield pack()
+                        held = []
+        if held:
+            yield pack()
+
+    return files.select("path", "text").mapInArrow(each, f"path string, {fields}")
 
 
 def _shaped(rows: DataFrame) -> DataFrame:
@@ -83,26 +112,34 @@ def _subfields(narrative: Column) -> tuple[Column, Column]:
     return F.when(~numbered, flat).when(told != "", told).otherwise(joined("00")), F.when(numbered, joined("3[23]"))
 
 
-def without_records(files: DataFrame, read: DataFrame, reason: Column) -> DataFrame:
-    """Add one problem for each file of which no record came."""
-    silent = files.select("path", reason.alias("problem")).join(read.select("path").distinct(), "path", "left_anti")
-    blanks = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("path", "line", "problem") else F.lit(1).alias("line") if f.name == "line" else F.col(f.name) for f in read.schema.fields]
-    return read.unionByName(silent.select(*blanks))
+def _booked(text: str) -> Iterator[dict]:
+    """The fields 61 of a file, each with what its statement names and the narrative that follows it; one row without any where there are none."""
+    fields: list[tuple[int, str, list[str]]] = []
+    for pos, value in enumerate(_END.split(text)):
+        if found := _TAG.match(value):
+            fields.append((pos, found[1], [value[found.end():]]))
+        elif fields and value != "-":
+            fields[-1][2].append(value)
+    accounts, currencies, booked, nth = {}, {}, [], 0
+    for k, (pos, tag, lines) in enumerate(fields):
+        body, nth = "\n".join(lines), nth + (tag == "20")
+        if tag == "25":
+            accounts[nth] = max(accounts.get(nth, ""), body.strip(" "))
+        elif tag in ("60F", "60M"):
+            named = _OPENING.match(body)
+            currencies[nth] = max(currencies.get(nth, ""), named[1] if named else "")
+        elif tag == "61":
+            follows = fields[k + 1] if k + 1 < len(fields) else (0, "", [])
+            booked.append((nth, {"pos": pos, "body": body, "narrative": "\n".join(follows[2]) if follows[1] == "86" else None}))
+    for nth, row in booked:
+        yield row | {"account": accounts.get(nth), "currency": currencies.get(nth)}
+    if not booked:
+        yield {"pos": 0}
 
 
 def read_mt940(files: DataFrame) -> DataFrame:
     """SWIFT statements: tags with continuation lines, several statements a file, years borrowed across December."""
-    order = Window.partitionBy("path").orderBy("pos")
-    tags = _lines(files).withColumn("tag", F.regexp_extract("value", r"^:(\d{2}[A-Z]?):", 1)).withColumn("nth", F.sum(F.when(F.col("tag") != "", 1).otherwise(0)).over(order)).filter("nth > 0 and value <> '-'")
-    fields = tags.groupBy("path", "nth").agg(F.min("pos").alias("pos"), F.max("tag").alias("tag"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), "\n").alias("all"))
-    fields = fields.withColumn("body", F.regexp_replace("all", r"^:\d{2}[A-Z]?:", ""))
-    order = Window.partitionBy("path").orderBy("nth")
-    known = (
-        fields.withColumn("statement", F.sum(F.when(F.col("tag") == "20", 1).otherwise(0)).over(order))
-        .withColumn("account", F.max(F.when(F.col("tag") == "25", F.trim("body"))).over(Window.partitionBy("path", "statement")))
-        .withColumn("currency", F.max(F.when(F.col("tag").isin("60F", "60M"), F.regexp_extract("body", r"^[CD]\d{6}([A-Z]{3})", 1))).over(Window.partitionBy("path", "statement")))
-        .withColumn("narrative", F.when(F.lead("tag").over(order) == "86", F.lead("body").over(order)))
-    )
+    known = _cut(files, _booked, "pos int, account string, currency string, body string, narrative string")
     line = r"^(\d{6})(\d{4})?(RC|RD|C|D)([A-Z])?([\d.,]+)([A-Z][A-Z0-9]{3})?(.*)"
     g = lambda k: F.regexp_extract(F.split("body", "\n")[0], line, k)
     year, month = (F.lit(2000) + g(1).substr(1, 2).try_cast("int")), g(1).substr(3, 2).try_cast("int")
@@ -113,11 +150,36 @@ def read_mt940(files: DataFrame) -> DataFrame:
     booked = F.when(g(2) == "", value_on).otherwise(F.coalesce(day(year + shift, entry_month, g(2).substr(3, 2)), value_on))
     size = F.abs(parse_amount(g(5)))
     reference = F.trim(F.when(F.instr(g(7), "//") > 0, F.substring_index(g(7), "//", -1)).otherwise(F.lit("")))
-    moves = known.filter("tag = '61'").select(
+    moves = known.select(
         "path", (F.col("pos") + 1).alias("line"), F.when(~F.upper(reference).isin(*PLACEHOLDERS), reference).alias("external_id"), booked.alias("booked_on"),
         F.when(g(6) == "NINT", "interest").when(g(6) == "NDIV", "dividend").when(g(6).isin("NCHG", "NCOM"), "fee").alias("kind"),
-        _subfields(F.col("narrative"))[0].alias("description"), _subfields(F.col("narrative"))[1].alias("counterparty"), "account", F.when(g(3).isin("D", "RC"), -size).otherwise(size).alias("amount"), F.when(F.col("currency") != "", F.col("currency")).alias("currency"))
-    return without_records(files, _shaped(moves), F.lit("no movement in this statement"))
+        _subfields(F.col("narrative"))[0].alias("description"), _subfields(F.col("narrative"))[1].alias("counterparty"), "account", F.when(g(3).isin("D", "RC"), -size).otherwise(size).alias("amount"), F.when(F.col("currency") != "", F.col("currency")).alias("currency"), F.when(F.col("body").isNull(), SILENT).alias("problem"))
+    return _shaped(moves).withColumn("kind", F.when(~F.col("problem").eqNullSafe(SILENT), F.col("kind")))
+
+
+def _lettered(text: str) -> Iterator[dict]:
+    """A file's account and its records, or the types of sections that hold none to be read; a letter's first line counts."""
+    section, kind, account, records, fresh = "", "bank", None, [], True
+    for pos, raw in enumerate(_END.split(text)):
+        value = raw.strip(_BLANKS)
+        letter, told = value[:1].upper(), value[1:].strip(_BLANKS)
+        if letter == "!":
+            section, fresh = told.lower(), True
+            if section.startswith("type:"):
+                kind = section[5:].strip(_BLANKS)
+                if kind not in QIF_TYPES:
+                    records.append({"pos": pos, "refused": kind})
+        elif value == "^":
+            fresh = True
+        elif section.startswith("account"):
+            account = account or (told if letter == "N" and told else None)
+        elif value and kind in QIF_TYPES:
+            if fresh:
+                records.append({"pos": pos})
+                fresh = False
+            if letter in "DTUPM":
+                records[-1].setdefault(letter.lower(), told)
+    yield {"account": account, "records": records}
 
 
 def read_qif(files: DataFrame, currency: str) -> DataFrame:
@@ -126,29 +188,14 @@ def read_qif(files: DataFrame, currency: str) -> DataFrame:
     Letters may be indented or small, and the first line of a letter counts.  The payee is the description, else the memo; ``U`` stands in for ``T``.
     A section of another type, as of investments, is one problem.
     """
-    upto, before = Window.partitionBy("path").orderBy("pos"), Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = _lines(files).withColumn("value", trimmed(F.col("value"))).filter("value <> ''")
-    directive = F.when(F.startswith("value", F.lit("!")), F.lower(trimmed(F.substr("value", F.lit(2)))))
-    lines = lines.withColumn("directive", directive).withColumn("section", F.last(F.struct("directive"), ignorenulls=True).over(upto)["directive"])
-    known = F.when(F.col("directive").isNotNull(), F.struct("directive"))
-    lines = lines.withColumns({
-        "section": F.coalesce(F.last(known, ignorenulls=True).over(upto)["directive"], F.lit("")),
-        "type": F.coalesce(F.last(F.when(F.startswith("directive", F.lit("type:")), trimmed(F.substr("directive", F.lit(6)))), ignorenulls=True).over(upto), F.lit("bank")),
-        "record": F.coalesce(F.sum(F.when(F.startswith("value", F.lit("!")) | (F.col("value") == "^"), 1).otherwise(0)).over(before), F.lit(0))})
-    naming, readable = F.startswith("section", F.lit("account")), F.col("type").isin(*QIF_TYPES)
-    part = lines.filter(F.col("directive").isNull() & (F.col("value") != "^")).select(
-        "path", "pos", "record", naming.alias("naming"), readable.alias("readable"), F.upper(F.substring("value", 1, 1)).alias("letter"), trimmed(F.substr("value", F.lit(2))).alias("told"))
-    letter = lambda c: F.min(F.when(F.col("letter") == c, F.struct("pos", "told")))["told"]
-    account = part.filter("naming and letter = 'N' and told <> ''").groupBy("path").agg(F.min_by("told", "pos").alias("account"))
-    records = part.filter("not naming and readable").groupBy("path", "record").agg(F.min("pos").alias("pos"), *(letter(c).alias(c.lower()) for c in "DTUPM"))
-    records = records.withColumn("day", F.regexp_replace("d", "['’]", "/"))
-    orders = records.groupBy("path").agg(date_order(F.col("day")).alias("o"))
-    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")))
-    rows = records.join(orders, "path").join(account, "path", "left").select(
-        "path", (F.col("pos") + 1).alias("line"), read_date(F.col("day"), F.col("o.order")).alias("booked_on"), F.coalesce(text("t"), text("u")).alias("size"), F.coalesce(text("p"), text("m")).alias("description"), "account")
-    refused = lines.filter(F.startswith("directive", F.lit("type:")) & ~readable).select("path", (F.col("pos") + 1).alias("line"), F.concat(F.lit("only bank and card records are read, and this section is "), F.col("type")).alias("problem"))
-    read = rows.select("path", "line", "booked_on", parse_amount(F.col("size")).alias("amount"), F.lit(currency).alias("currency"), "description", F.coalesce("account", F.lit(STATEMENT)).alias("account"))
-    return _shaped(read).unionByName(_shaped(refused.select("*", F.lit(None).cast("date").alias("booked_on"), F.lit(None).cast("string").alias("amount"), F.lit(None).cast("string").alias("currency"))))
+    day = lambda r: F.regexp_replace(r["d"], "['’]", "/")
+    held = _cut(files, _lettered, f"account string, records {RECORDS}").withColumn("order", date_order_of(F.transform("records", day))["order"])
+    rows = held.select("path", "account", "order", F.explode("records").alias("r"))
+    text = lambda c: F.nullif(F.col(f"r.{c}"), F.lit(""))
+    readable = F.col("r.refused").isNull()
+    return _shaped(rows.select(
+        "path", (F.col("r.pos") + 1).alias("line"), read_date(day(F.col("r")), F.col("order")).alias("booked_on"), parse_amount(F.coalesce(text("t"), text("u"))).alias("amount"), F.when(readable, F.lit(currency)).alias("currency"),
+        F.coalesce(text("p"), text("m")).alias("description"), F.when(readable, F.coalesce("account", F.lit(STATEMENT))).alias("account"), F.concat(F.lit("only bank and card records are read, and this section is "), F.col("r.refused")).alias("problem")))
 
 
 def _told(value: Column) -> Column:
