@@ -148,11 +148,11 @@ def date_order_of(days: Column) -> Column:
     """The order of an array of days, as ``date_order`` gives that of a column."""
     parts = r"^(\d{1,2})[/.-](\d{1,2})(?:[/.-](?:\d{4}|\d{2}))?$"
     over = lambda k: lambda d: F.coalesce(F.regexp_extract(d, parts, k).try_cast("int") > 12, F.lit(False))
-    some = lambda texts: bound(F.struct(F.exists(texts, over(1)).alias("first"), F.exists(texts, over(2)).alias("second"), ((F.size(texts) > 0) & F.forall(texts, lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$"))).alias("iso")), told)
+    some = lambda texts: bound(F.named_struct(F.lit("first"), F.exists(texts, over(1)), F.lit("second"), F.exists(texts, over(2)), F.lit("iso"), (F.size(texts) > 0) & F.forall(texts, lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$"))), told)
 
     def told(x: Column) -> Column:
         order = F.when(x["iso"], "ymd").when(x["second"] & ~x["first"], "mdy").otherwise("dmy")
-        return F.struct(order.alias("order"), F.when(x["iso"], F.lit(False)).otherwise(x["first"] == x["second"]).alias("ambiguous"))
+        return F.named_struct(F.lit("order"), order, F.lit("ambiguous"), F.when(x["iso"], F.lit(False)).otherwise(x["first"] == x["second"]))
 
     return bound(F.filter(F.transform(days, day_part), lambda d: d != ""), some)
 

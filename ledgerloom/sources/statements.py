@@ -9,7 +9,7 @@ upload limit below.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ledgerloom.functions.text import date_order_of, parse_amount, read_currency, read_date, trimmed
-from ledgerloom.sources.markup import leaf, records
+from ledgerloom.sources.markup import cut, leaf, records
 
 MOST_BYTES = 5 * 1024 * 1024
 MOST_LINES = 50_000
@@ -32,7 +32,6 @@ QIF_TYPES = ("bank", "cash", "ccard", "oth a", "oth l", "card", "credit card")
 SILENT = "no movement in this statement"
 RECORDS = "array<struct<pos:int,d:string,t:string,u:string,p:string,m:string,refused:string>>"
 _RECORDS = pa.list_(pa.struct([("pos", pa.int32()), *((n, pa.string()) for n in ("d", "t", "u", "p", "m", "refused"))]))
-CHUNK = 10_000
 _END = re.compile("\r\n|\r|\n")
 _TAG, _OPENING = re.compile(r":([0-9]{2}[A-Z]?):"), re.compile(r"[CD][0-9]{6}([A-Z]{3})")
 #: As ``functions.text.BLANK``.
@@ -71,26 +70,6 @@ def refused(files: DataFrame) -> DataFrame:
     return files.select("path", reason.alias("reason")).filter("reason is not null")
 
 
-def _cut(files: DataFrame, cut: Callable[[str], Iterator[dict]], fields: str) -> DataFrame:
-    """Rows (path, and ``fields``) that ``cut`` gives for each file's text, in chunks."""
-    names, kinds = zip(*((n, pa.int32() if k == "int" else _RECORDS if k.startswith("array") else pa.string()) for n, k in (f.split(" ", 1) for f in f"path string, {fields}".split(", "))), strict=True)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in held], k) for n, k in zip(names, kinds, strict=True)], list(names))
-        for batch in batches:
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text"), strict=True):
-                for row in cut(text.as_py() or ""):
-                    held.append(row | {"path": path})
-                    if len(held) == CHUNK:
-                        yield pack()
-                        held = []
-        if held:
-            yield pack()
-
-    return files.select("path", "text").mapInArrow(each, f"path string, {fields}")
-
-
 def _shaped(rows: DataFrame) -> DataFrame:
     """Bring a reader's columns into the candidate schema; a movement's kind is by its sign unless the format says."""
     sign = F.when(F.col("amount") < 0, "withdrawal").otherwise("deposit")
@@ -139,7 +118,7 @@ def _booked(text: str) -> Iterator[dict]:
 
 def read_mt940(files: DataFrame) -> DataFrame:
     """SWIFT statements: tags with continuation lines, several statements a file, years borrowed across December."""
-    known = _cut(files, _booked, "pos int, account string, currency string, body string, narrative string")
+    known = cut(files, _booked, "pos int, account string, currency string, body string, narrative string")
     line = r"^(\d{6})(\d{4})?(RC|RD|C|D)([A-Z])?([\d.,]+)([A-Z][A-Z0-9]{3})?(.*)"
     g = lambda k: F.regexp_extract(F.split("body", "\n")[0], line, k)
     year, month = (F.lit(2000) + g(1).substr(1, 2).try_cast("int")), g(1).substr(3, 2).try_cast("int")
@@ -189,7 +168,7 @@ def read_qif(files: DataFrame, currency: str) -> DataFrame:
     A section of another type, as of investments, is one problem.
     """
     day = lambda r: F.regexp_replace(r["d"], "['’]", "/")
-    held = _cut(files, _lettered, f"account string, records {RECORDS}").withColumn("order", date_order_of(F.transform("records", day))["order"])
+    held = cut(files, _lettered, f"account string, records {RECORDS}", _RECORDS).withColumn("order", date_order_of(F.transform("records", day))["order"])
     rows = held.select("path", "account", "order", F.explode("records").alias("r"))
     text = lambda c: F.nullif(F.col(f"r.{c}"), F.lit(""))
     readable = F.col("r.refused").isNull()
@@ -202,27 +181,21 @@ def _told(value: Column) -> Column:
     return F.nullif(trimmed(value), F.lit(""))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Add what a file's and a statement's rows know together: how many records and statements there are, and a record's number in document order.
-
-    A file's records are bounded by the upload limit.
-    """
-    file = Window.partitionBy("path")
-    return rows.withColumns({
-        "records": F.count("record").over(file), "statements": F.count(F.when((F.col("statement") > 0) & F.col("record").isNull(), 1)).over(file),
-        "nth": F.sum(F.col("record").isNotNull().cast("int")).over(file.orderBy("first"))})
+def _each(statements: DataFrame, own: Column) -> DataFrame:
+    """Rows of statements as rows of their records and one of what stands in none, each with ``own``, told of the latter's leaves."""
+    outer = F.get(F.filter("items", lambda x: x["record"].isNull()), F.lit(0))
+    told = statements.withColumn("leaves", outer["leaves"]).withColumn("own", F.when(F.col("leaves").isNotNull(), own)).drop("leaves")
+    return told.select(*(c for c in told.columns if c != "items"), F.explode("items").alias("x")).select(*(c for c in told.columns if c != "items"), "x.*")
 
 
 def _ofx(files: DataFrame) -> DataFrame:
     """Rows of bank and card statements, each with the account and currency that it names itself; a file with neither tag but with records is one statement."""
-    rows = _numbered(records(files, ("STMTRS", "CCSTMTRS"), "STMTTRN", parts="INVSTMTRS"))
-    rows = rows.withColumn("investments", F.max("parts").over(Window.partitionBy("path")) > 0)
-    whole = (F.col("statements") == 0) & ~F.col("investments")
-    outer = F.when(F.col("record").isNull(), F.struct(
-        _told(F.coalesce(F.nullif(leaf("BANKACCTFROM/ACCTID", "CCACCTFROM/ACCTID"), F.lit("")), F.get(F.filter("leaves", lambda x: F.element_at(F.split(x["at"], "/"), -1) == "ACCTID"), F.lit(0))["value"])).alias("account"),
-        _told(F.coalesce(F.nullif(leaf("CURDEF"), F.lit("")), F.get(F.filter("leaves", lambda x: F.element_at(F.split(x["at"], "/"), -1) == "CURDEF"), F.lit(0))["value"])).alias("currency")))
+    named = lambda tag: F.get(F.filter("leaves", lambda x: F.element_at(F.split(x["at"], "/"), -1) == tag), F.lit(0))["value"]
+    own = F.struct(_told(F.coalesce(F.nullif(leaf("BANKACCTFROM/ACCTID", "CCACCTFROM/ACCTID"), F.lit("")), named("ACCTID"))).alias("account"), _told(F.coalesce(F.nullif(leaf("CURDEF"), F.lit("")), named("CURDEF"))).alias("currency"))
+    rows = _each(records(files, ("STMTRS", "CCSTMTRS"), "STMTTRN", parts="INVSTMTRS"), own)
+    whole = (F.col("statements") == 0) & (F.col("inside") == 0)
     # what stands in no statement counts as one where the file has none
-    return rows.withColumn("counts", (F.col("statement") > 0) | whole).withColumn("own", F.max(outer).over(Window.partitionBy("path", "statement")))
+    return rows.withColumns({"investments": F.col("inside") > 0, "counts": (F.col("statement") > 0) | whole, "counted": F.when(whole, F.col("records")).otherwise(F.col("booked"))})
 
 
 def read_ofx(files: DataFrame) -> DataFrame:
@@ -233,7 +206,7 @@ def read_ofx(files: DataFrame) -> DataFrame:
     kind = F.upper(leaf("TRNTYPE"))
     told = F.col("record").isNotNull() & F.col("counts")
     # the outermost row tells of a file without records
-    silent = F.col("record").isNull() & (F.col("statement") == 0) & (F.sum(told.cast("int")).over(Window.partitionBy("path")) == 0)
+    silent = F.col("record").isNull() & (F.col("statement") == 0) & (F.col("counted") == 0)
     raw = _ofx(files).withColumn("silent", silent).filter(told | F.col("silent")).select(
         "path", F.when(F.col("silent"), 1).otherwise(F.col("nth")).alias("line"), leaf("FITID").alias("external_id"), F.substring(leaf("DTPOSTED"), 1, 8).alias("stamp"), leaf("TRNAMT").alias("size"),
         F.coalesce(_told(leaf("CURRENCY/CURSYM", "CURSYM")), F.col("own.currency")).alias("code"),
@@ -245,9 +218,8 @@ def read_ofx(files: DataFrame) -> DataFrame:
 
 def _camt(files: DataFrame) -> DataFrame:
     """Rows of statements, each with its own account (its first identifier outside its entries) and currency."""
-    rows = _numbered(records(files, ("STMT",), "NTRY", parts="TXDTLS"))
-    outer = F.when(F.col("record").isNull(), F.struct(_told(leaf("ACCT/ID/IBAN", "ACCT/ID/OTHR/ID", "ACCT/ID", "IBAN")).alias("account"), _told(leaf("ACCT/CCY", "CCY")).alias("currency")))
-    return rows.withColumn("own", F.max(outer).over(Window.partitionBy("path", "statement")))
+    own = F.struct(_told(leaf("ACCT/ID/IBAN", "ACCT/ID/OTHR/ID", "ACCT/ID", "IBAN")).alias("account"), _told(leaf("ACCT/CCY", "CCY")).alias("currency"))
+    return _each(records(files, ("STMT",), "NTRY", parts="TXDTLS"), own)
 
 
 def read_camt(files: DataFrame) -> DataFrame:
@@ -282,11 +254,11 @@ def closing_balances(files: DataFrame, format_: str) -> DataFrame:
     if format_ == "camt":
         codes = ("BAL/TP/CDORPRTRY/CD", "BAL/TP/CDORPRTRY/PRTRY", "BAL/TP/CD", "BAL/TP/PRTRY")
         last = F.element_at(F.filter("leaves", lambda x: x["at"].isin(*codes) & (F.upper(x["value"]) == "CLBD")), -1)["branch"]
-        rows = _camt(files).filter("statement > 0 and record is null").withColumn("branch", last)
+        rows = _camt(files).filter("statement > 0 and record is null and statements = 1").withColumn("branch", last)
         of = lambda tag: F.get(F.filter("leaves", lambda x: (x["branch"] == F.col("branch")) & (x["at"] == f"BAL/{tag}")), F.lit(0))["value"]
         stated = rows.select("path", F.coalesce("own.account", F.lit(STATEMENT)).alias("account"), of("AMT").alias("size"), of("CDTDBTIND").alias("side")).withColumn("size", F.abs(parse_amount(F.col("size"))))
-        told = stated.select("path", "account", F.when(F.upper("side") == "DBIT", -F.col("size")).otherwise(F.col("size")).alias("closing"))
-    elif format_ == "ofx":
+        return stated.select("path", "account", F.when(F.upper("side") == "DBIT", -F.col("size")).otherwise(F.col("size")).alias("closing")).filter("closing is not null")
+    if format_ == "ofx":
         rows = _ofx(files).filter("counts and record is null").select("path", F.coalesce("own.account", F.lit(STATEMENT)).alias("account"), leaf("LEDGERBAL/BALAMT").alias("size"))
         told = rows.select("path", "account", parse_amount(F.col("size")).alias("closing"))
     elif format_ == "mt940":
