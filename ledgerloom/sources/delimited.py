@@ -1,8 +1,8 @@
 """Delimited files: what separates their fields, where their header is, what their columns mean, and the movements in them.
 
 Files are rows (path, text), bounded by the upload limit.  They are cut into rows and fields by one regular
-expression each, JVM-side; what holds for a whole file (its delimiter, header, order of dates, years) is an
-aggregate over its rows that is joined back.
+expression each, JVM-side; what holds for a whole file (its delimiter, header, order of dates) is told of the
+array of its rows, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import date_order, day_part, from_debit_credit, parse_amount, read_currency, read_date, trimmed, unaccented
-from ledgerloom.sources.shapes import header_rows
+from ledgerloom.functions.text import bound, date_order_of, day_part, from_debit_credit, parse_amount, read_currency, read_date, trimmed, unaccented
+from ledgerloom.sources.shapes import header_of, header_rows
 from ledgerloom.sources.statements import read_camt, read_mt940, read_ofx, read_qif, sniff_format
 
 #: In the order in which they win a tie.
@@ -37,9 +37,9 @@ def _cells(text: Column, delimiter: str) -> Column:
     group = lambda k: F.regexp_extract_all(text, pattern, F.lit(k))
     ends = group(4)
     value = lambda q, rest, plain: F.concat(F.replace(q, F.lit('""'), F.lit('"')), rest, plain)
-    quoted = F.zip_with(group(1), group(2), lambda q, rest: F.struct(q.alias("q"), rest.alias("rest")))
+    quoted = F.zip_with(group(1), group(2), lambda q, rest: F.named_struct(F.lit("q"), q, F.lit("rest"), rest))
     values = F.zip_with(quoted, group(3), lambda x, plain: value(x["q"], x["rest"], plain))
-    return F.zip_with(values, ends, lambda v, e: F.struct(v.alias("value"), (e != delimiter).alias("ends")))
+    return F.zip_with(values, ends, lambda v, e: F.named_struct(F.lit("value"), v, F.lit("ends"), e != delimiter))
 
 
 def sniff_delimiter(text: Column) -> Column:
@@ -54,18 +54,31 @@ def sniff_delimiter(text: Column) -> Column:
     return F.array_max(ranked)["delimiter"]
 
 
-def parse(files: DataFrame, delimiter: str | None = None) -> DataFrame:
-    """(path, delimiter, pos, cells) of every row of every file, RFC 4180: a quote counts at a field's start only."""
+def _row(delimiter: str) -> str:
+    """Fields up to a line's end, as ``_field`` takes them."""
+    d = "\\" + delimiter if delimiter == "|" else delimiter
+    field = rf'(?:"(?:[^"]++|"")*+"?+[^{d}\r\n]*+|(?!")[^{d}\r\n]*+)'
+    return rf"(?:{field}{d})*+{field}(?:\r\n|\r|\n|\z)"
+
+
+def _table(text: Column, delimiter: str) -> Column:
+    """A text's rows, each an array of cells."""
+    one = lambda row: bound(_cells(row, delimiter), lambda cells: F.transform(F.slice(cells, 1, F.array_position(F.transform(cells, lambda c: c["ends"]), True).cast("int")), lambda c: c["value"]))
+    # the match at the end of a text that ends with its last row is no row
+    return bound(F.regexp_extract_all(text, F.lit(_row(delimiter)), F.lit(0)), lambda rows: F.transform(F.slice(rows, 1, F.size(rows) - 1), one))
+
+
+def tables(files: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """(path, delimiter, table) of every file, RFC 4180: a quote counts at a field's start only."""
     text = F.regexp_replace("text", "^\ufeff", "")
     told = files.select("path", text.alias("text"), (F.lit(delimiter) if delimiter else sniff_delimiter(F.col("text"))).alias("delimiter"))
-    cut = reduce(lambda a, d: a.when(F.col("delimiter") == d, _cells(F.col("text"), d)), DELIMITERS if delimiter is None else (delimiter,), F)
-    each = told.select("path", "delimiter", F.posexplode(cut).alias("at", "cell"))
-    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rowed = each.withColumn("pos", F.coalesce(F.sum(F.col("cell.ends").cast("int")).over(before), F.lit(0)))
-    rows = rowed.groupBy("path", "delimiter", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cell.value"))), lambda x: x["value"]).alias("cells"))
-    # the match at the end of a text that ends with its last row is no row
-    last = F.max("pos").over(Window.partitionBy("path"))
-    return rows.withColumn("last", last).filter(~((F.col("pos") == F.col("last")) & (F.size("cells") == 1) & (F.col("cells")[0] == ""))).drop("last")
+    cut = reduce(lambda a, d: a.when(F.col("delimiter") == d, _table(F.col("text"), d)), DELIMITERS if delimiter is None else (delimiter,), F)
+    return told.select("path", "delimiter", cut.alias("table"))
+
+
+def parse(files: DataFrame, delimiter: str | None = None) -> DataFrame:
+    """(path, delimiter, pos, cells) of every row of every file."""
+    return tables(files, delimiter).select("path", "delimiter", F.posexplode("table").alias("pos", "cells")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def records(rows: DataFrame, header_row: int | None = None) -> DataFrame:
@@ -172,14 +185,23 @@ def read(files: DataFrame, mapping: Mapping, this_year: int | None = None) -> Da
     One outcome a row, by the first that holds: a skipped status, an unreadable day, an unreadable amount, no
     currency, an unreadable currency, a movement.  A file without a required column gives one problem and no rows.
     """
-    rows = parse(files, mapping.delimiter)
-    heads = fits(rows, mapping)
-    cell = lambda c: trimmed(F.coalesce(F.col("record")[c], F.lit(""))) if c else F.lit("")
-    good = records(rows, mapping.header_row).join(heads.filter(F.size("missing") == 0).select("path"), "path", "left_semi")
-    dated = good.withColumn("day", cell(mapping.booked_on))
-    orders = dated.groupBy("path").agg(date_order(F.col("day")).alias("o")).select("path", (F.lit(mapping.date_order) if mapping.date_order else F.col("o.order")).alias("order"))
+    some_cell = lambda cells: F.exists(cells, lambda c: trimmed(c) != "")
+    # of columns with one name the last one's value counts
+    nth = lambda c: F.array_position(F.reverse("heading"), c).cast("int")
+    of = lambda cells, c: trimmed(F.coalesce(F.when(nth(c) > 0, F.get(cells, F.size("heading") - nth(c))), F.lit("")))
+    held = tables(files, mapping.delimiter)
+    held = held.withColumn("head", F.lit(mapping.header_row) if mapping.header_row is not None else header_of(F.col("table"))).withColumn("heading", F.get("table", F.col("head")))
+    held = held.withColumn("missing", F.array_except(F.array(*[F.lit(c) for c in mapping.required]), "heading"))
+    body = F.filter(F.slice("table", F.col("head") + 2, F.size("table")), some_cell)
+    # a file without a required column has one row, of no cells
+    held = held.withColumn("body", F.when(F.size("missing") > 0, F.array(F.lit(None).cast("array<string>"))).when(F.col("heading").isNotNull(), body))
+    order = F.lit(mapping.date_order) if mapping.date_order else date_order_of(F.transform("body", lambda cells: of(cells, mapping.booked_on)))["order"]
+    good = held.select("path", "head", "heading", "missing", order.alias("order"), F.posexplode("body").alias("at", "cells"))
+    cell = lambda c: of(F.col("cells"), c) if c else F.lit("")
+    read_, line = F.col("cells").isNotNull(), F.when(F.col("cells").isNull(), F.col("head") + 1).otherwise(F.col("head") + F.col("at") + 2)
+    dated = good.withColumns({"line": line.cast("int"), "day": cell(mapping.booked_on)})
     ending = mapping.year or this_year
-    told = _years(dated.join(orders, "path"), ending) if ending else dated.join(orders, "path").withColumn("year", F.lit(None).cast("int"))
+    told = _years(dated, ending) if ending else dated.withColumn("year", F.lit(None).cast("int"))
     amount = parse_amount(cell(mapping.amount)) if mapping.amount else from_debit_credit(cell(mapping.debit), cell(mapping.credit))
     fold = lambda c: F.lower(unaccented(c))
     status = cell(mapping.status)
@@ -187,17 +209,16 @@ def read(files: DataFrame, mapping: Mapping, this_year: int | None = None) -> Da
     currency = cell(mapping.currency) if mapping.currency else F.lit(mapping.fixed_currency or "")
     some = lambda c: F.when(cell(c) != "", cell(c))
     out = told.select(
-        "path", "line", some(mapping.external_id).alias("external_id"), read_date(F.col("day"), F.col("order"), F.col("year")).alias("booked_on"), amount.alias("amount"), currency.alias("said"),
+        "path", "line", some(mapping.external_id).alias("external_id"), read_date(F.col("day"), F.col("order"), F.col("year")).alias("booked_on"), amount.alias("amount"), currency.alias("said"), read_.alias("read"), "missing",
         some(mapping.description).alias("description"), some(mapping.counterparty).alias("counterparty"), F.lit(mapping.account).alias("account"),
         (parse_amount(cell(mapping.balance)) if mapping.balance else F.lit(None).cast("decimal(28,10)")).alias("balance"), F.when(skip, status).alias("skipped"))
     problem = (
-        F.when(F.col("skipped").isNotNull(), F.lit(None).cast("string")).when(F.col("booked_on").isNull(), "unreadable date").when(F.col("amount").isNull(), "unreadable amount")
+        F.when(~F.col("read"), F.concat(F.lit("no column "), F.array_join("missing", ", "))).when(F.col("skipped").isNotNull(), F.lit(None).cast("string")).when(F.col("booked_on").isNull(), "unreadable date").when(F.col("amount").isNull(), "unreadable amount")
         .when(F.col("said") == "", "no currency").when(read_currency(F.col("said")).isNull(), "unreadable currency"))
-    shaped = out.select(
-        "path", "line", "external_id", "booked_on", F.when(F.col("amount") < 0, "withdrawal").otherwise("deposit").alias("kind"), "description", "counterparty", "account",
-        F.col("amount").cast("decimal(28,10)").alias("amount"), read_currency(F.col("said")).alias("currency"), problem.alias("problem"), "balance", "skipped")
-    refused = heads.filter(F.size("missing") > 0).select("path", (F.col("pos") + 1).cast("int").alias("line"), F.concat(F.lit("no column "), F.array_join("missing", ", ")).alias("problem"))
-    return shaped.unionByName(refused, allowMissingColumns=True)
+    stated = lambda c: F.when(F.col("read"), c)
+    return out.select(
+        "path", "line", "external_id", "booked_on", stated(F.when(F.col("amount") < 0, "withdrawal").otherwise("deposit")).alias("kind"), "description", "counterparty", stated(F.col("account")).alias("account"),
+        F.col("amount").cast("decimal(28,10)").alias("amount"), stated(read_currency(F.col("said"))).alias("currency"), problem.alias("problem"), "balance", "skipped")
 
 
 @dataclass(frozen=True)

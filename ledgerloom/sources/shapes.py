@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import date_order, day_part, trimmed
+from ledgerloom.functions.text import bound, date_order, day_part, trimmed
 
 CONFIRMATIONS = 3
 DATED_SHARE = 0.7
@@ -22,6 +24,19 @@ def header_rows(rows: DataFrame) -> DataFrame:
     return wide.withColumn("good", same & (F.col("filled") >= 3)).groupBy("path").agg(F.coalesce(F.min(F.when(F.col("good"), F.col("pos"))), F.lit(0)).alias("header"))
 
 
+def header_of(table: Column) -> Column:
+    """The header's place in an array of rows of cells, as ``header_rows`` finds it."""
+    sizes = F.transform(table, lambda cells: F.named_struct(F.lit("width"), F.size(cells), F.lit("filled"), F.size(F.filter(cells, lambda c: trimmed(c) != ""))))
+
+    def first(sizes: Column) -> Column:
+        def good(own: Column, i: Column) -> Column:
+            nexts = [F.get(sizes, i + k)["width"] for k in range(1, CONFIRMATIONS + 1)]
+            return reduce(lambda a, n: a & (n.isNull() | (n == own["width"])), nexts, nexts[0].isNotNull() & (own["filled"] >= 3))
+        return F.greatest(F.array_position(F.transform(sizes, good), True).cast("int") - 1, F.lit(0))
+
+    return bound(sizes, first)
+
+
 def column_shapes(cells: DataFrame) -> DataFrame:
     """From (path, name, value): each column's order of dates, where most of it is dates, and its values, where they are few (2 to 8, no numbers)."""
     some = trimmed(F.col("value")) != ""
