@@ -86,10 +86,10 @@ def records(rows: DataFrame, header_row: int | None = None) -> DataFrame:
 
     Lines count rows that are not blank, from the header on.
     """
-    found = rows.select("path").distinct().withColumn("header", F.lit(header_row)) if header_row is not None else header_rows(rows)
-    heads = rows.join(found.select("path", F.col("header").alias("pos")), ["path", "pos"]).select("path", F.col("pos").alias("head"), F.col("cells").alias("header"))
+    told = rows.withColumn("head", F.lit(header_row)) if header_row is not None else rows.join(header_rows(rows).withColumnRenamed("header", "head"), "path")
+    header = F.first(F.when(F.col("pos") == F.col("head"), F.col("cells")), ignorenulls=True).over(Window.partitionBy("path"))
     some = F.exists("cells", lambda c: trimmed(c) != "")
-    body = rows.join(heads, "path").filter((F.col("pos") > F.col("head")) & some)
+    body = told.withColumn("header", header).filter(F.col("header").isNotNull() & (F.col("pos") > F.col("head")) & some)
     nth = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
     pairs = F.transform("header", lambda name, i: F.struct(name.alias("key"), F.coalesce(F.get("cells", i), F.lit("")).alias("value")))
     # of columns with one name the last one's value counts

@@ -89,11 +89,21 @@ def _tables(lines: DataFrame) -> DataFrame:
 def gutters(lines: DataFrame) -> DataFrame:
     """(path, cuts) of files of several columns: where these part, the middles of stripes of the page that hardly a line of the file writes into."""
     allowed = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("path")) * TOLERANCE))
-    bins = lambda r: F.sequence(F.greatest(F.lit(0), F.floor(r["x"])).cast("int"), F.greatest(F.lit(0), F.ceil(r["x"] + r["width"])).cast("int"))
-    inked = lines.withColumn("allowed", allowed).select("path", "allowed", F.explode(F.array_distinct(F.flatten(F.transform("items", bins)))).alias("bin"))
-    busy = inked.groupBy("path", "bin").agg(F.count("*").alias("ink"), F.first("allowed").alias("allowed")).filter("ink > allowed")
-    gap = F.lag("bin").over(Window.partitionBy("path").orderBy("bin")) + 1
-    return busy.withColumn("gap", gap).filter(F.col("bin") - F.col("gap") >= GUTTER).groupBy("path").agg(F.array_sort(F.collect_list((F.col("gap") + F.col("bin")) / 2)).alias("cuts"))
+    begin, end = (lambda r: F.greatest(F.lit(0), F.floor(r["x"])).cast("int")), (lambda r: F.greatest(F.lit(0), F.ceil(r["x"] + r["width"])).cast("int"))
+    spans = F.array_sort(F.transform("items", lambda r: F.struct(F.least(begin(r), end(r)).alias("begin"), F.greatest(begin(r), end(r)).alias("end"))))
+
+    def merge(spans_: Column, r: Column) -> Column:
+        """A line writes once into what several of its runs cover; runs come by their beginning."""
+        last, size = F.try_element_at(spans_, F.lit(-1)), F.size(spans_)
+        joined = F.named_struct(F.lit("begin"), last["begin"], F.lit("end"), F.greatest(last["end"], r["end"]))
+        return F.when(last["end"] >= r["begin"], F.concat(F.slice(spans_, 1, F.greatest(size - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(spans_, F.array(r)))
+
+    merged = F.aggregate(spans, F.array().cast("array<struct<begin:int,end:int>>"), merge)
+    turns = F.flatten(F.transform(merged, lambda r: F.array(F.named_struct(F.lit("bin"), r["begin"], F.lit("step"), F.lit(1)), F.named_struct(F.lit("bin"), r["end"] + 1, F.lit("step"), F.lit(-1)))))
+    steps = lines.withColumn("allowed", allowed).select("path", "allowed", F.explode(turns).alias("t")).groupBy("path", F.col("t.bin").alias("bin")).agg(F.sum("t.step").alias("step"), F.first("allowed").alias("allowed"))
+    order = Window.partitionBy("path").orderBy("bin")
+    inked = steps.withColumns({"ink": F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "next": F.lead("bin").over(order)}).filter("ink > allowed")
+    return inked.withColumn("gap", F.lag("next").over(order)).filter(F.col("bin") - F.col("gap") >= GUTTER).groupBy("path").agg(F.array_sort(F.collect_list((F.col("gap") + F.col("bin")) / 2)).alias("cuts"))
 
 
 def _joined(runs: Column) -> Column:
@@ -140,7 +150,8 @@ def read_layout(runs: DataFrame) -> DataFrame:
 
     A file without amounts gives all its lines.  Files without a run give no row.
     """
-    chosen = _tables(_without_running_heads(_lines(runs)))
+    # all windows, groups and the join below are of a file or finer: one shuffle serves them
+    chosen = _tables(_without_running_heads(_lines(runs.repartition("path"))))
     cuts = F.coalesce("cuts", F.array().cast("array<double>"))
     split = chosen.join(gutters(chosen), "path", "left").withColumn("cuts", cuts).select("path", "page", "y", "heading", "found", _cells(F.col("items"), F.col("cuts")).alias("cells"))
     # the lines of a page's heading are one row

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from ledgerloom.sources import delimited, layout
 
 SCHEMA = "path string, page int, page_height double, x double, y double, width double, height double, text string"
@@ -43,3 +47,24 @@ def test_pages_without_amounts_give_all_lines(spark):
     got = [r["cells"] for r in layout.read_layout(spark.createDataFrame(rows, SCHEMA)).orderBy("pos").collect()]
     assert got == [["a", "b"], ["c", "d e"]]
     assert layout.read_layout(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_gutters_are_those_of_single_bins(spark):
+    """Against a count of each bin, on random lines with runs that overlap, touch, and have no or a negative width; rows do not grow with a line's width."""
+    rng = random.Random(5)
+    files = {f"f{k}": [[(rng.choice((0, 30, 60, 61, 90)) + rng.random() * rng.choice((0, 9)), rng.choice((-3.0, 0.0, 4.5, 20.0, 29.0))) for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 30))] for k in range(60)}
+    rows = [(p, [(0.0, x, "t", w, 10.0, 10.0) for x, w in runs]) for p, held in files.items() for runs in held]
+    df = spark.createDataFrame(rows, "path string, items array<struct<y:double,x:double,text:string,width:double,height:double,tall:double>>")
+    got = {r["path"]: r["cuts"] for r in layout.gutters(df).collect()}
+    want = {}
+    for p, held in files.items():
+        ink = Counter()
+        for runs in held:
+            ink.update({b for x, w in runs for lo, hi in [sorted((max(0, math.floor(x)), max(0, math.ceil(x + w))))] for b in range(lo, hi + 1)})
+        busy = sorted(b for b, n in ink.items() if n > max(1, math.floor(len(held) * layout.TOLERANCE)))
+        cuts = [(a + 1 + b) / 2 for a, b in zip(busy, busy[1:]) if b - a - 1 >= layout.GUTTER]
+        if cuts:
+            want[p] = cuts
+    assert got == want and len(want) > 10
+    wide = spark.createDataFrame([(f"w{k}", [(0.0, 0.0, "t", 1e6, 10.0, 10.0)]) for k in range(2000)], df.schema)
+    assert layout.gutters(wide).count() == 0
