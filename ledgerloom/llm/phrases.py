@@ -35,8 +35,10 @@ from zstandard import ZstdCompressor, ZstdDecompressor
 
 from ledgerloom.llm.common import bounded_batches, bucketed, discard, durable
 
-#: Words that a task holds before it closes the largest of its shards.
-SHARD_WORDS = 2_000_000
+#: Words of a shard, and how many shards' words a task holds before it closes the largest that is not full.
+SHARD_WORDS, HELD = 2_000_000, 4
+#: Bytes of text of a task, enough to fill shards: the more words a shard has, the fewer different phrases it has to send for each of them.
+TASK_BYTES = 64_000_000
 #: Words of the corpus for each group that sums counts across shards: as many groups as it takes for each to stay bounded.
 GROUP_WORDS = 2_000_000
 #: Stands between pieces; no text in UTF-8 holds this byte.
@@ -186,12 +188,13 @@ def _shards(most_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, total = TaskContext.get().partitionId() << 32, 0
         held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+        sizes: dict[str, int] = {}
 
         def closed(lang: str) -> pa.RecordBatch:
             nonlocal shard, total
             ids, parts = held.pop(lang)
             symbols = np.concatenate([*parts, np.zeros(1, np.int32)])
-            total -= len(symbols) - 1
+            total -= sizes.pop(lang)
             shard += 1
             counts = np.bincount(symbols, minlength=len(ids))[1:]
             return _batch(SHARDS, 1, shard=[shard], lang=[lang], symbols=[stored(symbols)], size=[len(symbols)], words=[pressed(b" ".join(list(ids)[1:]))], counts=[stored(counts)], different=[len(counts)])
@@ -201,9 +204,11 @@ def _shards(most_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 ids, parts = held.setdefault(lang, ({GAP: 0}, []))
                 found = words(text)
                 parts.append(np.fromiter((ids.setdefault(w, len(ids)) for w in [GAP, *found]), np.int32, len(found) + 1))
-                total += len(found) + 1
-                if total >= most_words:
-                    yield closed(max(held, key=lambda k: sum(map(len, held[k][1]))))
+                total, sizes[lang] = total + len(found) + 1, sizes.get(lang, 0) + len(found) + 1
+                if sizes[lang] >= most_words:
+                    yield closed(lang)
+                elif total >= HELD * most_words:
+                    yield closed(max(sizes, key=sizes.get))
         for lang in list(held):
             yield closed(lang)
 
@@ -268,7 +273,12 @@ def _answers(blocks: pa.Table, parts: list[np.ndarray], held: np.ndarray, answer
     return _batch(MET, len(out), shard=pa.array([n for n, _ in out], pa.int64()), data=pa.array([d for _, d in out], pa.binary()))
 
 
-def _met_words(least: int) -> Grouped:
+def _ids(group: int, groups: int, n: int) -> np.ndarray:
+    """Ids that a group gives: of all groups together they are dense, so that blocks of them pack well."""
+    return group + groups * np.arange(n)
+
+
+def _met_words(least: int, groups: int) -> Grouped:
     def run(blocks: pa.Table) -> pa.Table:
         """Words of one group, summed across shards."""
         codes: dict[tuple[str, bytes], int] = {}
@@ -278,14 +288,16 @@ def _met_words(least: int) -> Grouped:
             code.append(np.fromiter((codes.setdefault((lang, w), len(codes)) for w in unpressed(listed).split(b" ")), np.int64, parts[-1].shape[1]))
         code, f = np.concatenate(code), np.zeros(len(codes), np.int64)
         np.add.at(f, code, np.concatenate([p[1] for p in parts]))
-        base, far, names = blocks.column("group")[0].as_py() << 32, np.flatnonzero(f >= least), list(codes)
-        frequent = _batch(MET, len(far), id=base + far, lang=pa.array([names[k][0] for k in far], pa.string()), word=pa.array([names[k][1] for k in far], pa.binary()), f=f[far])
-        return pa.Table.from_batches([frequent, _answers(blocks, parts, np.where(f >= least, base + np.arange(len(f)), -1)[code], lambda part, ids: packed(1, part[0], ids))])
+        far, names, ids = np.flatnonzero(f >= least), list(codes), np.full(len(f), -1)
+        far = far[np.argsort(-f[far], kind="stable")]  # the most frequent, of which most phrases consist, get the smallest
+        ids[far] = _ids(blocks.column("group")[0].as_py(), groups, len(far))
+        frequent = _batch(MET, len(far), id=ids[far], lang=pa.array([names[k][0] for k in far], pa.string()), word=pa.array([names[k][1] for k in far], pa.binary()), f=f[far])
+        return pa.Table.from_batches([frequent, _answers(blocks, parts, ids[code], lambda part, ids: packed(1, part[0], ids))])
 
     return run
 
 
-def _met(least: int) -> Grouped:
+def _met(least: int, groups: int, answered: bool) -> Grouped:
     def run(blocks: pa.Table) -> pa.Table:
         """Phrases of one group, named by the ids of head and tail, summed across shards."""
         parts = [unpacked(d, 1, 3) for d in blocks.column("data").to_pylist()]
@@ -293,10 +305,13 @@ def _met(least: int) -> Grouped:
         order = np.lexsort((tail, head))
         edge = np.flatnonzero((np.diff(head[order], prepend=-1) != 0) | (np.diff(tail[order], prepend=-1) != 0))
         f = np.add.reduceat(size[order], edge)
-        base, far = blocks.column("group")[0].as_py() << 32, np.flatnonzero(f >= least)
+        far, ids = np.flatnonzero(f >= least), np.full(len(f), -1)
+        ids[far] = _ids(blocks.column("group")[0].as_py(), groups, len(far))
         first, held = order[edge[far]], np.empty(len(order), np.int64)
-        frequent = _batch(MET, len(far), id=base + far, head=head[first], tail=tail[first], f=f[far])
-        held[order] = np.repeat(np.where(f >= least, base + np.arange(len(f)), -1), np.diff(np.append(edge, len(order))))
+        frequent = _batch(MET, len(far), id=ids[far], head=head[first], tail=tail[first], f=f[far])
+        if not answered:
+            return pa.Table.from_batches([frequent])
+        held[order] = np.repeat(ids, np.diff(np.append(edge, len(order))))
         return pa.Table.from_batches([frequent, _answers(blocks, parts, held, lambda part, ids: packed(2, ids, part[0], part[1]))])
 
     return run
@@ -348,15 +363,12 @@ def _pairs(groups: int) -> Grouped:
     return run
 
 
-def _longer(groups: int, length: int) -> Together:
-    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+def _longer(groups: int, length: int) -> Grouped:
+    def run(own: pa.Table) -> pa.Table:
         """Phrases of a shard one word longer than its frequent ones of ``length``, which are found again from its words up."""
-        levels = known.column("length").to_numpy()
-        if not own.num_rows or not (levels == length).any():
-            return pa.Table.from_batches([_batch(BLOCK, 0)])
         number, shard, low, size, ids = _read(own)
         for k in range(2, length + 1):
-            new, head, tail = np.concatenate([unpacked(d, 2, 3) for d in known.filter(pa.array(levels == k)).column("data").to_pylist()], axis=1)
+            new, head, tail = np.concatenate([unpacked(d, 2, 3) for d in own.column(f"of_{k}")[0].as_py()], axis=1)
             order = np.argsort(ids)
             head, tail = (order[np.searchsorted(ids, x, sorter=order)] for x in (head, tail))
             low, size = shard.prepended(shard.first(low[head]), low[tail], size[tail])
@@ -384,33 +396,39 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int, shard_words:
     """Of each length: id, lang, phrase, f, and counts of its first and last 1, 2, ... words (prefixes, suffixes), and from two words on the ids of head and tail; and (lang, n)."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    # in buckets, as the index is, so that neither is shuffled when what is known of a shard meets it
-    shards = bucketed(texts.mapInArrow(_shards(shard_words), SHARDS), "phrase_shards", "shard", "zstd")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES))
+    # in buckets, as the index and what is known of a shard are, so that none is shuffled when they meet
+    shards = bucketed(texts.coalesce(tasks).mapInArrow(_shards(shard_words), SHARDS), "phrase_shards", "shard", "zstd")
     counted = shards.select("shard", "lang", "words", "counts", "different")
     totals = durable(counted.groupBy("shard").applyInArrow(_counted, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     groups = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // GROUP_WORDS
-    met = durable(counted.groupBy("shard").applyInArrow(_word_blocks(groups), BLOCK).groupBy("group").applyInArrow(_met_words(least), MET), "phrase-words", "zstd")
+    met = durable(counted.groupBy("shard").applyInArrow(_word_blocks(groups), BLOCK).groupBy("group").applyInArrow(_met_words(least, groups), MET), "phrase-words", "zstd")
     levels = [met.filter("shard is null").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
-    answers = lambda met, length: met.filter("shard is not null").select("shard", F.lit(length).alias("length"), "data")
+    answers = met.filter("shard is not null").select("shard", "data")
     own = shards.select("shard", "symbols", "size")
-    index = bucketed(own.groupBy("shard").cogroup(answers(met, 1).groupBy("shard")).applyInArrow(_indexed(most_words), INDEX), "fm_index", "shard", "zstd")
+    index = bucketed(own.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_indexed(most_words), INDEX), "fm_index", "shard", "zstd")
     discard(shards)
-    known, read = [], [met]
+    known: list[DataFrame] = []
     for length in range(2, most_words + 1):
         if length == 2:
             blocks = index.groupBy("shard").applyInArrow(_pairs(groups), BLOCK)
         else:
-            blocks = index.groupBy("shard").cogroup(reduce(DataFrame.union, known).groupBy("shard")).applyInArrow(_longer(groups, length - 1), BLOCK)
-        read.append(met := durable(blocks.groupBy("group").applyInArrow(_met(least), MET), "phrase-level", "zstd"))
-        known.append(answers(met, length))
-        pairs = met.filter("shard is null").select("id", "head", "tail", "f")
+            # a row a shard on all sides
+            told = reduce(lambda own, answers: own.join(answers, "shard"), known, index)
+            blocks = told.groupBy("shard").applyInArrow(_longer(groups, length - 1), BLOCK)
+        level = durable(blocks.groupBy("group").applyInArrow(_met(least, groups, length < most_words), MET), "phrase-level", "zstd")
+        if length < most_words:  # shuffled once, for all levels that follow
+            answers = level.filter("shard is not null").groupBy("shard").agg(F.collect_list("data").alias(f"of_{length}"))
+            known.append(bucketed(answers, "phrase_answers", "shard", "zstd"))
+        pairs = level.filter("shard is null").select("id", "head", "tail", "f")
         heads = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"), "prefixes")
         tails = levels[-1].select(F.col("id").alias("tail"), "last", "suffixes")
         longer = pairs.join(heads, "head").join(tails, "tail").select(
             "id", "lang", F.concat("first", F.lit(bytearray(b" ")), "last").alias("phrase"), "last", "f",
             F.concat("prefixes", F.array("f")).alias("prefixes"), F.concat("suffixes", F.array("f")).alias("suffixes"), "head", "tail")
         levels.append(durable(longer, "phrases"))
-    discard(index, *read)
+        discard(level)
+    discard(met, index, *known)
     return levels[1:], totals
 
 

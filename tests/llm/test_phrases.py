@@ -66,6 +66,27 @@ def test_the_first_of_each_language(docs):
     assert found == sorted((lang, k, *row) for lang, rows in want.items() for k, row in enumerate(sorted(rows)[:7], 1))
 
 
+def test_shards_fill_and_answers_are_shuffled_once(docs, monkeypatch, spark):
+    made = {}
+
+    def kept(df, label, *more):
+        out = bucketed(df, label, *more)
+        made.setdefault(label, []).append((out.count(), df.rdd.getNumPartitions()))
+        return out
+
+    bucketed = phrases.bucketed
+    monkeypatch.setattr(phrases, "bucketed", kept)
+    want = brute(docs, 5, 20)
+    assert sorted(map(tuple, phrases.collocations(docs.repartition(40), 5, 20).collect())) == want
+    [(shards, tasks)] = made["phrase_shards"]
+    assert tasks <= spark.sparkContext.defaultParallelism and shards <= 5 * tasks  # of five languages, where 40 tasks closed theirs each
+    assert len(made["phrase_answers"]) == 3  # of 2, 3 and 4 words, each read again without a shuffle
+
+
+def test_ids_of_all_groups_are_dense():
+    assert sorted(np.concatenate([phrases._ids(g, 3, 4) for g in range(3)]).tolist()) == list(range(12))
+
+
 def test_no_rows_and_nothing_frequent(docs):
     for few in (docs.limit(0), docs.filter("doc_id in (600, 601, 602, 603)")):
         got = phrases.op13_collocations(few)
