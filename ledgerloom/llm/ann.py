@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by collision-counting hashing, query-centred.
 
-Each of m random projections of the unit vectors is kept as one sorted array.  A query opens a window around
-its own projection in every array; a vector collides as often as it lies in windows.  The radius grows
-step by step (virtual rehashing: the same arrays, wider windows, only their new ends are read), and vectors
-whose collisions pass the threshold are verified by their exact cosine, until k verified ones lie within the
-radius.
+Each of m random projections of the unit vectors is sorted and cut into runs; for each run the vectors before it are
+kept as one set of bits.  A query opens a window around its own projection in every array, which is the difference of
+two such sets; a vector collides as often as it lies in windows, and collisions are summed for 64 vectors in one word.
+The radius grows step by step (virtual rehashing: the same sets, wider windows), and vectors whose collisions pass the
+threshold are verified by their cosine, until k verified ones lie within the radius; the last ones are ordered by
+their exact cosine.
 
 Spark deals vectors into shards of bounded size, by vec_id, so that a vector that a third of all rows share is
 spread evenly.  A task sorts a shard's projections into its index once and then searches it for a stream of
@@ -32,6 +33,8 @@ HALF_WIDTH = 0.75  # of a window, in radii
 SHARD_ROWS = 32768
 BLOCK_ROWS = 16384
 LEAST_BLOCK_ROWS = 256
+RUNS = 64  # of a sorted projection
+AT_ONCE = 32  # queries whose windows are counted together
 #: Share of arrays; the chance to collide is 0.547 at the radius and 0.486 at the next one.
 THRESHOLD = 0.5
 
@@ -46,67 +49,112 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0))[1][:, None])
 
 
+def sliced_sum(sets: Iterator[np.ndarray]) -> list[np.ndarray]:
+    """How many of the bit sets hold each bit, as binary digits, the lowest first, each a bit set itself."""
+    digits: list[list[np.ndarray]] = [[]]
+
+    def add(level: int, bits: np.ndarray) -> None:
+        if level == len(digits):
+            digits.append([])
+        digits[level].append(bits)
+        if len(digits[level]) == 3:
+            x, y, z = digits[level]
+            odd = x ^ y
+            digits[level] = [odd ^ z]
+            add(level + 1, x & y | odd & z)
+
+    for bits in sets:
+        add(0, bits)
+    for level, held in enumerate(digits):  # grows while carries go up
+        if len(held) == 2:
+            digits[level] = [held[0] ^ held[1]]
+            add(level + 1, held[0] & held[1])
+    return [held[0] for held in digits]
+
+
+def at_least(digits: list[np.ndarray], least: int) -> np.ndarray:
+    """The bit set of those whose sum is ``least`` or more."""
+    over, same = np.zeros_like(digits[0]), ~np.zeros_like(digits[0])
+    for level in reversed(range(max(len(digits), least.bit_length()))):
+        bit = digits[level] if level < len(digits) else np.zeros_like(over)
+        if least >> level & 1:
+            same &= bit
+        else:
+            over |= same & bit
+            same &= ~bit
+    return over | same
+
+
 class Index:
-    """The sorted projections of one shard."""
+    """The sorted projections of one shard, each cut into runs of equal length, with the set of vectors before each run."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 29) -> None:
         self.ids, self.vectors = ids, scaled(vectors)
         n, dim = vectors.shape
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
         self.axes = np.random.default_rng(seed + dim).normal(size=(dim, PROJECTIONS))
-        self.units = self.vectors / self.norms[:, None]
-        projected = self.units @ self.axes
-        self.order = np.argsort(projected, axis=0).T.astype(np.int32)
-        # one array of all sorted arrays, set apart by more than any two projections, answers all of a query's searches at once
-        furthest = np.sqrt((self.axes * self.axes).sum(0)).max() + 10.0
-        self.apart = np.arange(PROJECTIONS) * 4 * furthest
-        self.sorted_all = (np.take_along_axis(projected, self.order.T.astype(np.int64), axis=0).T + self.apart[:, None]).ravel()
-        self.begins = np.arange(PROJECTIONS) * n
+        units = self.vectors / self.norms[:, None]
+        self.units = units.astype(np.float32)
+        projected = np.ascontiguousarray((units @ self.axes).T)
+        runs = min(RUNS, n)
+        run_of = (np.arange(n) * runs // n).astype(np.uint8)
+        begins = -(-np.arange(runs) * n // runs)
+        self.first = np.empty((PROJECTIONS, runs))
+        self.before = np.zeros((PROJECTIONS, runs + 1, -(-n // 64) * 8), np.uint8)
+        run = np.empty(n, np.uint8)
+        for j, row in enumerate(projected):
+            order = np.argsort(row)
+            run[order], self.first[j] = run_of, row[order[begins]]
+            self.before[j, :, :-(-n // 8)] = np.packbits(run < np.arange(runs + 1, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+        self.before = self.before.view(np.uint64)
+
+    def collided(self, places: np.ndarray, half: np.ndarray, least: int) -> np.ndarray:
+        """For each query, the bit set of the vectors that lie in at least so many of its windows, these being widened to whole runs."""
+        low = np.maximum((self.first < (places - half[:, None])[:, :, None]).sum(2) - 1, 0)
+        high = (self.first <= (places + half[:, None])[:, :, None]).sum(2)
+        return at_least(sliced_sum(self.before[j, high[:, j]] ^ self.before[j, low[:, j]] for j in range(PROJECTIONS)), least)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         """The k nearest found for each query, as (query, vector, cosine)."""
-        ids, vectors, norms, order, apart, begins = self.ids, self.vectors, self.norms, self.order, self.apart, self.begins
-        n = len(ids)
-        queries = scaled(queries)
+        return [row for at in range(0, len(queries), AT_ONCE) for row in self._search(query_ids[at:at + AT_ONCE], scaled(queries[at:at + AT_ONCE]), k)]
+
+    def _search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        n, dim = self.vectors.shape
         query_norms = np.sqrt((queries * queries).sum(1))
-        asked = (queries / query_norms[:, None]) @ self.axes
-        least = int(np.ceil(THRESHOLD * PROJECTIONS))
+        units = queries / query_norms[:, None]
+        places, asked = units @ self.axes, units.astype(np.float32)
+        slack = (dim + 4) * 2.0**-22  # more than scores in single precision, and their order, can be wrong by
         probe = np.linspace(0, n - 1, min(n, 256)).astype(int)
-        near = np.sqrt(np.maximum(2 - 2 * (self.units[probe] @ (queries / query_norms[:, None]).T), 0))
-        out = []
-        for row, (qid, q, place) in enumerate(zip(query_ids, queries, asked, strict=True)):
-            others = n - int((ids == qid).sum())
-            radius = max(0.8 * float(near[:, row].min()), 0.05)
-            counts, checked = np.zeros(n, np.uint8), np.zeros(n, bool)
-            low = high = None
-            found, scores = np.empty(0, int), np.empty(0)
-            while others:
-                half = HALF_WIDTH * radius
-                lows = (self.sorted_all.searchsorted(place + apart - half, "left") - begins).tolist()
-                highs = (self.sorted_all.searchsorted(place + apart + half, "right") - begins).tolist()
-                for j in range(PROJECTIONS):
-                    o = order[j]
-                    if low is None:
-                        counts[o[lows[j]:highs[j]]] += 1
-                    else:
-                        counts[o[lows[j]:low[j]]] += 1
-                        counts[o[high[j]:highs[j]]] += 1
-                low, high = lows, highs
-                new = np.flatnonzero((counts >= least) & ~checked)
-                checked[new] = True
-                new = new[ids[new] != qid]
+        near = np.sqrt(np.maximum(2 - 2 * (self.units[probe] @ asked.T).astype(float), 0))
+        radius = np.maximum(0.8 * near.min(0), 0.05)
+        others = n - (self.ids == query_ids[:, None]).sum(1)
+        found = [np.empty(0, int) for _ in queries]
+        scores = [np.empty(0, np.float32) for _ in queries]
+        checked = np.zeros((len(queries), self.before.shape[2]), np.uint64)
+        going = np.flatnonzero(others > 0)
+        while len(going):
+            collided = self.collided(places[going], HALF_WIDTH * radius[going], int(np.ceil(THRESHOLD * PROJECTIONS)))
+            fresh = collided & ~checked[going]
+            checked[going] |= collided
+            over = []
+            for row, bits in zip(going, fresh, strict=True):
+                new = np.flatnonzero(np.unpackbits(bits.view(np.uint8), count=n, bitorder="little"))
+                new = new[self.ids[new] != query_ids[row]]
                 if len(new):
-                    found = np.concatenate([found, new])
-                    scores = np.concatenate([scores, (vectors[new] * q).sum(1) / (norms[new] * query_norms[row])])
-                within = int((2 - 2 * scores <= radius * radius + 1e-12).sum())
-                if within >= k or len(found) >= others or radius > 2.2:
-                    break
-                radius *= GROWTH
-            if len(scores) > k:  # all that tie with the k-th stay
-                top = scores >= np.partition(scores, -k)[-k]
-                found, scores = found[top], scores[top]
-            best = np.lexsort((ids[found], -scores))[:k]
-            out += [(int(qid), int(ids[found[b]]), float(scores[b])) for b in best]
+                    found[row] = np.concatenate([found[row], new])
+                    scores[row] = np.concatenate([scores[row], self.units[new] @ asked[row]])
+                within = int((2 - 2 * (scores[row] + slack) <= radius[row] ** 2).sum())
+                over.append(within >= k or len(found[row]) >= others[row] or radius[row] > 2.2)
+            going = going[~np.array(over)]
+            radius[going] *= GROWTH
+        out = []
+        for row, (qid, q) in enumerate(zip(query_ids, queries, strict=True)):
+            new = found[row]
+            if len(new) > k:  # all that may tie with the k-th stay
+                new = new[scores[row] >= np.partition(scores[row], -k)[-k] - 2 * slack]
+            exact = (self.vectors[new] * q).sum(1) / (self.norms[new] * query_norms[row])
+            best = np.lexsort((self.ids[new], -exact))[:k]
+            out += [(int(qid), int(self.ids[new[b]]), float(exact[b])) for b in best]
         return out
 
 
