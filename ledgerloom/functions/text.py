@@ -50,9 +50,16 @@ def trigrams(label: Column) -> Column:
 
 
 def trigram_similarity(left: Column, right: Column) -> Column:
-    """Shared over all trigrams of two labels that are already normalised; 0 if either has none."""
-    a, b = trigrams(left), trigrams(right)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Shared over all trigrams of two labels that are already normalised; 0 if either has none.
+
+    Equal labels, which most pairs have, are not cut at all, others once.
+    """
+    def shared(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+    same = F.when(F.trim(left) != "", F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(left == right, same).otherwise(bound(F.struct(trigrams(left).alias("a"), trigrams(right).alias("b")), shared))
 
 
 def suggest_pattern(text: Column) -> Column:

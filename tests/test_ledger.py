@@ -154,3 +154,20 @@ def test_binding_prefers_a_candidates_own_account(spark):
     own = spark.createDataFrame([(2, "B")], "ordinal int, account_id string")
     got = {r["ordinal"]: (r["account_id"], r["problem"]) for r in matching.bind_accounts(asks, binding, own).collect()}
     assert got == {1: ("A", None), 2: ("B", None), 3: (None, "no account for y")}
+
+
+def test_labels_of_a_pair_are_cut_once_and_equal_ones_not(spark):
+    pairs = [("CARTE LAC", "CARTE LAC"), ("", ""), (" ", " "), ("A", " A"), ("CARTE LAC", "CARTE LAIT"), ("", "A"), (None, "A"), (None, None)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(trigram_similarity(F.col("a"), F.col("b")).alias("score"))
+    assert [r["score"] for r in df.collect()] == [1.0, 0.0, 0.0, 1.0, 8 / 13, 0.0, None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
+def test_near_pairs_meet_on_all_days_once_and_with_fewer_than_three_copies_of_a_candidate(spark):
+    days = [datetime.date(1969, 12, 15) + datetime.timedelta(days=n) for n in range(34)]
+    asks = spark.createDataFrame([(1, "s", k, d, "L") for k, d in enumerate(days)], "household_id long, shape string, source_id long, booked_on date, label string")
+    rows = spark.createDataFrame([(1, "s", 100 + k, d, "L") for k, d in enumerate(days)], "household_id long, shape string, transaction_id long, booked_on date, label string")
+    got = sorted(map(tuple, matching.near_pairs(asks, rows).collect()))
+    assert got == sorted((a, 100 + b, abs(a - b), 1.0) for a in range(34) for b in range(34) if abs(a - b) <= 3)
+    window, span, copies = matching.WINDOW_DAYS, matching.SPAN_DAYS, range(-800, 800)
+    assert sum((n + window) // span - (n - window) // span + 1 for n in copies) == 1.75 * len(copies)
